@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recallframe.llm import bpe
+from pyspark.sql import functions as F
+
+from recallframe.llm import bpe, shard, simhash
 from recallframe.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,5 +20,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, "token_ids", RANKS, PATTERN))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    narrow = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = shard.assign(narrow, ["doc_id", "size", "text_crc32"], n_shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(simhash.fingerprints(docs))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
