@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from recallframe.llm import bpe, shard, simhash
+from recallframe.llm import bpe, fertility, shard, simhash
 from recallframe.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -28,11 +29,22 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = fertility.judge(docs, "text", PIECES, "lang")
+    return judged.select("doc_id", *fertility.BASE, "base_failed", "kept", "reason", *fertility.MEASURES)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(simhash.fingerprints(docs))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op8_simhash": op8_simhash}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_shard": op2_shard,
+    "op4_fertility": op4_fertility,
+    "op8_simhash": op8_simhash,
+}
 ORACLES: dict[str, str] = {}
