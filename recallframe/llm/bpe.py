@@ -176,6 +176,16 @@ def _packed_lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a list column, null as empty, without a Python object per Arrow value."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    for n in lengths.tolist():
+        yield flat[at : at + n].tolist()
+        at += n
+
+
 #: Rows of an Arrow batch that are worked on at once.
 SLICE = 512
 
@@ -218,7 +228,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, pattern: str, out: str = "d
     def work(batches):
         own = codec(ranks_path, pattern)
         for part in _slices(batches):
-            decoded = pa.array([own.decode(x or []) for x in part.column(ids).to_pylist()], pa.binary())
+            decoded = pa.array([own.decode(x) for x in _lists(part.column(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, decoded], names)
 
     return kept.mapInArrow(work, schema)
