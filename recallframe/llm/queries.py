@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from recallframe.llm import bpe, fertility, shard, simhash
+from recallframe.llm import bpe, fertility, shard, simhash, toxicity
 from recallframe.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,18 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *fertility.BASE, "base_failed", "kept", "reason", *fertility.MEASURES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(simhash.fingerprints(docs))
@@ -45,6 +57,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_shard": op2_shard,
     "op4_fertility": op4_fertility,
+    "op5_toxicity": op5_toxicity,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}
