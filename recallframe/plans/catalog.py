@@ -1,6 +1,573 @@
-"""All registered queries with their oracle SQL."""
+"""Every registered query of the reference's operators, each with SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallframe.operators import context, evaluation, lifecycle, projection, retrieval, validation
+from recallframe.operators.lifecycle import SCOPE
+from recallframe.sources.fixtures import AS_OF_US, SPACE, frames, oracle
+from recallframe.session import table
+
+LIMIT = 5
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Expressions that oracles share, in DuckDB SQL. An identity is compared by its normal parts, hashed as the operator does.
+_part = "(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0} || chr(0))"
+_norm = "lower(trim({0}))"
+SHARED = {
+    "card_versions_all": f"""
+      SELECT *, version + max(greatest(reviewed_us, created_us) - version) OVER (PARTITION BY tenant_id, user_id, erasure_epoch, identity_key ORDER BY commit_seq ROWS UNBOUNDED PRECEDING) AS card_created_us
+      FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, erasure_epoch, identity_key ORDER BY commit_seq) AS version
+        FROM (SELECT c.*, r.reviewed_us, r.commit_seq, sha256({" || ".join(_part.format(_norm.format(c)) for c in ("kind", "category", "memory_key", "person", "relationship"))}) AS identity_key,
+            (SELECT count(*) FROM erasures e WHERE e.tenant_id = c.tenant_id AND e.user_id = c.user_id AND e.commit_seq <= r.commit_seq) AS erasure_epoch,
+            (SELECT count(*) FROM erasures e WHERE e.tenant_id = c.tenant_id AND e.user_id = c.user_id) AS erasure_count
+          FROM candidates c JOIN reviews r ON c.tenant_id = r.tenant_id AND c.user_id = r.user_id AND c.id = r.candidate_id AND r.decision = 'approve'))""",
+    "card_versions_timed": """
+      SELECT *, lead(card_created_us) OVER (PARTITION BY tenant_id, user_id, erasure_epoch, identity_key ORDER BY commit_seq) AS superseded_us FROM card_versions_all""",
+    "cards": """
+      SELECT tenant_id, user_id, 'm' || substr(id, 2) AS id, id AS candidate_id, identity_key, kind, category, memory_key, value, person, relationship, backstory, version,
+        CASE WHEN superseded_us IS NULL THEN 'active' ELSE 'superseded' END AS status, card_created_us AS created_us, superseded_us, expires_us
+      FROM card_versions_timed WHERE erasure_epoch >= erasure_count""",
+    "live": f"SELECT * FROM cards WHERE status = 'active' AND (expires_us IS NULL OR expires_us > {AS_OF_US})",
+    "card_tokens": r"""
+      SELECT tenant_id, user_id, id, created_us, unnest(list_transform(list_concat(
+          f(memory_key), f(memory_key), f(memory_key), f(value), f(value), f(category), f(person), f(relationship), f(backstory)), lambda w: n(w))) AS token FROM live""",
+    "bm25_terms": "SELECT tenant_id, user_id, id, created_us, token, count(*) AS tf FROM card_tokens GROUP BY ALL",
+    "bm25_lengths": "SELECT tenant_id, user_id, id, count(*) AS len FROM card_tokens GROUP BY ALL",
+    "bm25_stats": "SELECT l.tenant_id, l.user_id, count(*) AS n, sum(coalesce(b.len, 0)) / count(*) AS avgdl FROM live l LEFT JOIN bm25_lengths b USING (tenant_id, user_id, id) GROUP BY ALL",
+    "bm25_df": "SELECT tenant_id, user_id, token, count(*) AS df FROM bm25_terms GROUP BY ALL",
+    "bm25_asked": "SELECT query_id, tenant_id, user_id, token, count(*) AS qtf FROM (SELECT query_id, tenant_id, user_id, unnest(list_transform(f(text), lambda w: n(w))) AS token FROM queries) GROUP BY ALL",
+    "bm25_hits": """
+      SELECT query_id, id, created_us, round(score, 6) AS score FROM (
+        SELECT query_id, id, created_us, list_sum(list(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)) ORDER BY token)) AS score
+        FROM bm25_asked JOIN bm25_df USING (tenant_id, user_id, token) JOIN bm25_terms USING (tenant_id, user_id, token) JOIN bm25_lengths USING (tenant_id, user_id, id) JOIN bm25_stats USING (tenant_id, user_id)
+        GROUP BY query_id, id, created_us) WHERE score > 0""",
+    "bm25_deep": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM bm25_hits) WHERE rank <= 20",
+    "fts_postings": """
+      SELECT tenant_id, user_id, id, created_us, lexeme, sum(w) AS weight FROM (
+        SELECT tenant_id, user_id, id, created_us, unnest(x(memory_key)) AS lexeme, 10 AS w FROM live UNION ALL SELECT tenant_id, user_id, id, created_us, unnest(x(value)), 4 FROM live
+        UNION ALL SELECT tenant_id, user_id, id, created_us, unnest(x(category || ' ' || person || ' ' || relationship)), 2 FROM live
+        UNION ALL SELECT tenant_id, user_id, id, created_us, unnest(x(backstory)), 1 FROM live) GROUP BY ALL""",
+    "fts_hits": """
+      SELECT query_id, id, created_us, round(sum(weight) / 10, 6) AS score
+      FROM (SELECT query_id, tenant_id, user_id, unnest(list_distinct(x(text))) AS lexeme FROM queries) JOIN fts_postings USING (tenant_id, user_id, lexeme) GROUP BY query_id, id, created_us""",
+    "vector_hits": """
+      SELECT query_id, l.id, l.created_us, round(list_sum(list_transform(list_zip(vector, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+          / sqrt(list_sum(list_transform(vector, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE))) * list_sum(list_transform(embedding, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE)))), 6) AS score
+      FROM vector_queries q JOIN live l USING (tenant_id, user_id) JOIN vectors v ON v.tenant_id = l.tenant_id AND v.user_id = l.user_id AND v.memory_id = l.id""",
+    "covered": f"""
+      SELECT l.tenant_id, l.user_id, l.id AS memory_id, v.content_sha256 IS NOT NULL AND v.content_sha256 <> h.expected_sha256 AS stale,
+        CASE WHEN j.state IS NULL THEN 'missing_job' WHEN j.expected_memory_version <> l.version THEN 'version_invariant' WHEN j.state IN ('pending', 'leased', 'retry') THEN 'in_flight'
+          WHEN j.state IN ('dead', 'cancelled') THEN j.state WHEN v.content_sha256 IS NULL THEN 'succeeded_missing_embedding'
+          WHEN v.content_sha256 <> h.expected_sha256 THEN 'content_hash_mismatch' ELSE 'converged' END AS class
+      FROM live l LEFT JOIN (SELECT * FROM jobs WHERE embedding_space = '{SPACE}') j ON j.tenant_id = l.tenant_id AND j.user_id = l.user_id AND j.memory_id = l.id
+      LEFT JOIN (SELECT * FROM vectors WHERE embedding_space = '{SPACE}') v ON v.tenant_id = l.tenant_id AND v.user_id = l.user_id AND v.memory_id = l.id
+      LEFT JOIN expected_hashes h ON h.tenant_id = l.tenant_id AND h.user_id = l.user_id AND h.memory_id = l.id""",
+    "cancelled_jobs": f"""
+      SELECT j.* FROM jobs j WHERE (state IN ('pending', 'retry') OR (state = 'leased' AND lease_until_us <= {AS_OF_US}))
+        AND NOT EXISTS (SELECT 1 FROM live l JOIN targets t ON t.state <> 'retired' WHERE l.tenant_id = j.tenant_id AND l.user_id = j.user_id AND l.id = j.memory_id AND l.version = j.expected_memory_version AND t.embedding_space = j.embedding_space)""",
+    "quality": """
+      SELECT query_id, round(coalesce(found, 0) / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, round(coalesce(dcg / ideal, 0), 9) AS ndcg, coalesce(found, 0) = n AS passed FROM (
+        SELECT query_id, count(*) AS n, sum(CASE WHEN i <= 10 THEN (pow(2, relevance) - 1) / log2(i + 1) END) AS ideal
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, candidate_id) AS i FROM relevance) GROUP BY query_id)
+      LEFT JOIN (
+        SELECT query_id, count(*) FILTER (WHERE rank <= 5) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN (pow(2, relevance) - 1) / log2(rank + 1) END) AS dcg
+        FROM judged_hits JOIN relevance USING (query_id, candidate_id) GROUP BY query_id) USING (query_id)""",
+    "judged_hits": """
+      SELECT query_id, candidate_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, candidate_id) AS INT) AS rank FROM (
+        SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, count(*) AS shared
+        FROM (SELECT item_id, unnest(list_distinct(x(text))) AS w FROM benchmark) b JOIN (SELECT doc_id, unnest(list_distinct(x(text))) AS w FROM documents) d USING (w) GROUP BY 1, 2
+      ) QUALIFY rank <= 20""",
+}
+SHARED = {k: SHARED[k] for k in [*[k for k in SHARED if k not in ("quality", "judged_hits")], "judged_hits", "quality"]}
+
+
+def _words(sql: str) -> str:
+    """Expands the short names of tokenizers: f(..) words, n(..) normal form, x(..) lexemes."""
+    import re
+
+    sql = re.sub(r"\bf\((\w+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{Nd}]+')", sql)
+    sql = re.sub(r"\bx\(([^()]+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{M}\\p{Nd}]+')", sql)
+    plural = "CASE WHEN octet_length(encode(w)) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN substr(w, 1, length(w) - 1) ELSE w END"
+    return re.sub(r"\bn\(w\)", plural, sql)
+
+
+SHARED = {k: _words(v) for k, v in SHARED.items()}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir), under its own name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = oracle(_words(sql), SHARED)
+        return f
+
+    return add
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.card_versions(*frames(spark, d, "candidates", "reviews", "erasures"))
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.current_cards(versions(spark, d))
+
+
+def live_cards(spark: SparkSession, d: str) -> DataFrame:
+    return cards(spark, d).where(lifecycle.serviceable(F.lit(AS_OF_US)))
+
+
+# --- scans and lookups
+
+
+@query("SELECT * FROM evidence WHERE tenant_id = 'src1' AND user_id = 'en'")
+def evidence_of_scope(spark, d):
+    (evidence,) = frames(spark, d, "evidence")
+    return evidence.where("tenant_id = 'src1' and user_id = 'en'")
+
+
+@query("SELECT tenant_id, user_id, id, content FROM evidence WHERE tenant_id || user_id || id = (SELECT min(tenant_id || user_id || id) FROM evidence)")
+def evidence_point_lookup(spark, d):
+    (evidence,) = frames(spark, d, "evidence")
+    first = evidence.agg(F.min_by(F.struct(*SCOPE, "id"), F.concat(*SCOPE, "id")).alias("k")).first()["k"]
+    return context.point_lookup(evidence, *first).select(*SCOPE, "id", "content")
+
+
+_REQUESTS = """SELECT candidate_id AS request_id, l.tenant_id, l.user_id, CAST(p AS INT) AS position, CASE p WHEN 1 THEN 'e0' ELSE evidence_id END AS id
+  FROM (SELECT * FROM links WHERE source_order = 0) l, (SELECT unnest([0, 1, 2]) AS p)"""
+
+
+@query(f"SELECT r.*, e.content, e.id IS NOT NULL AS found FROM ({_REQUESTS}) r LEFT JOIN evidence e ON r.tenant_id = e.tenant_id AND r.user_id = e.user_id AND r.id = e.id")
+def evidence_multi_get(spark, d):
+    links, evidence = frames(spark, d, "links", "evidence")
+    ids = F.array("evidence_id", F.lit("e0"), "evidence_id").alias("ids")
+    return context.multi_get(links.where("source_order = 0").select(F.col("candidate_id").alias("request_id"), *SCOPE, ids), evidence)
+
+
+@query("""SELECT c.tenant_id, c.user_id, c.id, coalesce(s.ids, '') AS source_event_ids FROM candidates c LEFT JOIN (
+  SELECT tenant_id, user_id, candidate_id, string_agg(evidence_id, ',' ORDER BY source_order) AS ids FROM links GROUP BY ALL) s ON s.tenant_id = c.tenant_id AND s.user_id = c.user_id AND s.candidate_id = c.id""")
+def candidate_with_sources(spark, d):
+    rows = lifecycle.candidates_with_sources(*frames(spark, d, "candidates", "links"))
+    return rows.select(*SCOPE, "id", F.array_join("source_event_ids", ",").alias("source_event_ids"))
+
+
+@query("SELECT tenant_id, user_id, id, version, created_us, expires_us FROM live")
+def serviceable_cards(spark, d):
+    return live_cards(spark, d).select(*SCOPE, "id", "version", "created_us", "expires_us").orderBy("created_us", "id")
+
+
+@query("""SELECT s.*, (SELECT count(*) FROM reviews r WHERE r.decision = 'approve' AND r.tenant_id = s.tenant_id AND r.user_id = s.user_id)
+  + (SELECT count(*) FROM erasures e WHERE e.tenant_id = s.tenant_id AND e.user_id = s.user_id) AS context_revision FROM scopes s""")
+def context_revision(spark, d):
+    return lifecycle.context_revision(*frames(spark, d, "scopes", "reviews", "erasures"))
+
+
+@query("SELECT t.embedding_space, t.state, t.model, count(j.id) AS n_jobs FROM targets t LEFT JOIN jobs j USING (embedding_space) GROUP BY ALL")
+def projection_targets(spark, d):
+    targets, jobs = frames(spark, d, "targets", "jobs")
+    counts = jobs.groupBy("embedding_space").agg(F.count("*").alias("n_jobs"))
+    return targets.join(counts, "embedding_space", "left").select("embedding_space", "state", "model", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"))
+
+
+@query("SELECT id, tenant_id, user_id, state, available_us FROM jobs WHERE state IN ('pending', 'retry', 'leased') ORDER BY available_us, created_us, id LIMIT 1000")
+def projection_jobs(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    open_ = jobs.where(F.col("state").isin("pending", "retry", "leased"))
+    return open_.orderBy("available_us", "created_us", "id").limit(1000).select("id", *SCOPE, "state", "available_us")
+
+
+@query("SELECT embedding_space, updated_us, (SELECT count(*) FROM jobs) AS generation FROM targets WHERE state = 'serving'")
+def serving_state(spark, d):
+    targets, jobs = frames(spark, d, "targets", "jobs")
+    return targets.where("state = 'serving'").select("embedding_space", "updated_us").crossJoin(jobs.agg(F.count("*").alias("generation")))
+
+
+# --- mutations as replays
+
+
+@query("""SELECT tenant_id, user_id, id, content, seq FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, id ORDER BY seq) AS n FROM evidence_log) l
+  WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM stored_evidence s WHERE s.tenant_id = l.tenant_id AND s.user_id = l.user_id AND s.id = l.id)""")
+def evidence_append_dedup(spark, d):
+    return lifecycle.append_evidence(*frames(spark, d, "stored_evidence", "evidence_log"))
+
+
+@query("""SELECT c.tenant_id, c.user_id, c.id FROM candidates c JOIN (SELECT b.tenant_id, b.user_id, b.candidate_id FROM bad_links b LEFT JOIN evidence e ON e.tenant_id = b.tenant_id AND e.user_id = b.user_id AND e.id = b.evidence_id
+  GROUP BY ALL HAVING count(*) = count(DISTINCT b.evidence_id) AND count(*) = count(e.id)) g ON g.tenant_id = c.tenant_id AND g.user_id = c.user_id AND g.candidate_id = c.id""")
+def candidate_create(spark, d):
+    return lifecycle.create_candidates(*frames(spark, d, "candidates", "bad_links", "evidence")).select(*SCOPE, "id")
+
+
+@query("SELECT b.* FROM bad_links b WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.tenant_id = b.tenant_id AND e.user_id = b.user_id AND e.id = b.evidence_id)")
+def missing_sources(spark, d):
+    return context.missing_sources(*frames(spark, d, "bad_links", "evidence"))
+
+
+@query("""SELECT c.tenant_id, c.user_id, c.id, CASE r.decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status
+  FROM candidates c LEFT JOIN reviews r ON r.tenant_id = c.tenant_id AND r.user_id = c.user_id AND r.candidate_id = c.id""")
+def review_status(spark, d):
+    return lifecycle.review_status(*frames(spark, d, "candidates", "reviews")).select(*SCOPE, "id", "status")
+
+
+@query("SELECT c.tenant_id, c.user_id, c.id FROM candidates c JOIN reviews r ON r.tenant_id = c.tenant_id AND r.user_id = c.user_id AND r.candidate_id = c.id AND r.decision = 'reject'")
+def review_reject(spark, d):
+    return lifecycle.review_status(*frames(spark, d, "candidates", "reviews")).where("status = 'rejected'").select(*SCOPE, "id")
+
+
+@query("""SELECT tenant_id, user_id, id, identity_key, CAST(version AS INT) AS version, erasure_epoch, card_created_us, superseded_us, CASE WHEN superseded_us IS NULL THEN 'active' ELSE 'superseded' END AS status,
+  erasure_epoch < erasure_count AS erased FROM card_versions_timed""")
+def card_versions(spark, d):
+    return versions(spark, d).select(*SCOPE, "id", "identity_key", "version", "erasure_epoch", "card_created_us", "superseded_us", "status", "erased")
+
+
+@query("SELECT tenant_id, user_id, identity_key, max(version) AS latest_version, max(created_us) AS latest_us FROM cards GROUP BY ALL")
+def identity_chains(spark, d):
+    return lifecycle.identity_chains(versions(spark, d))
+
+
+@query("SELECT l.id, l.tenant_id, l.user_id, l.version AS expected_memory_version, t.embedding_space, 'pending' AS state FROM cards l, targets t WHERE l.status = 'active' AND t.enqueue_new AND t.state IN ('shadow', 'serving')")
+def outbox_enqueue(spark, d):
+    (targets,) = frames(spark, d, "targets")
+    return projection.enqueue(cards(spark, d), targets).withColumnRenamed("memory_id", "id")
+
+
+@query("""SELECT e.tenant_id, e.user_id, (SELECT count(*) FROM evidence x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS evidence_deleted,
+  (SELECT count(*) FROM candidates x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS candidates_deleted,
+  (SELECT count(*) FROM card_versions_timed x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS cards_deleted FROM erasures e""")
+def forget_user_receipt(spark, d):
+    erasures, evidence, candidates = frames(spark, d, "erasures", "evidence", "candidates")
+    return lifecycle.forget_receipt(erasures, evidence, candidates, versions(spark, d))
+
+
+@query("SELECT x.tenant_id, x.user_id, x.id FROM evidence x WHERE NOT EXISTS (SELECT 1 FROM erasures e WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id)")
+def forget_user_remaining(spark, d):
+    return lifecycle.forget(*frames(spark, d, "evidence", "erasures")).select(*SCOPE, "id")
+
+
+@query("""SELECT s.*, n.table_name, CASE n.table_name WHEN 'evidence' THEN (SELECT count(*) FROM evidence x WHERE x.tenant_id = s.tenant_id AND x.user_id = s.user_id)
+  WHEN 'links' THEN (SELECT count(*) FROM links x WHERE x.tenant_id = s.tenant_id AND x.user_id = s.user_id)
+  WHEN 'jobs' THEN (SELECT count(*) FROM jobs x WHERE x.tenant_id = s.tenant_id AND x.user_id = s.user_id) ELSE (SELECT count(*) FROM vectors x WHERE x.tenant_id = s.tenant_id AND x.user_id = s.user_id) END AS n
+  FROM scopes s, (SELECT unnest(['evidence', 'links', 'jobs', 'vectors']) AS table_name) n""")
+def scope_residue_counts(spark, d):
+    scopes, *tables = frames(spark, d, "scopes", "evidence", "links", "jobs", "vectors")
+    return lifecycle.residue(dict(zip(("evidence", "links", "jobs", "vectors"), tables, strict=True)), scopes)
+
+
+@query(f"""SELECT n.tenant_id, n.user_id, n.memory_id, CASE WHEN o.memory_id IS NULL THEN 'insert' WHEN o.content_sha256 <> n.content_sha256 THEN 'conflict' ELSE 'unchanged' END AS change, o.memory_id IS NULL AS bumps_revision
+  FROM (SELECT tenant_id, user_id, memory_id, '{SPACE}' AS embedding_space, expected_sha256 AS content_sha256 FROM expected_hashes) n LEFT JOIN vectors o ON o.tenant_id = n.tenant_id AND o.user_id = n.user_id AND o.memory_id = n.memory_id""")
+def embedding_upsert_changes(spark, d):
+    vectors, hashes = frames(spark, d, "vectors", "expected_hashes")
+    new = hashes.select(*SCOPE, "memory_id", F.lit(SPACE).alias("embedding_space"), F.col("expected_sha256").alias("content_sha256"))
+    return projection.embedding_changes(vectors, new).drop("embedding_space")
+
+
+@query("SELECT c.tenant_id, c.user_id, c.id, v.memory_id IS NOT NULL AS had_vector FROM cards c LEFT JOIN vectors v ON v.tenant_id = c.tenant_id AND v.user_id = c.user_id AND v.memory_id = c.id WHERE c.status = 'superseded'")
+def supersede_cleanup(spark, d):
+    (vectors,) = frames(spark, d, "vectors")
+    gone = cards(spark, d).where("status = 'superseded'").select(*SCOPE, "id")
+    had = vectors.select(*SCOPE, F.col("memory_id").alias("id"), F.lit(True).alias("had"))
+    return gone.join(had, [*SCOPE, "id"], "left").select(*SCOPE, "id", F.coalesce("had", F.lit(False)).alias("had_vector"))
+
+
+# --- retrieval
+
+
+@query("SELECT * FROM (SELECT query_id, id, score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM bm25_hits) WHERE rank <= 5")
+def bm25_topk(spark, d):
+    (queries,) = frames(spark, d, "queries")
+    return retrieval.bm25(queries, cards(spark, d), LIMIT, AS_OF_US)
+
+
+@query("SELECT tenant_id, user_id, n, round(avgdl, 6) AS avgdl FROM bm25_stats")
+def bm25_corpus_stats(spark, d):
+    return retrieval.corpus_stats(live_cards(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query("SELECT * FROM (SELECT query_id, id, score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM fts_hits) WHERE rank <= 5")
+def fts_topk(spark, d):
+    (queries,) = frames(spark, d, "queries")
+    return retrieval.full_text(queries, cards(spark, d), LIMIT, AS_OF_US)
+
+
+@query("SELECT query_id, array_to_string(list_sort(list_distinct(x(text))), ' | ') AS lexemes FROM queries")
+def fts_query_lexemes(spark, d):
+    (queries,) = frames(spark, d, "queries")
+    return queries.select("query_id", F.array_join(retrieval.fts_query(F.col("text")), " | ").alias("lexemes"))
+
+
+@query("SELECT * FROM (SELECT query_id, id, score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM vector_hits) WHERE rank <= 5")
+def vector_topk(spark, d):
+    queries, vectors = frames(spark, d, "vector_queries", "vectors")
+    return retrieval.vector_search(queries, cards(spark, d), vectors, LIMIT, AS_OF_US)
+
+
+@query(f"""SELECT * FROM (SELECT query_id, h.id, score, h.created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.created_us DESC, h.id) AS INT) AS rank
+  FROM vector_hits h JOIN live l ON l.id = h.id JOIN jobs j ON j.memory_id = l.id AND j.tenant_id = l.tenant_id AND j.user_id = l.user_id AND j.state = 'succeeded' AND j.expected_memory_version = l.version AND j.embedding_space = '{SPACE}'
+  WHERE EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = l.candidate_id)) WHERE rank <= 5""")
+def serving_vector_topk(spark, d):
+    queries, vectors, jobs, targets, links = frames(spark, d, "vector_queries", "vectors", "jobs", "targets", "links")
+    ready = retrieval.ready_cards(cards(spark, d), vectors, jobs, targets, links, SPACE)
+    return retrieval.vector_search(queries, ready, vectors, LIMIT, AS_OF_US)
+
+
+_RRF = """SELECT * FROM (SELECT query_id, id, created_us, round(score, 9) AS score, best_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, created_us DESC, id) AS INT) AS rank
+  FROM (SELECT query_id, id, created_us, sum(1.0 / (60 + rank)) AS score, min(rank) AS best_rank FROM (
+    SELECT query_id, id, created_us, rank FROM bm25_deep
+    UNION ALL SELECT query_id, id, created_us, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM fts_hits) WHERE rank <= 20)
+  GROUP BY query_id, id, created_us)) WHERE rank <= 5"""
+
+
+@query(_RRF)
+def hybrid_rrf(spark, d):
+    (queries,) = frames(spark, d, "queries")
+    c, depth = cards(spark, d), retrieval.branch_depth(LIMIT)
+    fused = retrieval.reciprocal_rank_fusion(retrieval.bm25(queries, c, depth, AS_OF_US), retrieval.full_text(queries, c, depth, AS_OF_US), LIMIT)
+    return fused.withColumn("score", F.round("score", 9))
+
+
+@query(f"""SELECT DISTINCT query_id, id, rule FROM (
+  SELECT q.query_id, c.id, unnest(list_filter([CASE WHEN NOT (status = 'active' AND (expires_us IS NULL OR expires_us > {AS_OF_US})) THEN 'not_serviceable' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = c.candidate_id) THEN 'no_source' END,
+    CASE WHEN c.tenant_id <> q.tenant_id OR c.user_id <> q.user_id THEN 'out_of_scope' END], lambda r: r IS NOT NULL)) AS rule
+  FROM queries q JOIN cards c ON c.tenant_id = q.tenant_id)""")
+def hybrid_violations(spark, d):
+    queries, links = frames(spark, d, "queries", "links")
+    c = cards(spark, d)
+    untrusted = queries.select("query_id", "tenant_id").join(c.select("tenant_id", "id"), "tenant_id").select("query_id", "id", F.lit(1).alias("rank"))
+    return retrieval.fusion_violations(untrusted, queries, c, links, retrieval.branch_depth(LIMIT), AS_OF_US)
+
+
+@query("""SELECT h.query_id, h.rank, h.id, c.memory_key, s.sources FROM (SELECT * FROM bm25_deep WHERE rank <= 5) h JOIN cards c USING (id) JOIN (
+  SELECT k.candidate_id, string_agg(k.evidence_id || ':' || sha256(e.content), ',' ORDER BY source_order, k.evidence_id) AS sources FROM links k JOIN evidence e ON e.tenant_id = k.tenant_id AND e.user_id = k.user_id AND e.id = k.evidence_id GROUP BY ALL) s
+  ON s.candidate_id = c.candidate_id""")
+def context_pack(spark, d):
+    queries, links, evidence = frames(spark, d, "queries", "links", "evidence")
+    c = cards(spark, d)
+    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), c, links, evidence)
+    packs = context.context_packs(items, queries, AS_OF_US)
+    flat = packs.select("query_id", F.explode("items").alias("i"))
+    sources = F.array_join(F.transform("i.sources", lambda s: F.concat(s["evidence_id"], F.lit(":"), F.sha2(s["content"], 256))), ",")
+    return flat.select("query_id", "i.rank", "i.id", "i.memory_key", sources.alias("sources"))
+
+
+# --- projection
+
+
+@query("SELECT id, tenant_id, user_id, memory_id FROM cancelled_jobs")
+def jobs_to_cancel(spark, d):
+    jobs, targets = frames(spark, d, "jobs", "targets")
+    return projection.to_cancel(jobs, cards(spark, d), targets, AS_OF_US).select("id", *SCOPE, "memory_id")
+
+
+@query(f"SELECT id, 'dead' AS state, 'attempts_exhausted' AS last_error_code FROM jobs WHERE (state = 'retry' OR (state = 'leased' AND lease_until_us <= {AS_OF_US})) AND attempt_count >= 5")
+def jobs_dead_lettered(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    return projection.dead_lettered(jobs, AS_OF_US).select("id", "state", "last_error_code")
+
+
+@query(f"""SELECT id, memory_id, 'leased' AS state, attempt_count + 1 AS attempt_count, lease_version + 1 AS lease_version, 'worker-1' AS lease_owner, {AS_OF_US} + 30000000 AS lease_until_us FROM (
+  SELECT j.*, row_number() OVER (PARTITION BY embedding_space ORDER BY available_us, created_us, id) AS place FROM jobs j
+  WHERE ((state IN ('pending', 'retry') AND available_us <= {AS_OF_US}) OR (state = 'leased' AND lease_until_us <= {AS_OF_US})) AND NOT (state IN ('retry', 'leased') AND attempt_count >= 5)
+    AND id NOT IN (SELECT id FROM cancelled_jobs)) WHERE place <= 50""")
+def job_claim(spark, d):
+    jobs, targets = frames(spark, d, "jobs", "targets")
+    claimed = projection.claim(jobs, cards(spark, d), targets, "worker-1", 50, AS_OF_US, 30_000_000)
+    return claimed.select("id", "memory_id", "state", "attempt_count", "lease_version", "lease_owner", "lease_until_us")
+
+
+@query(f"""SELECT j.id, o.outcome, o.outcome = 'succeeded' AND v.content_sha256 IS NULL AS bumps_revision FROM jobs j
+  LEFT JOIN live l ON l.tenant_id = j.tenant_id AND l.user_id = j.user_id AND l.id = j.memory_id AND l.version = j.expected_memory_version
+  LEFT JOIN vectors v ON v.tenant_id = j.tenant_id AND v.user_id = j.user_id AND v.memory_id = j.memory_id LEFT JOIN expected_hashes h ON h.tenant_id = j.tenant_id AND h.user_id = j.user_id AND h.memory_id = j.memory_id,
+  LATERAL (SELECT CASE WHEN lease_until_us <= {AS_OF_US} THEN 'lease_lost' WHEN l.id IS NULL THEN 'cancelled' WHEN v.content_sha256 <> h.expected_sha256 THEN 'conflict' ELSE 'succeeded' END AS outcome) o WHERE j.state = 'leased'""")
+def job_finalize_outcomes(spark, d):
+    jobs, targets, hashes, vectors = frames(spark, d, "jobs", "targets", "expected_hashes", "vectors")
+    return projection.finalize(jobs, cards(spark, d), targets, hashes, vectors, AS_OF_US)
+
+
+@query(f"""SELECT id, verb, CASE verb WHEN 'retry' THEN 'retry' WHEN 'dead' THEN 'dead' ELSE 'cancelled' END AS state, CASE verb WHEN 'retry' THEN 'timeout' ELSE last_error_code END AS last_error_code,
+  CASE verb WHEN 'retry' THEN {AS_OF_US} + 1000 END AS available_us FROM jobs, (SELECT unnest(['retry', 'dead', 'cancel']) AS verb) WHERE state = 'leased' AND lease_owner = 'w1' AND lease_until_us > {AS_OF_US}""")
+def job_transitions(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    done = None
+    for verb, code in (("retry", "timeout"), ("dead", None), ("cancel", None)):
+        one = projection.transition(jobs, verb, "w1", AS_OF_US, code, AS_OF_US + 1000).withColumn("verb", F.lit(verb))
+        done = one if done is None else done.unionByName(one)
+    return done
+
+
+@query(f"""SELECT id, CASE WHEN last_error_code = 'transport' AND attempt_count < 5 THEN 'retry' ELSE 'dead' END AS state,
+  CASE WHEN last_error_code = 'transport' AND attempt_count < 5 THEN {AS_OF_US} + CAST(pow(2, greatest(0, least(attempt_count - 1, 8))) AS BIGINT) * 1000000 END AS available_us FROM jobs WHERE last_error_code IS NOT NULL""")
+def job_retry_schedule(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    return projection.retry_schedule(jobs, AS_OF_US)
+
+
+@query(f"""SELECT embedding_space, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in projection.STATES)},
+  min(available_us) FILTER (WHERE state IN ('pending', 'retry')) AS oldest_available_us, max(attempt_count) AS max_attempts FROM jobs GROUP BY ALL""")
+def projection_job_stats(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    return projection.stats(jobs)
+
+
+def covered(spark, d):
+    jobs, vectors, hashes = frames(spark, d, "jobs", "vectors", "expected_hashes")
+    return projection.coverage(cards(spark, d), jobs, vectors, hashes, SPACE, AS_OF_US)
+
+
+@query("SELECT * FROM covered")
+def coverage_classes(spark, d):
+    return covered(spark, d)
+
+
+@query(f"SELECT count(*) AS scanned, {', '.join(f"count(*) FILTER (WHERE class = '{c}') AS {c}" for c in projection.CLASSES)} FROM covered")
+def coverage_report(spark, d):
+    return projection.coverage_report(covered(spark, d))
+
+
+@query("""SELECT tenant_id, user_id, memory_id, action, stale AS delete_vector, stale OR class = 'succeeded_missing_embedding' AS bumps_scope FROM (
+  SELECT *, CASE WHEN class = 'missing_job' THEN 'enqueue' WHEN class IN ('succeeded_missing_embedding', 'content_hash_mismatch') THEN 'reset' ELSE 'none' END AS action FROM covered) WHERE action <> 'none' OR stale""")
+def reconcile_repairs(spark, d):
+    return projection.repairs(covered(spark, d), serving=True)
+
+
+@query(f"""SELECT *, live_cards = covered_cards AND live_cards > 0 AS allowed FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT tenant_id, user_id FROM live)) AS live_scopes, (SELECT count(*) FROM live) AS live_cards, (SELECT count(*) FROM covered WHERE class = 'converged') AS covered_cards,
+  (SELECT greatest(max(updated_us) + 1, {AS_OF_US}) FROM targets) AS promoted_us, 'space_v1_next' AS to_space)""")
+def promotion_plan(spark, d):
+    (targets,) = frames(spark, d, "targets")
+    return projection.promotion_plan(cards(spark, d), covered(spark, d), targets, "space_v1_next", False, AS_OF_US)
+
+
+@query("SELECT DISTINCT tenant_id, user_id FROM live")
+def live_scopes(spark, d):
+    (scopes,) = frames(spark, d, "scopes")
+    return scopes.join(live_cards(spark, d), SCOPE, "left_semi")
+
+
+@query("SELECT tenant_id, user_id, id FROM live WHERE (tenant_id, user_id, id) > ('src1', 'en', 'm5') ORDER BY tenant_id, user_id, id LIMIT 51")
+def keyset_page(spark, d):
+    return projection.keyset_page(cards(spark, d), ("src1", "en", "m5"), 50, AS_OF_US)
+
+
+_CHANGES = f"""SELECT embedding_space, new_state, updated_us + shift AS at_us FROM targets, (SELECT unnest(['serving', 'shadow', 'blocked', 'retired']) AS new_state), (SELECT unnest([-1, 0, 5]) AS shift)"""
+
+
+@query(f"""SELECT c.embedding_space, new_state, at_us - updated_us AS shift, CASE WHEN new_state = 'serving' OR state = 'serving' THEN 'conflict' WHEN at_us = updated_us AND new_state = state THEN 'unchanged'
+  WHEN at_us <= updated_us OR state = 'retired' THEN 'conflict' ELSE 'applied' END AS verdict FROM ({_CHANGES}) c JOIN targets t ON t.embedding_space = c.embedding_space""")
+def target_transitions(spark, d):
+    (targets,) = frames(spark, d, "targets")
+    states, shifts = F.array(*[F.lit(s) for s in ("serving", "shadow", "blocked", "retired")]), F.array(F.lit(-1), F.lit(0), F.lit(5))
+    asked = targets.select("embedding_space", "updated_us", F.explode(states).alias("new_state")).select("*", F.explode(shifts).alias("shift"))
+    # verdicts carry no time: the three shifts come from one request each
+    parts = None
+    for shift in (-1, 0, 5):
+        one = projection.target_transition(targets, asked.where(F.col("shift") == shift).select("embedding_space", "new_state", (F.col("updated_us") + shift).alias("at_us")))
+        one = one.select("embedding_space", "new_state", F.lit(shift).cast("long").alias("shift"), "verdict")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+# --- evaluation and validation
+
+
+def judged_hits(spark, d):
+    """A plain untrusted arm for evaluation: documents by shared lexemes with the query."""
+    from recallframe.functions.text import lexemes
+
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    asked = bench.select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("w"))
+    words = docs.select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("w"))
+    hits = asked.join(words, "w").groupBy("query_id", "candidate_id").agg(F.count("*").alias("shared"))
+    return retrieval.ranked(hits, 20, F.desc("shared"), F.col("candidate_id")).select("query_id", "candidate_id", "rank")
+
+
+@query("SELECT * FROM quality")
+def eval_quality(spark, d):
+    (relevance,) = frames(spark, d, "relevance")
+    return evaluation.quality(judged_hits(spark, d), relevance, 5, 10)
+
+
+def _quality_column(name: str, column: str):
+    def run(spark, d):
+        return eval_quality(spark, d).select("query_id", column)
+
+    run.__name__ = name
+    return query(f"SELECT query_id, {column} FROM quality")(run)
+
+
+for _name, _column in (("eval_recall", "recall"), ("eval_mrr", "mrr"), ("eval_ndcg", "ndcg"), ("eval_pass", "passed")):
+    _quality_column(_name, _column)
+
+
+@query("SELECT count(*) AS quality_query_count, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(passed AS DOUBLE)), 6) AS pass_rate, bool_and(passed) AS all_passed FROM quality")
+def eval_arm_aggregate(spark, d):
+    return evaluation.arm_aggregate(eval_quality(spark, d))
+
+
+@query(f"""SELECT q.query_id, count(h.id) AS hits, count(CASE WHEN h.id LIKE '%9' THEN 1 END) AS forbidden_hits, count(*) FILTER (WHERE h.id IS NOT NULL AND c.id IS NULL) AS unknown_hits,
+  count(*) FILTER (WHERE c.tenant_id <> q.tenant_id OR c.user_id <> q.user_id) AS scope_violations, count(*) FILTER (WHERE c.status <> 'active') AS non_active_hits, count(*) FILTER (WHERE c.expires_us <= {AS_OF_US}) AS expired_hits,
+  0 AS duplicate_hits, count(*) FILTER (WHERE h.rank > 5) AS over_limit_hits, count(*) FILTER (WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = c.candidate_id)) AS missing_sources
+  FROM queries q LEFT JOIN (SELECT query_id, 'm' || substr(candidate_id, 2) AS id, rank FROM judged_hits) h USING (query_id) LEFT JOIN cards c ON c.id = h.id GROUP BY q.query_id""")
+def eval_policy(spark, d):
+    queries, links = frames(spark, d, "queries", "links")
+    hits = judged_hits(spark, d).select("query_id", F.concat(F.lit("m"), F.substring("candidate_id", 2, 40)).alias("id"), "rank")
+    forbidden = hits.where("id like '%9'").select("query_id", "id").distinct()
+    return evaluation.policy(hits, queries, cards(spark, d), links, forbidden, LIMIT, AS_OF_US)
+
+
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS largest FROM events GROUP BY ALL")
+def latency_percentiles(spark, d):
+    return evaluation.latency(table(spark, d, "events"), "event_type", "value")
+
+
+@query()
+def eval_bootstrap_ci(spark, d):
+    return evaluation.bootstrap(eval_quality(spark, d).withColumn("arm", F.lit("lexical")), resamples=1000)
+
+
+@query("SELECT query_id, true AS stable FROM (SELECT DISTINCT query_id FROM bm25_hits)")
+def ranking_stability(spark, d):
+    return evaluation.ranking_stability(bm25_topk(spark, d), bm25_topk(spark, d))
+
+
+@query("""SELECT id, unnest(list_filter([CASE WHEN trim(content) = '' THEN 'blank_content' END, CASE WHEN octet_length(encode(content)) > 32768 THEN 'content_too_long' END], lambda r: r IS NOT NULL)) AS rule FROM evidence""")
+def evidence_violations(spark, d):
+    (evidence,) = frames(spark, d, "evidence")
+    return validation.violations(evidence, validation.evidence_rules(), "id")
+
+
+@query("SELECT id, 'value_too_long' AS rule FROM candidates WHERE octet_length(encode(value)) > 4096")
+def candidate_violations(spark, d):
+    (candidates,) = frames(spark, d, "candidates")
+    return validation.violations(candidates, validation.candidate_rules(), "id")
+
+
+@query("SELECT id, 'leased_attempts' AS rule FROM jobs WHERE state = 'leased' AND attempt_count = 0")
+def constraint_violations(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    broken = validation.violations(cards(spark, d), validation.card_rules(), "id")
+    return validation.violations(jobs, validation.job_rules(), "id").unionByName(broken.withColumn("id", F.col("id").try_cast("long")))
+
+
+@query("SELECT tenant_id, user_id, identity_key, count(*) AS n FROM cards GROUP BY ALL HAVING n > 1")
+def uniqueness_violations(spark, d):
+    return validation.duplicates(cards(spark, d), *SCOPE, "identity_key")
+
+
+@query("SELECT j.id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM cards c WHERE c.tenant_id = j.tenant_id AND c.user_id = j.user_id AND c.id = j.memory_id)")
+def fk_violations(spark, d):
+    (jobs,) = frames(spark, d, "jobs")
+    parent = cards(spark, d).withColumnRenamed("id", "memory_id")
+    return validation.dangling(jobs, parent, [*SCOPE, "memory_id"]).select("id")
+
+
+@query("""SELECT query_id, count(*) AS supports, count(*) FILTER (WHERE NOT contains(content, quote)) AS ungrounded, 0 AS missing, 0 AS repeated, CAST(sum(octet_length(encode(content))) AS BIGINT) AS total_bytes,
+  count(*) FILTER (WHERE NOT contains(content, quote)) = 0 AND count(*) <= 20 AND sum(octet_length(encode(content))) <= 65536 AS accepted
+  FROM (SELECT q.query_id, e.content, q.text AS quote FROM queries q JOIN evidence e USING (tenant_id, user_id)) GROUP BY query_id""")
+def grounding_check(spark, d):
+    queries, evidence = frames(spark, d, "queries", "evidence")
+    supports = queries.join(evidence.select(*SCOPE, F.col("id").alias("evidence_id")), SCOPE).select("query_id", *SCOPE, "evidence_id", F.col("text").alias("quote"))
+    return validation.grounding(supports, evidence)
