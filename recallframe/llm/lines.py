@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallframe.llm.text import WORD_GAP
-from recallframe.session import cut, without
+from recallframe.session import cut, stored, without
 
 #: Leading words of the tree, least words of a line, least documents of a template, least share of fixed words.
 DEPTH, MIN_WORDS, MIN_DOCS, FIXED_SHARE = 4, 3, 3, 0.8
@@ -34,51 +34,56 @@ def _leaf(words: Column) -> Column:
     return F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))
 
 
-def _row_key(doc: str, text: str) -> Column:
-    """What tells rows apart: id and text. Equal rows are treated alike."""
-    return F.struct(F.col(doc).alias("d"), F.xxhash64(text).alias("h"))
+def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``docs`` with what tells rows apart: __d, the id, and __k, a hash of id and text. Equal rows are treated alike."""
+    return docs.withColumn("__d", F.col(doc)).withColumn("__k", F.xxhash64(doc, text))
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """Per row key the sorted places of its lines; a place list is as long as its text has lines."""
-    return rows.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    """Per row the sorted places of its lines; a place list is at most as long as its text has lines."""
+    return rows.groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
+
+
+def _to_rows(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """Joins place lists to their rows; the lists, not the texts, are the side that is held."""
+    held = places.select(F.col("__d").alias("__pd"), F.col("__k").alias("__pk"), "__places").hint("shuffle_hash")
+    return rows.join(held, (F.col("__k") == F.col("__pk")) & F.col("__d").eqNullSafe(F.col("__pd")), how)
 
 
 def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(row, pos, leaf, line, words) of the lines whose leaf occurs in two documents or more."""
-    rows = docs.select(_row_key(doc, text).alias("row"), F.col(text).alias("__text"))
-    lines = rows.select("row", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).withColumn("words", words_of(F.col("line")))
-    leaves = lines.where(F.size("words") >= MIN_WORDS).select("row", "pos", _leaf(F.col("words")).alias("leaf"))
-    leaves = cut(leaves)
-    again = leaves.groupBy("leaf").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most").select("leaf")
-    places = _positions(leaves.join(again, "leaf"))
-    wanted = places.withColumnRenamed("row", "__row").hint("shuffle_hash")
-    found = rows.join(wanted, F.col("row").eqNullSafe(F.col("__row"))).select("row", F.explode("places").alias("pos"), F.split("__text", "\n").alias("all"))
-    worded = found.select("row", "pos", words_of(F.element_at("all", F.col("pos") + 1)).alias("words"))
-    return worded.select("row", "pos", _leaf(F.col("words")).alias("leaf"), F.xxhash64("words").alias("line"), "words")
+    """(__d, __k, pos, line, masked) of the lines whose leaf occurs ``min_docs`` times or more, in two documents or more."""
+    rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
+    lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).withColumn("words", words_of(F.col("line")))
+    leaves = stored(lines.where(F.size("words") >= MIN_WORDS).select("__d", "__k", "pos", _leaf(F.col("words")).alias("leaf")))
+    again = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("__k").alias("least"), F.max("__k").alias("most"))
+    again = again.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
+    found = _to_rows(rows, _positions(leaves.join(again, "leaf")), "inner")
+    each = found.select("__d", "__k", F.explode("__places").alias("pos"), F.split("__text", "\n").alias("all"))
+    masked = each.select("__d", "__k", "pos", F.array_join(words_of(F.element_at("all", F.col("pos") + 1)), " ").alias("masked"))
+    return masked.withColumn("line", F.xxhash64("masked"))
 
 
 def templates(found: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
-    """(leaf, line, template) of every different candidate line that has enough fixed words."""
-    support = found.select("leaf", "line", "row").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    different = found.select("leaf", "line", "words").dropDuplicates(["leaf", "line"]).join(support, ["leaf", "line"])
-    fields = different.select("leaf", "line", "docs", F.posexplode("words").alias("place", "word")).withColumn("field", F.xxhash64("leaf", "place", "word"))
+    """(line, template) of every different candidate line that has enough fixed words."""
+    different = found.select("__d", "__k", "line").distinct().groupBy("line").agg(F.count("*").alias("docs"))
+    spelled = found.groupBy("line").agg(F.min("masked").alias("masked")).join(different, "line")
+    worded = spelled.select("line", "docs", F.split("masked", " ").alias("words")).withColumn("leaf", _leaf(F.col("words")))
+    fields = worded.select("line", "leaf", "docs", F.posexplode("words").alias("place", "word")).select("line", "docs", F.xxhash64("leaf", "place", "word").alias("field"))
     common = fields.groupBy("field").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("field", F.lit(True).alias("fixed"))
-    judged = fields.select("leaf", "line", "place", "field").join(common, "field", "left")
-    lines = judged.groupBy("leaf", "line").agg(
-        F.count("*").alias("n"), F.count("fixed").alias("n_fixed"), F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("field")))).alias("fields")
-    )
-    return lines.where(F.col("n_fixed") >= F.col("n") * fixed_share).select("leaf", "line", F.xxhash64("leaf", "fields").alias("template"))
+    judged = fields.select("line", "field").join(common, "field", "left")
+    # a field's hash holds leaf and place, so the sorted fixed fields are the template
+    lines = judged.groupBy("line").agg(F.count("*").alias("n"), F.count("fixed").alias("n_fixed"), F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("field")))).alias("fields"))
+    return lines.where(F.col("n_fixed") >= F.col("n") * fixed_share).select("line", F.xxhash64("fields").alias("template"))
 
 
 def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
-    """(row, places) of the lines to drop."""
-    found = cut(candidates(docs, doc, text, min_docs))
+    """(__d, __k, __places) of the lines to drop."""
+    found = stored(candidates(docs, doc, text, min_docs))
     lines = cut(templates(found, min_docs, fixed_share))
-    parsed = found.select("row", "pos", "leaf", "line").join(lines, ["leaf", "line"]).select("template", "row", "pos")
-    shared = parsed.select("template", "row").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("row").alias("first"))
+    parsed = found.select("__d", "__k", "pos", "line").join(lines, "line").select("template", "__d", "__k", "pos")
+    shared = parsed.select("template", "__d", "__k").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("__d", "__k")).alias("first"))
     recurring = shared.where(F.col("docs") >= min_docs)
-    return _positions(parsed.join(recurring, "template").where("row <> first"))
+    return _positions(parsed.join(recurring, "template").where(F.struct("__d", "__k") != F.col("first")))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
@@ -88,17 +93,16 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_do
     empty, one that loses none stays as it is to the byte. Documents are told
     apart by id and text: repeats of one row count as one document, rows that
     share an id (or have none) but differ in text as several; the first is that
-    with the smallest id, nulls first (of one id, any fixed one). Lines of fewer than MIN_WORDS words are
-    never dropped. An input column n_dropped is replaced; others stay.
+    with the smallest id, nulls first (of one id, any fixed one). Lines of fewer
+    than MIN_WORDS words are never dropped. An input column n_dropped is
+    replaced; others stay.
     """
-    kept = without(docs, "n_dropped", "__row", "__places", "__r")
-    gone = dropped(docs, doc, text, min_docs, fixed_share).select(F.col("row").alias("__r"), F.col("places").alias("__places")).hint("shuffle_hash")
-    keyed = kept.withColumn("__row", _row_key(doc, text))
-    joined = keyed.join(gone, F.col("__row").eqNullSafe(F.col("__r")), "left")
-    all_lines = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
+    kept = without(docs, "n_dropped")
+    joined = _to_rows(_keyed(kept, doc, text), dropped(docs, doc, text, min_docs, fixed_share), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
     cleaned = F.when(F.col("__places").isNull(), F.col(text)).otherwise(left)
-    return joined.withColumn(text, cleaned).withColumn("n_dropped", F.coalesce(F.size("__places"), F.lit(0)).cast("long")).select(*kept.columns, "n_dropped")
+    count = F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_dropped")
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns], count)
 
 
 #: The same in DuckDB, over view documents; lines, words and templates stay spelled out.
