@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_valid(vector: Column, dimension: int) -> Column:
@@ -25,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same as ``cosine`` over Arrow batches."""
     if not len(a):
@@ -34,7 +35,7 @@ def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fingerprint(vector: pd.Series) -> pd.Series:
     """SHA-256 of the big-endian float32 bits; -0.0 differs from 0.0."""
     return vector.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, ">f4").tobytes()).hexdigest())

@@ -125,3 +125,22 @@ def residue(tables: dict[str, DataFrame], scopes: DataFrame) -> DataFrame:
     names = F.explode(F.array(*[F.lit(n) for n in tables])).alias("table_name")
     wanted = scopes.select(*SCOPE, names)
     return wanted.join(counts, [*SCOPE, "table_name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def candidate_batches(requests: DataFrame, good: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Batches (scope, batch_id, expected_revision, id): accepted if every member is good and the scope's revision is the expected one."""
+    members = requests.join(good.select(*SCOPE, "id", F.lit(True).alias("ok")), [*SCOPE, "id"], "left").join(revisions, SCOPE, "left")
+    fenced = F.coalesce("context_revision", F.lit(0)) == F.col("expected_revision")
+    checked = members.groupBy(*SCOPE, "batch_id").agg(F.count("*").alias("n"), F.count("ok").alias("n_ok"), F.bool_and(fenced).alias("fenced"))
+    return checked.withColumn("verdict", F.when(~F.col("fenced"), "stale_revision").when(F.col("n") > F.col("n_ok"), "invalid").otherwise("accepted")).drop("fenced")
+
+
+def multi_key_lookup(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the wanted (scope, id) keys."""
+    return rows.join(keys.select(*SCOPE, "id").distinct(), [*SCOPE, "id"], "left_semi")
+
+
+def as_of(versions: DataFrame, at: Column) -> DataFrame:
+    """The card versions that were active at a time, whatever came later; erasures aside."""
+    active = (F.col("card_created_us") <= at) & (F.col("superseded_us").isNull() | (F.col("superseded_us") > at))
+    return versions.where(active & (F.col("expires_us").isNull() | (F.col("expires_us") > at)))

@@ -155,3 +155,20 @@ def embedding_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     joined = new.join(o, key, "left")
     change = F.when(F.col("known").isNull(), "insert").when(~F.col("old_sha").eqNullSafe(F.col("content_sha256")), "conflict").otherwise("unchanged")
     return joined.select(*key, change.alias("change"), (change == "insert").alias("bumps_revision"))
+
+
+def registry_conflicts(registered: DataFrame, requested: DataFrame, columns: list[str]) -> DataFrame:
+    """The verdict on each requested space: inserted, known, or conflict where an immutable column drifts or serving is asked for."""
+    old = registered.select("embedding_space", F.struct(*columns).alias("old"))
+    rows = requested.withColumn("new", F.struct(*columns)).join(old, "embedding_space", "left")
+    verdict = F.when(F.col("state") == "serving", "conflict").when(F.col("old").isNull(), "inserted").when(F.col("old") != F.col("new"), "conflict").otherwise("known")
+    return rows.select("embedding_space", verdict.alias("verdict"), (verdict == "inserted").alias("bumps_generation"))
+
+
+def promotion_verdicts(receipts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests by operation id: a stored one of the same shape returns its receipt, of another shape is a conflict, none goes on."""
+    shape = ["from_space", "to_space", "allow_empty"]
+    old = receipts.select("operation_id", F.struct(*shape).alias("old"), "generation")
+    rows = requests.withColumn("new", F.struct(*shape)).join(old, "operation_id", "left")
+    verdict = F.when(F.col("old").isNull(), "promote").when(F.col("old") == F.col("new"), "replay").otherwise("conflict")
+    return rows.select("operation_id", verdict.alias("verdict"), F.when(verdict == "replay", F.col("generation")).alias("generation"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallframe.operators import context, evaluation, lifecycle, projection, retrieval, validation
 from recallframe.operators.lifecycle import SCOPE
-from recallframe.sources.fixtures import AS_OF_US, SPACE, frames, oracle
+from recallframe.sources.fixtures import AS_OF_US, BASE_US, SPACE, frames, oracle
 from recallframe.session import table
 
 LIMIT = 5
@@ -571,3 +571,81 @@ def grounding_check(spark, d):
     queries, evidence = frames(spark, d, "queries", "evidence")
     supports = queries.join(evidence.select(*SCOPE, F.col("id").alias("evidence_id")), SCOPE).select("query_id", *SCOPE, "evidence_id", F.col("text").alias("quote"))
     return validation.grounding(supports, evidence)
+
+
+# --- fences, receipts, replays
+
+
+@query("""SELECT t.embedding_space, CASE WHEN t.embedding_space = 'space_v1_demo' THEN 'conflict' WHEN n = 2 AND t.embedding_space <> 'space_v1_next' THEN 'conflict' WHEN n = 3 THEN 'inserted' ELSE 'known' END AS verdict, n = 3 AS bumps_generation
+  FROM (SELECT embedding_space, 1 AS n FROM targets UNION ALL SELECT embedding_space, 2 FROM targets UNION ALL SELECT embedding_space || '-' || CAST((SELECT count(*) FROM jobs) AS VARCHAR), 3 FROM targets WHERE state <> 'serving') t""")
+def space_registry_conflicts(spark, d):
+    targets, jobs = frames(spark, d, "targets", "jobs")
+    drifted = targets.withColumn("model", F.when(F.col("embedding_space") == "space_v1_next", F.col("model")).otherwise("drifted"))
+    n = jobs.agg(F.count("*").cast("string").alias("n"))
+    new = targets.where("state <> 'serving'").crossJoin(n).withColumn("embedding_space", F.concat_ws("-", "embedding_space", "n")).drop("n")
+    return projection.registry_conflicts(targets, targets.unionByName(drifted).unionByName(new), ["model"])
+
+
+@query("""SELECT operation_id, CASE WHEN vec_id % 3 = 0 THEN 'promote' WHEN vec_id % 3 = 1 THEN 'replay' ELSE 'conflict' END AS verdict, CASE WHEN vec_id % 3 = 1 THEN vec_id END AS generation
+  FROM (SELECT 'op-' || CAST(vec_id AS VARCHAR) AS operation_id, vec_id FROM embeddings)""")
+def promotion_receipt(spark, d):
+    ids = table(spark, d, "embeddings").select(F.concat(F.lit("op-"), "vec_id").alias("operation_id"), "vec_id")
+    shape = [F.lit("a").alias("from_space"), F.lit("b").alias("to_space")]
+    receipts = ids.where("vec_id % 3 <> 0").select("operation_id", F.col("vec_id").alias("generation"), *shape, F.lit(False).alias("allow_empty"))
+    requests = ids.select("operation_id", *shape, (F.col("vec_id") % 3 == 2).alias("allow_empty"))
+    return projection.promotion_verdicts(receipts, requests)
+
+
+@query("""SELECT c.tenant_id, c.user_id, c.kind AS batch_id, count(*) AS n, count(g.id) AS n_ok, CASE WHEN any_value(r.rev) <> 0 THEN 'stale_revision' WHEN count(*) > count(g.id) THEN 'invalid' ELSE 'accepted' END AS verdict
+  FROM candidates c LEFT JOIN (SELECT c.tenant_id, c.user_id, c.id FROM candidates c JOIN (SELECT b.tenant_id, b.user_id, b.candidate_id FROM bad_links b LEFT JOIN evidence e ON e.tenant_id = b.tenant_id AND e.user_id = b.user_id AND e.id = b.evidence_id
+    GROUP BY ALL HAVING count(*) = count(DISTINCT b.evidence_id) AND count(*) = count(e.id)) k ON k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.id) g ON g.tenant_id = c.tenant_id AND g.user_id = c.user_id AND g.id = c.id
+  JOIN (SELECT s.*, (SELECT count(*) FROM reviews r WHERE r.decision = 'approve' AND r.tenant_id = s.tenant_id AND r.user_id = s.user_id) + (SELECT count(*) FROM erasures e WHERE e.tenant_id = s.tenant_id AND e.user_id = s.user_id) AS rev FROM scopes s) r
+    ON r.tenant_id = c.tenant_id AND r.user_id = c.user_id GROUP BY c.tenant_id, c.user_id, c.kind""")
+def candidate_batch(spark, d):
+    candidates, links, evidence = frames(spark, d, "candidates", "bad_links", "evidence")
+    requests = candidates.select(*SCOPE, F.col("kind").alias("batch_id"), F.lit(0).alias("expected_revision"), "id")
+    return lifecycle.candidate_batches(requests, lifecycle.create_candidates(candidates, links, evidence), context_revision(spark, d))
+
+
+@query("SELECT e.tenant_id, e.user_id, e.id, e.content FROM evidence e WHERE EXISTS (SELECT 1 FROM links k WHERE k.source_order = 0 AND k.tenant_id = e.tenant_id AND k.user_id = e.user_id AND k.evidence_id = e.id)")
+def multi_key_lookup(spark, d):
+    links, evidence = frames(spark, d, "links", "evidence")
+    keys = links.where("source_order = 0").select(*SCOPE, F.col("evidence_id").alias("id"))
+    return lifecycle.multi_key_lookup(keys, evidence).select(*SCOPE, "id", "content")
+
+
+#: Times that the replay is asked about.
+ASKED_US = [BASE_US + 40_000_000_000_000 + i for i in (-1, 0, 2, 4, 1_000_000)]
+
+
+@query(f"""SELECT asked_us, count(*) AS n_active, CAST(sum(version) AS BIGINT) AS versions FROM card_versions_timed, (SELECT unnest({ASKED_US}) AS asked_us)
+  WHERE card_created_us <= asked_us AND (superseded_us IS NULL OR superseded_us > asked_us) AND (expires_us IS NULL OR expires_us > asked_us) GROUP BY asked_us""")
+def timeline_replay(spark, d):
+    asked = versions(spark, d).withColumn("asked_us", F.explode(F.array(*[F.lit(t) for t in ASKED_US])))
+    active = lifecycle.as_of(asked, F.col("asked_us"))
+    return active.groupBy("asked_us").agg(F.count("*").alias("n_active"), F.sum("version").alias("versions"))
+
+
+@query("SELECT query_id, sha256(CAST(recall AS DECIMAL(12, 9))::VARCHAR || '|' || CAST(mrr AS DECIMAL(12, 9))::VARCHAR || '|' || CAST(ndcg AS DECIMAL(12, 9))::VARCHAR || '|' || passed::VARCHAR) AS result_sha256 FROM quality")
+def eval_result_hash(spark, d):
+    fixed = [F.col(c).cast("decimal(12,9)").cast("string") for c in ("recall", "mrr", "ndcg")]
+    return eval_quality(spark, d).select("query_id", F.sha2(F.concat_ws("|", *fixed, F.col("passed").cast("string")), 256).alias("result_sha256"))
+
+
+@query("SELECT id, 'llm' AS extractor, source_n FROM (SELECT c.id, count(k.evidence_id) AS source_n FROM candidates c LEFT JOIN links k ON k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.id GROUP BY c.id)")
+def extraction_candidates(spark, d):
+    rows = lifecycle.candidates_with_sources(*frames(spark, d, "candidates", "links"))
+    stamp = F.create_map(F.lit("extractor"), F.lit("llm"), F.lit("sources"), F.size("source_event_ids").cast("string"))
+    return rows.select("id", stamp.alias("m")).select("id", F.col("m")["extractor"].alias("extractor"), F.col("m")["sources"].cast("long").alias("source_n"))
+
+
+
+@query()
+def job_log_replay(spark, d):
+    """The job machine over the events table: users are jobs, event types its verbs."""
+    from recallframe.streaming.ingest import replay_jobs
+
+    verbs = F.create_map(*[F.lit(x) for x in ("view", "enqueue", "signup", "enqueue", "click", "claim", "error", "retry", "purchase", "finish")])
+    owner = F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string"))
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), verbs[F.col("event_type")].alias("event"), owner.alias("owner"), (F.col("event_id") * 1_000_000).alias("at_us"))
+    return replay_jobs(log)
