@@ -29,6 +29,8 @@ from recallframe.session import without
 
 PIECE_WORDS = 24
 ROOT_BYTES, LEAF_DIGITS = 16, 8
+#: Key ranges for each partition of the input.
+RANGES = 2
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
 PIECE = re.compile(rf"(?:\s*\S+){{1,{PIECE_WORDS}}}\s*|\s+")
 SECTION = re.compile(r"\n(?:[ \t\r]*\n)+")
@@ -39,7 +41,7 @@ def _leaf(text: str) -> str:
 
 
 def _leaves(paragraph: str) -> list[str]:
-    return [_leaf(p) for s in SENTENCE.findall(paragraph) for p in PIECE.findall(s)]
+    return [_leaf(p) for s in SENTENCE.findall(paragraph) for p in ([s] if len(s.split()) <= PIECE_WORDS else PIECE.findall(s))]
 
 
 def _node(children: list[str], tag: bytes, size: int) -> bytes:
@@ -133,15 +135,17 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Columns range, tail, key and text; ``tail`` marks the copy of the next
     range's first row. Texts move once. The ranges' first keys come from a
-    separate sort of the narrow keys; their number is that of the shuffle
-    partitions, and the driver holds only these. Null keys sort first. Rows that
+    separate sort of the narrow keys; there are ``RANGES`` for each partition of
+    the input, so they grow with it, and the driver holds only these. Null keys sort first. Rows that
     share a key lie in one range, in order of text; they stream through, so
     their number costs time there but no memory.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     least = F.lit(-(1 << 63)).cast("long")
     keys = rows.select(F.coalesce("key", least).alias("k"))
-    firsts = keys.repartitionByRange("k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).select("k").distinct()
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES * df.select(key).rdd.getNumPartitions())
+    # an explicit number, as small keys would be coalesced and texts aren't small
+    firsts = keys.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).select("k").distinct()
     bounds = np.array(sorted(r["k"] for r in firsts.collect()), np.int64)
 
     @F.pandas_udf("array<int>")
