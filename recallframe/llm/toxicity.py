@@ -33,8 +33,9 @@ from recallframe.session import without
 DIMENSIONS, PREFIXES = 1 << 18, (4, 5, 6)
 #: Bound of the training sample: documents of each label and characters of one document.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
-#: A feature marks tokens if this many toxic sample documents, and a share of PURE of all that have it, are toxic.
-SUPPORT, PURE = 6, 0.98
+#: A feature marks tokens if a share of PURE of the sample's documents that have it are toxic, and so many that chance
+#: would do it with probability CHANCE (a quarter of the toxic ones at most, LEAST at least).
+CHANCE, LEAST, PURE = 1e-8, 3, 0.98
 #: Words of a block that is tagged at once, and words a worker remembers.
 BLOCK, WORDS_KEPT = 1 << 20, 500_000
 WORD = re.compile(r"\S+")
@@ -200,7 +201,7 @@ def fit_documents(docs: list[tuple[str, int]]) -> Model:
     counts = (Counter(), Counter())
     for text, label in docs:
         counts[label].update({f for w in set(text.split()) for f in known[w]})
-    least = min(SUPPORT, max(2, n_toxic // 10))
+    least = min(int(np.ceil(np.log(CHANCE) / np.log(n_toxic / len(docs)))), max(LEAST, n_toxic // 4))
     marks = {f for f, n in counts[1].items() if n >= least and n >= PURE * (n + counts[0][f])}
     marked = Memo(lambda w: int(any(f in marks for f in known[w])), 1 << 20)
     lines, tags = [], []
