@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallframe.llm.text import WORD_GAP
-from recallframe.session import cut, stored, without
+from recallframe.session import stored, without
 
 #: Leading words of the tree, least words of a line, least documents of a template, least share of fixed words.
 DEPTH, MIN_WORDS, MIN_DOCS, FIXED_SHARE = 4, 3, 3, 0.8
@@ -56,7 +56,8 @@ def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS) -
     lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).withColumn("words", words_of(F.col("line")))
     leaves = stored(lines.where(F.size("words") >= MIN_WORDS).select("__d", "__k", "pos", _leaf(F.col("words")).alias("leaf")))
     again = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("__k").alias("least"), F.max("__k").alias("most"))
-    again = again.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
+    # read back, it has no partitioning of its own, and Spark can split the join where a leaf holds many lines
+    again = stored(again.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf"))
     found = _to_rows(rows, _positions(leaves.join(again, "leaf")), "inner")
     each = found.select("__d", "__k", F.explode("__places").alias("pos"), F.split("__text", "\n").alias("all"))
     masked = each.select("__d", "__k", "pos", F.array_join(words_of(F.element_at("all", F.col("pos") + 1)), " ").alias("masked"))
@@ -79,10 +80,10 @@ def templates(found: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = F
 def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
     """(__d, __k, __places) of the lines to drop."""
     found = stored(candidates(docs, doc, text, min_docs))
-    lines = cut(templates(found, min_docs, fixed_share))
+    lines = stored(templates(found, min_docs, fixed_share))
     parsed = found.select("__d", "__k", "pos", "line").join(lines, "line").select("template", "__d", "__k", "pos")
     shared = parsed.select("template", "__d", "__k").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("__d", "__k")).alias("first"))
-    recurring = shared.where(F.col("docs") >= min_docs)
+    recurring = stored(shared.where(F.col("docs") >= min_docs).select("template", "first"))
     return _positions(parsed.join(recurring, "template").where(F.struct("__d", "__k") != F.col("first")))
 
 
