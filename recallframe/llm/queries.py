@@ -123,4 +123,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_merkle": op10_merkle,
 }
-ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op2_shard": shard.oracle(16, 1), "op3_lines": lines.ORACLE}

@@ -106,3 +106,31 @@ def assign(df: DataFrame, order: list[str], n_shards: int, seed: int = 1) -> Dat
         .withColumn("slot", F.floor(F.col("__p") / n_shards).cast("long"))
         .drop("__row", "__p")
     )
+
+
+def oracle(n_shards: int, seed: int) -> str:
+    """The same places of table documents in DuckDB SQL, CRC-32 and cycle walking included."""
+    mix = lambda x, key: (
+        f"(WITH a AS (SELECT (({x} + {key}) * {STEP} + {ADD}) % {PRIME} AS v), b AS (SELECT (xor(v, v >> 15) * {STEP} + {key}) % {PRIME} AS v FROM a) SELECT xor(v, v >> 13) & mask FROM b)"
+    )
+    step = "SELECT r, p >> half AS l0, p & mask AS r0, half, mask, n FROM {0}"
+    for i, key in enumerate(round_keys(seed)):
+        step = f"SELECT r, r{i} AS l{i + 1}, xor(l{i}, {mix(f'r{i}', key)}) AS r{i + 1}, half, mask, n FROM ({step})"
+    step = f"SELECT r, (l{ROUNDS} << half) | r{ROUNDS} AS p, half, mask, n FROM ({step})"
+    crc = "xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc} AS text_crc32 FROM documents, crc_table
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS r FROM sized
+), width AS (
+  SELECT n, half, (1::BIGINT << half) - 1 AS mask FROM (SELECT count(*) AS n, (SELECT min(h) FROM range(1, 31) x(h) WHERE pow(4, h) >= (SELECT count(*) FROM documents)) AS half FROM documents)
+), walk AS (
+  {step.format("(SELECT r, r AS p, half, mask, n FROM numbered, width)")}
+  UNION ALL
+  {step.format("(SELECT * FROM walk WHERE p >= n)")}
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(p % {n_shards} AS INT) AS shard, CAST(p // {n_shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN walk USING (r) WHERE p < n"""

@@ -121,3 +121,14 @@ def test_links_with_small_and_large_buckets(spark):
     odd = spark.createDataFrame([(1, None), (1, None), (None, 3), (4, 3), (9, 3)], "doc_id long, fp long")
     assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(odd).collect()) == [("1", 1), ("1", 1), ("4", 4), ("9", 4), ("None", 4)]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_op2_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(queries.ORACLES["op2_shard"])
+    columns = [c[0] for c in want.description]
+    got = queries.op2_shard(spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
