@@ -47,12 +47,15 @@ def review_status(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def _epochs(events: DataFrame, erasures: DataFrame) -> DataFrame:
-    """Events with the number of erasures of their scope before them, from one running count."""
-    marks = erasures.select(*SCOPE, "commit_seq", F.lit(1).alias("__e"), F.lit(None).alias("__row"))
-    rows = events.withColumn("__row", F.struct(*events.columns)).select(*SCOPE, "commit_seq", F.lit(0).alias("__e"), "__row")
-    both = marks.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)).unionByName(rows)
-    running = Window.partitionBy(*SCOPE).orderBy("commit_seq", F.desc("__e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("erasure_epoch", F.sum("__e").over(running)).where("__e = 0").select("__row.*", "erasure_epoch")
+    """Events with erasure_epoch, the erasures of their scope up to them, and erasure_count, all of these.
+
+    A scope's erasures become one short array, so a scope that holds many events
+    isn't gathered in one task.
+    """
+    marks = erasures.groupBy(*SCOPE).agg(F.collect_list("commit_seq").alias("__marks"))
+    joined = events.join(marks, SCOPE, "left").withColumn("__marks", F.coalesce("__marks", F.array().cast("array<long>")))
+    before = F.size(F.filter("__marks", lambda s: s <= F.col("commit_seq"))).cast("long")
+    return joined.withColumn("erasure_epoch", before).withColumn("erasure_count", F.size("__marks").cast("long")).drop("__marks")
 
 
 def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame) -> DataFrame:
@@ -67,8 +70,7 @@ def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame
     cards = candidates.join(approved, [*SCOPE, "id"]).withColumn(
         "identity_key", identity_key(*[F.col(c) for c in ("kind", "category", "memory_key", "person", "relationship")])
     )
-    counts = erasures.groupBy(*SCOPE).agg(F.count("*").alias("__erasures"))
-    placed = _epochs(cards, erasures).join(counts, SCOPE, "left")
+    placed = _epochs(cards, erasures)
     chain = Window.partitionBy(*SCOPE, "erasure_epoch", "identity_key").orderBy("commit_seq")
     base = F.greatest("reviewed_us", "created_us")
     versioned = placed.withColumn("version", F.row_number().over(chain))
@@ -76,7 +78,7 @@ def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame
     timed = versioned.withColumn("card_created_us", F.col("version") + F.max(base - F.col("version")).over(upto))
     done = timed.withColumn("superseded_us", F.lead("card_created_us").over(chain))
     return done.withColumn("status", F.when(F.col("superseded_us").isNull(), "active").otherwise("superseded")).withColumn(
-        "erased", F.col("erasure_epoch") < F.coalesce("__erasures", F.lit(0))
+        "erased", F.col("erasure_epoch") < F.col("erasure_count")
     )
 
 
