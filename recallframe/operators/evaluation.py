@@ -100,3 +100,24 @@ def bootstrap(per_query: DataFrame, resamples: int = RESAMPLES, seed: int = SEED
         return pd.DataFrame(out, columns=["arm", "metric", "estimate", "lower", "upper", "boundary_degenerate"])
 
     return per_query.groupBy("arm").applyInPandas(work, "arm string, metric string, estimate double, lower double, upper double, boundary_degenerate boolean")
+
+
+def source_policy(packs: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per query what is wrong with the sources of its items (query_id, scope, id, candidate_id, sources: array of id and content).
+
+    Counts sources that don't exist, are of another scope or differ in content,
+    and items with another number of sources than expected, or another order.
+    """
+    wanted = links.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("source_order", "evidence_id")))["evidence_id"].alias("wanted"))
+    lists = packs.join(wanted, "candidate_id", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
+    short = F.size("sources") != F.size("wanted")
+    by_item = lists.groupBy("query_id").agg(F.count_if(short).alias("missing_sources"), F.count_if(~short & (F.col("sources.id") != F.col("wanted"))).alias("reordered_sources"))
+    known = evidence.select(F.col("tenant_id").alias("t"), F.col("user_id").alias("u"), F.col("id").alias("source_id"), F.col("content").alias("expected"))
+    each = packs.select("query_id", "tenant_id", "user_id", F.explode("sources").alias("s")).select("query_id", "tenant_id", "user_id", F.col("s.id").alias("source_id"), F.col("s.content").alias("content"))
+    by_source = each.join(known, "source_id", "left").groupBy("query_id").agg(
+        F.count_if(F.col("t").isNull()).alias("unknown_source_ids"),
+        F.count_if((F.col("t") != F.col("tenant_id")) | (F.col("u") != F.col("user_id"))).alias("source_scope_violations"),
+        F.count_if(F.col("expected") != F.col("content")).alias("evidence_payload_violations"),
+    )
+    names = ["missing_sources", "reordered_sources", "unknown_source_ids", "source_scope_violations", "evidence_payload_violations"]
+    return by_item.join(by_source, "query_id", "left").select("query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])

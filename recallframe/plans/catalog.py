@@ -649,3 +649,24 @@ def job_log_replay(spark, d):
     owner = F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string"))
     log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), verbs[F.col("event_type")].alias("event"), owner.alias("owner"), (F.col("event_id") * 1_000_000).alias("at_us"))
     return replay_jobs(log)
+
+
+@query("""SELECT query_id, count(*) FILTER (WHERE fault = 0) AS missing_sources, count(*) FILTER (WHERE fault IN (1, 2)) AS reordered_sources, count(*) FILTER (WHERE fault = 2) AS unknown_source_ids, 0 AS source_scope_violations, count(*) FILTER (WHERE fault = 3) AS evidence_payload_violations
+  FROM (SELECT h.query_id, CAST(substr(h.id, 2) AS BIGINT) % 5 AS fault_of, n, CASE WHEN CAST(substr(h.id, 2) AS BIGINT) % 5 = 1 AND n < 2 THEN 4 ELSE CAST(substr(h.id, 2) AS BIGINT) % 5 END AS fault
+    FROM (SELECT * FROM bm25_deep WHERE rank <= 5) h JOIN cards c USING (id) JOIN (SELECT k.candidate_id, count(*) AS n FROM links k GROUP BY ALL) s ON s.candidate_id = c.candidate_id) GROUP BY query_id""")
+def eval_source_policy(spark, d):
+    """Context items whose sources were tampered with, by the card's number: cut, turned round, replaced, rewritten, or left alone."""
+    queries, links, evidence = frames(spark, d, "queries", "links", "evidence")
+    c = cards(spark, d)
+    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), c, links, evidence)
+    rows = items.join(queries.select("query_id", *SCOPE), "query_id").join(c.select("id", "candidate_id"), "id")
+    plain = F.transform("sources", lambda s: F.struct(s["evidence_id"].alias("id"), s["content"].alias("content")))
+    number = F.substring("id", 2, 40).cast("long") % 5
+    last = F.element_at("plain", -1)
+    but_last = F.slice("plain", 1, F.size("plain") - 1)
+    tampered = (
+        F.when(number == 0, but_last).when(number == 1, F.reverse("plain"))
+        .when(number == 2, F.concat(but_last, F.array(F.struct(F.lit("nowhere").alias("id"), last["content"].alias("content")))))
+        .when(number == 3, F.concat(but_last, F.array(F.struct(last["id"].alias("id"), F.concat(last["content"], F.lit("!")).alias("content"))))).otherwise(F.col("plain"))
+    )
+    return evaluation.source_policy(rows.withColumn("plain", plain).select("query_id", *SCOPE, "id", "candidate_id", tampered.alias("sources")), links, evidence)

@@ -235,3 +235,11 @@ def test_streams(spark, tmp_path):
     assert {(r.job_id, r.state, r.attempts, r.owner) for r in spark.table("jobs_out").collect()} == want
     batch = ingest.replay_jobs(spark.createDataFrame(events, schema)).collect()
     assert {(r.job_id, r.state, r.attempts, r.owner) for r in batch} == want
+
+
+def test_error_codes(spark):
+    from recallframe.functions.errors import provider_error_code, status_of
+
+    got = [column(spark, s, provider_error_code, "int") for s in (None, 408, 429, 503, 404, 302)]
+    assert got == ["transport", "timeout", "rate_limited", "unavailable", "rejected", "invalid_response"]
+    assert [status_of(e) for e in (Conflict(), datasets.DatasetError(), ports.Unavailable(), TimeoutError())] == [409, 500, 503, 504]
