@@ -28,12 +28,13 @@ def ranked(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def card_terms(cards: DataFrame) -> DataFrame:
-    """(scope, id, token, tf, len) of cards."""
+def card_terms(cards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scope, id, token, tf, len) of the cards' tokens that are ``wanted`` (scope, token) somewhere; the others never leave their task's join."""
     weighted = F.flatten(F.array(*[F.array_repeat(X.tokens(F.col(c)), w) for c, w in BM25_FIELDS.items()]))
     counted = cards.select(*SCOPE, "id", "created_us", F.flatten(weighted).alias("all"))
     terms = counted.select(*SCOPE, "id", "created_us", F.size("all").alias("len"), F.explode("all").alias("token"))
-    return terms.groupBy(*SCOPE, "id", "created_us", "len", "token").agg(F.count("*").alias("tf"))
+    asked = terms.join(wanted, [*SCOPE, "token"], "left_semi")
+    return asked.groupBy(*SCOPE, "id", "created_us", "len", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(cards: DataFrame) -> DataFrame:
@@ -47,9 +48,9 @@ def bm25(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -> Dat
     if limit <= 0:
         return queries.sparkSession.createDataFrame([], "query_id long, id string, score double, created_us long, rank int")
     live = cards.where(serviceable(F.lit(as_of_us)))
-    terms = card_terms(live)
-    frequency = terms.groupBy(*SCOPE, "token").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", *SCOPE, F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("query_id", *SCOPE, "token").agg(F.count("*").alias("qtf"))
+    terms = card_terms(live, asked.select(*SCOPE, "token").distinct())
+    frequency = terms.groupBy(*SCOPE, "token").agg(F.count("*").alias("df"))
     scored = asked.join(frequency, [*SCOPE, "token"]).join(terms, [*SCOPE, "token"]).join(corpus_stats(live), SCOPE)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
