@@ -178,9 +178,9 @@ def mix(rows: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
 def mixed(df: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` as often as ``copies`` (key, copies) says; keys without a row there go.
 
-    Rows that share a key share its copies: ``copies`` is averaged per key, rounded.
+    Rows that share a key, or have none, share its copies: ``copies`` is averaged per key, rounded.
     """
-    times = copies.groupBy(key).agg(F.round(F.avg("copies")).cast("long").alias("__copies"))
+    times = copies.groupBy(F.col(key).alias("__key")).agg(F.round(F.avg("copies")).cast("long").alias("__copies"))
     wanted = times.where("__copies > 0").hint("shuffle_hash")
-    joined = without(df, "__copies").join(wanted, F.expr(f"`{key}`") if False else key)
+    joined = without(df, "__copies", "__key").join(wanted, F.col(key).eqNullSafe(F.col("__key")))
     return _repeated(joined, "__copies").select(*df.columns)

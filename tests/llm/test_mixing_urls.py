@@ -74,9 +74,9 @@ def test_solved_rates_meet_the_dual(spark):
 
 
 def test_mixed_rows(spark):
-    docs = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 9)], "doc_id long, text string, copies int")
-    copies = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, copies long")
-    assert sorted(r.doc_id for r in mixing.mixed(docs, copies).collect()) == [1, 1, 3]
+    docs = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 9), (None, "d", 9)], "doc_id long, text string, copies int")
+    copies = spark.createDataFrame([(1, 2), (2, 0), (3, 1), (None, 1)], "doc_id long, copies long")
+    assert sorted(r.text for r in mixing.mixed(docs, copies).collect()) == ["a", "a", "c", "d"]
 
 
 def brute_url(url):
