@@ -3,15 +3,21 @@
 Two texts of Jaccard similarity 0.8 on shingles differ in a seventh of their
 fingerprint's bits, far more than a ball of radius 2 holds. So fingerprints are
 of ``BITS`` bits in ``BITS / SEGMENT`` segments, each with a table of its own.
-The ball that is enumerated around a segment is small and goes where differences
-are: all flips of the ``FLIPS`` bits whose votes were closest. A table entry
-answers with its smallest and its largest fingerprint only, which ties even a
-group of any size together with two rows per member; answers are verified on
-the complete distance, and components are the groups.
-
-At a similarity of 0.8 about nine of ten pairs share an entry, nearly all at
-0.9. Entries are ``SEGMENT`` bits; at more than some tens of millions of different
-texts the width should grow with the logarithm of their number.
+The ball that is enumerated around a segment is small and goes where
+differences are: all flips of the ``FLIPS`` bits whose votes were closest. Pairs
+come from the table entries in two rounds, and none that shares an entry is left
+out:
+
+* Each entry answers with its smallest and its largest fingerprint, two rows per
+  member. That is all of an entry of one or two fingerprints, and ties a group of
+  any size together.
+* In the other entries all pairs follow whose members aren't connected by then.
+  Pairs of one component can't change the groups, so a large group costs nothing
+  here; fingerprints that share an entry and are unlike cost a comparison a pair.
+
+So recall depends neither on the number of texts nor on how hot an entry is.
+Entries hold about one in 2^24 of the different texts each, and the comparisons
+of a text grow with that. The width stays, as wider segments would lose pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallframe.llm.components import components
-from recallframe.session import cut, without
+from recallframe.session import cut, stored, without
 
 BITS, SEGMENT, FLIPS = 384, 24, 3
 WORDS, SEGMENTS = BITS // 64, BITS // SEGMENT
@@ -106,17 +112,51 @@ def _probes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(own.ravel())], ["key", "fid", "own"])
 
 
+def _words(prints: DataFrame) -> DataFrame:
+    """Each fid's fingerprint as ``w``, an array of longs."""
+    return prints.select("fid", F.array(*[F.conv(F.hex(F.substring("wide", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(WORDS)]).alias("w"))
+
+
+def _close(pairs: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v) of rows (u, v, l, r) whose fingerprints l and r differ in ``distance`` bits at most, each once."""
+    apart = sum((F.bit_count(F.col("l")[i].bitwiseXOR(F.col("r")[i])) for i in range(WORDS)), F.lit(0))
+    return pairs.where(apart <= distance).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _stars(entries: DataFrame, probes: DataFrame, words: DataFrame, distance: int) -> DataFrame:
+    """Close pairs of each entry's members with its smallest and its largest fingerprint."""
+    answers = entries.select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    pairs = probes.select("key", F.col("fid").alias("u")).join(answers, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return _close(pairs.join(words.toDF("u", "l"), "u").join(words.toDF("v", "r"), "v"), distance)
+
+
+def _rest(entries: DataFrame, probes: DataFrame, words: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
+    """Close pairs of the entries of three fingerprints or more, of members that ``labels`` (node, label) doesn't connect.
+
+    The entries' components are paired first and then their members, so that
+    members of one component never meet.
+    """
+    large = stored(entries.where("n > 2").select("key"))
+    found = stored(probes.join(large, "key", "left_semi"))
+    named = found.join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
+    members = stored(named.join(words, "fid").select("key", "label", "fid", "w", "own"))
+    sides = members.groupBy("key", "label").agg(F.max("own").alias("own"))
+    meet = sides.select("key", F.col("label").alias("x")).join(sides.where("own").select("key", F.col("label").alias("y")), "key").where("x <> y")
+    left = members.select("key", F.col("label").alias("x"), F.col("fid").alias("u"), F.col("w").alias("l"))
+    right = members.where("own").select("key", F.col("label").alias("y"), F.col("fid").alias("v"), F.col("w").alias("r"))
+    return _close(meet.join(left, ["key", "x"]).join(right, ["key", "y"]), distance)
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each fingerprint once."""
+    """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each fingerprint once.
+
+    They connect all pairs that share an entry and pass.
+    """
     probes = prints.select("fid", "wide", "low").mapInArrow(_probes, "key long, fid long, own boolean")
-    ends = probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"))
-    answers = ends.select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    pairs = probes.select("key", F.col("fid").alias("u")).join(answers, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    words = prints.select("fid", *[F.conv(F.hex(F.substring("wide", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(WORDS)])
-    left = words.select(F.col("fid").alias("u"), *[F.col(f"w{i}").alias(f"l{i}") for i in range(WORDS)])
-    right = words.select(F.col("fid").alias("v"), *[F.col(f"w{i}").alias(f"r{i}") for i in range(WORDS)])
-    apart = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(WORDS)), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").where(apart <= distance).select("u", "v")
+    entries = stored(probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count("*").alias("n")))
+    words = _words(prints)
+    stars = cut(_stars(entries, probes, words, distance))
+    return stars.unionByName(_rest(entries, probes, words, components(stars), distance))
 
 
 def groups(rows: DataFrame, doc: str, text: str, width: int, distance: int = DISTANCE) -> DataFrame:

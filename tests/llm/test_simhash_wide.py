@@ -55,3 +55,24 @@ def test_recall_by_similarity():
         meets = any(set(np.flatnonzero(off[s])) <= set(low[k][s].tolist()) for s in range(S.SEGMENTS) for k in (0, 1))
         caught["0.9" if j >= 0.9 else "0.8" if j >= 0.8 else "less"].append(meets and off.sum() <= S.DISTANCE)
     assert np.mean(caught["0.9"]) >= 0.97 and np.mean(caught["0.8"]) >= 0.8
+
+
+def test_pairs_of_hot_entries_without_an_extreme_are_linked(spark):
+    """Fingerprints that share one segment's value and nothing else, and near copies in their middle."""
+    rng = random.Random(4)
+    prints = []
+    for i in range(1, 121):
+        wide = bytearray(b"hot" + rng.randbytes(S.BITS // 8 - 3))
+        prints.append((i, bytes(wide), bytes(range(S.FLIPS)) * S.SEGMENTS))
+    twins = []
+    for i in range(50, 60):
+        wide = bytearray(prints[i][1])
+        # a bit of every segment but the first, none of them within a ball
+        for s in range(1, S.SEGMENTS):
+            wide[3 * s + 1] ^= 1 << rng.randrange(8)
+        prints.append((1000 - i, bytes(wide), prints[i][2]))
+        twins.append((prints[i][0], 1000 - i))
+    # the extremes of the entry are unlike all others
+    prints += [(-5, b"hot" + rng.randbytes(45), prints[0][2]), (5000, b"hot" + rng.randbytes(45), prints[0][2])]
+    df = spark.createDataFrame([(i, bytearray(w), bytearray(x)) for i, w, x in prints], "fid long, wide binary, low binary")
+    assert sorted(map(tuple, S.links(df).collect())) == sorted(twins)
