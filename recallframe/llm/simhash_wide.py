@@ -18,6 +18,9 @@ out:
 So recall depends neither on the number of texts nor on how hot an entry is.
 Entries hold about one in 2^24 of the different texts each, and the comparisons
 of a text grow with that. The width stays, as wider segments would lose pairs.
+
+Fingerprints only find candidates. Near copies are those of the candidates whose
+exact sets of shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from recallframe.session import cut, stored, without
 
 BITS, SEGMENT, FLIPS = 384, 24, 3
 WORDS, SEGMENTS = BITS // 64, BITS // SEGMENT
-#: Most bits that near copies differ in: the expected number at a similarity of 0.8, and one deviation more.
-DISTANCE = 64
+#: Most bits that candidates differ in: the expected number at a similarity of 0.8, and four deviations more.
+DISTANCE = 86
+#: Least Jaccard similarity of near copies' sets of shingles, as a fraction.
+SIMILAR = (4, 5)
 SLICE, BLOCK = 512, 255 * 64
 
 
@@ -49,43 +54,56 @@ def _hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_of(text: bytes, width: int) -> tuple[bytes, bytes]:
-    """(fingerprint, places of the closest votes by segment). A text without words has zeros."""
+def shingles_of(text: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of a text's different shingles; a text of fewer words is one shingle, without words none."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.lower().split()
     if not words:
-        return bytes(BITS // 8), bytes(SEGMENTS * FLIPS)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate(([0], np.cumsum(lengths[:-1])))
     ends = (starts + lengths - 1)[width - 1 :].tolist() or [len(joined)]
-    starts = starts[: len(ends)].tolist()
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(ends)].tolist(), ends, strict=True)], np.uint64))
+
+
+def fingerprint_of_set(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """(fingerprint, places of the closest votes by segment), each shingle with one vote; of no shingles zeros."""
+    if not len(shingles):
+        return bytes(BITS // 8), bytes(SEGMENTS * FLIPS)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(ends), BLOCK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        h = shingles[at : at + BLOCK]
         bits = np.unpackbits(_hashes(h).view(np.uint8).reshape(len(h), BITS // 8), axis=1, bitorder="little")
         whole = len(h) // 255 * 255
         # 255 rows at most add up within a byte
         ones += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
-    votes = 2 * ones - len(ends)
+    votes = 2 * ones - len(shingles)
     low = np.argsort(np.abs(votes).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :FLIPS].astype(np.uint8)
     return np.packbits(votes > 0, bitorder="little").tobytes(), low.tobytes()
 
 
+def fingerprint_of(text: bytes, width: int) -> tuple[bytes, bytes]:
+    return fingerprint_of_set(shingles_of(text, width))
+
+
 def fingerprints(df: DataFrame, text: str, width: int) -> DataFrame:
-    """``df`` with ``wide`` and ``low`` (binary) instead of its whole ``text``; null is as empty."""
-    kept = without(df, "wide", "low")
+    """``df`` with ``wide``, ``low`` (binary) and ``shingles`` (array of hashes) instead of its whole ``text``; null is as empty."""
+    kept = without(df, "wide", "low", "shingles")
     fields = [f for f in kept.schema.fields if f.name != text]
-    schema = T.StructType([*fields, T.StructField("wide", T.BinaryType()), T.StructField("low", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("wide", T.BinaryType()), T.StructField("low", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def work(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                pairs = [fingerprint_of(t or b"", width) for t in part.column(text).cast(pa.binary()).to_pylist()]
+                sets = [shingles_of(t or b"", width) for t in part.column(text).cast(pa.binary()).to_pylist()]
+                pairs = [fingerprint_of_set(s) for s in sets]
                 columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64))))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], *columns], schema.names)
 
     return kept.mapInArrow(work, schema)
@@ -147,28 +165,43 @@ def _rest(entries: DataFrame, probes: DataFrame, words: DataFrame, labels: DataF
     return _close(meet.join(left, ["key", "x"]).join(right, ["key", "y"]), distance)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each fingerprint once.
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles (fid, shingles) have a Jaccard similarity of ``SIMILAR`` or more."""
+    asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("fid")).distinct())
+    # equal ids have equal sets
+    known = stored(sets.join(asked, "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
+    both = pairs.join(known.toDF("u", "su"), "u").join(known.toDF("v", "sv"), "v")
+    shared, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
+    return both.where(shared * sum(SIMILAR) >= total * SIMILAR[0]).select("u", "v")
+
 
-    They connect all pairs that share an entry and pass.
+def links(prints: DataFrame, sets: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
+    """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each id once.
+
+    They connect all pairs that share an entry and pass: within ``distance``
+    and, if ``sets`` (fid, shingles) are given, similar by their exact shingles.
     """
     probes = prints.select("fid", "wide", "low").mapInArrow(_probes, "key long, fid long, own boolean")
     entries = stored(probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count("*").alias("n")))
     words = _words(prints)
-    stars = cut(_stars(entries, probes, words, distance))
-    return stars.unionByName(_rest(entries, probes, words, components(stars), distance))
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        return cut(pairs) if sets is None else cut(_similar(stored(pairs), sets))
+
+    stars = passing(_stars(entries, probes, words, distance))
+    return stars.unionByName(passing(_rest(entries, probes, words, components(stars), distance)))
 
 
 def groups(rows: DataFrame, doc: str, text: str, width: int, distance: int = DISTANCE) -> DataFrame:
     """``rows`` less its text, with group_id: the smallest doc id among a row's near copies.
 
-    Equal fingerprints are one group whatever their number; rows without words
+    Equal sets of shingles are one group whatever their number; rows without words
     are one group too. Null ids count only where a group has no others.
     """
-    printed = cut(fingerprints(without(rows, "group_id", "fid"), text, width).withColumn("fid", F.xxhash64("wide")))
+    printed = stored(fingerprints(without(rows, "group_id", "fid"), text, width).withColumn("fid", F.xxhash64("shingles")))
     different = cut(printed.groupBy("fid").agg(F.min(doc).alias("least"), F.min(F.struct("wide", "low")).alias("p")).select("fid", "least", "p.wide", "p.low"))
-    labels = components(cut(links(different, distance)))
+    labels = components(cut(links(different, printed.select("fid", "shingles"), distance)))
     named = different.select("fid", "least").join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
     first = named.groupBy("label").agg(F.min("least").alias("group_id"))
     classes = cut(named.select("fid", "label").join(first, "label").select("fid", "group_id"))
-    return printed.drop("wide", "low").join(classes, "fid").drop("fid")
+    return printed.drop("wide", "low", "shingles").join(classes, "fid").drop("fid")

@@ -76,3 +76,25 @@ def test_pairs_of_hot_entries_without_an_extreme_are_linked(spark):
     prints += [(-5, b"hot" + rng.randbytes(45), prints[0][2]), (5000, b"hot" + rng.randbytes(45), prints[0][2])]
     df = spark.createDataFrame([(i, bytearray(w), bytearray(x)) for i, w, x in prints], "fid long, wide binary, low binary")
     assert sorted(map(tuple, S.links(df).collect())) == sorted(twins)
+
+
+def test_similarity_is_exact_on_both_sides(spark):
+    """Of pairs of known similarity, those below 0.8 stay apart and nearly all others are grouped; a repeated line doesn't count."""
+    rng = random.Random(6)
+    rows, known = [], {}
+    for g in range(160):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        other = list(base)
+        for at in rng.sample(range(300), 2 + g % 10):
+            other[at] = f"v{rng.randrange(4000)}"
+        a, b = (" ".join(x) for x in (base, other))
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        known[2 * g + 1] = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    line = " ".join(f"l{i}" for i in range(20)) + " "
+    unlike = [line * 40 + " ".join(f"{x}{i}" for i in range(100)) for x in "ab"]
+    rows += [(1001, unlike[0]), (1002, unlike[1])]
+    got = {r.doc_id: r.group_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).collect()}
+    assert got[1002] == 1002
+    assert not [i for i, j in known.items() if j < 0.8 and got[i] != i]
+    alike = [i for i, j in known.items() if j >= 0.8]
+    assert sum(got[i] == i - 1 for i in alike) >= 0.9 * len(alike)
