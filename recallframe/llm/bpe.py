@@ -3,7 +3,7 @@
 A text is cut into matches of the pre-tokenisation pattern and every match is
 encoded for itself. Both levels are trees over halves:
 
-* *Text level.* A text is halved recursively, always between a character that is
+* *Text level.* A text is halved again and again, always between a character that is
   no white space and one that is. A match of the pattern holds white space only
   at its start, and its one look-ahead reads the character behind white space,
   so no match crosses such a place and the halves' matches simply concatenate.
@@ -53,6 +53,7 @@ class Codec:
         self.match = Memo(self._match, MATCHES_KEPT)
         self.stable = Memo(self._stable, PAIRS_KEPT)
         self.gap = regex.compile(r"(?<=\S)(?=\s)")
+        self.last_gap = regex.compile(r"(?r)(?<=\S)(?=\s)")
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE of a short span: again and again the leftmost pair of lowest rank."""
@@ -127,16 +128,17 @@ class Codec:
 
     def leaves(self, text: str) -> Iterator[str]:
         """The leaves of the text tree from left to right."""
-        if len(text) <= TEXT_LEAF:
-            yield text
-            return
-        half = len(text) // 2
-        place = self.gap.search(text, half) or self.gap.search(text, 1)
-        if not place or place.start() in (0, len(text)):
-            yield text  # nowhere to cut: one leaf, still linear
-            return
-        yield from self.leaves(text[: place.start()])
-        yield from self.leaves(text[place.start() :])
+        waiting = [text]
+        while waiting:
+            text = waiting.pop()
+            place = None
+            if len(text) > TEXT_LEAF:
+                half = len(text) // 2
+                place = self.gap.search(text, half) or self.last_gap.search(text, 0, half + 1)
+            if not place or place.start() in (0, len(text)):
+                yield text  # short, or nowhere to cut: one leaf, still linear
+            else:
+                waiting += [text[place.start() :], text[: place.start()]]
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian int32."""

@@ -59,3 +59,11 @@ def test_frames(spark, both):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert [r.n for r in bpe.count_tokens(df, "text", RANKS, P.PATTERN, "n").orderBy("n").collect()] == sorted(w[1] for w in want)
     assert coded.limit(0).count() == 0 and bpe.encode(df.limit(0), "text", RANKS, P.PATTERN).count() == 0
+
+
+def test_words_before_a_long_run(both):
+    own, known = both
+    for text in ("ab " * 3000 + "x" * 20_000, "ab " * 3000 + "x" * 20_000 + " y", " a" * 9000 + "0z" * 30_000 + "\n" * 9):
+        leaves = list(own.leaves(text))
+        assert "".join(leaves) == text and len(leaves) < 40
+        assert memoryview(own.encode(text)).cast("i").tolist() == known.encode_ordinary(text)
