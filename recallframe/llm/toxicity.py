@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallframe.llm.simhash_wide import shingles_of
 from recallframe.llm.text import Memo
 from recallframe.session import without
 
@@ -176,15 +177,24 @@ def _lines(text: str) -> list[list[str]]:
 
 
 def _unlike(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The documents less near copies of earlier ones, which would count a text's words again and again."""
-    seen: set = set()
+    """The documents less near copies of earlier ones of their label, which would count a text's words again and again.
+
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles.
+    Two such sets share one of the first hashes of each, so only these are looked up.
+    """
+    sets: list[np.ndarray] = []
+    found: dict[tuple[int, int], list[int]] = {}
     out = []
     for text, label in docs:
-        hashes = sorted({zlib.crc32(w.encode()) for w in text.split() if len(w) >= 8})[:3]
-        pairs = {(a, b) for i, a in enumerate(hashes) for b in hashes[:i]} or {text[:200]}
-        if not pairs & seen:
-            out.append((text, label))
-        seen |= pairs
+        own = shingles_of(text.encode("utf-8", "surrogatepass"), 5)
+        first = own[: len(own) - (4 * len(own) + 4) // 5 + 1].tolist() or [-1]
+        others = {i for h in first for i in found.get((label, h), ())}
+        if any(9 * len(np.intersect1d(own, sets[i], assume_unique=True)) >= 4 * (len(own) + len(sets[i])) for i in others):
+            continue
+        for h in first:
+            found.setdefault((label, h), []).append(len(sets))
+        sets.append(own)
+        out.append((text, label))
     return out
 
 
@@ -206,11 +216,9 @@ def fit_documents(docs: list[tuple[str, int]]) -> Model:
     marked = Memo(lambda w: int(any(f in marks for f in known[w])), 1 << 20)
     lines, tags = [], []
     for text, label in docs:
-        for k, line in enumerate(_lines(text)):
-            t = [marked[w] if label else 0 for w in line]
-            if any(t) or k < 4:
-                lines.append(line)
-                tags.append(t)
+        for line in _lines(text):
+            lines.append(line)
+            tags.append([marked[w] if label else 0 for w in line])
     if not any(map(any, tags)):
         none.document[0] = float(np.log(n_toxic / (len(docs) - n_toxic)))
         return none

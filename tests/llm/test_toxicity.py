@@ -52,3 +52,20 @@ def test_without_labels(spark):
     for rows in ([], [(1, 0)], [(1, 1)], [(None, 1), (2, 1), (1, None)]):
         model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_only_near_copies_of_one_label_count_once():
+    """Unlike documents that share their long words, and a toxic near copy of a clean document, are all learned from."""
+    long = [f"vocabulary{i}" for i in range(6)]
+    docs = [(" ".join([*long, *(f"d{k}w{i}" for i in range(60))]), 0) for k in range(5)]
+    copy = docs[0][0] + " end"
+    assert toxicity._unlike([*docs, (copy, 0), (copy, 1), ("", 0), (" ", 0)]) == [*docs, (copy, 1), ("", 0)]
+
+
+def test_all_lines_are_learned(monkeypatch):
+    seen = []
+    train = toxicity.train_chain
+    monkeypatch.setattr(toxicity, "train_chain", lambda lines, tags: seen.extend(lines) or train(lines, tags))
+    docs = [("\n".join(f"d{k} line{i} {'scum' if k % 2 and not i else 'calm'}" for i in range(9)), k % 2) for k in range(40)]
+    toxicity.fit_documents(docs)
+    assert len(seen) == 360
