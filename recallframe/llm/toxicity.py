@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 CHANCE, LEAST, PURE = 1e-8, 3, 0.98
 #: Words of a block that is tagged at once, and words a worker remembers.
 BLOCK, WORDS_KEPT = 1 << 20, 500_000
+#: Words of a block of chains in training.
+TRAIN_BLOCK = 1 << 19
 WORD = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 AGGREGATES = 4
@@ -112,37 +115,50 @@ def marginals(potentials: np.ndarray, lengths: np.ndarray, moves: np.ndarray) ->
     return odds / (1 + odds)
 
 
-def train_chain(lines: list[list[str]], tags: list[list[int]], rounds: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood with L2 by AdaGrad over all chains."""
-    vocabulary: dict[str, int] = {}
-    words = np.array([vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line], np.int64)
-    gold = np.array([t for line in tags for t in line], float)
-    lengths = np.array([len(x) for x in lines], np.int64)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(words), bool)
-    inner[ends - 1] = False
-    here = np.flatnonzero(inner)
+def _blocks(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of chains of about TRAIN_BLOCK tokens."""
+    block = (np.cumsum(lengths) - lengths) // TRAIN_BLOCK
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(lengths)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def train_chain(vocabulary: list[str], words: np.ndarray, tags: np.ndarray, lengths: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood with L2 by AdaGrad over all chains.
+
+    ``words`` are places in ``vocabulary``, chain after chain. Gradients are
+    summed over blocks of chains, which bounds the memory.
+    """
     per_word = [slots(w) for w in vocabulary]
-    owner = np.repeat(np.arange(len(per_word)), [len(x) for x in per_word])
+    owner = np.repeat(np.arange(len(per_word), dtype=np.int32), [len(x) for x in per_word])
     used, column = np.unique(np.concatenate(per_word) if per_word else np.zeros(0, np.int64), return_inverse=True)
+    n_words = len(per_word)
+    del per_word
+    column = column.astype(np.int32)
     weights, bias, moves = np.zeros(len(used)), -3.0, np.zeros((2, 2))
     sums = [np.full(len(used), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    a, b = gold[here].astype(int), gold[here + 1].astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (a, b), 1)
+    ends = np.cumsum(lengths)
     for _ in range(rounds):
-        word_potential = np.bincount(owner, weights[column], len(per_word)) + bias
-        u = word_potential[words]
-        forward, backward = messages(u, lengths, moves)
-        odds = forward * backward
-        p = odds / (1 + odds)
-        off = np.bincount(words, gold - p, len(per_word))
-        steps = [np.bincount(column, off[owner], len(used)) - l2 * len(words) * 0.01 * weights, float((gold - p).sum()), seen.copy()]
-        own = np.exp(np.clip(u[here + 1], -30, 30)) * backward[here + 1]
+        word_potential = np.bincount(owner, weights[column], n_words) + bias
         m = np.exp(moves)
-        joint = np.stack([np.full(len(here), m[0, 0]), m[0, 1] * own, forward[here] * m[1, 0], forward[here] * m[1, 1] * own])
-        joint /= joint.sum(axis=0)
-        steps[2] -= joint.sum(axis=1).reshape(2, 2) + 1e-2 * moves
+        off, excess, steps_moves = np.zeros(n_words), 0.0, np.zeros((2, 2))
+        for first, end in _blocks(lengths):
+            part = slice(ends[first] - lengths[first], ends[end - 1])
+            own_lengths, own_words, gold = lengths[first:end], words[part], tags[part].astype(float)
+            inner = np.ones(len(own_words), bool)
+            inner[np.cumsum(own_lengths) - 1] = False
+            here = np.flatnonzero(inner)
+            u = word_potential[own_words]
+            forward, backward = messages(u, own_lengths, moves)
+            odds = forward * backward
+            p = odds / (1 + odds)
+            off += np.bincount(own_words, gold - p, n_words)
+            excess += float((gold - p).sum())
+            steps_moves += np.bincount(2 * tags[part][here] + tags[part][here + 1], minlength=4).reshape(2, 2)
+            own = np.exp(np.clip(u[here + 1], -30, 30)) * backward[here + 1]
+            joint = np.stack([np.full(len(here), m[0, 0]), m[0, 1] * own, forward[here] * m[1, 0], forward[here] * m[1, 1] * own])
+            joint /= joint.sum(axis=0)
+            steps_moves -= joint.sum(axis=1).reshape(2, 2)
+        steps = [np.bincount(column, off[owner], len(used)) - l2 * len(words) * 0.01 * weights, excess, steps_moves - 1e-2 * moves]
         for i, step in enumerate(steps):
             sums[i] = sums[i] + step**2
         weights = weights + 0.5 * steps[0] / np.sqrt(sums[0])
@@ -207,22 +223,24 @@ def fit_documents(docs: list[tuple[str, int]]) -> Model:
         share = n_toxic / len(docs) if docs else 0.0
         none.document[0] = 6.0 if share else -6.0
         return none
-    known = Memo(features, 1 << 20)
+    known = Memo(features, 1 << 16)
     counts = (Counter(), Counter())
     for text, label in docs:
         counts[label].update({f for w in set(text.split()) for f in known[w]})
     least = min(int(np.ceil(np.log(CHANCE) / np.log(n_toxic / len(docs)))), max(LEAST, n_toxic // 4))
     marks = {f for f, n in counts[1].items() if n >= least and n >= PURE * (n + counts[0][f])}
-    marked = Memo(lambda w: int(any(f in marks for f in known[w])), 1 << 20)
-    lines, tags = [], []
+    places: dict[str, int] = {}
+    words, tags, lengths = array("i"), array("b"), array("i")
     for text, label in docs:
         for line in _lines(text):
-            lines.append(line)
-            tags.append([marked[w] if label else 0 for w in line])
-    if not any(map(any, tags)):
+            words.extend([places.setdefault(w, len(places)) for w in line])
+            tags.extend([int(any(f in marks for f in known[w])) for w in line] if label else bytes(len(line)))
+            lengths.append(len(line))
+    del known, counts
+    if not any(tags):
         none.document[0] = float(np.log(n_toxic / (len(docs) - n_toxic)))
         return none
-    weights, bias, moves = train_chain(lines, tags)
+    weights, bias, moves = train_chain(list(places), np.array(words), np.array(tags), np.array(lengths))
     model = Model(weights.astype(np.float32), bias, moves, np.zeros(AGGREGATES))
     x = np.concatenate([aggregate for aggregate, *_ in _tagged([t for t, _ in docs], model, Memo(model.potential, WORDS_KEPT))])
     model.document = logistic(x, np.array([y for _, y in docs], float))

@@ -65,7 +65,7 @@ def test_only_near_copies_of_one_label_count_once():
 def test_all_lines_are_learned(monkeypatch):
     seen = []
     train = toxicity.train_chain
-    monkeypatch.setattr(toxicity, "train_chain", lambda lines, tags: seen.extend(lines) or train(lines, tags))
+    monkeypatch.setattr(toxicity, "train_chain", lambda *chains: seen.append(chains[-1].tolist()) or train(*chains))
     docs = [("\n".join(f"d{k} line{i} {'scum' if k % 2 and not i else 'calm'}" for i in range(9)), k % 2) for k in range(40)]
     toxicity.fit_documents(docs)
-    assert len(seen) == 360
+    assert seen == [[3] * 360]
