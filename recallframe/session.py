@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folder of the innermost ``scratch`` block, if there is one.
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -27,6 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` and ``stored`` write within this block goes when the block ends.
+
+    For work whose result is written within the block; a frame that is read
+    later must not be built in it.
+    """
+    context, home = spark.sparkContext, shared_dir(spark)
+    folder = f"{home}/scratch-{uuid.uuid4().hex}"
+    before = context.getCheckpointDir()  # shared_dir has set one
+    context.setCheckpointDir(folder)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        context.setCheckpointDir(before)
+        delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)
@@ -36,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again; for wider rows than ``cut``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
