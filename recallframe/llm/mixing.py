@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallframe.llm.shard import number_rows
-from recallframe.session import cut, without
+from recallframe.session import cut, stored, without
 
 #: Most sizes that one task carries a remainder over; documents of a cell; rows of a repeated row made at once.
 CHAIN, CELL, REPEAT = 2048, 1024, 4096
@@ -178,9 +178,25 @@ def mix(rows: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
 def mixed(df: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` as often as ``copies`` (key, copies) says; keys without a row there go.
 
-    Rows that share a key, or have none, share its copies: ``copies`` is averaged per key, rounded.
+    Rows that share a key, or have none, share its copies: their ordinal among
+    the key's rows says which part of the sum is theirs, so the sum is met
+    whatever the number of rows.
     """
-    times = copies.groupBy(F.col(key).alias("__key")).agg(F.round(F.avg("copies")).cast("long").alias("__copies"))
-    wanted = times.where("__copies > 0").hint("shuffle_hash")
-    joined = without(df, "__copies", "__key").join(wanted, F.col(key).eqNullSafe(F.col("__key")))
-    return _repeated(joined, "__copies").select(*df.columns)
+    rows = stored(without(df, "__row").withColumn("__row", F.monotonically_increasing_id()))
+    own = rows.select("__row", F.col(key).alias("__key"))
+    sums = copies.groupBy(F.col(key).alias("__sk")).agg(F.sum("copies").alias("__sum"))
+    counts = own.groupBy("__key").agg(F.count("*").alias("__m"))
+    known = stored(counts.join(sums, F.col("__key").eqNullSafe(F.col("__sk"))).select("__sk", "__sum", "__m"))
+    met = F.col("__key").eqNullSafe(F.col("__sk"))
+    wanted = own.join(known.where("__m = 1"), met).select("__row", F.col("__sum").alias("__copies"))
+    repeated = known.where("__m > 1")
+    if not repeated.isEmpty():
+        numbered, _ = number_rows(own.join(repeated, met).select("__key", "__row", "__sum", "__m"), ["__key", "__row"], "__n")
+        numbered = stored(numbered)
+        starts = numbered.groupBy("__key").agg(F.min("__n").alias("__from")).withColumnRenamed("__key", "__sk")
+        at = F.col("__n") - F.col("__from")
+        upto = lambda x: F.floor(F.col("__sum").cast("decimal(38,0)") * x / F.col("__m"))
+        shared = numbered.join(starts, met).select("__row", (upto(at + 1) - upto(at)).cast("long").alias("__copies"))
+        wanted = wanted.unionByName(shared)
+    held = wanted.where("__copies > 0").withColumnRenamed("__row", "__wanted").hint("shuffle_hash")
+    return _repeated(rows.join(held, F.col("__row") == F.col("__wanted")), "__copies").select(*df.columns)

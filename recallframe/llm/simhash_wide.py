@@ -2,22 +2,22 @@
 
 Two texts of Jaccard similarity 0.8 on shingles differ in a seventh of their
 fingerprint's bits, far more than a ball of radius 2 holds. So fingerprints are
-of ``BITS`` bits in ``BITS / SEGMENT`` segments, each with a table of its own.
-The ball that is enumerated around a segment is small and goes where
-differences are: all flips of the ``FLIPS`` bits whose votes were closest. Pairs
-come from the table entries in two rounds, and none that shares an entry is left
-out:
+longer (``Layout``), in segments with a table each. The ball that is enumerated
+around a segment is small and goes where differences are: all flips of the bits
+whose votes were closest. Pairs come from the table entries in three rounds, and
+none that shares an entry is left out:
 
 * Each entry answers with its smallest and its largest fingerprint, two rows per
   member. That is all of an entry of one or two fingerprints, and ties a group of
   any size together.
-* In the other entries all pairs follow whose members aren't connected by then.
-  Pairs of one component can't change the groups, so a large group costs nothing
-  here; fingerprints that share an entry and are unlike cost a comparison a pair.
+* In the other entries all pairs follow whose members aren't connected by then,
+  as long as that is at most ``BUCKET`` comparisons for each member of the entry.
+  Pairs of one component can't change the groups, so a large group costs nothing.
+* The members of fuller entries go an exact way round: two sets of a similarity
+  of 0.8 share one of the rarest fifth of each one's shingles, so they meet there.
 
-So recall depends neither on the number of texts nor on how hot an entry is.
-Entries hold about one in 2^24 of the different texts each, and the comparisons
-of a text grow with that. The width stays, as wider segments would lose pairs.
+So the comparisons are linear in the rows, however hot an entry is. The segments
+widen with the number of rows, so that unlike texts seldom share an entry.
 
 Fingerprints only find candidates. Near copies are those of the candidates whose
 exact sets of shingles have a Jaccard similarity of 0.8 or more.
@@ -25,6 +25,8 @@ exact sets of shingles have a Jaccard similarity of 0.8 or more.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,19 +36,46 @@ from pyspark.sql import types as T
 from recallframe.llm.components import components
 from recallframe.session import cut, stored, without
 
-BITS, SEGMENT, FLIPS = 384, 24, 3
-WORDS, SEGMENTS = BITS // 64, BITS // SEGMENT
-#: Most bits that candidates differ in: the expected number at a similarity of 0.8, and four deviations more.
-DISTANCE = 86
+
+@dataclass(frozen=True)
+class Layout:
+    """Bits of a fingerprint (a multiple of 64), bits of a segment (of 8), flipped bits of a ball."""
+
+    bits: int
+    segment: int
+    flips: int
+
+    @property
+    def words(self) -> int:
+        return self.bits // 64
+
+    @property
+    def segments(self) -> int:
+        return self.bits // self.segment
+
+    @property
+    def distance(self) -> int:
+        """Most bits that candidates differ in: the expected number at a similarity of 0.8, and five deviations more."""
+        return int(0.1515 * self.bits + 5 * (0.1515 * 0.8485 * self.bits) ** 0.5)
+
+
+#: Up to so many rows, this layout: an unlike text meets few others by chance, and pairs of similarity 0.8 an entry with probability 0.95.
+LAYOUTS = [(1 << 26, Layout(512, 24, 3)), (1 << 62, Layout(640, 32, 6))]
+#: Comparisons per member of an entry, beyond which its members go the exact way.
+BUCKET = 64
 #: Least Jaccard similarity of near copies' sets of shingles, as a fraction.
 SIMILAR = (4, 5)
 SLICE, BLOCK = 512, 255 * 64
 
 
-def _hashes(h: np.ndarray) -> np.ndarray:
-    """WORDS independent 64-bit hashes of each hash."""
-    out = np.empty((len(h), WORDS), np.uint64)
-    for j in range(WORDS):
+def layout_for(n_rows: int) -> Layout:
+    return next(layout for most, layout in LAYOUTS if n_rows <= most)
+
+
+def _hashes(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` independent 64-bit hashes of each hash."""
+    out = np.empty((len(h), words), np.uint64)
+    for j in range(words):
         x = h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -69,27 +98,24 @@ def shingles_of(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(ends)].tolist(), ends, strict=True)], np.uint64))
 
 
-def fingerprint_of_set(shingles: np.ndarray) -> tuple[bytes, bytes]:
+def fingerprint_of_set(shingles: np.ndarray, layout: Layout) -> tuple[bytes, bytes]:
     """(fingerprint, places of the closest votes by segment), each shingle with one vote; of no shingles zeros."""
     if not len(shingles):
-        return bytes(BITS // 8), bytes(SEGMENTS * FLIPS)
-    ones = np.zeros(BITS, np.int64)
+        return bytes(layout.bits // 8), bytes(layout.segments * layout.flips)
+    ones = np.zeros(layout.bits, np.int64)
     for at in range(0, len(shingles), BLOCK):
         h = shingles[at : at + BLOCK]
-        bits = np.unpackbits(_hashes(h).view(np.uint8).reshape(len(h), BITS // 8), axis=1, bitorder="little")
+        bits = np.unpackbits(_hashes(h, layout.words).view(np.uint8).reshape(len(h), layout.bits // 8), axis=1, bitorder="little")
         whole = len(h) // 255 * 255
         # 255 rows at most add up within a byte
-        ones += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+        ones += bits[:whole].reshape(-1, 255, layout.bits).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
     votes = 2 * ones - len(shingles)
-    low = np.argsort(np.abs(votes).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :FLIPS].astype(np.uint8)
+    parted = np.abs(votes)[: layout.segments * layout.segment].reshape(layout.segments, layout.segment)
+    low = np.argsort(parted, axis=1, kind="stable")[:, : layout.flips].astype(np.uint8)
     return np.packbits(votes > 0, bitorder="little").tobytes(), low.tobytes()
 
 
-def fingerprint_of(text: bytes, width: int) -> tuple[bytes, bytes]:
-    return fingerprint_of_set(shingles_of(text, width))
-
-
-def fingerprints(df: DataFrame, text: str, width: int) -> DataFrame:
+def fingerprints(df: DataFrame, text: str, width: int, layout: Layout) -> DataFrame:
     """``df`` with ``wide``, ``low`` (binary) and ``shingles`` (array of hashes) instead of its whole ``text``; null is as empty."""
     kept = without(df, "wide", "low", "shingles")
     fields = [f for f in kept.schema.fields if f.name != text]
@@ -100,7 +126,7 @@ def fingerprints(df: DataFrame, text: str, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingles_of(t or b"", width) for t in part.column(text).cast(pa.binary()).to_pylist()]
-                pairs = [fingerprint_of_set(s) for s in sets]
+                pairs = [fingerprint_of_set(s, layout) for s in sets]
                 columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64))))
@@ -109,60 +135,103 @@ def fingerprints(df: DataFrame, text: str, width: int) -> DataFrame:
     return kept.mapInArrow(work, schema)
 
 
-def _probes(batches):
+def _probes(layout: Layout):
     """(key, fid, own) rows: each segment's ball, its first value being the segment itself."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            n = part.num_rows
-            wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(n, SEGMENTS, SEGMENT // 8).astype(np.int64)
-            value = sum(wide[:, :, i] << (8 * i) for i in range(SEGMENT // 8))
-            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(n, SEGMENTS, FLIPS).astype(np.int64)
-            flips = np.zeros((n, SEGMENTS, 1 << FLIPS), np.int64)
-            for s in range(1, 1 << FLIPS):
-                for b in range(FLIPS):
-                    if s >> b & 1:
-                        flips[:, :, s] |= np.int64(1) << low[:, :, b]
-            keys = (value[:, :, None] ^ flips) | (np.arange(SEGMENTS, dtype=np.int64) << 40)[None, :, None]
-            own = np.zeros(flips.shape, bool)
-            own[:, :, 0] = True
-            ids = np.repeat(part.column("fid").to_numpy(zero_copy_only=False), SEGMENTS << FLIPS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(own.ravel())], ["key", "fid", "own"])
-
-
-def _words(prints: DataFrame) -> DataFrame:
+    segments, flips, width = layout.segments, layout.flips, layout.segment // 8
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                n = part.num_rows
+                wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(n, layout.bits // 8)
+                wide = wide[:, : segments * width].reshape(n, segments, width).astype(np.int64)
+                value = sum(wide[:, :, i] << (8 * i) for i in range(width))
+                low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(n, segments, flips).astype(np.int64)
+                flipped = np.zeros((n, segments, 1 << flips), np.int64)
+                for s in range(1, 1 << flips):
+                    for b in range(flips):
+                        if s >> b & 1:
+                            flipped[:, :, s] |= np.int64(1) << low[:, :, b]
+                keys = (value[:, :, None] ^ flipped) | (np.arange(segments, dtype=np.int64) << 40)[None, :, None]
+                own = np.zeros(flipped.shape, bool)
+                own[:, :, 0] = True
+                ids = np.repeat(part.column("fid").to_numpy(zero_copy_only=False), segments << flips)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(own.ravel())], ["key", "fid", "own"])
+
+    return work
+
+
+def _words(prints: DataFrame, layout: Layout) -> DataFrame:
     """Each fid's fingerprint as ``w``, an array of longs."""
-    return prints.select("fid", F.array(*[F.conv(F.hex(F.substring("wide", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(WORDS)]).alias("w"))
+    return prints.select("fid", F.array(*[F.conv(F.hex(F.substring("wide", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(layout.words)]).alias("w"))
 
 
-def _close(pairs: DataFrame, distance: int) -> DataFrame:
-    """Pairs (u, v) of rows (u, v, l, r) whose fingerprints l and r differ in ``distance`` bits at most, each once."""
-    apart = sum((F.bit_count(F.col("l")[i].bitwiseXOR(F.col("r")[i])) for i in range(WORDS)), F.lit(0))
-    return pairs.where(apart <= distance).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _close(pairs: DataFrame, layout: Layout) -> DataFrame:
+    """Pairs (u, v) of rows (u, v, l, r) whose fingerprints l and r differ in few bits, each once."""
+    apart = sum((F.bit_count(F.col("l")[i].bitwiseXOR(F.col("r")[i])) for i in range(layout.words)), F.lit(0))
+    return pairs.where(apart <= layout.distance).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _stars(entries: DataFrame, probes: DataFrame, words: DataFrame, distance: int) -> DataFrame:
+def _stars(entries: DataFrame, probes: DataFrame, words: DataFrame, layout: Layout) -> DataFrame:
     """Close pairs of each entry's members with its smallest and its largest fingerprint."""
     answers = entries.select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
     pairs = probes.select("key", F.col("fid").alias("u")).join(answers, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return _close(pairs.join(words.toDF("u", "l"), "u").join(words.toDF("v", "r"), "v"), distance)
+    return _close(pairs.join(words.toDF("u", "l"), "u").join(words.toDF("v", "r"), "v"), layout)
+
+
+def _named(entries: DataFrame, probes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, label, fid, own) of the entries of three fingerprints or more, and (key, full) of those that more than one component meets in.
+
+    An entry is full if pairing its components' members costs more than
+    ``BUCKET`` comparisons for each of its members.
+    """
+    large = stored(entries.where("n > 2").select("key"))
+    found = probes.join(large, "key", "left_semi")
+    named = stored(found.join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid")))
+    sides = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum(F.col("own").cast("long")).alias("o"))
+    # of the pairs with an own side, those within a component don't count
+    m, o = F.sum("m").cast("double"), F.sum("o").cast("double")
+    costs = sides.groupBy("key").agg(F.count("*").alias("c"), (m * o - F.sum(F.col("m").cast("double") * F.col("o"))).alias("cost"), m.alias("n"))
+    return named, stored(costs.where("c > 1 and cost > 0").select("key", (F.col("cost") > BUCKET * F.col("n")).alias("full")))
 
 
-def _rest(entries: DataFrame, probes: DataFrame, words: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
-    """Close pairs of the entries of three fingerprints or more, of members that ``labels`` (node, label) doesn't connect.
+def _rest(named: DataFrame, keys: DataFrame, words: DataFrame, layout: Layout) -> DataFrame:
+    """Close pairs of members of the entries ``keys`` that are of different components.
 
     The entries' components are paired first and then their members, so that
     members of one component never meet.
     """
-    large = stored(entries.where("n > 2").select("key"))
-    found = stored(probes.join(large, "key", "left_semi"))
-    named = found.join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
-    members = stored(named.join(words, "fid").select("key", "label", "fid", "w", "own"))
+    members = stored(named.join(keys, "key", "left_semi").join(words, "fid").select("key", "label", "fid", "w", "own"))
     sides = members.groupBy("key", "label").agg(F.max("own").alias("own"))
     meet = sides.select("key", F.col("label").alias("x")).join(sides.where("own").select("key", F.col("label").alias("y")), "key").where("x <> y")
     left = members.select("key", F.col("label").alias("x"), F.col("fid").alias("u"), F.col("w").alias("l"))
     right = members.where("own").select("key", F.col("label").alias("y"), F.col("fid").alias("v"), F.col("w").alias("r"))
-    return _close(meet.join(left, ["key", "x"]).join(right, ["key", "y"]), distance)
+    return _close(meet.join(left, ["key", "x"]).join(right, ["key", "y"]), layout)
+
+
+def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``members`` (fid, label) of different components that share one of the rarest fifth of each one's shingles.
+
+    All that ``SIMILAR`` asks for are among them: of n shingles, ordered in one
+    way for all, two such sets share one of the first n - ceil(0.8 n) + 1.
+    """
+    own = stored(sets.join(members, "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
+    each = own.select("fid", F.explode("s").alias("x"))
+    counts = stored(each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"))
+    often = each.join(counts, "x")
+    # shingles of one document only come first and pair nothing
+    ordered = often.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
+    size, shared = F.size("s"), F.size("o")
+    prefix = size - F.ceil(size * SIMILAR[0] / SIMILAR[1]) + 1 - (size - shared)
+    first = ordered.join(own.select("fid", "s"), "fid").select("fid", prefix.cast("int").alias("k"), "o").where("k > 0")
+    tokens = first.select("fid", F.explode(F.slice("o", 1, F.col("k"))["x"]).alias("x")).join(members, "fid")
+    tokens = stored(tokens.select("x", "fid", "label"))
+    # components meet first and then their members, as in _rest
+    sides = tokens.select("x", "label").distinct()
+    meet = sides.toDF("x", "p").join(sides.toDF("x", "q"), "x").where("p < q")
+    pairs = meet.join(tokens.toDF("x", "u", "p"), ["x", "p"]).join(tokens.toDF("x", "v", "q"), ["x", "q"])
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,32 +244,35 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * sum(SIMILAR) >= total * SIMILAR[0]).select("u", "v")
 
 
-def links(prints: DataFrame, sets: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
+def links(prints: DataFrame, sets: DataFrame, layout: Layout) -> DataFrame:
     """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each id once.
 
-    They connect all pairs that share an entry and pass: within ``distance``
-    and, if ``sets`` (fid, shingles) are given, similar by their exact shingles.
+    They connect all pairs that share an entry, are close enough, and are similar
+    by their exact shingles in ``sets`` (fid, shingles).
     """
-    probes = prints.select("fid", "wide", "low").mapInArrow(_probes, "key long, fid long, own boolean")
+    probes = prints.select("fid", "wide", "low").mapInArrow(_probes(layout), "key long, fid long, own boolean")
     entries = stored(probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count("*").alias("n")))
-    words = _words(prints)
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        return cut(pairs) if sets is None else cut(_similar(stored(pairs), sets))
-
-    stars = passing(_stars(entries, probes, words, distance))
-    return stars.unionByName(passing(_rest(entries, probes, words, components(stars), distance)))
-
-
-def groups(rows: DataFrame, doc: str, text: str, width: int, distance: int = DISTANCE) -> DataFrame:
-    """``rows`` less its text, with group_id: the smallest doc id among a row's near copies.
-
-    Equal sets of shingles are one group whatever their number; rows without words
-    are one group too. Null ids count only where a group has no others.
+    words = _words(prints, layout)
+    stars = cut(_similar(stored(_stars(entries, probes, words, layout)), sets))
+    named, keys = _named(entries, probes, components(stars))
+    found = stars.unionByName(cut(_similar(stored(_rest(named, keys.where("not full"), words, layout)), sets)))
+    full = stored(named.join(keys.where("full"), "key", "left_semi").select("fid", "label").distinct())
+    if full.isEmpty():
+        return found
+    return found.unionByName(cut(_similar(stored(_rarest(full, sets)), sets)))
+
+
+def groups(rows: DataFrame, doc: str, text: str, width: int, layout: Layout | None = None) -> DataFrame:
+    """``rows`` less its text, with group_id: the smallest ``doc`` among a row's near copies.
+
+    ``doc`` may be of any type that has an order. Equal sets of shingles are one
+    group whatever their number; rows without words are one group too. Null docs
+    count only where a group has no others. The layout follows the number of rows.
     """
-    printed = stored(fingerprints(without(rows, "group_id", "fid"), text, width).withColumn("fid", F.xxhash64("shingles")))
+    layout = layout or layout_for(rows.count())
+    printed = stored(fingerprints(without(rows, "group_id", "fid"), text, width, layout).withColumn("fid", F.xxhash64("shingles")))
     different = cut(printed.groupBy("fid").agg(F.min(doc).alias("least"), F.min(F.struct("wide", "low")).alias("p")).select("fid", "least", "p.wide", "p.low"))
-    labels = components(cut(links(different, printed.select("fid", "shingles"), distance)))
+    labels = components(cut(links(different, printed.select("fid", "shingles"), layout)))
     named = different.select("fid", "least").join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
     first = named.groupBy("label").agg(F.min("least").alias("group_id"))
     classes = cut(named.select("fid", "label").join(first, "label").select("fid", "group_id"))

@@ -53,3 +53,27 @@ def test_empty_and_odd_documents(spark, tmp_path):
             f(spark, frame, SF).write.parquet(f"{tmp_path}/{name}/{stage}")
             frame = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
         assert (frame.count() == 0) == (name == "none")
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    """Null and repeated ids with different texts all stay; near copies and equal rows go."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = lambda k: " ".join(f"d{k}w{i}" for i in range(60))
+    rows = [(None, own(k), "en", "s", 9) for k in range(5)] + [(7, own(k), "en", "s", 9) for k in range(10, 16)]
+    rows += [(7, own(10) + " more", "en", "s", 9), (None, own(0) + " more", "en", "s", 9), (8, own(20), "en", "s", 9), (8, own(20), "en", "s", 9), (9, own(20), "de", "t", 9)]
+    got = P.drop_near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    texts = [r.text.removesuffix(" more") for r in got]
+    assert sorted(texts) == sorted({own(k) for k in [*range(5), *range(10, 16), 20]})
+    assert next(r.doc_id for r in got if r.text == own(20)) == 8
+
+
+def test_mixing_with_null_and_repeated_ids(spark):
+    """Words meet the targets within one document, whatever the ids."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    sizes = [(i * 37) % 90 + 5 for i in range(600)]
+    rows = [(None if i % 3 == 0 else i % 7, " ".join(["w"] * n) + f" {i % 11}", "en", f"s{i % 2}", 9) for i, n in enumerate(sizes)]
+    got = P.mix_sources(spark, spark.createDataFrame(rows, schema), SF).collect()
+    words = lambda x, s: sum(len(r[1].split()) for r in x if r[3] == s)
+    total = words(rows, "s0") + words(rows, "s1")
+    first = min(2 * words(rows, "s0"), 1.5 * total * 3 / 4)
+    assert abs(words(got, "s0") - first) <= 100 and abs(words(got, "s1") - (1.5 * total - first)) <= 100

@@ -1,7 +1,7 @@
 import random
-from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from recallframe.llm import simhash_wide as S
 
@@ -37,59 +37,61 @@ def test_near_copies_are_grouped_and_others_left_alone(spark):
     assert S.groups(df.limit(0), "doc_id", "text", 5).count() == 0
 
 
-def test_recall_by_similarity():
-    """Pairs of similarity 0.8 and more that share an entry and pass, by brute force on fingerprints."""
-    rng = random.Random(2)
-    caught = defaultdict(list)
-    for _ in range(250):
-        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+def pairs_of(n, seed, length=300, most=10):
+    """(id, text) rows, two of a pair, and each pair's similarity by the id of its second text."""
+    rng = random.Random(seed)
+    rows, known = [], {}
+    for g in range(n):
+        base = [f"w{rng.randrange(4000)}" for _ in range(length)]
         other = list(base)
-        for _ in range(rng.randrange(1, 9)):
-            other[rng.randrange(300)] = f"v{rng.randrange(4000)}"
-        a, b = shingles(" ".join(base)), shingles(" ".join(other))
-        j = len(a & b) / len(a | b)
-        prints = [S.fingerprint_of(" ".join(x).encode(), 5) for x in (base, other)]
-        bits = [np.unpackbits(np.frombuffer(p[0], np.uint8), bitorder="little").reshape(S.SEGMENTS, S.SEGMENT) for p in prints]
-        low = [np.frombuffer(p[1], np.uint8).reshape(S.SEGMENTS, S.FLIPS) for p in prints]
+        for at in rng.sample(range(length), 1 + g % most):
+            other[at] = f"v{rng.randrange(4000)}"
+        a, b = (" ".join(x) for x in (base, other))
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        known[2 * g + 1] = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    return rows, known
+
+
+@pytest.mark.parametrize("layout", [x for _, x in S.LAYOUTS])
+def test_pairs_meet_in_an_entry(layout):
+    """By brute force on fingerprints: pairs of similarity 0.8 and more share an entry and pass the distance."""
+    rows, known = pairs_of(300, 2, most=8)
+    caught = {0.9: [], 0.8: [], 0.0: []}
+    for i, j in known.items():
+        prints = [S.fingerprint_of_set(S.shingles_of(rows[k][1].encode(), 5), layout) for k in (i - 1, i)]
+        size = layout.segments * layout.segment
+        bits = [np.unpackbits(np.frombuffer(p[0], np.uint8), bitorder="little") for p in prints]
         off = bits[0] != bits[1]
-        meets = any(set(np.flatnonzero(off[s])) <= set(low[k][s].tolist()) for s in range(S.SEGMENTS) for k in (0, 1))
-        caught["0.9" if j >= 0.9 else "0.8" if j >= 0.8 else "less"].append(meets and off.sum() <= S.DISTANCE)
-    assert np.mean(caught["0.9"]) >= 0.97 and np.mean(caught["0.8"]) >= 0.8
+        parted = off[:size].reshape(layout.segments, layout.segment)
+        low = [np.frombuffer(p[1], np.uint8).reshape(layout.segments, layout.flips) for p in prints]
+        meets = any(set(np.flatnonzero(parted[s])) <= set(low[k][s].tolist()) for s in range(layout.segments) for k in (0, 1))
+        caught[max(x for x in caught if j >= x)].append(meets and off.sum() <= layout.distance)
+    assert np.mean(caught[0.9]) >= 0.98 and np.mean(caught[0.8]) >= 0.9
+    assert S.layout_for(10) == S.LAYOUTS[0][1] and S.layout_for(1 << 40) == S.LAYOUTS[1][1]
 
 
-def test_pairs_of_hot_entries_without_an_extreme_are_linked(spark):
-    """Fingerprints that share one segment's value and nothing else, and near copies in their middle."""
-    rng = random.Random(4)
-    prints = []
-    for i in range(1, 121):
-        wide = bytearray(b"hot" + rng.randbytes(S.BITS // 8 - 3))
-        prints.append((i, bytes(wide), bytes(range(S.FLIPS)) * S.SEGMENTS))
-    twins = []
-    for i in range(50, 60):
-        wide = bytearray(prints[i][1])
-        # a bit of every segment but the first, none of them within a ball
-        for s in range(1, S.SEGMENTS):
-            wide[3 * s + 1] ^= 1 << rng.randrange(8)
-        prints.append((1000 - i, bytes(wide), prints[i][2]))
-        twins.append((prints[i][0], 1000 - i))
-    # the extremes of the entry are unlike all others
-    prints += [(-5, b"hot" + rng.randbytes(45), prints[0][2]), (5000, b"hot" + rng.randbytes(45), prints[0][2])]
-    df = spark.createDataFrame([(i, bytearray(w), bytearray(x)) for i, w, x in prints], "fid long, wide binary, low binary")
-    assert sorted(map(tuple, S.links(df).collect())) == sorted(twins)
+@pytest.mark.parametrize(("layout", "bucket"), [(S.LAYOUTS[0][1], 64), (S.LAYOUTS[1][1], 64), (S.Layout(512, 8, 1), 64), (S.Layout(512, 8, 1), 2)])
+def test_recall_of_groups_with_crowded_entries(spark, monkeypatch, layout, bucket):
+    """Segments of 8 bits crowd every entry with unlike texts; a small bucket sends their members the exact way."""
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    exact, calls = S._rarest, []
+    monkeypatch.setattr(S, "_rarest", lambda *x: calls.append(1) or exact(*x))
+    rows, known = pairs_of(250, 5)
+    # a passage that all share skews the votes of a third of the texts
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{t} {passage}" if i % 6 < 2 else t) for i, t in rows]
+    sets = {i: shingles(t) for i, t in rows}
+    known = {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in known}
+    got = {r.doc_id: r.group_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, layout).collect()}
+    assert not [i for i in got if got[i] != i and known.get(i, 0) < 0.8]
+    alike = [i for i, j in known.items() if j >= 0.8]
+    assert np.mean([got[i] == i - 1 for i in alike]) >= 0.95
+    assert bool(calls) == (bucket < 64)
 
 
 def test_similarity_is_exact_on_both_sides(spark):
     """Of pairs of known similarity, those below 0.8 stay apart and nearly all others are grouped; a repeated line doesn't count."""
-    rng = random.Random(6)
-    rows, known = [], {}
-    for g in range(160):
-        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
-        other = list(base)
-        for at in rng.sample(range(300), 2 + g % 10):
-            other[at] = f"v{rng.randrange(4000)}"
-        a, b = (" ".join(x) for x in (base, other))
-        rows += [(2 * g, a), (2 * g + 1, b)]
-        known[2 * g + 1] = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    rows, known = pairs_of(160, 6)
     line = " ".join(f"l{i}" for i in range(20)) + " "
     unlike = [line * 40 + " ".join(f"{x}{i}" for i in range(100)) for x in "ab"]
     rows += [(1001, unlike[0]), (1002, unlike[1])]
