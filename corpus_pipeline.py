@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recallframe.llm import bpe, lines, mixing, queries, simhash_wide, toxicity
 from recallframe.llm.text import word_count
-from recallframe.session import shared_dir, table
+from recallframe.session import delete, scratch, shared_dir, stored, table
 
 #: A document goes if its score reaches this.
 TOXIC = 0.5
@@ -37,18 +37,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of repeated ids the first text."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    found = simhash_wide.groups(keyed, "doc_id", "text", SHINGLE)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("__d")).agg(F.min("h").alias("__h")).hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64("text").eqNullSafe(F.col("__h"))
-    return docs.join(kept, same, "left_semi").select(*docs.columns)
+    """One document of each group of near copies: that with the smallest id (null last), of one id that with the smallest hash of the text.
+
+    Rows are told apart by numbers of their own, so null and repeated ids don't
+    make documents one. Of rows that are equal throughout one stays.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row"))
+    found = simhash_wide.groups(rows.select(key.alias("key"), "text"), "key", "text", SHINGLE)
+    kept = found.where(F.col("key.row") == F.col("group_id.row")).select(F.col("key.row").alias("__kept")).hint("shuffle_hash")
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), share=1.5, weights=(3, 1, 2), cap=2)
-    return mixing.mixed(docs, mixed.select("doc_id", "copies"))
+    """Documents as often as the mix takes them; told apart by id and text, as ids may be null or repeat."""
+    keyed = docs.withColumn("__doc", F.xxhash64("doc_id", "text", "source"))
+    mixed = mixing.mix(keyed.select(F.col("__doc").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), share=1.5, weights=(3, 1, 2), cap=2)
+    return mixing.mixed(keyed, mixed.select(F.col("doc_id").alias("__doc"), "copies"), "__doc").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's input and intermediate tables go once its rows are written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
