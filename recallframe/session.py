@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Folder of the innermost ``scratch`` block, if there is one.
@@ -43,8 +44,8 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What ``cut`` and ``stored`` write within this block goes when the block ends.
 
-    For work whose result is written within the block; a frame that is read
-    later must not be built in it.
+    A frame that is read later must be written within the block, to a place of
+    its own or by ``stored(keep=True)``.
     """
     context, home = spark.sparkContext, shared_dir(spark)
     folder = f"{home}/scratch-{uuid.uuid4().hex}"
@@ -65,14 +66,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table in the shared folder and read again; for wider rows than ``cut``."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again; for wider rows than ``cut``.
+
+    With ``keep`` it outlives the innermost ``scratch`` block.
+    """
     spark = df.sparkSession
-    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    folders = [shared_dir(spark), *_scratch]
+    path = f"{folders[-2 if keep and _scratch else -1]}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that are broadcast at most.
+FEW = 1 << 20
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, a stored table of numbers, with a broadcast hint if its counted rows are ``FEW`` at most."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
