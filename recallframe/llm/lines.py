@@ -1,12 +1,15 @@
 """Line dedup by a tree of log templates, in DataFrame functions only.
 
 A line's digits are masked and its words parsed down a tree of fixed depth: the
-number of words, then the leading words. In a leaf, a word is fixed at its place
-if the lines that have it there come from ``min_docs`` documents or more
-(summed over different lines), else it is a variable field. A line whose fixed
-words make up ``fixed_share`` of it belongs to the template of its fixed words
-and their places; a template that ``min_docs`` documents share recurs, and its
-lines are dropped everywhere but in the first document that has it.
+number of words, then the leading words. Where these lead to a leaf of its own
+document only, they are variable: all four levels turn into wildcards, and the
+next four words lead instead. In a leaf, a word is fixed at its place if the
+lines that have it there come from ``min_docs`` documents or more (summed over
+different lines), else it is a variable field. A line whose fixed words make up
+``fixed_share`` of it belongs to the template of its fixed words and their
+places; a template that ``min_docs`` documents share recurs, and its lines are
+dropped everywhere but in the first document that has it. A line of
+``long_words`` words or more recurs as soon as two documents have it as it is.
 
 Hot lines cost nothing special: leaves, lines and templates are summed before
 they are shuffled, and what goes back to the rows goes by joins that split. The
@@ -19,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallframe.llm.text import WORD_GAP
-from recallframe.session import stored, without
+from recallframe.session import scratch, stored, without
 
-#: Leading words of the tree, least words of a line, least documents of a template, least share of fixed words.
-DEPTH, MIN_WORDS, MIN_DOCS, FIXED_SHARE = 4, 3, 3, 0.8
+#: Words of a leaf's path, least documents of a template, least share of fixed words, words from which two documents suffice.
+DEPTH, MIN_DOCS, FIXED_SHARE, LONG_WORDS = 4, 3, 0.8, 50
+#: A line without such a character (rules, brackets, blank lines) is never dropped.
+SPEAKING = r"[\p{L}\p{N}]"
 
 
 def words_of(line: Column) -> Column:
@@ -34,6 +39,11 @@ def _leaf(words: Column) -> Column:
     return F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))
 
 
+def _wild(words: Column) -> Column:
+    """The leaf behind wildcards, for lines that have words there."""
+    return F.when(F.size(words) > DEPTH, F.xxhash64(F.size(words), F.lit("*"), F.slice(words, DEPTH + 1, DEPTH)))
+
+
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``docs`` with what tells rows apart: __d, the id, and __k, a hash of id and text. Equal rows are treated alike."""
     return docs.withColumn("__d", F.col(doc)).withColumn("__k", F.xxhash64(doc, text))
@@ -50,26 +60,44 @@ def _to_rows(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
     return rows.join(held, (F.col("__k") == F.col("__pk")) & F.col("__d").eqNullSafe(F.col("__pd")), how)
 
 
-def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(__d, __k, pos, line, masked) of the lines whose leaf occurs ``min_docs`` times or more, in two documents or more."""
-    rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
-    lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).withColumn("words", words_of(F.col("line")))
-    leaves = stored(lines.where(F.size("words") >= MIN_WORDS).select("__d", "__k", "pos", _leaf(F.col("words")).alias("leaf")))
-    again = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("__k").alias("least"), F.max("__k").alias("most"))
+def _split(rows: DataFrame, text: Column, out: str) -> DataFrame:
+    """``rows`` with the lines of ``text`` as array ``out``. A generator splits once for each row, whatever looks into the array later."""
+    return rows.select("*", F.explode(F.array(F.split(text, "\n"))).alias(out))
+
+
+def _recurring(leaves: DataFrame, leaf: str) -> DataFrame:
+    """The leaves of two documents or more."""
+    again = leaves.groupBy(F.col(leaf).alias("__leaf")).agg(F.min("__k").alias("least"), F.max("__k").alias("most"))
     # read back, it has no partitioning of its own, and Spark can split the join where a leaf holds many lines
-    again = stored(again.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf"))
-    found = _to_rows(rows, _positions(leaves.join(again, "leaf")), "inner")
-    each = found.select("__d", "__k", F.explode("__places").alias("pos"), F.split("__text", "\n").alias("all"))
-    masked = each.select("__d", "__k", "pos", F.array_join(words_of(F.element_at("all", F.col("pos") + 1)), " ").alias("masked"))
-    return masked.withColumn("line", F.xxhash64("masked"))
+    return stored(again.where("least <> most").select("__leaf"))
+
+
+def candidates(docs: DataFrame, doc: str, text: str, long_words: int = LONG_WORDS) -> DataFrame:
+    """(__d, __k, pos, leaf, masked, line, exact) of the lines whose leaf occurs in two documents or more.
+
+    ``line`` is a hash of the leaf and the masked line; ``exact`` is one of the line as it is, null for lines of fewer words than ``long_words``.
+    """
+    rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
+    lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).where(F.col("line").rlike(SPEAKING)).withColumn("words", words_of(F.col("line")))
+    leaves = stored(lines.where(F.size("words") > 0).select("__d", "__k", "pos", _leaf(F.col("words")).alias("leaf"), _wild(F.col("words")).alias("wild")))
+    own = _recurring(leaves, "leaf")
+    others = stored(leaves.where("wild is not null").join(own, F.col("leaf") == F.col("__leaf"), "left_anti").select("__d", "__k", "pos", "wild"))
+    wild = _recurring(others, "wild")
+    kept = leaves.join(own, F.col("leaf") == F.col("__leaf")).select("__d", "__k", "pos", "leaf")
+    kept = kept.unionByName(others.join(wild, F.col("wild") == F.col("__leaf")).select("__d", "__k", "pos", F.col("wild").alias("leaf")))
+    places = kept.groupBy("__d", "__k").agg(F.sort_array(F.collect_set(F.struct("pos", "leaf"))).alias("__places"))
+    found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.explode("__places").alias("place"))
+    each = found.select("__d", "__k", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
+    words = words_of(F.col("own"))
+    masked = each.select("__d", "__k", "pos", "leaf", F.array_join(words, " ").alias("masked"), F.when(F.size(words) >= long_words, F.xxhash64("own")).alias("exact"))
+    return masked.withColumn("line", F.xxhash64("leaf", "masked"))
 
 
 def templates(found: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
     """(line, template) of every different candidate line that has enough fixed words."""
     different = found.select("__d", "__k", "line").distinct().groupBy("line").agg(F.count("*").alias("docs"))
-    spelled = found.groupBy("line").agg(F.min("masked").alias("masked")).join(different, "line")
-    worded = spelled.select("line", "docs", F.split("masked", " ").alias("words")).withColumn("leaf", _leaf(F.col("words")))
-    fields = worded.select("line", "leaf", "docs", F.posexplode("words").alias("place", "word")).select("line", "docs", F.xxhash64("leaf", "place", "word").alias("field"))
+    spelled = found.groupBy("line").agg(F.min("masked").alias("masked"), F.min("leaf").alias("leaf")).join(different, "line")
+    fields = spelled.select("line", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "word")).select("line", "docs", F.xxhash64("leaf", "place", "word").alias("field"))
     common = fields.groupBy("field").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("field", F.lit(True).alias("fixed"))
     judged = fields.select("line", "field").join(common, "field", "left")
     # a field's hash holds leaf and place, so the sorted fixed fields are the template
@@ -77,33 +105,46 @@ def templates(found: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = F
     return lines.where(F.col("n_fixed") >= F.col("n") * fixed_share).select("line", F.xxhash64("fields").alias("template"))
 
 
-def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
+def _later(parsed: DataFrame, kind: str, min_docs: int) -> DataFrame:
+    """(__d, __k, pos) of the rows of ``parsed`` whose ``kind`` is found in ``min_docs`` documents or more, less those of the first one."""
+    shared = parsed.select(kind, "__d", "__k").distinct().groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("docs"), F.min(F.struct("__d", "__k")).alias("first"))
+    recurring = stored(shared.where(F.col("docs") >= min_docs).select("__kind", "first"))
+    return parsed.join(recurring, F.col(kind) == F.col("__kind")).where(F.struct("__d", "__k") != F.col("first")).select("__d", "__k", "pos")
+
+
+def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE, long_words: int = LONG_WORDS) -> DataFrame:
     """(__d, __k, __places) of the lines to drop."""
-    found = stored(candidates(docs, doc, text, min_docs))
+    found = stored(candidates(docs, doc, text, long_words))
     lines = stored(templates(found, min_docs, fixed_share))
-    parsed = found.select("__d", "__k", "pos", "line").join(lines, "line").select("template", "__d", "__k", "pos")
-    shared = parsed.select("template", "__d", "__k").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("__d", "__k")).alias("first"))
-    recurring = stored(shared.where(F.col("docs") >= min_docs).select("template", "first"))
-    return _positions(parsed.join(recurring, "template").where(F.struct("__d", "__k") != F.col("first")))
+    alike = _later(found.join(lines, "line").select("template", "__d", "__k", "pos"), "template", min_docs)
+    equal = _later(found.where("exact is not null").select("exact", "__d", "__k", "pos"), "exact", 2)
+    return alike.unionByName(equal).groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
 
 
-def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE, long_words: int = LONG_WORDS
+) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_dropped (long).
 
     All rows stay. A null text stays null, a text that loses all lines becomes
     empty, one that loses none stays as it is to the byte. Documents are told
     apart by id and text: repeats of one row count as one document, rows that
     share an id (or have none) but differ in text as several; the first is that
-    with the smallest id, nulls first (of one id, any fixed one). Lines of fewer
-    than MIN_WORDS words are never dropped. An input column n_dropped is
-    replaced; others stay.
+    with the smallest id, nulls first (of one id, any fixed one). Lines without
+    a letter or digit are never dropped. An input column n_dropped is replaced;
+    others stay.
     """
     kept = without(docs, "n_dropped")
-    joined = _to_rows(_keyed(kept, doc, text), dropped(docs, doc, text, min_docs, fixed_share), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
-    cleaned = F.when(F.col("__places").isNull(), F.col(text)).otherwise(left)
-    count = F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_dropped")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns], count)
+    with scratch(docs.sparkSession):
+        places = stored(dropped(docs, doc, text, min_docs, fixed_share, long_words), keep=True)
+    joined = _to_rows(_keyed(kept, doc, text), places, "left")
+    some = F.col("__places").isNotNull()
+    cut_up = _split(joined, F.when(some, F.col(text)), "__all")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__places"))
+    left = F.array_join(F.transform(stay, lambda i: F.element_at("__all", i + 1)), "\n")
+    cleaned = F.when(some, left).otherwise(F.col(text))
+    count = F.when(some, F.size("__places")).otherwise(0).cast("long").alias("n_dropped")
+    return cut_up.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns], count)
 
 
 #: The same in DuckDB, over view documents; lines, words and templates stay spelled out.
@@ -113,24 +154,36 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS
 lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered
 ), parsed AS (
-  SELECT r, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM lines
+  SELECT r, pos, line, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM lines WHERE regexp_matches(line, '{SPEAKING}')
 ), leaved AS (
-  SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead FROM parsed WHERE len(words) >= {MIN_WORDS}
+  SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead, words[{DEPTH + 1}:{2 * DEPTH}] AS later FROM parsed WHERE len(words) > 0
+), own AS (
+  SELECT n, lead FROM leaved GROUP BY n, lead HAVING count(DISTINCT r) > 1
+), others AS (
+  SELECT l.* FROM leaved l ANTI JOIN own USING (n, lead) WHERE n > {DEPTH}
+), wild AS (
+  SELECT n, later FROM others GROUP BY n, later HAVING count(DISTINCT r) > 1
 ), found AS (
-  SELECT * FROM leaved JOIN (SELECT n, lead FROM leaved GROUP BY n, lead HAVING count(DISTINCT r) > 1) USING (n, lead)
+  SELECT r, pos, line, words, n, lead AS leaf, false AS wild FROM leaved JOIN own USING (n, lead)
+  UNION ALL SELECT r, pos, line, words, n, later, true FROM others JOIN wild USING (n, later)
 ), different AS (
-  SELECT words, n, lead, count(DISTINCT r) AS docs FROM found GROUP BY words, n, lead
+  SELECT words, n, leaf, wild, count(DISTINCT r) AS docs FROM found GROUP BY ALL
 ), fields AS (
-  SELECT words, n, lead, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM different
+  SELECT words, n, leaf, wild, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM different
 ), judged AS (
-  SELECT *, sum(docs) OVER (PARTITION BY n, lead, place, word) >= {MIN_DOCS} AS fixed FROM fields
+  SELECT *, sum(docs) OVER (PARTITION BY n, leaf, wild, place, word) >= {MIN_DOCS} AS fixed FROM fields
 ), templated AS (
-  SELECT words, list((place, word) ORDER BY place) FILTER (WHERE fixed) AS template, any_value(n) AS n, any_value(lead) AS lead
-  FROM judged GROUP BY words HAVING count(*) FILTER (WHERE fixed) >= any_value(n) * {FIXED_SHARE}
+  SELECT words, leaf, wild, list((place, word) ORDER BY place) FILTER (WHERE fixed) AS template, any_value(n) AS n
+  FROM judged GROUP BY words, leaf, wild HAVING count(*) FILTER (WHERE fixed) >= any_value(n) * {FIXED_SHARE}
 ), recurring AS (
-  SELECT n, lead, template, min(r) AS first FROM found JOIN templated USING (words, n, lead) GROUP BY n, lead, template HAVING count(DISTINCT r) >= {MIN_DOCS}
+  SELECT n, leaf, wild, template, min(r) AS first FROM found JOIN templated USING (words, n, leaf, wild) GROUP BY n, leaf, wild, template HAVING count(DISTINCT r) >= {MIN_DOCS}
+), exact AS (
+  SELECT line, min(r) AS first FROM found WHERE n >= {LONG_WORDS} GROUP BY line HAVING count(DISTINCT r) > 1
 ), gone AS (
-  SELECT r, list(pos) AS places FROM found JOIN templated USING (words, n, lead) JOIN recurring USING (n, lead, template) WHERE r <> first GROUP BY r
+  SELECT r, list(DISTINCT pos) AS places FROM (
+    SELECT r, pos FROM found JOIN templated USING (words, n, leaf, wild) JOIN recurring USING (n, leaf, wild, template) WHERE r <> first
+    UNION ALL SELECT r, pos FROM found JOIN exact USING (line) WHERE r <> first
+  ) GROUP BY r
 ), cleaned AS (
   SELECT doc_id, text AS old, CASE WHEN places IS NULL THEN text ELSE array_to_string(
       list_transform(list_filter(list_zip(string_split(text, chr(10)), generate_series(1, len(string_split(text, chr(10))))), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]), chr(10)) END AS text,
