@@ -6,28 +6,31 @@ one Markov model of variable order each; a URL without a rule is judged by the
 difference of its log-likelihoods per character, with a threshold calibrated on
 a fifth of the ruled URLs that the models didn't count.
 
-Counts are summed over all ruled URLs. Contexts of 0 to ``ORDER`` characters and
-the character after them are hashed into ``SLOTS`` counters, which bounds the
-models whatever the number of URLs; orders blend by Witten-Bell weights.
+The models are tables of exact counts and grow with the input: how often a
+character follows each context of 0 to ``ORDER`` characters. Orders blend by
+Witten-Bell weights, from a uniform start over all bytes and the end mark, so
+the probabilities after any context sum to one. Each different run of
+``ORDER + 1`` characters of the URLs is scored once, by joins with the counts,
+and a URL's likelihood is the sum over its runs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recallframe.session import cut, without
+from recallframe.session import cut, stored, without
 
-#: Longest context, counters per class (character counts and, apart, context counts), symbols of the alphabet.
-ORDER, SLOTS, ALPHABET = 5, 1 << 18, 256
+#: Longest context; symbols of the alphabet: the bytes and the end mark.
+ORDER, ALPHABET = 5, 257
+#: Marks outside of the bytes, which are written as characters of the same number.
+BEGIN, END = "\u0100", "\u0101"
 #: Bin width of the calibration's histogram in nats per character, and its number of bins to each side.
 BIN, BINS = 0.01, 1000
 FOLDS = 5
+KINDS = ("block", "allow")
 
 
 @dataclass(frozen=True)
@@ -67,119 +70,85 @@ def matched(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     return named.withColumn("rule", rule).withColumn("verdict", verdict)
 
 
-def _hashes(url: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of contexts and of contexts with their character: arrays (order, place)."""
-    symbols = np.frombuffer(b"\x02" * ORDER + url + b"\x03", np.uint8).astype(np.uint64)
-    n = len(symbols) - ORDER
-    context = np.zeros(n, np.uint64)
-    contexts, grams = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
-    char = symbols[ORDER:]
-    for k in range(ORDER + 1):
-        if k:
-            context = context * np.uint64(0x100000001B3) + symbols[ORDER - k : ORDER - k + n] + np.uint64(1)
-        mixed = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        contexts[k] = (mixed >> np.uint64(40)) % np.uint64(SLOTS)
-        grams[k] = (((mixed ^ (char + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(SLOTS)
-    return contexts, grams
-
-
-@dataclass
-class Model:
-    """Per class (0 rejected, 1 accepted): uses of contexts, their different characters, uses of grams."""
-
-    uses: np.ndarray
-    kinds: np.ndarray
-    grams: np.ndarray
-    threshold: float = 0.0
-
-    def log_likelihood(self, url: bytes) -> np.ndarray:
-        """Per class, in nats per character (the end mark counts as one)."""
-        contexts, grams = _hashes(url)
-        p = np.full((2, contexts.shape[1]), 1.0 / ALPHABET)
-        for k in range(ORDER + 1):
-            uses, kinds = self.uses[:, contexts[k]], self.kinds[:, contexts[k]]
-            p = np.where(uses > 0, (np.minimum(self.grams[:, grams[k]], uses) + kinds * p) / np.maximum(uses + kinds, 1), p)
-        return np.log(p).mean(axis=1)
-
-    def ratio(self, url: bytes) -> float:
-        rejected, accepted = self.log_likelihood(url)
-        return float(accepted - rejected)
-
-
-def _subject(host: Column, path: Column) -> Column:
-    return F.concat(host, path).cast("binary")
-
-
-def _fold(df_url: Column) -> Column:
-    return F.pmod(F.xxhash64(df_url), F.lit(FOLDS))
-
-
-def train(ruled: DataFrame) -> Model:
-    """The models of rows with host, path and verdict; everything gathered is bounded by SLOTS and BINS."""
-    rows = ruled.where(F.col("verdict").isNotNull()).select(
-        _subject(F.col("host"), F.col("path")).alias("subject"), (F.col("verdict") == "allow").cast("int").alias("y"), (_fold(F.concat("host", "path")) == 0).alias("held")
-    )
-
-    def count(batches):
-        seen = np.zeros((2, 2, SLOTS), np.int64)
-        for batch in batches:
-            for subject, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                contexts, grams = _hashes(subject)
-                np.add.at(seen[0, y], contexts.ravel(), 1)
-                np.add.at(seen[1, y], grams.ravel(), 1)
-        kind, y, slot = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kind, y, slot, seen[kind, y, slot])], ["kind", "y", "slot", "n"])
-
-    counted = rows.where("not held").select("subject", "y").mapInArrow(count, "kind long, y long, slot long, n long")
-    sums = counted.groupBy("kind", "y", "slot").agg(F.sum("n").alias("n")).toPandas()  # 4 * SLOTS rows at most
-
-    # different characters after a context: contexts and characters once each
-    def kinds(batches):
-        for batch in batches:
-            for subject, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                contexts, grams = _hashes(subject)
-                pairs = np.unique(np.stack([contexts.ravel(), grams.ravel()]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], y), pa.int64()), pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["y", "slot", "gram"])
-
-    spread = rows.where("not held").select("subject", "y").mapInArrow(kinds, "y long, slot long, gram long").distinct()
-    per = spread.groupBy("y", "slot").count().toPandas()  # 2 * SLOTS rows at most
-    model = Model(*(np.zeros((2, SLOTS), np.float64) for _ in range(3)))
-    for kind, into in ((0, model.uses), (1, model.grams)):
-        part = sums[sums["kind"] == kind]
-        into[part["y"], part["slot"]] = part["n"]
-    model.kinds[per["y"], per["slot"]] = per["count"]
-    model.threshold = calibrate(rows.where("held"), model)
-    return model
-
-
-def _scored(rows: DataFrame, model: Model, subject: str, out: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # 6 * SLOTS numbers
-    fields = [f for f in rows.schema.fields if f.name != subject]
-    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
-
-    def work(batches):
-        own = sent.value
-        for batch in batches:
-            scores = pa.array([own.ratio(s or b"") for s in batch.column(subject).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], scores], schema.names)
-
-    return rows.mapInArrow(work, schema)
-
-
-def calibrate(held: DataFrame, model: Model) -> float:
-    """The ratio that best parts accepted from rejected held-out rows: largest sum of both classes' shares; 0 if one is missing."""
+def subject(host: Column, path: Column) -> Column:
+    """Host and path, a character a byte."""
+    return F.decode(F.encode(F.concat(host, path), "UTF-8"), "ISO-8859-1")
+
+
+def runs(text: Column) -> Column:
+    """All runs of ORDER + 1 characters of a marked subject, one for each character and the end mark."""
+    marked = F.concat(F.lit(BEGIN * ORDER), text, F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(ORDER + 1)))
+
+
+def counts(subjects: DataFrame) -> DataFrame:
+    """(run, block, allow): how often each run occurs in the ``subjects`` (subject, verdict, times) of each verdict."""
+    each = subjects.select(F.explode(runs(F.col("subject"))).alias("run"), "verdict", "times")
+    return each.groupBy("run").agg(*[F.sum(F.when(F.col("verdict") == k, F.col("times")).otherwise(0)).alias(k) for k in KINDS])
+
+
+def likelihoods(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(run, block, allow): the natural logarithm of the probability of the last character after the others, by class.
+
+    ``asked`` (run) holds different runs, ``counted`` those of ``counts``. After a
+    context that a class hasn't seen, the next shorter one's probability holds.
+    """
+    now = asked.select("run", *[F.lit(1.0 / ALPHABET).alias(f"p_{k}") for k in KINDS])
+    for order in range(ORDER + 1):
+        gram = F.substring("run", ORDER + 1 - order, order + 1)
+        grams = counted.groupBy(gram.alias("gram")).agg(*[F.sum(k).alias(f"n_{k}") for k in KINDS])
+        context = F.substring("gram", 1, order) if order else F.lit("")
+        grams = cut(grams.withColumn("context", context))
+        contexts = grams.groupBy("context").agg(
+            *[F.sum(f"n_{k}").alias(f"uses_{k}") for k in KINDS], *[F.count(F.when(F.col(f"n_{k}") > 0, 1)).alias(f"kinds_{k}") for k in KINDS]
+        )
+        keyed = now.withColumn("gram", gram).withColumn("context", context)
+        joined = keyed.join(grams.drop("context"), "gram", "left").join(contexts, "context", "left")
+        blended = []
+        for k in KINDS:
+            n, uses, kinds = (F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) for c in ("n", "uses", "kinds"))
+            p = F.when(uses > 0, (n + kinds * F.col(f"p_{k}")) / (uses + kinds)).otherwise(F.col(f"p_{k}"))
+            blended.append(p.alias(f"p_{k}"))
+        now = cut(joined.select("run", *blended))
+    return now.select("run", *[F.log(f"p_{k}").alias(k) for k in KINDS])
+
+
+def ratios(subjects: DataFrame, counted: DataFrame) -> DataFrame:
+    """(subject, ratio) of different ``subjects``: log-likelihood as accepted less that as rejected, per character, the end mark being one."""
+    each = stored(subjects.select("subject", F.posexplode(runs(F.col("subject"))).alias("at", "run")).select("subject", "run"))
+    scores = likelihoods(each.select("run").distinct(), counted)
+    gains = stored(scores.select("run", (F.col("allow") - F.col("block")).alias("gain")))
+    # read back, the sides have no partitioning of their own, and Spark can split the join at runs that many URLs have
+    found = each.join(gains, "run")
+    # whole billionths add up alike in any order
+    total = F.sum(F.round(F.col("gain") * 1e9).cast("long")) / 1e9
+    return stored(found.groupBy("subject").agg((total / F.count("*")).alias("ratio")))
+
+
+def _held(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)) == 0
+
+
+def threshold(held: DataFrame) -> float:
+    """The ratio that best parts accepted from rejected rows (verdict, times, ratio): largest sum of both classes' shares; 0 if one is missing.
+
+    A threshold is the right end of a histogram's bin, of equally good ones the middle.
+    """
     bins = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("ratio") / BIN))).cast("int")
-    counts = _scored(held, model, "subject", "ratio").groupBy("y", bins.alias("bin")).count().collect()  # 4 * BINS + 2 rows at most
-    hist = np.zeros((2, 2 * BINS + 1))
-    for r in counts:
-        hist[r["y"], r["bin"] + BINS] += r["count"]
-    if not hist.sum(axis=1).all():
+    found = held.groupBy("verdict", bins.alias("bin")).agg(F.sum("times").alias("n")).collect()  # 4 * BINS + 2 rows at most
+    hist = {k: [0] * (2 * BINS + 1) for k in KINDS}
+    for r in found:
+        hist[r["verdict"]][r["bin"] + BINS] += r["n"]
+    total = {k: sum(hist[k]) for k in KINDS}
+    if not all(total.values()):
         return 0.0
-    share = np.cumsum(hist, axis=1) / hist.sum(axis=1, keepdims=True)
-    # a threshold at a bin's right end rejects all up to it; of equal ones the middle
-    gain = share[0] - share[1]
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float((best[len(best) // 2] - BINS + 1) * BIN)
+    below, gains = dict.fromkeys(KINDS, 0), []
+    for i in range(2 * BINS + 1):
+        for k in KINDS:
+            below[k] += hist[k][i]
+        gains.append(below["block"] * total["allow"] - below["allow"] * total["block"])
+    best = [i for i, g in enumerate(gains) if g == max(gains)]
+    return (best[len(best) // 2] - BINS + 1) * BIN
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
@@ -187,11 +156,19 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
 
     Null URLs and URLs without ``://`` have an empty host and path and, as rules
     don't fit, the method's verdict. Without ruled URLs of both kinds nothing can
-    be told and all others are allowed. Input columns of these names are replaced.
+    be told: the ratio is 0 and all others are allowed. Repeated URLs count as
+    often as they occur. Input columns of these names are replaced.
     """
-    named = matched(without(df, "ratio"), rules, url)
-    ruled = cut(named.select("host", "path", "verdict"))
-    model = train(ruled)
-    scored = _scored(named.withColumn("__subject", _subject(F.col("host"), F.col("path"))), model, "__subject", "ratio")
-    told = F.when(F.col("ratio") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return scored.withColumn("verdict", F.coalesce("verdict", told))
+    named = matched(without(df, "ratio", "__subject"), rules, url).withColumn("__subject", subject(F.col("host"), F.col("path")))
+    # equal subjects have equal rules
+    subjects = cut(named.groupBy(F.col("__subject").alias("subject")).agg(F.first("verdict").alias("verdict"), F.count("*").alias("times")))
+    ruled = subjects.where("verdict is not null")
+    learned = counts(ruled.where(~_held(F.col("subject"))))
+    if ruled.where(~_held(F.col("subject"))).select("verdict").distinct().count() == len(KINDS):
+        scored = ratios(subjects.select("subject"), cut(learned))
+        least = threshold(ruled.where(_held(F.col("subject"))).join(scored, "subject"))
+    else:
+        scored, least = subjects.select("subject", F.lit(0.0).alias("ratio")), 0.0
+    joined = named.join(scored.withColumnRenamed("subject", "__scored"), F.col("__subject") == F.col("__scored"))
+    told = F.when(F.col("ratio") >= least, F.lit("allow")).otherwise(F.lit("block"))
+    return joined.withColumn("verdict", F.coalesce("verdict", told)).drop("__subject", "__scored")

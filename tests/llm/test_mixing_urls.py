@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -114,7 +116,62 @@ def test_ratio_parts_two_kinds(spark):
     assert urls.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_likelihoods_of_brute_force():
-    model = urls.Model(*(np.zeros((2, urls.SLOTS)) for _ in range(3)))
-    assert np.allclose(model.log_likelihood(b"abc"), -np.log(urls.ALPHABET))
-    assert model.ratio(b"") == 0
+def brute_counts(urls_of):
+    """Per class and context of 0 to 5 characters, how often each character follows."""
+    seen = {k: defaultdict(lambda: defaultdict(int)) for k in urls.KINDS}
+    for kind, texts in urls_of.items():
+        for t in texts:
+            marked = urls.BEGIN * urls.ORDER + t.encode().decode("latin-1") + urls.END
+            for i in range(urls.ORDER, len(marked)):
+                for k in range(urls.ORDER + 1):
+                    seen[kind][marked[i - k : i]][marked[i]] += 1
+    return seen
+
+
+def brute_p(seen, context, char):
+    p = 1 / urls.ALPHABET
+    for k in range(urls.ORDER + 1):
+        after = seen[context[urls.ORDER - k :]] if context[urls.ORDER - k :] in seen else {}
+        if after:
+            p = (after.get(char, 0) + len(after) * p) / (sum(after.values()) + len(after))
+    return p
+
+
+def brute_ratio(seen, text):
+    marked = urls.BEGIN * urls.ORDER + text.encode().decode("latin-1") + urls.END
+    places = range(urls.ORDER, len(marked))
+    return sum(math.log(brute_p(seen["allow"], marked[i - 5 : i], marked[i]) / brute_p(seen["block"], marked[i - 5 : i], marked[i])) for i in places) / len(places)
+
+
+def test_likelihoods_threshold_and_verdicts_by_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
+    rows = [(i, f"http://{word()}.{'org/fr' if i % 2 else 'net'}/{word()}/{word() * (i % 3)}") for i in range(240)]
+    rows += [(i, f"http://{word()}.com/{word()}") for i in range(240, 330)] + [(400, None), (401, rows[0][1]), (402, rows[0][1]), (403, "x" * 50)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    found = {i: brute_url(u) for i, u in rows}
+    texts = sorted({h + p for h, p, *_ in found.values()})
+    held = {r.subject for r in spark.createDataFrame([(t,) for t in texts], "subject string").where(urls._held(urls.subject(urls.F.col("subject"), urls.F.lit("")))).collect()}
+    seen = brute_counts({k: [h + p for h, p, _, v in found.values() if v == k and h + p not in held] for k in urls.KINDS})
+    for i in found:
+        h, p, *_ = found[i]
+        assert abs(got[i].ratio - brute_ratio(seen, h + p)) < 1e-7
+    # the threshold: no other right end of a bin parts the held-out rows better
+    ruled = [(v, got[i].ratio) for i, (h, p, _, v) in found.items() if v and h + p in held]
+    share = lambda t: [np.mean([r < t for v, r in ruled if v == k]) for k in urls.KINDS]
+    gain = lambda t: share(t)[0] - share(t)[1]
+    least = urls.threshold(spark.createDataFrame([(v, 1, r) for v, r in ruled], "verdict string, times long, ratio double"))
+    assert gain(least) >= max(gain(b * urls.BIN + 1e-12) for b in range(-urls.BINS, urls.BINS)) - 1e-9
+    for i, (_, _, rule, v) in found.items():
+        assert got[i].verdict == (v if rule else "allow" if got[i].ratio >= least else "block")
+
+
+def test_probabilities_sum_to_one(spark):
+    rows = [(t, k, 1) for k, ts in {"allow": ["abc", "abd", "x"], "block": ["bca", "zz/q"]}.items() for t in ts]
+    counted = urls.counts(spark.createDataFrame(rows, "subject string, verdict string, times long"))
+    contexts = ["\u0100\u0100\u0100ab", "\u0100\u0100\u0100\u0100\u0100", "qqqqq", "abcab"]
+    asked = [(c + chr(b),) for c in contexts for b in [*range(256), 0x101]]
+    got = defaultdict(lambda: np.zeros(2))
+    for r in urls.likelihoods(spark.createDataFrame(asked, "run string"), counted).collect():
+        got[r.run[:-1]] += np.exp([r.block, r.allow])
+    assert len(got) == len(contexts) and all(np.allclose(v, 1) for v in got.values())
