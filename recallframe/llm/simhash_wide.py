@@ -20,7 +20,8 @@ So the comparisons are linear in the rows, however hot an entry is. The segments
 widen with the number of rows, so that unlike texts seldom share an entry.
 
 Fingerprints only find candidates. Near copies are those of the candidates whose
-exact sets of shingles have a Jaccard similarity of 0.8 or more.
+exact sets of shingles have a Jaccard similarity of 0.8 or more. The sets are made
+anew from the texts of candidates, so none are kept for the other rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallframe.llm.components import components
-from recallframe.session import cut, stored, without
+from recallframe.session import cut, few, scratch, stored, without
 
 
 @dataclass(frozen=True)
@@ -115,26 +116,45 @@ def fingerprint_of_set(shingles: np.ndarray, layout: Layout) -> tuple[bytes, byt
     return np.packbits(votes > 0, bitorder="little").tobytes(), low.tobytes()
 
 
+def _sets(column, width: int) -> list[np.ndarray]:
+    return [shingles_of(t or b"", width) for t in column.cast(pa.binary()).to_pylist()]
+
+
 def fingerprints(df: DataFrame, text: str, width: int, layout: Layout) -> DataFrame:
-    """``df`` with ``wide``, ``low`` (binary) and ``shingles`` (array of hashes) instead of its whole ``text``; null is as empty."""
-    kept = without(df, "wide", "low", "shingles")
+    """``df`` with ``wide``, ``low`` (binary) and ``fid``, a hash of the set of shingles, instead of its whole ``text``; null is as empty."""
+    kept = without(df, "wide", "low", "fid")
     fields = [f for f in kept.schema.fields if f.name != text]
-    schema = T.StructType([*fields, T.StructField("wide", T.BinaryType()), T.StructField("low", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*fields, T.StructField("wide", T.BinaryType()), T.StructField("low", T.BinaryType()), T.StructField("fid", T.LongType())])
 
     def work(batches):
+        import xxhash
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                sets = [shingles_of(t or b"", width) for t in part.column(text).cast(pa.binary()).to_pylist()]
+                sets = _sets(part.column(text), width)
                 pairs = [fingerprint_of_set(s, layout) for s in sets]
                 columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64))))
+                columns.append(pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], *columns], schema.names)
 
     return kept.mapInArrow(work, schema)
 
 
+def shingle_sets(df: DataFrame, text: str, width: int) -> DataFrame:
+    """(fid, shingles) of the rows of ``df`` (fid, ``text``)."""
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = _sets(part.column(text), width)
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("fid"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["fid", "shingles"])
+
+    return df.select("fid", text).mapInArrow(work, "fid long, shingles array<long>")
+
+
 def _probes(layout: Layout):
     """(key, fid, own) rows: each segment's ball, its first value being the segment itself."""
     segments, flips, width = layout.segments, layout.flips, layout.segment // 8
@@ -173,22 +193,27 @@ def _close(pairs: DataFrame, layout: Layout) -> DataFrame:
     return pairs.where(apart <= layout.distance).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _stars(entries: DataFrame, probes: DataFrame, words: DataFrame, layout: Layout) -> DataFrame:
+def _found(probes: DataFrame) -> DataFrame:
+    """(key, fid, own, a, b, n) of the probes that meet another fingerprint: the entry's smallest and largest one, and its number of them."""
+    entries = probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count("*").alias("n"))
+    return stored(probes.join(entries, "key").where("n > 1 or a <> fid"))
+
+
+def _stars(found: DataFrame, words: DataFrame, layout: Layout) -> DataFrame:
     """Close pairs of each entry's members with its smallest and its largest fingerprint."""
-    answers = entries.select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    pairs = probes.select("key", F.col("fid").alias("u")).join(answers, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = found.select(F.col("fid").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    pairs = ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return _close(pairs.join(words.toDF("u", "l"), "u").join(words.toDF("v", "r"), "v"), layout)
 
 
-def _named(entries: DataFrame, probes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _named(found: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, label, fid, own) of the entries of three fingerprints or more, and (key, full) of those that more than one component meets in.
 
     An entry is full if pairing its components' members costs more than
     ``BUCKET`` comparisons for each of its members.
     """
-    large = stored(entries.where("n > 2").select("key"))
-    found = probes.join(large, "key", "left_semi")
-    named = stored(found.join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid")))
+    large = found.where("n > 2").select("key", "fid", "own")
+    named = stored(large.join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid")))
     sides = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum(F.col("own").cast("long")).alias("o"))
     # of the pairs with an own side, those within a component don't count
     m, o = F.sum("m").cast("double"), F.sum("o").cast("double")
@@ -210,13 +235,13 @@ def _rest(named: DataFrame, keys: DataFrame, words: DataFrame, layout: Layout) -
     return _close(meet.join(left, ["key", "x"]).join(right, ["key", "y"]), layout)
 
 
-def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _rarest(members: DataFrame, sets) -> DataFrame:
     """Pairs (u, v) of ``members`` (fid, label) of different components that share one of the rarest fifth of each one's shingles.
 
     All that ``SIMILAR`` asks for are among them: of n shingles, ordered in one
     way for all, two such sets share one of the first n - ceil(0.8 n) + 1.
     """
-    own = stored(sets.join(members, "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
+    own = sets(members.select("fid")).withColumnRenamed("shingles", "s")
     each = own.select("fid", F.explode("s").alias("x"))
     counts = stored(each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"))
     often = each.join(counts, "x")
@@ -234,46 +259,70 @@ def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles (fid, shingles) have a Jaccard similarity of ``SIMILAR`` or more."""
-    asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("fid")).distinct())
-    # equal ids have equal sets
-    known = stored(sets.join(asked, "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
+def _similar(pairs: DataFrame, sets) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; ``sets`` makes (fid, shingles) of asked fids."""
+    pairs = stored(pairs)
+    known = sets(stored(pairs.select(F.explode(F.array("u", "v")).alias("fid")).distinct()))
     both = pairs.join(known.toDF("u", "su"), "u").join(known.toDF("v", "sv"), "v")
     shared, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
-    return both.where(shared * sum(SIMILAR) >= total * SIMILAR[0]).select("u", "v")
+    return cut(both.where(shared * sum(SIMILAR) >= total * SIMILAR[0]).select("u", "v"))
 
 
-def links(prints: DataFrame, sets: DataFrame, layout: Layout) -> DataFrame:
+def links(prints: DataFrame, sets, layout: Layout) -> DataFrame:
     """Verified edges (u, v) between ids of ``prints`` (fid, wide, low), which holds each id once.
 
     They connect all pairs that share an entry, are close enough, and are similar
-    by their exact shingles in ``sets`` (fid, shingles).
+    by their exact shingles; ``sets`` makes (fid, shingles) of a table of fids.
     """
-    probes = prints.select("fid", "wide", "low").mapInArrow(_probes(layout), "key long, fid long, own boolean")
-    entries = stored(probes.where("own").groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count("*").alias("n")))
+    found = _found(prints.select("fid", "wide", "low").mapInArrow(_probes(layout), "key long, fid long, own boolean"))
     words = _words(prints, layout)
-    stars = cut(_similar(stored(_stars(entries, probes, words, layout)), sets))
-    named, keys = _named(entries, probes, components(stars))
-    found = stars.unionByName(cut(_similar(stored(_rest(named, keys.where("not full"), words, layout)), sets)))
+    stars = _similar(_stars(found, words, layout), sets)
+    named, keys = _named(found, components(stars))
+    linked = stars.unionByName(_similar(_rest(named, keys.where("not full"), words, layout), sets))
     full = stored(named.join(keys.where("full"), "key", "left_semi").select("fid", "label").distinct())
-    if full.isEmpty():
-        return found
-    return found.unionByName(cut(_similar(stored(_rarest(full, sets)), sets)))
+    return linked if full.isEmpty() else linked.unionByName(_similar(_rarest(full, sets), sets))
+
+
+def _grouped(rows: DataFrame, doc: str, text: str, width: int, layout: Layout | None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a number __row, written; and these less their text, with __first: a struct of the doc and __row that stand for the row's group.
+
+    That is the group's smallest doc, nulls last; of one doc the smallest hash of the text.
+    """
+    held = stored(without(rows, "__row").withColumn("__row", F.monotonically_increasing_id()), keep=True)
+    layout = layout or layout_for(held.count())
+    order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.xxhash64(text).alias("h"), F.col("__row").alias("row"))
+    printed = stored(fingerprints(held.withColumn("__order", order), text, width, layout))
+    different = cut(printed.groupBy("fid").agg(F.min("__order").alias("least"), F.min(F.struct("__row", "wide", "low")).alias("p")).select("fid", "least", "p.__row", "p.wide", "p.low"))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        one = stored(different.select("fid", "__row").join(few(asked), "fid", "left_semi"))
+        return stored(shingle_sets(held.select("__row", text).join(few(one), "__row"), text, width))
+
+    labels = components(cut(links(different, sets, layout)))
+    named = different.select("fid", "least").join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
+    first = named.groupBy("label").agg(F.min("least").alias("__first"))
+    classes = cut(named.select("fid", "label").join(first, "label").select("fid", "__first"))
+    return held, printed.drop("wide", "low", "__order").join(classes, "fid").drop("fid")
 
 
 def groups(rows: DataFrame, doc: str, text: str, width: int, layout: Layout | None = None) -> DataFrame:
     """``rows`` less its text, with group_id: the smallest ``doc`` among a row's near copies.
 
-    ``doc`` may be of any type that has an order. Equal sets of shingles are one
-    group whatever their number; rows without words are one group too. Null docs
-    count only where a group has no others. The layout follows the number of rows.
+    Equal sets of shingles are one group whatever their number; rows without words
+    are one group too. Null docs count only where a group has no others. The
+    layout follows the number of rows unless it is given.
     """
-    layout = layout or layout_for(rows.count())
-    printed = stored(fingerprints(without(rows, "group_id", "fid"), text, width, layout).withColumn("fid", F.xxhash64("shingles")))
-    different = cut(printed.groupBy("fid").agg(F.min(doc).alias("least"), F.min(F.struct("wide", "low")).alias("p")).select("fid", "least", "p.wide", "p.low"))
-    labels = components(cut(links(different, printed.select("fid", "shingles"), layout)))
-    named = different.select("fid", "least").join(labels.withColumnRenamed("node", "fid"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
-    first = named.groupBy("label").agg(F.min("least").alias("group_id"))
-    classes = cut(named.select("fid", "label").join(first, "label").select("fid", "group_id"))
-    return printed.drop("wide", "low", "shingles").join(classes, "fid").drop("fid")
+    _, grouped = _grouped(without(rows, "group_id"), doc, text, width, layout)
+    return grouped.withColumn("group_id", F.col("__first.doc")).drop("__first", "__row")
+
+
+def one_of_each(rows: DataFrame, doc: str, text: str, width: int, layout: Layout | None = None) -> DataFrame:
+    """The row of each group of near copies that has the smallest ``doc``, nulls last; of one doc that with the smallest hash of the text.
+
+    Rows are told apart by numbers of their own, so null and repeated docs don't
+    make rows one. Of rows that are equal throughout one stays.
+    """
+    with scratch(rows.sparkSession):
+        held, grouped = _grouped(rows, doc, text, width, layout)
+        kept = stored(grouped.where(F.col("__row") == F.col("__first.row")).select(F.col("__row").alias("__kept")), keep=True)
+    return held.join(kept.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").select(*[f"`{c}`" for c in rows.columns])
