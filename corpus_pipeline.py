@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recallframe.llm import bpe, lines, mixing, queries, simhash_wide, toxicity
 from recallframe.llm.text import word_count
-from recallframe.session import delete, scratch, shared_dir, stored, table
+from recallframe.session import delete, scratch, shared_dir, table
 
 #: A document goes if its score reaches this.
 TOXIC = 0.5
@@ -37,16 +37,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id (null last), of one id that with the smallest hash of the text.
-
-    Rows are told apart by numbers of their own, so null and repeated ids don't
-    make documents one. Of rows that are equal throughout one stays.
-    """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row"))
-    found = simhash_wide.groups(rows.select(key.alias("key"), "text"), "key", "text", SHINGLE)
-    kept = found.where(F.col("key.row") == F.col("group_id.row")).select(F.col("key.row").alias("__kept")).hint("shuffle_hash")
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    """One document of each group of near copies: that with the smallest id (null last), of one id that with the smallest hash of the text."""
+    return simhash_wide.one_of_each(docs, "doc_id", "text", SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
