@@ -9,7 +9,9 @@ different lines), else it is a variable field. A line whose fixed words make up
 ``fixed_share`` of it belongs to the template of its fixed words and their
 places; a template that ``min_docs`` documents share recurs, and its lines are
 dropped everywhere but in the first document that has it. A line of
-``long_words`` words or more recurs as soon as two documents have it as it is.
+``long_words`` words or more recurs as soon as two documents have it as it is;
+documents that as good as whole consist of such repeats are copies, and are left
+whole for the dedup of documents.
 
 Hot lines cost nothing special: leaves, lines and templates are summed before
 they are shuffled, and what goes back to the rows goes by joins that split. The
@@ -26,6 +28,8 @@ from recallframe.session import scratch, stored, without
 
 #: Words of a leaf's path, least documents of a template, least share of fixed words, words from which two documents suffice.
 DEPTH, MIN_DOCS, FIXED_SHARE, LONG_WORDS = 4, 3, 0.8, 50
+#: A document with this share of its characters in lines of earlier documents is a copy.
+COPIED_SHARE = 0.8
 #: A line without such a character (rules, brackets, blank lines) is never dropped.
 SPEAKING = r"[\p{L}\p{N}]"
 
@@ -73,9 +77,9 @@ def _recurring(leaves: DataFrame, leaf: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, doc: str, text: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """(__d, __k, pos, leaf, masked, line, exact) of the lines whose leaf occurs in two documents or more.
+    """(__d, __k, pos, leaf, masked, line, exact, long, chars, whole) of the lines whose leaf occurs in two documents or more.
 
-    ``line`` is a hash of the leaf and the masked line; ``exact`` is one of the line as it is, null for lines of fewer words than ``long_words``.
+    ``line`` is a hash of the leaf and the masked line, ``exact`` one of the line as it is; ``chars`` and ``whole`` are the lengths of the line and of its text.
     """
     rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
     lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).where(F.col("line").rlike(SPEAKING)).withColumn("words", words_of(F.col("line")))
@@ -86,10 +90,12 @@ def candidates(docs: DataFrame, doc: str, text: str, long_words: int = LONG_WORD
     kept = leaves.join(own, F.col("leaf") == F.col("__leaf")).select("__d", "__k", "pos", "leaf")
     kept = kept.unionByName(others.join(wild, F.col("wild") == F.col("__leaf")).select("__d", "__k", "pos", F.col("wild").alias("leaf")))
     places = kept.groupBy("__d", "__k").agg(F.sort_array(F.collect_set(F.struct("pos", "leaf"))).alias("__places"))
-    found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.explode("__places").alias("place"))
-    each = found.select("__d", "__k", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
+    found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.length("__text").alias("whole"), F.explode("__places").alias("place"))
+    each = found.select("__d", "__k", "whole", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
     words = words_of(F.col("own"))
-    masked = each.select("__d", "__k", "pos", "leaf", F.array_join(words, " ").alias("masked"), F.when(F.size(words) >= long_words, F.xxhash64("own")).alias("exact"))
+    masked = each.select(
+        "__d", "__k", "pos", "leaf", "whole", F.array_join(words, " ").alias("masked"), F.xxhash64("own").alias("exact"), (F.size(words) >= long_words).alias("long"), F.length("own").alias("chars")
+    )
     return masked.withColumn("line", F.xxhash64("leaf", "masked"))
 
 
@@ -106,10 +112,10 @@ def templates(found: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = F
 
 
 def _later(parsed: DataFrame, kind: str, min_docs: int) -> DataFrame:
-    """(__d, __k, pos) of the rows of ``parsed`` whose ``kind`` is found in ``min_docs`` documents or more, less those of the first one."""
+    """The rows of ``parsed`` whose ``kind`` is found in ``min_docs`` documents or more, less those of the first one."""
     shared = parsed.select(kind, "__d", "__k").distinct().groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("docs"), F.min(F.struct("__d", "__k")).alias("first"))
     recurring = stored(shared.where(F.col("docs") >= min_docs).select("__kind", "first"))
-    return parsed.join(recurring, F.col(kind) == F.col("__kind")).where(F.struct("__d", "__k") != F.col("first")).select("__d", "__k", "pos")
+    return parsed.join(recurring, F.col(kind) == F.col("__kind")).where(F.struct("__d", "__k") != F.col("first")).select(*parsed.columns)
 
 
 def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE, long_words: int = LONG_WORDS) -> DataFrame:
@@ -117,8 +123,12 @@ def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs:
     found = stored(candidates(docs, doc, text, long_words))
     lines = stored(templates(found, min_docs, fixed_share))
     alike = _later(found.join(lines, "line").select("template", "__d", "__k", "pos"), "template", min_docs)
-    equal = _later(found.where("exact is not null").select("exact", "__d", "__k", "pos"), "exact", 2)
-    return alike.unionByName(equal).groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
+    equal = _later(found.select("exact", "__d", "__k", "pos", "long", "chars", "whole"), "exact", 2)
+    # a text's lines and the breaks between them
+    copied = (F.sum("chars") + F.count("*") - 1 >= COPIED_SHARE * F.first("whole")).alias("copied")
+    documents = equal.groupBy("__d", "__k").agg(copied, F.collect_set(F.when(F.col("long"), F.col("pos"))).alias("places"))
+    single = documents.where("not copied").select("__d", "__k", F.explode("places").alias("pos"))
+    return alike.select("__d", "__k", "pos").unionByName(single).groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
 
 
 def dedup_lines(
@@ -178,11 +188,15 @@ lines AS (
 ), recurring AS (
   SELECT n, leaf, wild, template, min(r) AS first FROM found JOIN templated USING (words, n, leaf, wild) GROUP BY n, leaf, wild, template HAVING count(DISTINCT r) >= {MIN_DOCS}
 ), exact AS (
-  SELECT line, min(r) AS first FROM found WHERE n >= {LONG_WORDS} GROUP BY line HAVING count(DISTINCT r) > 1
+  SELECT line, min(r) AS first FROM found GROUP BY line HAVING count(DISTINCT r) > 1
+), equal AS (
+  SELECT r, pos, n, line FROM found JOIN exact USING (line) WHERE r <> first
+), single AS (
+  SELECT r FROM equal JOIN numbered USING (r) GROUP BY r HAVING sum(length(line)) + count(*) - 1 < {COPIED_SHARE} * any_value(length(text))
 ), gone AS (
   SELECT r, list(DISTINCT pos) AS places FROM (
     SELECT r, pos FROM found JOIN templated USING (words, n, leaf, wild) JOIN recurring USING (n, leaf, wild, template) WHERE r <> first
-    UNION ALL SELECT r, pos FROM found JOIN exact USING (line) WHERE r <> first
+    UNION ALL SELECT r, pos FROM equal SEMI JOIN single USING (r) WHERE n >= {LONG_WORDS}
   ) GROUP BY r
 ), cleaned AS (
   SELECT doc_id, text AS old, CASE WHEN places IS NULL THEN text ELSE array_to_string(
