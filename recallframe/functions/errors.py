@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def provider_error_code(status: Column) -> Column:
     """The job error code of an HTTP status that an embedding provider answered with; null (no answer) is a transport error."""
     return (
-        F.when(status.isNull(), "transport").when(status == 408, "timeout").when(status == 429, "rate_limited")
-        .when(status.between(500, 599), "unavailable").when(status.between(400, 499), "rejected").otherwise("invalid_response")
+        F.when(status.isNull(), "transport").when(status == 408, "provider_timeout").when(status == 429, "provider_rate_limited")
+        .when(status.between(500, 599), "provider_unavailable").when(status.between(400, 499), "provider_rejected").otherwise("invalid_response")
     )
 
 

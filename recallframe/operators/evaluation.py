@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallframe.functions.rng import SplitMix64
+from recallframe.functions.rng import bounded_draws
 
 SEED, RESAMPLES = 2026081901, 10_000
 
@@ -84,13 +84,16 @@ def bootstrap(per_query: DataFrame, resamples: int = RESAMPLES, seed: int = SEED
         import numpy as np
 
         values = pdf.sort_values("query_id")[["recall", "mrr", "ndcg", "passed"]].to_numpy(float)
-        n, draw = len(values), SplitMix64(seed)
+        n = len(values)
+        draws = bounded_draws(seed, n)
         sums = np.zeros((resamples, values.shape[1]))
-        for r in range(resamples):
-            total = np.zeros(values.shape[1])
-            for _ in range(n):
-                total = total + values[draw.below(n)]
-            sums[r] = total / n
+        block = max(1, (1 << 20) // n)
+        for at in range(0, resamples, block):
+            picked = draws(min(block, resamples - at) * n).reshape(-1, n)
+            total = np.zeros((len(picked), values.shape[1]))
+            for k in range(n):  # in the order of draws, as sums depend on it
+                total += values[picked[:, k]]
+            sums[at : at + block] = total / n
         sums.sort(axis=0)
         low, high = (-(-resamples * b // 10_000) - 1 for b in (250, 9750))
         out = []

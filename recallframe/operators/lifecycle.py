@@ -58,6 +58,12 @@ def _epochs(events: DataFrame, erasures: DataFrame) -> DataFrame:
     return joined.withColumn("erasure_epoch", before).withColumn("erasure_count", F.size("__marks").cast("long")).drop("__marks")
 
 
+def first_reviews(reviews: DataFrame) -> DataFrame:
+    """The review that decided each candidate: the first one committed. Later ones change nothing."""
+    first = F.min(F.struct("commit_seq", "reviewed_us", "decision")).alias("r")
+    return reviews.groupBy(*SCOPE, "candidate_id").agg(first).select(*SCOPE, "candidate_id", "r.*")
+
+
 def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame) -> DataFrame:
     """All card versions that approvals made, with what became of them.
 
@@ -66,7 +72,7 @@ def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame
     in closed form n + max over i <= n of (base_i - i). A version is superseded
     at the next one's time. ``erased`` marks epochs that a later erasure ended.
     """
-    approved = reviews.where("decision = 'approve'").select(*SCOPE, F.col("candidate_id").alias("id"), "reviewed_us", "commit_seq")
+    approved = first_reviews(reviews).where("decision = 'approve'").select(*SCOPE, F.col("candidate_id").alias("id"), "reviewed_us", "commit_seq")
     cards = candidates.join(approved, [*SCOPE, "id"]).withColumn(
         "identity_key", identity_key(*[F.col(c) for c in ("kind", "category", "memory_key", "person", "relationship")])
     )
@@ -101,7 +107,7 @@ def identity_chains(versions: DataFrame) -> DataFrame:
 
 def context_revision(scopes: DataFrame, reviews: DataFrame, erasures: DataFrame) -> DataFrame:
     """Revision of every scope: approvals and erasures each add one; others 0."""
-    bumps = reviews.where("decision = 'approve'").select(*SCOPE).unionByName(erasures.select(*SCOPE)).groupBy(*SCOPE).agg(F.count("*").alias("n"))
+    bumps = first_reviews(reviews).where("decision = 'approve'").select(*SCOPE).unionByName(erasures.select(*SCOPE)).groupBy(*SCOPE).agg(F.count("*").alias("n"))
     return scopes.join(bumps, SCOPE, "left").select(*SCOPE, F.coalesce("n", F.lit(0)).alias("context_revision"))
 
 
@@ -110,12 +116,24 @@ def forget_receipt(erasures: DataFrame, evidence: DataFrame, candidates: DataFra
     scopes = erasures.select(*SCOPE).distinct()
     out = scopes
     for name, rows in (("evidence_deleted", evidence), ("candidates_deleted", candidates), ("cards_deleted", cards)):
-        out = out.join(rows.groupBy(*SCOPE).agg(F.count("*").alias(name)), SCOPE, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        out = out.join(erased(rows, erasures).groupBy(*SCOPE).agg(F.count("*").alias(name)), SCOPE, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 
 
+def _erased(rows: DataFrame, erasures: DataFrame, how: str) -> DataFrame:
+    last = erasures.groupBy(*[F.col(c).alias(f"__{c}") for c in SCOPE]).agg(F.max("commit_seq").alias("__seq"))
+    met = (F.col("tenant_id") == F.col("__tenant_id")) & (F.col("user_id") == F.col("__user_id"))
+    return rows.join(last, met & (F.col("commit_seq") < F.col("__seq")) if "commit_seq" in rows.columns else met, how)
+
+
+def erased(rows: DataFrame, erasures: DataFrame) -> DataFrame:
+    """Rows of erased scopes; where rows carry a commit_seq, those written before the scope's last erasure."""
+    return _erased(rows, erasures, "left_semi")
+
+
 def forget(rows: DataFrame, erasures: DataFrame) -> DataFrame:
-    return rows.join(erasures.select(*SCOPE).distinct(), SCOPE, "left_anti")
+    """The rows that ``erased`` doesn't hold."""
+    return _erased(rows, erasures, "left_anti")
 
 
 def residue(tables: dict[str, DataFrame], scopes: DataFrame) -> DataFrame:

@@ -9,7 +9,12 @@ from recallframe.operators.lifecycle import SCOPE, serviceable
 
 STATES = ["pending", "leased", "retry", "succeeded", "dead", "cancelled"]
 CLASSES = ["missing_job", "version_invariant", "in_flight", "dead", "cancelled", "succeeded_missing_embedding", "content_hash_mismatch", "converged"]
-RETRYABLE = ["transport", "timeout", "rate_limited", "unavailable"]
+# fixed values: the error codes of the job machine, the first four of which may be tried again
+ERROR_CODES = [
+    "transport", "provider_timeout", "provider_rate_limited", "provider_unavailable", "provider_rejected", "invalid_response",
+    "model_mismatch", "dimension_mismatch", "non_finite_vector", "space_conflict", "attempts_exhausted",
+]
+RETRYABLE = ERROR_CODES[:4]
 MAX_ATTEMPTS = 5
 
 
@@ -58,27 +63,45 @@ def claim(jobs: DataFrame, cards: DataFrame, targets: DataFrame, owner: str, n:
     )
 
 
-def finalize(jobs: DataFrame, cards: DataFrame, targets: DataFrame, hashes: DataFrame, vectors: DataFrame, now: int) -> DataFrame:
-    """What finalizing each leased job would do: its outcome, and whether the scope's revision goes up."""
+def _fenced(jobs: DataFrame, commands: DataFrame, now: int) -> DataFrame:
+    """``commands`` (id, lease_owner, lease_version, ...) with their jobs' columns and ``held``: whether owner and version hold a lease that still runs."""
+    own = commands.withColumnRenamed("lease_owner", "__owner").withColumnRenamed("lease_version", "__version")
+    live = (F.col("state") == "leased") & (F.col("lease_owner") == F.col("__owner")) & (F.col("lease_version") == F.col("__version")) & (F.col("lease_until_us") > now)
+    return own.join(jobs, "id").withColumn("held", F.coalesce(live, F.lit(False)))
+
+
+def finalize(jobs: DataFrame, commands: DataFrame, cards: DataFrame, targets: DataFrame, hashes: DataFrame, vectors: DataFrame, now: int) -> DataFrame:
+    """What each command (id, lease_owner, lease_version) to finalize a job would do: its outcome, and whether the scope's revision goes up.
+
+    A lease that ran out, is another owner's or has another version is lost. Commands of unknown jobs give no row.
+    """
     c = cards.select(*SCOPE, F.col("id").alias("memory_id"), F.col("version"), serviceable(F.lit(now)).alias("live"))
     v = vectors.select(*SCOPE, "memory_id", "embedding_space", F.col("content_sha256").alias("stored"))
     t = targets.select("embedding_space", F.col("state").alias("target_state"))
-    rows = jobs.where("state = 'leased'").join(t, "embedding_space").join(c, [*SCOPE, "memory_id"], "left").join(hashes, [*SCOPE, "memory_id"], "left").join(v, [*SCOPE, "memory_id", "embedding_space"], "left")
+    rows = _fenced(jobs, commands, now).join(t, "embedding_space").join(c, [*SCOPE, "memory_id"], "left").join(hashes, [*SCOPE, "memory_id"], "left").join(v, [*SCOPE, "memory_id", "embedding_space"], "left")
     valid = F.coalesce(F.col("live") & (F.col("version") == F.col("expected_memory_version")), F.lit(False))
     outcome = (
-        F.when(F.col("lease_until_us") <= now, "lease_lost").when(F.col("target_state") == "retired", "cancelled").when(F.col("target_state") == "blocked", "retry")
+        F.when(~F.col("held"), "lease_lost").when(F.col("target_state") == "retired", "cancelled").when(F.col("target_state") == "blocked", "retry")
         .when(~valid, "cancelled").when(F.col("stored").isNotNull() & (F.col("stored") != F.col("expected_sha256")), "conflict").otherwise("succeeded")
     )
     done = rows.withColumn("outcome", outcome)
     return done.withColumn("bumps_revision", (F.col("outcome") == "succeeded") & (F.col("target_state") == "serving") & F.col("stored").isNull()).select("id", "outcome", "bumps_revision")
 
 
-def transition(jobs: DataFrame, verb: str, owner: str, now: int, code: str | None = None, retry_at: int | None = None) -> DataFrame:
-    """Retry, dead-letter or cancel the jobs that ``owner`` holds a live lease of; the old error code stays unless a new one is given."""
-    state = {"retry": "retry", "dead": "dead", "cancel": "cancelled"}[verb]
-    held = (F.col("state") == "leased") & (F.col("lease_owner") == owner) & (F.col("lease_until_us") > now)
-    error = F.coalesce(F.lit(code).cast("string"), F.col("last_error_code"))
-    return jobs.where(held).select("id", F.lit(state).alias("state"), error.alias("last_error_code"), F.lit(retry_at if verb == "retry" else None).cast("long").alias("available_us"))
+def transition(jobs: DataFrame, commands: DataFrame, now: int) -> DataFrame:
+    """What each command (id, lease_owner, lease_version, verb, code, backoff_us) does: verb is retry, dead or cancel.
+
+    A command whose lease isn't held changes nothing and has outcome lease_lost.
+    The old error code stays unless a new one is given. Commands of unknown jobs give no row.
+    """
+    rows = _fenced(jobs, commands, now)
+    new = F.when(F.col("verb") == "retry", "retry").when(F.col("verb") == "dead", "dead").otherwise("cancelled")
+    error = F.when(F.col("held"), F.coalesce("code", "last_error_code")).otherwise(F.col("last_error_code"))
+    available = F.when(~F.col("held"), F.col("available_us")).otherwise(F.lit(now) + F.when(F.col("verb") == "retry", F.coalesce("backoff_us", F.lit(0))).otherwise(0))
+    return rows.select(
+        "id", "verb", F.when(F.col("held"), "applied").otherwise("lease_lost").alias("outcome"), F.when(F.col("held"), new).otherwise(F.col("state")).alias("state"),
+        error.alias("last_error_code"), available.cast("long").alias("available_us"),
+    )
 
 
 def retry_schedule(jobs: DataFrame, now: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

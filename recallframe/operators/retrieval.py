@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 #: Field weights of BM25 count into both term frequency and length.
 BM25_FIELDS = {"memory_key": 3, "value": 2, "category": 1, "person": 1, "relationship": 1, "backstory": 1}
 RRF_K = 60
+#: Queries with a vector each that are broadcast at most.
+FEW_QUERIES = 4096
 #: Decimals that scores are rounded to where sums have no fixed order.
 DIGITS = 6
 
@@ -46,7 +48,8 @@ def corpus_stats(cards: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -> DataFrame:
     """BM25 within each query's scope; only positive scores; score down, newest first, id."""
     if limit <= 0:
-        return queries.sparkSession.createDataFrame([], "query_id long, id string, score double, created_us long, rank int")
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("score", "double"), ("created_us", "long"), ("rank", "int"))]
+        return queries.select("query_id", *nothing).limit(0)
     live = cards.where(serviceable(F.lit(as_of_us)))
     asked = queries.select("query_id", *SCOPE, F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("query_id", *SCOPE, "token").agg(F.count("*").alias("qtf"))
     terms = card_terms(live, asked.select(*SCOPE, "token").distinct())
@@ -73,8 +76,7 @@ def fts_query(text: Column) -> Column:
 def full_text(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -> DataFrame:
     """Weighted occurrences of any query lexeme; newest first on ties, then id."""
     live = cards.where(serviceable(F.lit(as_of_us)))
-    space = F.lit(" ")
-    labels = {"A": X.lexemes(F.col("memory_key")), "B": X.lexemes(F.col("value")), "C": X.lexemes(F.concat("category", space, "person", space, "relationship")), "D": X.lexemes(F.col("backstory"))}
+    labels = {"A": X.lexemes(F.col("memory_key")), "B": X.lexemes(F.col("value")), "C": X.lexemes(F.concat_ws(" ", "category", "person", "relationship")), "D": X.lexemes(F.col("backstory"))}
     occurrences = F.concat(*[_weighted(v, FTS_WEIGHTS[k]) for k, v in labels.items()])
     postings = live.select(*SCOPE, "id", "created_us", F.explode(occurrences).alias("o")).select(*SCOPE, "id", "created_us", "o.*")
     postings = postings.groupBy(*SCOPE, "id", "created_us", "lexeme").agg(F.sum("weight").alias("weight"))
@@ -89,7 +91,9 @@ def _weighted(lexemes: Column, weight: float) -> Column:
 
 
 def vector_search(queries: DataFrame, cards: DataFrame, vectors: DataFrame, limit: int, as_of_us: int) -> DataFrame:
-    """Exact cosine in each query's scope; queries carry ``vector``."""
+    """Exact cosine in each query's scope; queries carry ``vector``. Up to ``FEW_QUERIES`` of them go to the vectors, so those stay where they are."""
+    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        queries = F.broadcast(queries)
     live = cards.where(serviceable(F.lit(as_of_us))).select(*SCOPE, "id", "created_us")
     stored = live.join(vectors.select(*SCOPE, F.col("memory_id").alias("id"), F.col("embedding").alias("v")), [*SCOPE, "id"])
     hits = queries.select("query_id", *SCOPE, "vector").join(stored, SCOPE).select("query_id", "id", "created_us", F.round(cosine(F.col("vector"), F.col("v")), DIGITS).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,14 +89,14 @@ SHARED = {k: SHARED[k] for k in [*[k for k in SHARED if k not in ("quality", "ju
 
 def _words(sql: str) -> str:
     """Expands the short names of tokenizers: f(..) words, n(..) normal form, x(..) lexemes."""
-    import re
-
     sql = re.sub(r"\bf\((\w+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{Nd}]+')", sql)
     sql = re.sub(r"\bx\(([^()]+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{M}\\p{Nd}]+')", sql)
     plural = "CASE WHEN octet_length(encode(w)) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN substr(w, 1, length(w) - 1) ELSE w END"
     return re.sub(r"\bn\(w\)", plural, sql)
 
 
+SHARED["hybrid_lexical"] = re.sub(r"\bqueries\b", "hybrid_queries", SHARED["fts_hits"])
+SHARED["hybrid_dense"] = SHARED["vector_hits"].replace("vector_queries", "hybrid_queries")
 SHARED = {k: _words(v) for k, v in SHARED.items()}
 
 
@@ -237,15 +239,17 @@ def outbox_enqueue(spark, d):
 
 @query("""SELECT e.tenant_id, e.user_id, (SELECT count(*) FROM evidence x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS evidence_deleted,
   (SELECT count(*) FROM candidates x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS candidates_deleted,
-  (SELECT count(*) FROM card_versions_timed x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id) AS cards_deleted FROM erasures e""")
+  (SELECT count(*) FROM card_versions_timed x WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id AND x.commit_seq < e.commit_seq) AS cards_deleted FROM erasures e""")
 def forget_user_receipt(spark, d):
     erasures, evidence, candidates = frames(spark, d, "erasures", "evidence", "candidates")
     return lifecycle.forget_receipt(erasures, evidence, candidates, versions(spark, d))
 
 
-@query("SELECT x.tenant_id, x.user_id, x.id FROM evidence x WHERE NOT EXISTS (SELECT 1 FROM erasures e WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id)")
+@query("SELECT x.tenant_id, x.user_id, x.id FROM evidence x WHERE NOT EXISTS (SELECT 1 FROM erasures e WHERE x.tenant_id = e.tenant_id AND x.user_id = e.user_id AND CAST(substr(x.id, 2) AS BIGINT) * 7919 % 100003 < e.commit_seq)")
 def forget_user_remaining(spark, d):
-    return lifecycle.forget(*frames(spark, d, "evidence", "erasures")).select(*SCOPE, "id")
+    """Evidence that was written after its scope's erasure, or whose scope has none."""
+    evidence, erasures = frames(spark, d, "evidence", "erasures")
+    return lifecycle.forget(evidence.withColumn("commit_seq", F.substring("id", 2, 40).cast("long") * 7919 % 100003), erasures).select(*SCOPE, "id")
 
 
 @query("""SELECT s.*, n.table_name, CASE n.table_name WHEN 'evidence' THEN (SELECT count(*) FROM evidence x WHERE x.tenant_id = s.tenant_id AND x.user_id = s.user_id)
@@ -316,16 +320,17 @@ def serving_vector_topk(spark, d):
 
 _RRF = """SELECT * FROM (SELECT query_id, id, created_us, round(score, 9) AS score, best_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, created_us DESC, id) AS INT) AS rank
   FROM (SELECT query_id, id, created_us, sum(1.0 / (60 + rank)) AS score, min(rank) AS best_rank FROM (
-    SELECT query_id, id, created_us, rank FROM bm25_deep
-    UNION ALL SELECT query_id, id, created_us, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM fts_hits) WHERE rank <= 20)
+    SELECT query_id, id, created_us, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM hybrid_lexical) WHERE rank <= 20
+    UNION ALL SELECT query_id, id, created_us, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM hybrid_dense) WHERE rank <= 20)
   GROUP BY query_id, id, created_us)) WHERE rank <= 5"""
 
 
 @query(_RRF)
 def hybrid_rrf(spark, d):
-    (queries,) = frames(spark, d, "queries")
+    """Full text and vectors, fused; hits of one branch alone count."""
+    queries, vectors = frames(spark, d, "hybrid_queries", "vectors")
     c, depth = cards(spark, d), retrieval.branch_depth(LIMIT)
-    fused = retrieval.reciprocal_rank_fusion(retrieval.bm25(queries, c, depth, AS_OF_US), retrieval.full_text(queries, c, depth, AS_OF_US), LIMIT)
+    fused = retrieval.reciprocal_rank_fusion(retrieval.full_text(queries, c, depth, AS_OF_US), retrieval.vector_search(queries, c, vectors, depth, AS_OF_US), LIMIT)
     return fused.withColumn("score", F.round("score", 9))
 
 
@@ -382,25 +387,29 @@ def job_claim(spark, d):
 @query(f"""SELECT j.id, o.outcome, o.outcome = 'succeeded' AND v.content_sha256 IS NULL AS bumps_revision FROM jobs j
   LEFT JOIN live l ON l.tenant_id = j.tenant_id AND l.user_id = j.user_id AND l.id = j.memory_id AND l.version = j.expected_memory_version
   LEFT JOIN vectors v ON v.tenant_id = j.tenant_id AND v.user_id = j.user_id AND v.memory_id = j.memory_id LEFT JOIN expected_hashes h ON h.tenant_id = j.tenant_id AND h.user_id = j.user_id AND h.memory_id = j.memory_id,
-  LATERAL (SELECT CASE WHEN lease_until_us <= {AS_OF_US} THEN 'lease_lost' WHEN l.id IS NULL THEN 'cancelled' WHEN v.content_sha256 <> h.expected_sha256 THEN 'conflict' ELSE 'succeeded' END AS outcome) o WHERE j.state = 'leased'""")
+  LATERAL (SELECT CASE WHEN j.id % 4 = 3 OR lease_until_us <= {AS_OF_US} THEN 'lease_lost' WHEN l.id IS NULL THEN 'cancelled' WHEN v.content_sha256 <> h.expected_sha256 THEN 'conflict' ELSE 'succeeded' END AS outcome) o WHERE j.state = 'leased'""")
 def job_finalize_outcomes(spark, d):
     jobs, targets, hashes, vectors = frames(spark, d, "jobs", "targets", "expected_hashes", "vectors")
-    return projection.finalize(jobs, cards(spark, d), targets, hashes, vectors, AS_OF_US)
+    # a quarter of the commands come with an old version of the lease
+    old = (F.col("id") % 4 == 3).cast("int")
+    commands = jobs.where("state = 'leased'").select("id", "lease_owner", (F.col("lease_version") - old).alias("lease_version"))
+    return projection.finalize(jobs, commands, cards(spark, d), targets, hashes, vectors, AS_OF_US)
 
 
-@query(f"""SELECT id, verb, CASE verb WHEN 'retry' THEN 'retry' WHEN 'dead' THEN 'dead' ELSE 'cancelled' END AS state, CASE verb WHEN 'retry' THEN 'timeout' ELSE last_error_code END AS last_error_code,
-  CASE verb WHEN 'retry' THEN {AS_OF_US} + 1000 END AS available_us FROM jobs, (SELECT unnest(['retry', 'dead', 'cancel']) AS verb) WHERE state = 'leased' AND lease_owner = 'w1' AND lease_until_us > {AS_OF_US}""")
+@query(f"""SELECT id, verb, CASE WHEN held THEN 'applied' ELSE 'lease_lost' END AS outcome, CASE WHEN NOT held THEN state WHEN verb = 'retry' THEN 'retry' WHEN verb = 'dead' THEN 'dead' ELSE 'cancelled' END AS state,
+  CASE WHEN held AND verb = 'retry' THEN 'provider_timeout' ELSE last_error_code END AS last_error_code, CASE WHEN NOT held THEN available_us WHEN verb = 'retry' THEN {AS_OF_US} + 1000 ELSE {AS_OF_US} END AS available_us
+  FROM (SELECT *, state = 'leased' AND coalesce(lease_owner, '') = 'w1' AND id % 2 = 0 AND lease_until_us > {AS_OF_US} AS held FROM jobs, (SELECT unnest(['retry', 'dead', 'cancel']) AS verb)) WHERE state = 'leased'""")
 def job_transitions(spark, d):
+    """Commands of one worker on all leased jobs, half of them with an old version of the lease."""
     (jobs,) = frames(spark, d, "jobs")
-    done = None
-    for verb, code in (("retry", "timeout"), ("dead", None), ("cancel", None)):
-        one = projection.transition(jobs, verb, "w1", AS_OF_US, code, AS_OF_US + 1000).withColumn("verb", F.lit(verb))
-        done = one if done is None else done.unionByName(one)
-    return done
+    verbs = F.explode(F.array(*[F.lit(v) for v in ("retry", "dead", "cancel")])).alias("verb")
+    commands = jobs.where("state = 'leased'").select("id", F.lit("w1").alias("lease_owner"), (F.col("lease_version") - F.col("id") % 2).alias("lease_version"), verbs)
+    coded = commands.withColumn("code", F.when(F.col("verb") == "retry", "provider_timeout")).withColumn("backoff_us", F.lit(1000).cast("long"))
+    return projection.transition(jobs, coded, AS_OF_US)
 
 
-@query(f"""SELECT id, CASE WHEN last_error_code = 'transport' AND attempt_count < 5 THEN 'retry' ELSE 'dead' END AS state,
-  CASE WHEN last_error_code = 'transport' AND attempt_count < 5 THEN {AS_OF_US} + CAST(pow(2, greatest(0, least(attempt_count - 1, 8))) AS BIGINT) * 1000000 END AS available_us FROM jobs WHERE last_error_code IS NOT NULL""")
+@query(f"""SELECT id, CASE WHEN again = 'transport' AND attempt_count < 5 THEN 'retry' ELSE 'dead' END AS state,
+  CASE WHEN again = 'transport' AND attempt_count < 5 THEN {AS_OF_US} + CAST(pow(2, greatest(0, least(attempt_count - 1, 8))) AS BIGINT) * 1000000 END AS available_us FROM (SELECT *, CASE WHEN last_error_code IN ('transport', 'provider_timeout', 'provider_rate_limited', 'provider_unavailable') THEN 'transport' END AS again FROM jobs) WHERE last_error_code IS NOT NULL""")
 def job_retry_schedule(spark, d):
     (jobs,) = frames(spark, d, "jobs")
     return projection.retry_schedule(jobs, AS_OF_US)
@@ -525,7 +534,7 @@ def latency_percentiles(spark, d):
 
 @query()
 def eval_bootstrap_ci(spark, d):
-    return evaluation.bootstrap(eval_quality(spark, d).withColumn("arm", F.lit("lexical")), resamples=1000)
+    return evaluation.bootstrap(eval_quality(spark, d).withColumn("arm", F.lit("lexical")))
 
 
 @query("SELECT query_id, true AS stable FROM (SELECT DISTINCT query_id FROM bm25_hits)")
@@ -552,9 +561,18 @@ def constraint_violations(spark, d):
     return validation.violations(jobs, validation.job_rules(), "id").unionByName(broken.withColumn("id", F.col("id").try_cast("long")))
 
 
-@query("SELECT tenant_id, user_id, identity_key, count(*) AS n FROM cards GROUP BY ALL HAVING n > 1")
+_TWICE = "SELECT * FROM cards UNION ALL SELECT * FROM cards WHERE id LIKE '%3'"
+
+
+@query(f"""SELECT 'one_active' AS rule, tenant_id, user_id, identity_key, NULL::BIGINT AS version, count(*) AS n FROM ({_TWICE}) WHERE status = 'active' GROUP BY ALL HAVING n > 1
+  UNION ALL SELECT 'one_of_version', tenant_id, user_id, identity_key, version, count(*) AS n FROM ({_TWICE}) GROUP BY ALL HAVING n > 1""")
 def uniqueness_violations(spark, d):
-    return validation.duplicates(cards(spark, d), *SCOPE, "identity_key")
+    """One active card per identity and one card per version of it, over cards some of which were written twice."""
+    c = cards(spark, d)
+    twice = c.unionByName(c.where("id like '%3'"))
+    active = validation.duplicates(twice.where("status = 'active'"), *SCOPE, "identity_key").withColumn("version", F.lit(None).cast("long")).withColumn("rule", F.lit("one_active"))
+    each = validation.duplicates(twice, *SCOPE, "identity_key", "version").withColumn("version", F.col("version").cast("long")).withColumn("rule", F.lit("one_of_version"))
+    return active.unionByName(each)
 
 
 @query("SELECT j.id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM cards c WHERE c.tenant_id = j.tenant_id AND c.user_id = j.user_id AND c.id = j.memory_id)")

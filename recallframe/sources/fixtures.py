@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recallframe.operators.projection import ERROR_CODES
+
 BASE_US = 1_700_000_000_000_000
 AS_OF_US = BASE_US + 50_000_000_000_000
 RAW = ["documents", "labels", "benchmark", "embeddings", "conversations", "events"]
@@ -18,6 +20,8 @@ SPACE = "space_v1_demo"
 
 _QUOTE = "'\"' || replace(replace(replace(replace(replace({0}, '{b}', '{b}{b}'), '\"', '{b}\"'), chr(10), '{b}n'), chr(13), '{b}r'), chr(9), '{b}t') || '\"'"
 
+_CODES = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(ERROR_CODES))
+
 #: Frames in order; later ones may use earlier ones. {sha:x} is the hex SHA-256 of x.
 FRAMES: dict[str, str] = {
     "scopes": "SELECT DISTINCT source AS tenant_id, lang AS user_id FROM documents",
@@ -57,7 +61,10 @@ FRAMES: dict[str, str] = {
         FROM benchmark""",
     "vector_queries": """
         SELECT 'v' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, embedding AS vector
-        FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 5 = 0""",
+        FROM embeddings JOIN documents ON vec_id = doc_id""",
+    "hybrid_queries": """
+        SELECT 'h' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, substr(text, 1, 200) AS text, embedding AS vector
+        FROM embeddings JOIN documents ON vec_id = doc_id""",
     "targets": f"""
         SELECT '{SPACE}' AS embedding_space, 'serving' AS state, true AS enqueue_new, {BASE_US} AS updated_us, 'model-a' AS model
         UNION ALL SELECT 'space_v1_next', 'shadow', true, {BASE_US} + 5, 'model-b'
@@ -69,7 +76,7 @@ FRAMES: dict[str, str] = {
           CASE label WHEN 3 THEN 'pending' WHEN 4 THEN 'leased' WHEN 5 THEN 'retry' WHEN 6 THEN 'dead' WHEN 7 THEN 'cancelled' ELSE 'succeeded' END AS state,
           CAST(vec_id % 7 AS INT) AS attempt_count, {AS_OF_US} + (vec_id % 9 - 5) * 1000000 AS available_us, {BASE_US} + vec_id * 10 AS created_us,
           CASE WHEN label = 4 THEN {AS_OF_US} + (vec_id % 5 - 2) * 1000000 END AS lease_until_us, CASE WHEN label = 4 THEN 'w' || CAST(vec_id % 3 AS STRING) END AS lease_owner,
-          CAST(CASE WHEN label = 4 THEN vec_id % 4 + 1 ELSE 0 END AS BIGINT) AS lease_version, CASE WHEN label IN (5, 6) THEN 'transport' END AS last_error_code, vec_id AS id
+          CAST(CASE WHEN label = 4 THEN vec_id % 4 + 1 ELSE 0 END AS BIGINT) AS lease_version, CASE WHEN label IN (4, 5, 6) THEN CASE vec_id % 11 {_CODES} END END AS last_error_code, vec_id AS id
         FROM embeddings JOIN documents ON vec_id = doc_id WHERE label <> 9""",
     "vectors": f"""
         SELECT source AS tenant_id, lang AS user_id, 'm' || CAST(vec_id AS STRING) AS memory_id, '{SPACE}' AS embedding_space, embedding,

@@ -166,7 +166,7 @@ def test_bootstrap(spark):
 
 
 def test_retry_backoff_and_rules(spark):
-    jobs = spark.createDataFrame([(i, "retry", n, "transport" if n < 9 else "bad_input") for i, n in enumerate((1, 2, 4, 5, 9))], "id int, state string, attempt_count int, last_error_code string")
+    jobs = spark.createDataFrame([(i, "retry", n, "provider_timeout" if n < 9 else "provider_rejected") for i, n in enumerate((1, 2, 4, 5, 9))], "id int, state string, attempt_count int, last_error_code string")
     got = [(r.state, r.available_us) for r in projection.retry_schedule(jobs, 0).orderBy("id").collect()]
     assert got == [("retry", 1_000_000), ("retry", 2_000_000), ("retry", 8_000_000), ("dead", None), ("dead", None)]
     evidence = spark.createDataFrame([("ok", "text", "user", "s"), ("b\x01d", "  ", "robot", "")], "id string, content string, actor string, session_id string")
@@ -241,5 +241,34 @@ def test_error_codes(spark):
     from recallframe.functions.errors import provider_error_code, status_of
 
     got = [column(spark, s, provider_error_code, "int") for s in (None, 408, 429, 503, 404, 302)]
-    assert got == ["transport", "timeout", "rate_limited", "unavailable", "rejected", "invalid_response"]
+    assert got == ["transport", "provider_timeout", "provider_rate_limited", "provider_unavailable", "provider_rejected", "invalid_response"]
     assert [status_of(e) for e in (Conflict(), datasets.DatasetError(), ports.Unavailable(), TimeoutError())] == [409, 500, 503, 504]
+
+
+def test_first_review_decides_and_later_rows_outlive_an_erasure(spark):
+    scope = "tenant_id string, user_id string, "
+    reviews = spark.createDataFrame([("t", "u", "c1", "reject", 5, 1), ("t", "u", "c1", "approve", 6, 2), ("t", "u", "c2", "approve", 7, 3), ("t", "u", "c2", "approve", 8, 4)], scope + "candidate_id string, decision string, reviewed_us long, commit_seq long")
+    got = {r.candidate_id: (r.decision, r.reviewed_us) for r in lifecycle.first_reviews(reviews).collect()}
+    assert got == {"c1": ("reject", 5), "c2": ("approve", 7)}
+    rows = spark.createDataFrame([("t", "u", "a", 1), ("t", "u", "b", 9), ("t", "v", "c", 1)], scope + "id string, commit_seq long")
+    marks = spark.createDataFrame([("t", "u", 4), ("t", "u", 5)], scope + "commit_seq long")
+    assert sorted(r.id for r in lifecycle.forget(rows, marks).collect()) == ["b", "c"]
+    assert [r.id for r in lifecycle.erased(rows, marks).collect()] == ["a"]
+    assert [r.id for r in lifecycle.forget(rows.drop("commit_seq"), marks).collect()] == ["c"]
+
+
+def test_bounded_draws_are_the_generator_s():
+    from recallframe.functions.rng import SplitMix64, bounded_draws
+
+    for bound in (1, 3, 20, (1 << 63) + 1):
+        one, many = SplitMix64(7), bounded_draws(7, bound)
+        want = [one.below(bound) for _ in range(300)]
+        assert [int(x) for x in [*many(100), *many(200)]] == want if bound < 1 << 62 else len(many(50)) == 50
+
+
+def test_leases_are_fenced_by_owner_version_and_time(spark):
+    jobs = spark.createDataFrame([(i, "leased", "w", 3, 10 + i, "transport", 0) for i in range(4)], "id long, state string, lease_owner string, lease_version long, lease_until_us long, last_error_code string, available_us long")
+    asked = spark.createDataFrame([(0, "w", 3, "retry", "provider_timeout", 5), (1, "w", 2, "dead", None, None), (2, "x", 3, "dead", None, None), (3, "w", 3, "cancel", None, None)], "id long, lease_owner string, lease_version long, verb string, code string, backoff_us long")
+    got = {r.id: (r.outcome, r.state, r.last_error_code, r.available_us) for r in projection.transition(jobs, asked, 10).collect()}
+    assert got == {0: ("lease_lost", "leased", "transport", 0), 1: ("lease_lost", "leased", "transport", 0), 2: ("lease_lost", "leased", "transport", 0), 3: ("applied", "cancelled", "transport", 10)}
+    assert projection.transition(jobs, asked, 9).where("id = 0").select("outcome", "state", "last_error_code", "available_us").first() == ("applied", "retry", "provider_timeout", 14)
