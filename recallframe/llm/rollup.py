@@ -2,14 +2,20 @@
 
 Totals by source, language and tokenizer version are sums, so they are kept up
 by signed differences: an insert adds a document's counts, a delete takes them
-away, a revised count does both. A batch of changes is summed per group and
-written once under its id; a batch that is delivered again finds itself written
-and changes nothing. Totals are the sum of the committed batches; compaction
-folds committed batches into one base without changing a total.
+away, a revised count does both. A batch of changes is summed per group, written
+to a folder of its own, and committed by creating a mark under its id, which only
+one writer can; a batch that is delivered again finds the mark and changes
+nothing. Totals are the sum of the committed batches. Compaction folds the
+batches of one listing into a new base without changing a total; their marks
+then move aside, so listings hold what isn't folded only, and their rows go with
+the next compaction, when no reader of the old base is left.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,62 +48,105 @@ class Rollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, *parts: str) -> bool:
-        return self._fs.exists(self._path("/".join([self.folder, *parts])))
+    def _at(self, *parts: str):
+        return self._path("/".join([self.folder, *parts]))
 
     def _names(self, part: str) -> list[str]:
-        """Committed batches (or bases): folders whose writing ended."""
-        if not self._exists(part):
+        if not self._fs.exists(self._at(part)):
             return []
-        listed = self._fs.listStatus(self._path(f"{self.folder}/{part}"))
-        names = [listed[i].getPath().getName() for i in range(len(listed))]
-        return sorted(n for n in names if self._exists(part, n, "_SUCCESS"))
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(part)))
+
+    def _mark(self, text: str, *parts: str) -> bool:
+        """Creates a small file; False if it is there already."""
+        try:
+            out = self._fs.create(self._at(*parts), False)
+        except Py4JJavaError:
+            if self._fs.exists(self._at(*parts)):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
 
-    def committed(self) -> set[str]:
-        """Ids of all committed batches, folded ones included."""
-        ids = {n.removeprefix("id=") for n in self._names("batches")}
-        for base in self._names("bases"):
-            ids |= {r["id"] for r in self.spark.read.schema("id string").parquet(f"{self.folder}/bases/{base}/folded").collect()}
-        return ids
+    def _marked(self, *parts: str) -> str:
+        file = self._fs.open(self._at(*parts))
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch is committed; looks at its marks, not at a listing. A mark only ever moves from ``open`` to ``folded``."""
+        return self._fs.exists(self._at("open", batch_id)) or self._fs.exists(self._at("folded", batch_id))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the signed ``changes``; False, and no change, if the id is committed already.
 
-        A batch is summed per group before it is written. A run that broke off
-        before its end left no mark of success, so the next try writes over it.
+        Of two writers of one id the one that creates the mark wins, and the
+        other's rows go. A run that broke off left no mark, and the next try writes anew.
         """
-        if not batch_id or "/" in batch_id:
+        if not batch_id or "/" in batch_id or batch_id.startswith((".", "_")):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self.committed(batch_id):
             return False
+        name = uuid.uuid4().hex
         sums = changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        sums.select(*KEYS, *SUMS).write.mode("overwrite").parquet(f"{self.folder}/batches/id={batch_id}")
+        sums.select(*KEYS, *SUMS).write.parquet(f"{self.folder}/rows/{name}")
+        if self._fs.exists(self._at("folded", batch_id)) or not self._mark(name, "open", batch_id):
+            self._fs.delete(self._at("rows", name), True)
+            return False
         return True
 
-    def _parts(self) -> tuple[str | None, list[str]]:
-        """The newest base, and the committed batches that it doesn't hold."""
+    def _base(self) -> tuple[int, str | None, dict[str, str]]:
+        """Number of the newest base (0: none), its folder in ``rows``, and the batches (id to folder) that it was the first to hold."""
         bases = self._names("bases")
-        base = bases[-1] if bases else None
-        folded = set()
-        if base:
-            folded = {r["id"] for r in self.spark.read.schema("id string").parquet(f"{self.folder}/bases/{base}/folded").collect()}
-        return base, [n for n in self._names("batches") if n.removeprefix("id=") not in folded]
-
-    def totals(self) -> DataFrame:
-        """The totals of every group that is not empty."""
-        base, batches = self._parts()
-        paths = [f"{self.folder}/bases/{base}/totals"] * bool(base) + [f"{self.folder}/batches/{n}" for n in batches]
-        if not paths:
+        if not bases:
+            return 0, None, {}
+        name, *folded = self._marked("bases", bases[-1]).split("\n")
+        return int(bases[-1]), name, dict(x.rsplit("\t", 1) for x in folded)
+
+    def _parts(self) -> tuple[int, list[str], dict[str, str]]:
+        """Number of the newest base, the folders that add up to the totals, and the batches (id to folder) among these."""
+        # the listing comes first: a batch that is folded meanwhile is then in both, and counts with the base
+        listed = self._names("open")
+        number, base, folded = self._base()
+        batches = {}
+        for i in listed:
+            if i in folded or self._fs.exists(self._at("folded", i)):
+                continue
+            batches[i] = self._marked("open", i)
+        return number, [base] * bool(base) + list(batches.values()), batches
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths)
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/rows/{n}" for n in names])
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
-    def compact(self) -> None:
-        """Folds all committed batches into a new base. The base counts once its mark is written, last of all."""
-        ids = sorted(self.committed())
-        name = f"{len(self._names('bases')):08d}"
-        folder = f"{self.folder}/bases/{name}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/folded")
-        self._fs.create(self._path(f"{folder}/_SUCCESS"), True).close()
+    def totals(self) -> DataFrame:
+        """The totals of every group that is not empty."""
+        return self._sum(self._parts()[1])
+
+    def compact(self) -> bool:
+        """Folds the committed batches of one listing into a new base; False if another compaction came first.
+
+        The base counts once its mark is created, last of all. Batches that are
+        committed meanwhile aren't in the listing and stay open.
+        """
+        # the marks of the base before move first, so that a base only names batches of its own
+        _, before, folded = self._base()
+        for i in folded:
+            if self._fs.exists(self._at("open", i)):
+                self._fs.mkdirs(self._at("folded"))
+                self._fs.rename(self._at("open", i), self._at("folded", i))
+        number, names, batches = self._parts()
+        name = uuid.uuid4().hex
+        self._sum(names).select(*KEYS, *SUMS).coalesce(1).write.parquet(f"{self.folder}/rows/{name}")
+        lines = [name, *[f"{i}\t{n}" for i, n in sorted(batches.items())]]
+        if not self._mark("\n".join(lines), "bases", f"{number + 1:08d}"):
+            self._fs.delete(self._at("rows", name), True)
+            return False
+        for old in folded.values():
+            self._fs.delete(self._at("rows", old), True)
+        return True

@@ -36,19 +36,45 @@ def test_commits_and_compaction(spark):
     totals.commit("two", rollup.revised(one, spark.createDataFrame([("b", "en", "v2", 7, 9)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")))
     before = read()
     totals.compact()
-    assert read() == before and not totals.commit("two", rollup.inserted(rows)) and totals.committed() == {"one", "two"}
+    assert read() == before and not totals.commit("two", rollup.inserted(rows)) and totals.committed("one") and totals.committed("two")
     totals.commit("three", rollup.deleted(rows.where("source is null")))
     totals.commit("empty", rollup.inserted(rows.limit(0)))
     assert all(r[0] is not None for r in read())
     totals.compact()
-    assert all(r[0] is not None for r in read()) and len(totals.committed()) == 4
+    assert all(r[0] is not None for r in read()) and all(map(totals.committed, ("one", "two", "three", "empty")))
+    totals.compact()
+    assert totals._names("open") == [] and len(totals._names("rows")) == 3  # the bases
+
+
+ROWS = "source string, lang string, tokenizer string, n_tokens long, n_chars long"
 
 
 def test_a_broken_batch_is_written_anew(spark):
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     totals = rollup.Rollup(spark, folder)
-    rows = spark.createDataFrame([("a", "en", "v1", 5, 9)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")
-    totals.commit("one", rollup.inserted(rows))
-    totals._fs.delete(totals._path(f"{folder}/batches/id=one/_SUCCESS"), False)
-    assert totals.totals().count() == 0 and totals.commit("one", rollup.inserted(rows))
+    rows = rollup.inserted(spark.createDataFrame([("a", "en", "v1", 5, 9)], ROWS))
+    totals.commit("one", rows)
+    totals._fs.delete(totals._at("open", "one"), False)  # as if the run had ended before its mark
+    assert totals.totals().count() == 0 and totals.commit("one", rows)
     assert [r.n_tokens for r in totals.totals().collect()] == [5]
+
+
+def test_one_of_two_writers_wins_and_compaction_counts_no_batch_twice(spark, monkeypatch):
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    first, second = rollup.Rollup(spark, folder), rollup.Rollup(spark, folder)
+    rows = rollup.inserted(spark.createDataFrame([("a", "en", "v1", 5, 9)], ROWS))
+    # the second writer looks before the first one's mark is there
+    monkeypatch.setattr(second, "committed", lambda _: False)
+    assert first.commit("one", rows) and not second.commit("one", rows)
+    tokens = lambda: sum(r.n_tokens for r in first.totals().collect())
+    assert tokens() == 5
+    # a batch is committed between a compaction's listing and its base
+    sums = second._sum
+    monkeypatch.setattr(second, "_sum", lambda names: first.commit("two", rows) and sums(names))
+    assert second.compact() and tokens() == 10
+    monkeypatch.undo()
+    # of two compactions from one base one counts
+    monkeypatch.setattr(second, "_sum", lambda names: first.compact() and sums(names))
+    assert not second.compact() and tokens() == 10
+    monkeypatch.undo()
+    assert first.compact() and tokens() == 10 and not first.commit("two", rows) and tokens() == 10
