@@ -1,13 +1,15 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels are of documents; token labels come from them: in the documents labelled
-toxic, a token is marked whose word, or a prefix of it, is found in toxic
-documents only, and in enough of them. On these labelled tokens a CRF of two
-tags (clean, toxic) is trained; its features are the word and its prefixes, so
-unseen inflections of a marked stem score as well. Forward-backward marginals
-then tag every token of every text. The document's score is a logistic function
-of their aggregates, and tokens with a marginal of one half or more are the
-offending offsets.
+Labels are of documents; the tags of tokens (clean, toxic) are latent. Tokens of
+clean documents are clean. Tokens of toxic documents start with the share of
+toxic documents with their word, or a prefix of it, that chance doesn't explain.
+A CRF is trained on these expected tags, and every few rounds they are estimated
+anew: the marginal's odds times the factor by which a toxic tag makes a toxic
+document likelier. Features are the word and its prefixes, so unseen inflections
+of a stem score as well, and stems that clean documents hold now and then count
+for what they are. Forward-backward marginals then tag every token of every
+text. The document's score is a logistic function of their aggregates, and
+tokens with a marginal of one half or more are the offending offsets.
 
 A chain is a line of text. Chains of many documents run side by side: for two
 tags, forward and backward messages are one ratio each per step.
@@ -32,12 +34,14 @@ from recallframe.llm.text import Memo
 from recallframe.session import without
 
 #: Hashed feature space, a bound on the model's size, and prefix lengths in characters.
-DIMENSIONS, PREFIXES = 1 << 18, (4, 5, 6)
+DIMENSIONS, PREFIXES = 1 << 18, (3, 4, 5, 6)
 #: Bound of the training sample: documents of each label and characters of one document.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
-#: A feature marks tokens if a share of PURE of the sample's documents that have it are toxic, and so many that chance
-#: would do it with probability CHANCE (a quarter of the toxic ones at most, LEAST at least).
-CHANCE, LEAST, PURE = 1e-8, 3, 0.98
+#: A feature starts tags if it is so much commoner in toxic documents that chance would do it with probability CHANCE,
+#: or as much as one that a quarter of the toxic documents (LEAST at least) and no clean one has.
+CHANCE, LEAST = 1e-8, 3
+#: Rounds of training; from the first of AGAIN on, each so many rounds, tags are estimated anew.
+ROUNDS, AGAIN = 60, (30, 6)
 #: Words of a block that is tagged at once, and words a worker remembers.
 BLOCK, WORDS_KEPT = 1 << 20, 500_000
 #: Words of a block of chains in training.
@@ -122,11 +126,12 @@ def _blocks(lengths: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def train_chain(vocabulary: list[str], words: np.ndarray, tags: np.ndarray, lengths: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood with L2 by AdaGrad over all chains.
+def train_chain(vocabulary: list[str], words: np.ndarray, tags: np.ndarray, free: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Expected log-likelihood with L2 by AdaGrad over all chains.
 
-    ``words`` are places in ``vocabulary``, chain after chain. Gradients are
-    summed over blocks of chains, which bounds the memory.
+    ``words`` are places in ``vocabulary``, chain after chain. ``tags`` are
+    expected tags; those of ``free`` tokens are estimated anew in place.
+    Gradients are summed over blocks of chains, which bounds the memory.
     """
     per_word = [slots(w) for w in vocabulary]
     owner = np.repeat(np.arange(len(per_word), dtype=np.int32), [len(x) for x in per_word])
@@ -137,13 +142,15 @@ def train_chain(vocabulary: list[str], words: np.ndarray, tags: np.ndarray, leng
     weights, bias, moves = np.zeros(len(used)), -3.0, np.zeros((2, 2))
     sums = [np.full(len(used), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     ends = np.cumsum(lengths)
-    for _ in range(rounds):
+    likelier = len(words) / max(int(np.count_nonzero(free)), 1)
+    for turn in range(rounds):
+        again = turn >= AGAIN[0] and (turn - AGAIN[0]) % AGAIN[1] == 0
         word_potential = np.bincount(owner, weights[column], n_words) + bias
         m = np.exp(moves)
         off, excess, steps_moves = np.zeros(n_words), 0.0, np.zeros((2, 2))
         for first, end in _blocks(lengths):
             part = slice(ends[first] - lengths[first], ends[end - 1])
-            own_lengths, own_words, gold = lengths[first:end], words[part], tags[part].astype(float)
+            own_lengths, own_words = lengths[first:end], words[part]
             inner = np.ones(len(own_words), bool)
             inner[np.cumsum(own_lengths) - 1] = False
             here = np.flatnonzero(inner)
@@ -151,9 +158,13 @@ def train_chain(vocabulary: list[str], words: np.ndarray, tags: np.ndarray, leng
             forward, backward = messages(u, own_lengths, moves)
             odds = forward * backward
             p = odds / (1 + odds)
+            if again:
+                tags[part] = np.where(free[part], likelier * odds / (1 + likelier * odds), tags[part])
+            gold = tags[part].astype(float)
             off += np.bincount(own_words, gold - p, n_words)
             excess += float((gold - p).sum())
-            steps_moves += np.bincount(2 * tags[part][here] + tags[part][here + 1], minlength=4).reshape(2, 2)
+            before, after = (np.stack([1 - g, g]) for g in (gold[here], gold[here + 1]))
+            steps_moves += before @ after.T
             own = np.exp(np.clip(u[here + 1], -30, 30)) * backward[here + 1]
             joint = np.stack([np.full(len(here), m[0, 0]), m[0, 1] * own, forward[here] * m[1, 0], forward[here] * m[1, 1] * own])
             joint /= joint.sum(axis=0)
@@ -214,6 +225,29 @@ def _unlike(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+def _surprise(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Twice the log-likelihood ratio of two rates (documents of each label that have a feature) against a common one."""
+
+    def fit(k: int, n: int, rate: float) -> float:
+        return (k * np.log(rate) if k else 0.0) + ((n - k) * np.log(1 - rate) if n > k else 0.0)
+
+    common = (toxic + clean) / (n_toxic + n_clean)
+    apart = fit(toxic, n_toxic, toxic / n_toxic) + fit(clean, n_clean, clean / n_clean)
+    return 2 * (apart - fit(toxic, n_toxic, common) - fit(clean, n_clean, common))
+
+
+def _starts(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """By feature, the share of the toxic documents with it that the rate of the clean ones doesn't explain; the surprising ones only."""
+    few = min(max(LEAST, n_toxic // 4), n_toxic)
+    least = min(-2 * np.log(CHANCE), _surprise(few, 0, n_toxic, n_clean))
+    out = {}
+    for f, n in toxic.items():
+        share = 1 - clean[f] * n_toxic / (n * n_clean)
+        if n >= min(LEAST, n_toxic) and share > 0 and _surprise(n, clean[f], n_toxic, n_clean) >= least:
+            out[f] = share
+    return out
+
+
 def fit_documents(docs: list[tuple[str, int]]) -> Model:
     """A model of (text, label 0 or 1). Without both labels it scores all the same."""
     docs = _unlike(docs)
@@ -227,20 +261,20 @@ def fit_documents(docs: list[tuple[str, int]]) -> Model:
     counts = (Counter(), Counter())
     for text, label in docs:
         counts[label].update({f for w in set(text.split()) for f in known[w]})
-    least = min(int(np.ceil(np.log(CHANCE) / np.log(n_toxic / len(docs)))), max(LEAST, n_toxic // 4))
-    marks = {f for f, n in counts[1].items() if n >= least and n >= PURE * (n + counts[0][f])}
+    starts = _starts(counts[1], counts[0], n_toxic, len(docs) - n_toxic)
     places: dict[str, int] = {}
-    words, tags, lengths = array("i"), array("b"), array("i")
+    words, tags, free, lengths = array("i"), array("f"), array("b"), array("i")
     for text, label in docs:
         for line in _lines(text):
             words.extend([places.setdefault(w, len(places)) for w in line])
-            tags.extend([int(any(f in marks for f in known[w])) for w in line] if label else bytes(len(line)))
+            tags.extend([max((starts.get(f, 0.0) for f in known[w]), default=0.0) if label else 0.0 for w in line])
+            free.extend([label] * len(line))
             lengths.append(len(line))
     del known, counts
     if not any(tags):
         none.document[0] = float(np.log(n_toxic / (len(docs) - n_toxic)))
         return none
-    weights, bias, moves = train_chain(list(places), np.array(words), np.array(tags), np.array(lengths))
+    weights, bias, moves = train_chain(list(places), np.array(words), np.array(tags), np.array(free, bool), np.array(lengths))
     model = Model(weights.astype(np.float32), bias, moves, np.zeros(AGGREGATES))
     x = np.concatenate([aggregate for aggregate, *_ in _tagged([t for t, _ in docs], model, Memo(model.potential, WORDS_KEPT))])
     model.document = logistic(x, np.array([y for _, y in docs], float))

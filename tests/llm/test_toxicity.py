@@ -33,6 +33,39 @@ def test_held_out_accuracy_and_shape(spark):
     assert sum(y == p for y, p in held) >= 0.95 * len(held) and any(y for y, _ in held)
 
 
+def test_held_out_rates(spark):
+    """Rates on the labels that aren't learned; some of the misses hold no word that any learned toxic document has."""
+    d = "/root/testdata/sf0.1"
+    got = queries.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted").collect()
+    caught = [r.predicted for r in got if r.toxic == 1]
+    flagged = [r.predicted for r in got if r.toxic == 0]
+    assert sum(caught) >= 0.89 * len(caught) > 50 and sum(flagged) <= 0.005 * len(flagged)
+
+
+def test_tags_are_latent():
+    """A stem that clean documents hold now and then still tells, by how often a document has it; its unseen inflections as well."""
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}" for a in ("kal", "nor", "fes", "mub", "tir") for b in ("an", "eth", "ist", "oul")]
+
+    def text(n_stem):
+        out = list(rng.choice(words, 80)) + [f"grobnat{rng.integers(1000)}" for _ in range(n_stem)]
+        rng.shuffle(out)
+        return " ".join(out)
+
+    docs = [(text(5), 1) for _ in range(60)] + [(text(int(rng.random() < 0.2)), 0) for _ in range(400)]
+    model = toxicity.fit_documents(docs)
+    tried = [text(5) for _ in range(20)] + [text(int(i < 10)) for i in range(50)]
+    x = np.concatenate([a for a, *_ in toxicity._tagged(tried, model, toxicity.Memo(model.potential, 1000))])
+    assert ((x @ model.document > 0) == (np.arange(70) < 20)).all()
+    assert model.potential("grobnatest") > 0 > model.potential("kalan")
+
+
+def test_starting_tags():
+    """Shares beyond chance: of 10 toxic and 90 clean documents, 10 against 0, 10 against 9 (a tenth of its toxic rate), as common, and too few."""
+    got = toxicity._starts({"only": 10, "often": 10, "same": 5, "few": 2}, {"only": 0, "often": 9, "same": 45, "few": 0}, 10, 90)
+    assert got.keys() == {"only", "often"} and got["only"] == 1 and abs(got["often"] - 0.9) < 1e-12
+
+
 def test_odd_rows_and_spans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))
