@@ -41,8 +41,15 @@ def arm_aggregate(per_query: DataFrame) -> DataFrame:
     )
 
 
-def policy(hits: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFrame, forbidden: DataFrame, limit: int, as_of: int) -> DataFrame:
-    """Violation counts per query over all observed hits (query_id, id, rank)."""
+COUNTERS = ["forbidden_hits", "unknown_hits", "scope_violations", "non_active_hits", "expired_hits", "duplicate_hits", "over_limit_hits", "missing_sources"]
+
+
+def policy(hits: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFrame, forbidden: DataFrame, limit: int, as_of: int, require_empty: DataFrame | None = None) -> DataFrame:
+    """Violation counts per query over all observed hits (query_id, id, rank), and whether the query passed.
+
+    Queries of ``require_empty`` (query_id) fail if they have any hit. A query
+    without hits has zeros and passes. Null ids don't count.
+    """
     owned = cards.select("id", F.col("tenant_id").alias("t"), F.col("user_id").alias("u"), F.col("status"), F.col("expires_us"), "candidate_id")
     times = Window.partitionBy("query_id", "id").orderBy("rank")
     seen = hits.select("query_id", "id", "rank").withColumn("turn", F.row_number().over(times)).join(owned, "id", "left")
@@ -51,12 +58,25 @@ def policy(hits: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFra
     rows = queries.select("query_id", "tenant_id", "user_id").join(seen, "query_id", "left")
     hit = F.col("id").isNotNull()
     known = F.col("t").isNotNull()
-    return rows.groupBy("query_id").agg(
+    counted = rows.groupBy("query_id").agg(
         F.count("id").alias("hits"), F.count("forbidden").alias("forbidden_hits"), F.count_if(hit & ~known).alias("unknown_hits"),
         F.count_if(known & ((F.col("t") != F.col("tenant_id")) | (F.col("u") != F.col("user_id")))).alias("scope_violations"),
         F.count_if(known & (F.col("status") != "active")).alias("non_active_hits"), F.count_if(known & (F.col("expires_us") <= as_of)).alias("expired_hits"),
         F.count_if(F.col("turn") > 1).alias("duplicate_hits"), F.count_if(F.col("rank") > limit).alias("over_limit_hits"), F.count_if(known & F.col("sourced").isNull()).alias("missing_sources"),
     )
+    if require_empty is None:
+        counted = counted.withColumn("require_empty_failure", F.lit(False))
+    else:
+        counted = counted.join(require_empty.select("query_id").distinct().withColumn("__empty", F.lit(True)), "query_id", "left")
+        counted = counted.withColumn("require_empty_failure", F.coalesce("__empty", F.lit(False)) & (F.col("hits") > 0)).drop("__empty")
+    clean = sum((F.col(c) for c in COUNTERS), F.lit(0)) == 0
+    return counted.withColumn("passed", clean & ~F.col("require_empty_failure"))
+
+
+def policy_totals(per_query: DataFrame) -> DataFrame:
+    """Counters of ``policy`` summed per arm (column arm; null is an arm of its own), failures of empty queries, and whether all passed."""
+    sums = [F.sum(c).alias(c) for c in COUNTERS]
+    return per_query.groupBy("arm").agg(F.count("*").alias("query_count"), *sums, F.count_if("require_empty_failure").alias("require_empty_failures"), F.bool_and("passed").alias("all_passed"))
 
 
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:

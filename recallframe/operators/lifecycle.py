@@ -147,6 +147,22 @@ def residue(tables: dict[str, DataFrame], scopes: DataFrame) -> DataFrame:
     return wanted.join(counts, [*SCOPE, "table_name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def cleanup(left: DataFrame, prefix: str) -> DataFrame:
+    """Per scope of ``residue``: rows left, and whether the scope may be cleaned up: only one of the prefix, and only if all its tables are empty."""
+    totals = left.groupBy(*SCOPE).agg(F.sum("n").alias("n_left"))
+    verdict = F.when(~F.col("tenant_id").startswith(prefix), "not_allowed").when(F.col("n_left") > 0, "residue").otherwise("cleaned")
+    return totals.withColumn("verdict", verdict)
+
+
+def extraction_metadata(run: Column, protocol: str, grounding: str, n_sources: Column) -> Column:
+    """The four entries that an extraction stamps on its candidates; a run's id comes from its key."""
+    run_id = F.concat(F.lit("extract_"), F.substring(F.sha2(run, 256), 1, 32))
+    return F.create_map(
+        F.lit("extraction_run_id"), run_id, F.lit("extraction_protocol"), F.lit(protocol), F.lit("extraction_grounding"), F.lit(grounding),
+        F.lit("extraction_source_count"), n_sources.cast("string"),
+    )
+
+
 def candidate_batches(requests: DataFrame, good: DataFrame, revisions: DataFrame) -> DataFrame:
     """Batches (scope, batch_id, expected_revision, id): accepted if every member is good and the scope's revision is the expected one."""
     members = requests.join(good.select(*SCOPE, "id", F.lit(True).alias("ok")), [*SCOPE, "id"], "left").join(revisions, SCOPE, "left")

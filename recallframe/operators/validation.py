@@ -66,18 +66,35 @@ def dangling(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
     return child.join(parent.select(*on).distinct(), on, "left_anti")
 
 
-def grounding(supports: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per batch (query_id) of supports (scope, evidence_id, quote): counts and whether the whole batch stands.
-
-    A quote stands if it occurs to the byte in its evidence and isn't too long;
-    one quote that doesn't stand, a missing evidence, one evidence quoted twice,
-    or a batch over its limits rejects the batch.
+def grounding(supports: DataFrame, evidence: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Per batch (scope, batch_id): counts and whether the whole batch stands.
+
+    ``proposals`` are (scope, batch_id, candidate_id, identity_key), ``supports``
+    (scope, batch_id, candidate_id, evidence_id, quote). A quote stands if it
+    occurs to the byte in its evidence and isn't too long; null and empty quotes
+    don't. One quote that doesn't stand, a missing evidence, one evidence quoted
+    twice for a candidate, two proposals of one identity, a proposal without
+    support, or a batch over its limits rejects the batch.
     """
+    batch = [*SCOPE, "batch_id"]
     rows = supports.join(evidence.select(*SCOPE, F.col("id").alias("evidence_id"), "content"), [*SCOPE, "evidence_id"], "left")
     stands = F.coalesce(F.col("content").contains(F.col("quote")) & (F.octet_length("quote") <= MAX_QUOTE_BYTES) & (F.col("quote") != ""), F.lit(False))
-    checked = rows.groupBy("query_id").agg(
-        F.count("*").alias("supports"), F.count_if(~stands).alias("ungrounded"), F.count_if(F.col("content").isNull()).alias("missing"),
-        (F.count("*") - F.count_distinct("evidence_id")).alias("repeated"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("total_bytes"),
-    )
-    good = (F.col("ungrounded") == 0) & (F.col("repeated") == 0) & (F.col("supports") <= MAX_EVIDENCE) & (F.col("total_bytes") <= MAX_TOTAL_BYTES)
-    return checked.withColumn("accepted", good)
+    each = rows.groupBy(*batch, "candidate_id", "evidence_id").agg(
+        F.count("*").alias("n"), F.count_if(~stands).alias("ungrounded"), F.count_if(F.col("content").isNull()).alias("missing"), F.max(F.octet_length("content")).alias("bytes")
+    )
+    sources = each.groupBy(*batch, "evidence_id").agg(
+        F.sum("n").alias("supports"), F.sum("ungrounded").alias("ungrounded"), F.sum("missing").alias("missing"), F.sum(F.col("n") - 1).alias("repeated"), F.max("bytes").alias("bytes")
+    )
+    checked = sources.groupBy(*batch).agg(
+        *[F.sum(c).alias(c) for c in ("supports", "ungrounded", "missing", "repeated")], F.count("*").alias("sources"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes")
+    )
+    supported = each.select(*batch, "candidate_id").distinct().withColumn("supported", F.lit(1))
+    identities = proposals.join(supported, [*batch, "candidate_id"], "left").groupBy(*batch, "identity_key").agg(F.count("*").alias("n"), F.count("supported").alias("supported"))
+    counted = identities.groupBy(*batch).agg(
+        F.sum("n").alias("candidates"), F.sum(F.col("n") - 1).alias("duplicate_identities"), F.sum(F.col("n") - F.col("supported")).alias("unsupported")
+    )
+    sums = ["supports", "ungrounded", "missing", "repeated", "sources", "total_bytes"]
+    joined = counted.join(checked, batch, "left").select(*counted.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
+    none = [F.col(c) == 0 for c in ("ungrounded", "repeated", "duplicate_identities", "unsupported")]
+    limits = (F.col("candidates") <= MAX_CANDIDATES) & (F.col("sources") <= MAX_EVIDENCE) & (F.col("total_bytes") <= MAX_TOTAL_BYTES)
+    return joined.withColumn("accepted", none[0] & none[1] & none[2] & none[3] & limits)

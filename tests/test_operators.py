@@ -272,3 +272,42 @@ def test_leases_are_fenced_by_owner_version_and_time(spark):
     got = {r.id: (r.outcome, r.state, r.last_error_code, r.available_us) for r in projection.transition(jobs, asked, 10).collect()}
     assert got == {0: ("lease_lost", "leased", "transport", 0), 1: ("lease_lost", "leased", "transport", 0), 2: ("lease_lost", "leased", "transport", 0), 3: ("applied", "cancelled", "transport", 10)}
     assert projection.transition(jobs, asked, 9).where("id = 0").select("outcome", "state", "last_error_code", "available_us").first() == ("applied", "retry", "provider_timeout", 14)
+
+
+def test_policy_of_empty_and_forbidden(spark):
+    from recallframe.operators import evaluation
+
+    queries = spark.createDataFrame([("a", "t", "u"), ("b", "t", "u"), ("c", "t", "u")], "query_id string, tenant_id string, user_id string")
+    cards = spark.createDataFrame([("m1", "t", "u", "active", None, "c1")], "id string, tenant_id string, user_id string, status string, expires_us long, candidate_id string")
+    links = spark.createDataFrame([("c1",)], "candidate_id string")
+    hits = spark.createDataFrame([("a", "m1", 1), ("b", "m1", 1)], "query_id string, id string, rank int")
+    empty = queries.where("query_id in ('b', 'c')")
+    rows = evaluation.policy(hits, queries, cards, links, hits.limit(0), 5, 10, require_empty=empty)
+    got = {r.query_id: r for r in rows.collect()}
+    assert {k: (r.require_empty_failure, r.passed) for k, r in got.items()} == {"a": (False, True), "b": (True, False), "c": (False, True)}
+    (total,) = evaluation.policy_totals(rows.selectExpr("*", "'x' AS arm")).collect()
+    assert (total.query_count, total.require_empty_failures, total.all_passed) == (3, 1, False)
+
+
+def test_grounding_of_one_batch_each(spark):
+    from recallframe.operators import validation
+
+    scope = "tenant_id string, user_id string, "
+    evidence = spark.createDataFrame([("t", "u", "e1", "said so"), ("t", "u", "e2", "x" * 70_000), ("t", "u", "e3", "")], scope + "id string, content string")
+    cases = {  # batch: proposals of (candidate, identity), supports of (candidate, evidence, quote), accepted
+        "fine": ([("c1", "i1"), ("c2", "i2")], [("c1", "e1", "said"), ("c2", "e1", "so")], True),
+        "unsaid": ([("c1", "i1")], [("c1", "e1", "never")], False),
+        "missing": ([("c1", "i1")], [("c1", "e9", "said")], False),
+        "null quote": ([("c1", "i1")], [("c1", "e1", None)], False),
+        "twice": ([("c1", "i1")], [("c1", "e1", "said"), ("c1", "e1", "so")], False),
+        "one identity": ([("c1", "i1"), ("c2", "i1")], [("c1", "e1", "said"), ("c2", "e1", "so")], False),
+        "no support": ([("c1", "i1"), ("c2", "i2")], [("c1", "e1", "said")], False),
+        "none at all": ([("c1", "i1")], [], False),
+        "long evidence": ([("c1", "i1")], [("c1", "e2", "x")], False),
+        "many": ([(f"c{i}", f"i{i}") for i in range(11)], [(f"c{i}", "e1", "said") for i in range(11)], False),
+        "ten": ([(f"c{i}", f"i{i}") for i in range(10)], [(f"c{i}", "e1", "said") for i in range(10)], True),
+    }
+    proposals = spark.createDataFrame([("t", "u", b, *p) for b, (ps, _, _) in cases.items() for p in ps], scope + "batch_id string, candidate_id string, identity_key string")
+    supports = spark.createDataFrame([("t", "u", b, *x) for b, (_, xs, _) in cases.items() for x in xs], scope + "batch_id string, candidate_id string, evidence_id string, quote string")
+    got = {r.batch_id: r.accepted for r in validation.grounding(supports, evidence, proposals).collect()}
+    assert got == {b: ok for b, (_, _, ok) in cases.items()}
