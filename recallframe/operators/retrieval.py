@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recallframe.functions import text as X
 from recallframe.functions.vectors import cosine
 from recallframe.operators.lifecycle import SCOPE, serviceable
+from recallframe.session import scratch, stored
 
 K1, B = 1.2, 0.75
 #: Field weights of BM25 count into both term frequency and length.
@@ -21,6 +22,10 @@ BM25_FIELDS = {"memory_key": 3, "value": 2, "category": 1, "person": 1, "relatio
 RRF_K = 60
 #: Queries with a vector each that are broadcast at most.
 FEW_QUERIES = 4096
+#: Bytes of different asked terms that are broadcast at most.
+SMALL_TERMS = 32 << 20
+#: Stands for the card itself among its tokens; no token is empty.
+CARD = ""
 #: Decimals that scores are rounded to where sums have no fixed order.
 DIGITS = 6
 
@@ -30,13 +35,20 @@ def ranked(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def card_terms(cards: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(scope, id, token, tf, len) of the cards' tokens that are ``wanted`` (scope, token) somewhere; the others never leave their task's join."""
+def asked_only(postings: DataFrame, asked: DataFrame, term: str) -> DataFrame:
+    """Postings whose (scope, term) some query asks for; asked terms of up to ``SMALL_TERMS`` bytes go to the postings, which then stay where they are."""
+    wanted = asked.select(*SCOPE, term).distinct()
+    size = wanted.agg(F.sum(F.octet_length(term) + sum(F.octet_length(c) for c in SCOPE) + 64)).first()[0] or 0
+    return postings.join(F.broadcast(wanted) if size <= SMALL_TERMS else wanted, [*SCOPE, term], "left_semi")
+
+
+def card_terms(cards: DataFrame, asked: DataFrame) -> DataFrame:
+    """(scope, id, created_us, len, token, tf) of the cards' asked tokens, and one row with the token ``CARD`` for each card of an asked scope; tokenises once."""
     weighted = F.flatten(F.array(*[F.array_repeat(X.tokens(F.col(c)), w) for c, w in BM25_FIELDS.items()]))
     counted = cards.select(*SCOPE, "id", "created_us", F.flatten(weighted).alias("all"))
-    terms = counted.select(*SCOPE, "id", "created_us", F.size("all").alias("len"), F.explode("all").alias("token"))
-    asked = terms.join(wanted, [*SCOPE, "token"], "left_semi")
-    return asked.groupBy(*SCOPE, "id", "created_us", "len", "token").agg(F.count("*").alias("tf"))
+    terms = counted.select(*SCOPE, "id", "created_us", F.size("all").alias("len"), F.explode(F.concat("all", F.array(F.lit(CARD)))).alias("token"))
+    wanted = asked.select(*SCOPE, "token").unionByName(asked.select(*SCOPE, F.lit(CARD).alias("token")))
+    return asked_only(terms, wanted, "token").groupBy(*SCOPE, "id", "created_us", "len", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(cards: DataFrame) -> DataFrame:
@@ -46,22 +58,29 @@ def corpus_stats(cards: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -> DataFrame:
-    """BM25 within each query's scope; only positive scores; score down, newest first, id."""
+    """BM25 within each query's scope; only positive scores; score down, newest first, id.
+
+    The asked terms of the cards are written once and read for frequencies,
+    lengths and scores; only the hits, ``limit`` a query, outlive the call.
+    """
     if limit <= 0:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("score", "double"), ("created_us", "long"), ("rank", "int"))]
         return queries.select("query_id", *nothing).limit(0)
     live = cards.where(serviceable(F.lit(as_of_us)))
     asked = queries.select("query_id", *SCOPE, F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("query_id", *SCOPE, "token").agg(F.count("*").alias("qtf"))
-    terms = card_terms(live, asked.select(*SCOPE, "token").distinct())
-    frequency = terms.groupBy(*SCOPE, "token").agg(F.count("*").alias("df"))
-    scored = asked.join(frequency, [*SCOPE, "token"]).join(terms, [*SCOPE, "token"]).join(corpus_stats(live), SCOPE)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # summed in the order of terms, so that scores don't depend on the shuffle
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("token", part.alias("part")))), lambda x: x["part"])
-    hits = scored.groupBy("query_id", "id", "created_us").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
-    hits = hits.where("score > 0").withColumn("score", F.round("score", DIGITS))
-    return ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id"))
+    with scratch(queries.sparkSession):
+        found = stored(card_terms(live, asked))
+        stats = found.where(F.col("token") == CARD).groupBy(*SCOPE).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+        terms = found.where(F.col("token") != CARD)
+        frequency = terms.groupBy(*SCOPE, "token").agg(F.count("*").alias("df"))
+        scored = asked.join(frequency, [*SCOPE, "token"]).join(terms, [*SCOPE, "token"]).join(stats, SCOPE)
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+        # summed in the order of terms, so that scores don't depend on the shuffle
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("token", part.alias("part")))), lambda x: x["part"])
+        hits = scored.groupBy("query_id", "id", "created_us").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
+        hits = hits.where("score > 0").withColumn("score", F.round("score", DIGITS))
+        return stored(ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id")), keep=True)
 
 
 #: Weights of labels A (key), B (value), C (category, person, relationship), D (backstory).
@@ -79,8 +98,8 @@ def full_text(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -
     labels = {"A": X.lexemes(F.col("memory_key")), "B": X.lexemes(F.col("value")), "C": X.lexemes(F.concat_ws(" ", "category", "person", "relationship")), "D": X.lexemes(F.col("backstory"))}
     occurrences = F.concat(*[_weighted(v, FTS_WEIGHTS[k]) for k, v in labels.items()])
     postings = live.select(*SCOPE, "id", "created_us", F.explode(occurrences).alias("o")).select(*SCOPE, "id", "created_us", "o.*")
-    postings = postings.groupBy(*SCOPE, "id", "created_us", "lexeme").agg(F.sum("weight").alias("weight"))
     asked = queries.select("query_id", *SCOPE, F.explode(fts_query(F.col("text"))).alias("lexeme"))
+    postings = asked_only(postings, asked, "lexeme").groupBy(*SCOPE, "id", "created_us", "lexeme").agg(F.sum("weight").alias("weight"))
     hits = asked.join(postings, [*SCOPE, "lexeme"]).groupBy("query_id", "id", "created_us").agg(F.round(F.sum("weight") / 10, DIGITS).alias("score"))
     return ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id"))
 
