@@ -63,3 +63,14 @@ def identity_key(*parts: Column) -> Column:
     normal = [F.lower(trim_space(F.coalesce(p, F.lit("")))) for p in parts]
     framed = [F.concat(F.octet_length(n).cast("string"), F.lit(":"), n, F.lit("\x00")) for n in normal]
     return F.sha2(F.concat(*framed), 256)
+
+
+def json_map(value: Column) -> Column:
+    """A map of strings as JSON text; null is the empty object."""
+    return F.coalesce(F.to_json(value), F.lit("{}"))
+
+
+def map_of_json(value: Column) -> Column:
+    """The map of strings in JSON text; null and text that isn't an object are the empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.from_json(value, "map<string,string>"), empty)

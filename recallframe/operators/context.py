@@ -19,6 +19,13 @@ def multi_get(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     return asked.join(known, [*SCOPE, "id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def first_missing(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(request_id, scope, position, id) of the first id of a request that isn't in its scope: such a request fails as a whole. Requests without a miss, or without ids, don't appear."""
+    missed = multi_get(requests, evidence).where(~F.col("found"))
+    first = missed.groupBy("request_id", *SCOPE).agg(F.min_by(F.struct("position", "id"), "position").alias("first"))
+    return first.select("request_id", *SCOPE, "first.position", "first.id")
+
+
 def missing_sources(links: DataFrame, evidence: DataFrame) -> DataFrame:
     """Links whose evidence isn't in their scope."""
     return links.join(evidence.select(*SCOPE, F.col("id").alias("evidence_id")), [*SCOPE, "evidence_id"], "left_anti")

@@ -152,6 +152,18 @@ def evidence_multi_get(spark, d):
     return context.multi_get(links.where("source_order = 0").select(F.col("candidate_id").alias("request_id"), *SCOPE, ids), evidence)
 
 
+_ASKED = """SELECT candidate_id || '/' || CAST(source_order AS VARCHAR) AS request_id, l.tenant_id, l.user_id, CAST(p AS INT) AS position, CASE p WHEN 1 THEN 'e0' ELSE evidence_id END AS id
+  FROM (SELECT * FROM bad_links WHERE source_order IN (0, 9)) l, (SELECT unnest([0, 1, 2]) AS p)"""
+
+
+@query(f"""SELECT request_id, tenant_id, user_id, min(position) AS position, arg_min(id, position) AS id FROM ({_ASKED}) r
+  WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.tenant_id = r.tenant_id AND e.user_id = r.user_id AND e.id = r.id) GROUP BY ALL""")
+def evidence_first_missing(spark, d):
+    links, evidence = frames(spark, d, "bad_links", "evidence")
+    asked = links.where("source_order in (0, 9)").withColumn("request_id", F.concat_ws("/", "candidate_id", F.col("source_order").cast("string")))
+    return context.first_missing(asked.select("request_id", *SCOPE, F.array("evidence_id", F.lit("e0"), "evidence_id").alias("ids")), evidence)
+
+
 @query("""SELECT c.tenant_id, c.user_id, c.id, coalesce(s.ids, '') AS source_event_ids FROM candidates c LEFT JOIN (
   SELECT tenant_id, user_id, candidate_id, string_agg(evidence_id, ',' ORDER BY source_order) AS ids FROM links GROUP BY ALL) s ON s.tenant_id = c.tenant_id AND s.user_id = c.user_id AND s.candidate_id = c.id""")
 def candidate_with_sources(spark, d):

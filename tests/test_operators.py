@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recallframe.functions import text as X
 from recallframe.functions import vectors
 from recallframe.functions.rng import SplitMix64
-from recallframe.operators import evaluation, lifecycle, projection, retrieval, validation
+from recallframe.operators import context, evaluation, lifecycle, projection, retrieval, validation
 from recallframe.sources import datasets, ports
 from recallframe.sources.snapshots import Conflict, Snapshots
 from recallframe.streaming import ingest
@@ -311,3 +311,29 @@ def test_grounding_of_one_batch_each(spark):
     supports = spark.createDataFrame([("t", "u", b, *x) for b, (_, xs, _) in cases.items() for x in xs], scope + "batch_id string, candidate_id string, evidence_id string, quote string")
     got = {r.batch_id: r.accepted for r in validation.grounding(supports, evidence, proposals).collect()}
     assert got == {b: ok for b, (_, _, ok) in cases.items()}
+
+
+def test_json_maps(spark):
+    rows = spark.createDataFrame([(1, {"a": "x", "b": ""}), (2, {}), (3, None)], "id int, m map<string,string>")
+    coded = rows.withColumn("j", X.json_map(F.col("m"))).withColumn("back", X.map_of_json(F.col("j")))
+    assert [(r.j, r.back) for r in coded.orderBy("id").collect()] == [('{"a":"x","b":""}', {"a": "x", "b": ""}), ("{}", {}), ("{}", {})]
+    odd = spark.createDataFrame([("nonsense",), (None,)], "j string").select(X.map_of_json(F.col("j")).alias("m"))
+    assert [r.m for r in odd.collect()] == [{}, {}]
+
+
+def test_first_missing(spark):
+    evidence = spark.createDataFrame([("t", "u", "a", "x"), ("t", "v", "b", "y")], "tenant_id string, user_id string, id string, content string")
+    requests = spark.createDataFrame(
+        [("1", "t", "u", ["a", "a"]), ("2", "t", "u", ["a", "b", "c"]), ("3", "t", "u", []), ("4", "t", "u", None), ("5", "t", "u", ["a", None])],
+        "request_id string, tenant_id string, user_id string, ids array<string>",
+    )
+    assert sorted(tuple(r) for r in context.first_missing(requests, evidence).collect()) == [("2", "t", "u", 1, "b"), ("5", "t", "u", 1, None)]
+
+
+def test_bm25_of_several_scopes(spark):
+    rows = [dict(id="a", value="red apple apple"), dict(id="b", value="red pear"), dict(id="c", value="")]
+    corpus = cards(spark, rows)
+    other = corpus.withColumn("user_id", F.lit("else")).withColumn("id", F.concat(F.lit("x"), "id"))
+    alone = retrieval.bm25(asked(spark, "red apple", ""), corpus, 5, NOW).collect()
+    both = retrieval.bm25(asked(spark, "red apple", ""), corpus.unionByName(other), 5, NOW).collect()
+    assert alone and alone == both
