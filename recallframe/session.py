@@ -66,15 +66,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, keep: bool = False, codec: str | None = None) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again; for wider rows than ``cut``.
 
-    With ``keep`` it outlives the innermost ``scratch`` block.
+    With ``keep`` it outlives the innermost ``scratch`` block. ``codec`` is Parquet's, the session's by default.
     """
     spark = df.sparkSession
     folders = [shared_dir(spark), *_scratch]
     path = f"{folders[-2 if keep and _scratch else -1]}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
