@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from recallframe.llm import bpe, fertility, lines, merkle, mixing, rollup, shard, simhash, toxicity, urls
+from recallframe.llm import bpe, fertility, ids, lines, merkle, mixing, phrases, ranking, rollup, shard, simhash, toxicity, urls
 from recallframe.llm.text import word_count
 from recallframe.session import cut, shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
@@ -111,6 +112,23 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents to files and digests what is read back from them."""
+    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    ids.write(table(spark, sf_dir, "documents"), folder, TOKENIZER, end=0)
+    return ids.digests(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best collocations."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_shard": op2_shard,
@@ -122,5 +140,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_merkle": op10_merkle,
+    "op11_ids": op11_ids,
+    "op12_ranking": op12_ranking,
+    "op13_phrases": op13_phrases,
 }
-ORACLES: dict[str, str] = {"op2_shard": shard.oracle(16, 1), "op3_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op2_shard": shard.oracle(16, 1), "op3_lines": lines.ORACLE, "op12_ranking": ranking.ORACLE, "op13_phrases": phrases.ORACLE}
