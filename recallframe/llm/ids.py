@@ -24,10 +24,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,41 +39,91 @@ from recallframe.session import scratch, stored
 
 #: Ids of a block, ids from one checkpoint to the next, bits of the longest codeword (more where a vocabulary needs them).
 BLOCK, EVERY, LIMIT = 1 << 15, 256, 16
-#: Documents handled at once.
-SLICE = 256
-#: Bytes of known words that a worker keeps, and of the longest one.
-MEMO, LONG = 96 << 20, 256
+#: Documents encoded at once, and ids coded at once.
+SLICE, MANY = 256, 1 << 19
+#: Bytes of known pieces that a worker keeps, and characters of the longest one.
+MEMO, LONG = 64 << 20, 256
 #: Before a blank and something that isn't white space, every text may be cut: no token reaches across.
 CUT = re.compile(r"(?= \S)")
+#: Blanks that no word follows.
+ODD = re.compile(r" (?:\s|\Z)")
+#: Letters of which every run is one pre-token, and such a run up to the end or a mark that begins another.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+WORD = re.compile(rf"[{LETTERS}]+(?=[.,;:!?\n]|\Z)")
+
+
+class Pieces(dict):
+    """What ``make`` makes of pieces of text, made once while it is remembered.
+
+    Two generations hold ``MEMO`` bytes at most: where the younger one has half of
+    that, it becomes the older one, of which only what is asked for again stays.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older, self.held = make, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONG:
+            self[piece] = found
+            self.held += len(piece) + len(found) + 220
+        return found
+
+    def settle(self) -> None:
+        """Call it between uses."""
+        if self.held > MEMO // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
 
 
 class Encoder:
-    """The tokenizers library over texts; the strings of special tokens are ordinary text. Words that were seen before are looked up."""
+    """The tokenizers library over texts; the strings of special tokens are ordinary text.
+
+    Texts are cut at blanks, and pieces that were seen before are looked up. A word of
+    plain letters behind a blank is one pre-token and goes to the library's model at
+    once; so does the word before a punctuation mark. All else goes through the
+    library as a whole.
+    """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.code = Tokenizer.from_file(path), np.dtype(dtype).char
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {ord(c): spell(c)[0][0] for c in " " + LETTERS}
+        #: Pieces behind a blank that isn't part of the key, and pieces as they are.
+        self.after, self.plain = Pieces(self._after_blank), Pieces(self._whole)
+
+    def _whole(self, piece: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _after_blank(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._word(self.spelling[32] + piece)
+        m = WORD.match(piece)
+        if m is None:
+            return self._whole(" " + piece)
+        if m.end() < len(piece):
+            return self.after[m[0]] + self.plain[piece[m.end() :]]
+        return self._word(self.spelling[32] + piece.translate(self.spelling))
+
+    def _word(self, spelled: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as numbers of ``dtype`` one after another."""
-        if self.held > MEMO:
-            self.known, self.held = {}, 0
-        known = self.known
-        cut = [CUT.split(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(found.ids, self.dtype).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
-            else:
-                self.held += len(w) + len(known[w]) + 150
+        out, after = [], self.after.__getitem__
+        for text in texts:
+            first, *rest = [p if i == 0 else p[1:] for i, p in enumerate(CUT.split(text))] if ODD.search(text) else text.split(" ")
+            out.append(self.plain[first] + b"".join(map(after, rest)))
+        self.after.settle()
+        self.plain.settle()
         return out
 
 
@@ -114,8 +166,8 @@ def count_ids(blocks: DataFrame, dtype: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), dtype))
+            for at in range(0, batch.num_rows, SLICE):
+                own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, SLICE).to_pylist()), dtype))
                 if len(own) > len(total):
                     total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
                 total[: len(own)] += own
@@ -164,7 +216,7 @@ class Code:
         size = int(self.ids.max(initial=0)) + 1
         self.word_of, self.length_of = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.word_of[self.ids], self.length_of[self.ids] = self.words.astype(np.uint64), self.lengths
-        self.table_id, self.table_length = np.repeat(self.ids, share), np.repeat(self.lengths, share)
+        self.table_id, self.table_length = np.repeat(self.ids.astype(np.uint32), share), np.repeat(self.lengths, share)
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """(bits, marks) of blocks of ``sizes`` ids that lie one after another in ``ids``."""
@@ -178,11 +230,12 @@ class Code:
         place = inside + np.repeat(8 * at_byte, sizes)
         cell, shift = place >> 6, 64 - (place & 63) - length
         out = np.zeros(int(n_bytes.sum()) // 8 + 2, np.uint64)
-        high = np.where(shift >= 0, word << np.maximum(shift, 0).astype(np.uint64), word >> np.maximum(-shift, 0).astype(np.uint64))
         if len(ids):
+            high = word << (shift & 63).astype(np.uint64)
+            over = np.flatnonzero(shift < 0)  # one codeword at most reaches from a cell into the next
+            high[over] = word[over] >> (-shift[over]).astype(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             out[cell[first]] = np.bitwise_or.reduceat(high, first)
-            over = shift < 0  # one codeword at most reaches from a cell into the next
             out[cell[over] + 1] |= word[over] << (64 + shift[over]).astype(np.uint64)
         flat = out.astype(">u8").tobytes()
         bits = [flat[a : a + n] for a, n in zip(at_byte.tolist(), n_bytes.tolist(), strict=True)]
@@ -201,10 +254,12 @@ class Code:
         place[nth > 0] = np.frombuffer(b"".join(marks), "<u4")
         lengths = np.fromiter(map(len, bits), np.int64, len(bits))
         place += 8 * (np.cumsum(lengths) - lengths)[block]
+        # each stretch's ids, and where they go
         left = np.minimum(sizes[block] - nth * EVERY, EVERY)
-        order = np.argsort(-left, kind="stable")  # runs that end first come last
-        place, left = place[order], left[order]
-        out = np.zeros((len(block), EVERY), np.int64)
+        goes = np.cumsum(left) - left
+        order = np.argsort(-left, kind="stable")  # stretches that end first come last
+        place, goes, left = place[order], goes[order], left[order]
+        out = np.zeros(int(sizes.sum()), np.uint32)
         live = np.searchsorted(-left, -np.arange(EVERY), side="left")
         mask, top = np.uint32((1 << self.limit) - 1), np.uint32(32 - self.limit)
         for step in range(EVERY):
@@ -213,23 +268,29 @@ class Code:
                 break
             p = place[:n]
             pattern = window[p >> 3] >> (top - (p & 7).astype(np.uint32)) & mask
-            out[:n, step] = self.table_id[pattern]
+            out[goes[:n] + step] = self.table_id[pattern]
             p += self.table_length[pattern]
-        back = np.empty_like(out)
-        back[order] = out
-        whole = np.minimum(sizes[block] - nth * EVERY, EVERY)
-        return back[np.arange(EVERY) < whole[:, None]]
+        return out
+
+
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``MANY`` ids; ``sizes`` are those of its rows."""
+    nth = np.cumsum(sizes) // MANY
+    starts = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _coded(code: Code, dtype: str):
     """Task: blocks of ids to (..., n, marks, bits)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(dtype).itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in _slices(batch, pc.binary_length(batch.column("ids")).to_numpy() // width):
                 raw = part.column("ids").to_pylist()
-                sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
+                sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // width
                 bits, marks = code.encode(np.frombuffer(b"".join(raw), dtype).astype(np.int64), sizes)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in ("doc", "tie", "row", "block")], pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())],
@@ -264,7 +325,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc: str = "doc_id", tex
 
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end + 1)
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    dtype = "u2" if vocabulary <= 1 << 16 else "u4"
     limit = max(LIMIT, (vocabulary - 1).bit_length())
     with scratch(spark):
         with scratch(spark):
@@ -295,8 +356,7 @@ def _decoded(code: Code, fields: list[T.StructField], name: str, of: Callable[[n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in _slices(batch, batch.column("n").to_numpy().astype(np.int64)):
                 sizes = part.column("n").to_numpy().astype(np.int64)
                 ids = code.decode(part.column("bits").to_pylist(), part.column("marks").to_pylist(), sizes)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], of(ids, sizes)], [*[f.name for f in fields], name])
@@ -305,11 +365,11 @@ def _decoded(code: Code, fields: list[T.StructField], name: str, of: Callable[[n
 
 
 def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids.astype(np.int32)))
 
 
 def _little_endian(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    flat, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+    flat, ends = ids.astype("<u4", copy=False).tobytes(), 4 * np.cumsum(sizes)
     return pa.array([flat[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
