@@ -9,29 +9,37 @@ the right does the same the other way round. Suffixes are sorted by as many word
 the longest phrase has, which is all that such intervals need.
 
 Counts are summed across shards. A phrase that is frequent has only frequent parts, so
-shards are walked three times: for words, for pairs of frequent words, and for longer
-phrases all of whose neighbouring pairs are frequent. Each time what isn't frequent
-turns into breaks before the index is built. A shard only ever gets the frequent
-phrases that it has itself, by a join; nothing that grows with the corpus is broadcast.
+shards are walked for pairs of frequent words first, and then for longer phrases all of
+whose neighbouring pairs are frequent; what isn't frequent turns into breaks before an
+index is built. A shard only ever gets the frequent words and pairs that it has itself,
+by a join. Frequent words have numbers of their own, so a phrase is a few numbers until
+the best ones are spelled.
+
+Before a walk all n-grams are counted by a hash in a fixed number of buckets. One whose
+bucket stays below the least frequency can't be frequent and isn't handed on. The bit
+for each bucket is all that is broadcast, and its size is fixed; the more n-grams there
+are, the less it spares, but no count depends on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallframe.llm.shard import number_rows
 from recallframe.session import scratch, stored
 
 #: Least frequency, most words, phrases reported per language.
 LEAST, MOST_WORDS, REPORTED = 100, 5, 2000
 #: Bytes of text of a shard, and of all shards that a task holds open.
 SHARD, HELD = 6 << 20, 24 << 20
+#: Binary logarithms of the number of buckets and of those in a chunk.
+BUCKETS, CHUNK = 22, 16
 #: Rows of an Arrow batch of counts.
 ROWS = 1 << 17
 #: A-Z become a-z, tabs blanks, and what ends a piece a byte that UTF-8 doesn't have.
@@ -77,18 +85,18 @@ class Transform:
         return owner, symbol, count, np.searchsorted(self.places, symbol * self.n + low[owner]), before
 
 
-def walk(sequence: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk(sequence: np.ndarray, depth: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, counts) of all different n-grams of a sequence that begins and ends with a break, for n from 2 to ``depth``; to the left and to the right by turns.
 
-    ``words`` has a row of n numbers for each n-gram; none holds a break.
+    ``words`` has a row of n numbers for each n-gram; none holds a break. N-grams for
+    which ``keep`` is false are left out, with all longer ones that would come of them.
     """
     if len(sequence) < 3:
         return
     forward = Transform(sequence, depth)
     backward = None
     low = other = forward.first[1:-1]
-    high = forward.first[2:]
-    count = high - low
+    count = forward.first[2:] - low
     words = np.arange(1, forward.n_symbols)[:, None]
     for size in range(2, depth + 1):
         leftwards = size % 2 == 0
@@ -98,6 +106,9 @@ def walk(sequence: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndar
         low, other = (at, other[owner] + before) if leftwards else (low[owner] + before, at)
         count = new
         words = np.concatenate((symbol[:, None], words[owner]) if leftwards else (words[owner], symbol[:, None]), axis=1)
+        if keep is not None:
+            kept = keep(words)
+            low, other, count, words = low[kept], other[kept], count[kept], words[kept]
         yield words, count
         if not len(count):
             return
@@ -108,18 +119,27 @@ def tokens_of(text: bytes | None) -> bytes:
     return (text or b"").translate(FOLD).replace(BREAK, b" \xff ")
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), "<i4").astype(np.int64)
+
+
 def _shard_row(shard: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
     coded = pa.array((b" \xff ".join([BREAK, *texts, BREAK])).split(), pa.binary()).dictionary_encode()
-    ids = coded.indices.to_numpy().astype(np.int32)  # the break comes first, so its number is 0
+    ids = coded.indices.to_numpy()  # the break comes first, so its number is 0
     counts = np.bincount(ids)[1:]
     words = coded.dictionary[1:].cast(pa.string())
     one = pa.array([0, len(words)], pa.int32())
     lists = [pa.ListArray.from_arrays(one, x) for x in (words, pa.array(counts, pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([lang], pa.string()), pa.array([ids.tobytes()], pa.binary()), *lists], ["shard", "lang", "ids", "words", "counts"])
+    row = [pa.array([shard], pa.int64()), pa.array([lang], pa.string()), pa.array([len(ids)], pa.int32()), pa.array([_packed(ids)], pa.binary())]
+    return pa.RecordBatch.from_arrays([*row, *lists], ["shard", "lang", "n", "ids", "words", "counts"])
 
 
 def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(shard, lang, ids, words, counts): word numbers with breaks as int32, and the words of numbers 1, 2, ... with their counts.
+    """(shard, lang, n, ids, words, counts): n packed word numbers with breaks, and the words of numbers 1, 2, ... with their counts.
 
     A shard holds ``SHARD`` bytes of text or a little more, or one longer text. A null language is ``und``.
     """
@@ -146,92 +166,158 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
             made += 1
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "shard long, lang string, ids binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(work, "shard long, lang string, n int, ids binary, words array<string>, counts array<long>")
+
+
+def _sequences(make: Callable[[np.ndarray, pa.Array], np.ndarray]):
+    """Task: (shard, n, ids, kept) to the sequences that ``make`` makes of ids and kept, as (shard, n, ids)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sequence = make(_unpacked(batch.column("ids")[i].as_py(), batch.column("n")[i].as_py()), batch.column("kept")[i].values)
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([len(sequence)], pa.int32()), pa.array([_packed(sequence)], pa.binary())], ["shard", "n", "ids"])
+
+    return work
+
+
+def _only_words(ids: np.ndarray, kept: pa.Array) -> np.ndarray:
+    """The global numbers of kept words, structs (id, gid), and single breaks for what is between them."""
+    new = np.zeros(int(ids.max()) + 1, np.int64)
+    new[kept.field(0).to_numpy()] = kept.field(1).to_numpy()
+    sequence = new[ids]
+    again = np.concatenate(([False], (sequence[1:] == 0) & (sequence[:-1] == 0)))
+    return sequence[~again]
+
 
+def _only_pairs(words: np.ndarray, kept: pa.Array) -> np.ndarray:
+    """The runs of words whose neighbouring pairs are all kept, with single breaks around them."""
+    pairs = np.sort(kept.to_numpy())
+    here = words[:-1] << 32 | words[1:]
+    joined = pairs[np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)] == here
+    # a word stays if it is joined to a neighbour, with a break after it if that isn't the next one
+    with_next, with_last = np.concatenate((joined, [False])), np.concatenate(([False], joined))
+    both = np.stack((words, np.where(with_next, -1, 0)), axis=1)[with_next | with_last].ravel()
+    return np.concatenate(([0], both[both >= 0]))
 
-def _batches(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays(columns, names)
-    for at in range(0, whole.num_rows, ROWS):
-        yield whole.slice(at, ROWS)
 
+#: Odd multipliers of the hash of n-grams.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-def _spelled(words: np.ndarray, spelling: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(*[spelling.take(pa.array(words[:, i] - 1)) for i in range(words.shape[1])], " ")
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return ((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, lang, a, b, phrase, n): pairs of a shard's frequent words, ``kept`` being (number, word) structs."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            kept = batch.column("kept")[i].values
-            known = kept.field(0).to_numpy()
-            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int32)
-            new = np.zeros(int(ids.max()) + 1, np.int64)
-            new[known] = np.arange(1, len(known) + 1)
-            sequence = new[ids]
-            again = np.concatenate(([False], (sequence[1:] == 0) & (sequence[:-1] == 0)))
-            for words, count in walk(sequence[~again], 2):
-                n = len(count)
-                own = [pa.array(np.full(n, batch.column("shard")[i].as_py())), pa.array([batch.column("lang")[i].as_py()] * n, pa.string())]
-                numbers = [pa.array(known[words[:, k] - 1], pa.int32()) for k in (0, 1)]
-                yield from _batches([*own, *numbers, _spelled(words, kept.field(1)), pa.array(count, pa.int64())], ["shard", "lang", "a", "b", "phrase", "n"])
 
+def _bucket_of(words: np.ndarray) -> np.ndarray:
+    """The buckets of n-grams, a row of numbers each."""
+    h = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        h = h * _STEP + words[:, i].astype(np.uint64)
+    return _bucket(h)
 
-def _longer(most_words: int):
-    """(lang, size, phrase, n): a shard's phrases of three words and more whose neighbouring pairs are all among ``kept``, structs (a, b, phrase)."""
+
+def _buckets_in(sequence: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The buckets of all n-grams at all places, n from ``least`` to ``most``."""
+    values, out = sequence.astype(np.uint64), []
+    h, whole = np.zeros(len(values), np.uint64), np.ones(len(values), bool)
+    for n in range(1, min(most, len(values)) + 1):
+        h, whole = h[: len(values) - n + 1] * _STEP + values[n - 1 :], whole[: len(values) - n + 1] & (values[n - 1 :] > 0)
+        if n >= least:
+            out.append(_bucket(h[whole]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def heavy_buckets(sequences: DataFrame, shortest: int, longest: int, least: int) -> np.ndarray:
+    """Whether each bucket holds ``least`` n-grams or more over all ``sequences`` (n, ids)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKETS, np.int64)
+        for batch in batches:
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                total += np.bincount(_buckets_in(_unpacked(data, n), shortest, longest), minlength=1 << BUCKETS)
+        if total.any():
+            total = np.minimum(total, least)  # more makes no difference
+            for chunk in range(1 << (BUCKETS - CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_packed(total[chunk << CHUNK : (chunk + 1) << CHUNK])], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + _unpacked(data, 1 << CHUNK)
+        for chunk, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], ["chunk", "heavy"])
+
+    n_chunks = 1 << (BUCKETS - CHUNK)
+    parts = sequences.select("n", "ids").mapInArrow(count, "chunk int, counts binary").repartition(n_chunks, "chunk")
+    out = np.zeros(1 << BUCKETS, bool)
+    for chunk, bits in parts.mapInArrow(add, "chunk int, heavy binary").collect():  # a bit for each bucket
+        out[chunk << CHUNK : (chunk + 1) << CHUNK] = np.unpackbits(np.frombuffer(bits, np.uint8))
+    return out
+
+
+def counted(sequences: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
+    """(shard, k0, k1, ..., n): each shard's n-grams of ``sequences`` (shard, n, ids) that may occur ``least`` times over all; two words to a key, 0 for none."""
+    heavy, n_keys = np.packbits(heavy_buckets(sequences, shortest, longest, least)), -(-longest // 2)
+    names = ["shard", *[f"k{i}" for i in range(n_keys)], "n"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_heavy = np.unpackbits(heavy).astype(bool)
         for batch in batches:
-            for i in range(batch.num_rows):
-                kept = batch.column("kept")[i].values
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int32).astype(np.int64)
-                a, b = kept.field(0).to_numpy().astype(np.int64), kept.field(1).to_numpy().astype(np.int64)
-                width = int(ids.max()) + 1
-                pairs = np.sort(a * width + b)
-                here = ids[:-1] * width + ids[1:]
-                joined = pairs[np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)] == here
-                # a word stays if it is joined to a neighbour, with a break after it if that isn't the next one
-                stays = np.concatenate((joined, [False])) | np.concatenate(([False], joined))
-                known, spelled = np.unique(np.concatenate((a, b)), return_index=True)
-                split = pc.split_pattern(kept.field(2), " ")
-                spelling = pa.concat_arrays([pc.list_element(split, 0), pc.list_element(split, 1)]).take(pa.array(spelled))
-                new = np.zeros(width, np.int64)
-                new[known] = np.arange(1, len(known) + 1)
-                both = np.stack((new[ids], np.where(np.concatenate((joined, [False])), -1, 0)), axis=1)[stays].ravel()
-                for words, count in walk(np.concatenate(([0], both[both >= 0])), most_words):
-                    if words.shape[1] > 2:
-                        n = len(count)
-                        own = [pa.array([batch.column("lang")[i].as_py()] * n, pa.string()), pa.array(np.full(n, words.shape[1], np.int32))]
-                        yield from _batches([*own, _spelled(words, spelling), pa.array(count, pa.int64())], ["lang", "size", "phrase", "n"])
+            for shard, n, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "n", "ids")], strict=True):
+                known, sequence = np.unique(_unpacked(data, n), return_inverse=True)
 
-    return work
+                def keep(words: np.ndarray, known: np.ndarray = known) -> np.ndarray:
+                    return is_heavy[_bucket_of(known[words])] if words.shape[1] >= shortest else np.ones(len(words), bool)
 
+                for words, count in walk(sequence, longest, keep):
+                    if words.shape[1] >= shortest:
+                        full = np.zeros((len(words), 2 * n_keys), np.int64)
+                        full[:, : words.shape[1]] = known[words]
+                        keys = [pa.array(full[:, 2 * i] << 32 | full[:, 2 * i + 1]) for i in range(n_keys)]
+                        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(count), shard)), *keys, pa.array(count, pa.int64())], names)
+                        for at in range(0, whole.num_rows, ROWS):
+                            yield whole.slice(at, ROWS)
 
-def _frequent(counted: DataFrame, key: str, least: int) -> DataFrame:
-    """Rows of ``counted`` (lang, ``key``, n of a shard) whose ``f``, the sum of n over the shards, is ``least`` or more; a key has a row a shard at most."""
-    whole = Window.partitionBy("lang", key)
-    return stored(counted.withColumn("f", F.sum("n").over(whole)).where(F.col("f") >= least))
+    return sequences.select("shard", "n", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
-def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, f) of all words and phrases found ``least`` times or more, and (lang, n) with all word occurrences. Call it within ``scratch``."""
-    held = stored(shards(docs, text, lang), codec="zstd")
-    totals = held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    words = _frequent(each.select("shard", "lang", (F.col("place") + 1).alias("id"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")), "word", least)
-    sequences = held.select("shard", "lang", "ids")
+def _words_of(n_keys: int):
+    """The numbers of the words in keys, as an array."""
+    halves = [x for i in range(n_keys) for x in (F.shiftright(f"k{i}", 32), F.col(f"k{i}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return F.filter(F.array(*halves), lambda x: x > 0)
 
-    def beside(kept: DataFrame) -> DataFrame:
-        return sequences.join(kept, "shard").select("shard", "lang", "ids", "kept")
 
-    known = words.groupBy("shard").agg(F.collect_list(F.struct("id", "word")).alias("kept"))
-    pairs = _frequent(beside(known).mapInArrow(_pairs, "shard long, lang string, a int, b int, phrase string, n long"), "phrase", least)
-    known = pairs.groupBy("shard").agg(F.collect_list(F.struct("a", "b", "phrase")).alias("kept"))
-    longer = beside(known).mapInArrow(_longer(most_words), "lang string, size int, phrase string, n long")
-    longer = longer.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    single = words.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f").distinct()
-    double = pairs.select("lang", F.lit(2).alias("size"), "phrase", "f").distinct()
-    return stored(single.unionByName(double).unionByName(longer)), stored(totals)
+def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words and phrases found ``least`` times or more: (p, f) with p the numbers of a phrase's words, (gid, lang, word) of these numbers, and (lang, n) with all word occurrences.
+
+    Call it within ``scratch``. Words of different languages have different numbers.
+    """
+    held = stored(shards(docs, text, lang), codec="zstd")
+    totals = stored(held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")))
+    each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", (F.col("place") + 1).alias("id"), "w.words", "w.counts")
+    # a word has a row a shard at most
+    of_word = Window.partitionBy("lang", "words")
+    known = stored(each.withColumn("f", F.sum("counts").over(of_word)).where(F.col("f") >= least).select("shard", "id", "lang", F.col("words").alias("word"), "f"))
+    numbered, total = number_rows(known.select("lang", "word", "f").distinct(), ["lang", "word"], "gid")
+    if total >= 1 << 31:
+        raise ValueError(f"{total} frequent words; two numbers don't fit a key")
+    numbered = stored(numbered.withColumn("gid", F.col("gid") + 1))
+    beside = known.join(numbered, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("kept"))
+    words = stored(held.select("shard", "n", "ids").join(beside, "shard").mapInArrow(_sequences(_only_words), "shard long, n int, ids binary"))
+    of_pair = Window.partitionBy("k0")
+    pairs = stored(counted(words, 2, 2, least).withColumn("f", F.sum("n").over(of_pair)).where(F.col("f") >= least).select("shard", "k0", "f"))
+    found = numbered.select(F.array("gid").alias("p"), "f").unionByName(pairs.select(_words_of(1).alias("p"), "f").distinct())
+    if most_words > 2:
+        beside = pairs.groupBy("shard").agg(F.collect_list("k0").alias("kept"))
+        runs = stored(words.join(beside, "shard").mapInArrow(_sequences(_only_pairs), "shard long, n int, ids binary"))
+        longer = counted(runs, 3, most_words, least).drop("shard")
+        keys = [c for c in longer.columns if c != "n"]
+        longer = longer.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        found = found.unionByName(longer.select(_words_of(len(keys)).alias("p"), "f"))
+    return stored(found), numbered.select("gid", "lang", "word"), totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS, reported: int = REPORTED) -> DataFrame:
@@ -246,21 +332,25 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     is ``und``. Repeated rows count as often as they occur; extra columns are ignored.
     """
     with scratch(docs.sparkSession):
-        found, totals = frequencies(docs, text, lang, least, most_words)
-        phrases = found.where("size > 1")
-        parts = F.split("phrase", " ")
-        inner = [F.array_join(F.slice(parts, i, F.col("size") - 1), " ") for i in (1, 2)]
-        longer = found.where("size > 2").select("lang", F.explode(F.array(*inner)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("within"))
-        kept = phrases.join(longer, ["lang", "phrase"], "left").where(F.coalesce("within", F.lit(0)) < F.col("f")).drop("within")
-        cuts = kept.select("lang", "phrase", F.col("f").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-        halves = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), " ").alias("first"), F.array_join(F.slice(parts, F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("rest"))
-        side = lambda name, f: found.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-        scored = halves.join(side("first", "l"), ["lang", "first"]).join(side("rest", "r"), ["lang", "rest"]).join(totals, "lang")
+        found, spelling, totals = frequencies(docs, text, lang, least, most_words)
+        sized = found.withColumn("size", F.size("p"))
+        parts = F.array(F.slice("p", F.lit(1), F.col("size") - 1), F.slice("p", F.lit(2), F.col("size") - 1))
+        longer = sized.where("size > 2").select(F.explode(parts).alias("p"), "f").groupBy("p").agg(F.max("f").alias("within"))
+        kept = sized.where("size > 1").join(longer, "p", "left").where(F.coalesce("within", F.lit(0)) < F.col("f"))
+        cuts = kept.select("p", F.col("f").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+        halves = cuts.select("p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("first"), F.slice("p", F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
+        side = lambda name, f: found.select(F.col("p").alias(name), F.col("f").alias(f))
+        both = halves.join(side("first", "l"), "first").join(side("rest", "r"), "rest").withColumn("gid", F.col("p")[0])
+        scored = both.join(spelling.select("gid", "lang"), "gid").join(totals, "lang")
         wide = lambda c: F.col(c).cast("decimal(38,0)")
         scored = scored.withColumn("top", F.lit(1000).cast("decimal(38,0)") * wide("a") * wide("n")).withColumn("bottom", wide("l") * wide("r"))
-        least_cut = scored.withColumn("score", F.expr("top div bottom")).groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "k")).alias("c"))
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = least_cut.select("lang", "phrase", "c.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reported)
+        lowest = scored.withColumn("score", F.expr("top div bottom")).groupBy("lang", "p").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "k")).alias("c"))
+        best = [F.desc("score"), F.desc("a")]
+        # those that tie with the last one stay until they are spelled
+        first = stored(lowest.select("lang", "p", "c.*").withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= reported))
+        words = first.select("p", F.posexplode("p").alias("at", "gid")).join(spelling.select("gid", "word"), "gid").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+        spelled = first.join(words, "p").withColumn("phrase", F.array_join("w.word", " "))
+        ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase"))).where(F.col("rank") <= reported)
         return stored(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), keep=True)
 
 
