@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallframe.llm.shard import number_rows
-from recallframe.session import scratch, stored
+from recallframe.session import few, scratch, stored
 
 #: Least frequency, most words, phrases reported per language.
 LEAST, MOST_WORDS, REPORTED = 100, 5, 2000
@@ -42,6 +42,8 @@ SHARD, HELD = 6 << 20, 24 << 20
 BUCKETS, CHUNK = 22, 16
 #: Rows of an Arrow batch of counts.
 ROWS = 1 << 17
+#: Rows of counts that a task adds up before it hands them on.
+MERGED = 1 << 20
 #: A-Z become a-z, tabs blanks, and what ends a piece a byte that UTF-8 doesn't have.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * len(_ENDS))
@@ -258,13 +260,30 @@ def heavy_buckets(sequences: DataFrame, shortest: int, longest: int, least: int)
     return out
 
 
-def counted(sequences: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
-    """(shard, k0, k1, ..., n): each shard's n-grams of ``sequences`` (shard, n, ids) that may occur ``least`` times over all; two words to a key, 0 for none."""
+def _summed(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows of keys and a count, equal keys put together."""
+    whole = np.concatenate(rows)
+    whole = whole[np.lexsort(whole[:, :-1].T)]
+    starts = np.flatnonzero(np.concatenate(([True], (whole[1:, :-1] != whole[:-1, :-1]).any(axis=1))))
+    return np.concatenate((whole[starts, :-1], np.add.reduceat(whole[:, -1:], starts)), axis=1)
+
+
+def counted(sequences: DataFrame, shortest: int, longest: int, least: int, by_shard: bool) -> DataFrame:
+    """(shard, k0, k1, ..., n): n-grams of ``sequences`` (shard, n, ids) that may occur ``least`` times over all; two words to a key, 0 for none.
+
+    Each shard's own with ``by_shard``; else shards of one task are added up, as far as memory goes, and ``shard`` is that of one of them.
+    """
     heavy, n_keys = np.packbits(heavy_buckets(sequences, shortest, longest, least)), -(-longest // 2)
     names = ["shard", *[f"k{i}" for i in range(n_keys)], "n"]
 
+    def out(shard: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), ROWS):
+            part = rows[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), *[pa.array(np.ascontiguousarray(part[:, i])) for i in range(part.shape[1])]], names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_heavy = np.unpackbits(heavy).astype(bool)
+        held, shard = [], 0
         for batch in batches:
             for shard, n, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "n", "ids")], strict=True):
                 known, sequence = np.unique(_unpacked(data, n), return_inverse=True)
@@ -273,13 +292,18 @@ def counted(sequences: DataFrame, shortest: int, longest: int, least: int) -> Da
                     return is_heavy[_bucket_of(known[words])] if words.shape[1] >= shortest else np.ones(len(words), bool)
 
                 for words, count in walk(sequence, longest, keep):
-                    if words.shape[1] >= shortest:
+                    if words.shape[1] >= shortest and len(count):
                         full = np.zeros((len(words), 2 * n_keys), np.int64)
                         full[:, : words.shape[1]] = known[words]
-                        keys = [pa.array(full[:, 2 * i] << 32 | full[:, 2 * i + 1]) for i in range(n_keys)]
-                        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(count), shard)), *keys, pa.array(count, pa.int64())], names)
-                        for at in range(0, whole.num_rows, ROWS):
-                            yield whole.slice(at, ROWS)
+                        held.append(np.concatenate((full[:, ::2] << 32 | full[:, 1::2], count[:, None]), axis=1))
+                if by_shard or sum(map(len, held)) > MERGED:
+                    held = held if by_shard or not held else [_summed(held)]
+                    if by_shard or len(held[0]) > MERGED // 2:
+                        for rows in held:
+                            yield from out(shard, rows)
+                        held = []
+        if held:
+            yield from out(shard, _summed(held))
 
     return sequences.select("shard", "n", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
@@ -305,15 +329,15 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     if total >= 1 << 31:
         raise ValueError(f"{total} frequent words; two numbers don't fit a key")
     numbered = stored(numbered.withColumn("gid", F.col("gid") + 1))
-    beside = known.join(numbered, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("kept"))
+    beside = known.drop("f").join(few(numbered.select("lang", "word", "gid")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("kept"))
     words = stored(held.select("shard", "n", "ids").join(beside, "shard").mapInArrow(_sequences(_only_words), "shard long, n int, ids binary"))
     of_pair = Window.partitionBy("k0")
-    pairs = stored(counted(words, 2, 2, least).withColumn("f", F.sum("n").over(of_pair)).where(F.col("f") >= least).select("shard", "k0", "f"))
+    pairs = stored(counted(words, 2, 2, least, by_shard=True).withColumn("f", F.sum("n").over(of_pair)).where(F.col("f") >= least).select("shard", "k0", "f"))
     found = numbered.select(F.array("gid").alias("p"), "f").unionByName(pairs.select(_words_of(1).alias("p"), "f").distinct())
     if most_words > 2:
         beside = pairs.groupBy("shard").agg(F.collect_list("k0").alias("kept"))
         runs = stored(words.join(beside, "shard").mapInArrow(_sequences(_only_pairs), "shard long, n int, ids binary"))
-        longer = counted(runs, 3, most_words, least).drop("shard")
+        longer = counted(runs, 3, most_words, least, by_shard=False).drop("shard")
         keys = [c for c in longer.columns if c != "n"]
         longer = longer.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         found = found.unionByName(longer.select(_words_of(len(keys)).alias("p"), "f"))
