@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallframe.functions.rng import bounded_draws
+from recallframe.operators.lifecycle import SCOPE
 
 SEED, RESAMPLES = 2026081901, 10_000
 
@@ -34,9 +35,9 @@ def quality(hits: DataFrame, relevance: DataFrame, k: int, ndcg_k: int) -> DataF
     )
 
 
-def arm_aggregate(per_query: DataFrame) -> DataFrame:
-    """Macro averages over the queries that have judgments."""
-    return per_query.groupBy().agg(
+def arm_aggregate(per_query: DataFrame, *arm: str) -> DataFrame:
+    """Macro averages over the queries that have judgments, by the columns ``arm``."""
+    return per_query.groupBy(*arm).agg(
         F.count("*").alias("quality_query_count"), *[F.round(F.avg(m), 6).alias(m) for m in ("recall", "mrr", "ndcg")], F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.bool_and("passed").alias("all_passed")
     )
 
@@ -44,23 +45,29 @@ def arm_aggregate(per_query: DataFrame) -> DataFrame:
 COUNTERS = ["forbidden_hits", "unknown_hits", "scope_violations", "non_active_hits", "expired_hits", "duplicate_hits", "over_limit_hits", "missing_sources"]
 
 
+#: What ``source_policy`` counts.
+SOURCE_COUNTERS = ["missing_sources", "reordered_sources", "unknown_source_ids", "source_scope_violations", "evidence_payload_violations"]
+
+
 def policy(hits: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFrame, forbidden: DataFrame, limit: int, as_of: int, require_empty: DataFrame | None = None) -> DataFrame:
-    """Violation counts per query over all observed hits (query_id, id, rank), and whether the query passed.
+    """Violation counts per query over all observed hits (query_id, the hit's own scope, id, rank), and whether the query passed.
 
-    Queries of ``require_empty`` (query_id) fail if they have any hit. A query
+    A card is known by scope and id: one of the same id elsewhere says nothing about
+    a hit. ``forbidden`` names cards as hits do. Queries of ``require_empty`` (query_id) fail if they have any hit. A query
     without hits has zeros and passes. Null ids don't count.
     """
-    owned = cards.select("id", F.col("tenant_id").alias("t"), F.col("user_id").alias("u"), F.col("status"), F.col("expires_us"), "candidate_id")
-    times = Window.partitionBy("query_id", "id").orderBy("rank")
-    seen = hits.select("query_id", "id", "rank").withColumn("turn", F.row_number().over(times)).join(owned, "id", "left")
-    seen = seen.join(links.select("candidate_id").distinct().withColumn("sourced", F.lit(1)), "candidate_id", "left")
-    seen = seen.join(forbidden.select("query_id", "id").withColumn("forbidden", F.lit(1)), ["query_id", "id"], "left")
-    rows = queries.select("query_id", "tenant_id", "user_id").join(seen, "query_id", "left")
+    key = ["query_id", *SCOPE, "id"]
+    owned = cards.select(*SCOPE, "id", "status", "expires_us", "candidate_id", F.lit(True).alias("known"))
+    times = Window.partitionBy(*key).orderBy("rank")
+    seen = hits.select(*key, "rank").withColumn("turn", F.row_number().over(times)).join(owned, [*SCOPE, "id"], "left")
+    seen = seen.join(links.select(*SCOPE, "candidate_id").distinct().withColumn("sourced", F.lit(1)), [*SCOPE, "candidate_id"], "left")
+    seen = seen.join(forbidden.select(*key).distinct().withColumn("forbidden", F.lit(1)), key, "left")
+    rows = queries.select("query_id", F.struct(*SCOPE).alias("asked")).join(seen, "query_id", "left")
     hit = F.col("id").isNotNull()
-    known = F.col("t").isNotNull()
+    known = F.coalesce("known", F.lit(False))
     counted = rows.groupBy("query_id").agg(
         F.count("id").alias("hits"), F.count("forbidden").alias("forbidden_hits"), F.count_if(hit & ~known).alias("unknown_hits"),
-        F.count_if(known & ((F.col("t") != F.col("tenant_id")) | (F.col("u") != F.col("user_id")))).alias("scope_violations"),
+        F.count_if(known & (F.struct(*SCOPE) != F.col("asked"))).alias("scope_violations"),
         F.count_if(known & (F.col("status") != "active")).alias("non_active_hits"), F.count_if(known & (F.col("expires_us") <= as_of)).alias("expired_hits"),
         F.count_if(F.col("turn") > 1).alias("duplicate_hits"), F.count_if(F.col("rank") > limit).alias("over_limit_hits"), F.count_if(known & F.col("sourced").isNull()).alias("missing_sources"),
     )
@@ -74,8 +81,8 @@ def policy(hits: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFra
 
 
 def policy_totals(per_query: DataFrame) -> DataFrame:
-    """Counters of ``policy`` summed per arm (column arm; null is an arm of its own), failures of empty queries, and whether all passed."""
-    sums = [F.sum(c).alias(c) for c in COUNTERS]
+    """Counters of ``policy``, and those of ``source_policy`` where they are joined to it, summed per arm (column arm; null is an arm of its own), failures of empty queries, and whether all passed."""
+    sums = [F.sum(c).alias(c) for c in (*COUNTERS, *[c for c in SOURCE_COUNTERS if c in per_query.columns and c not in COUNTERS])]
     return per_query.groupBy("arm").agg(F.count("*").alias("query_count"), *sums, F.count_if("require_empty_failure").alias("require_empty_failures"), F.bool_and("passed").alias("all_passed"))
 
 
@@ -126,21 +133,21 @@ def bootstrap(per_query: DataFrame, resamples: int = RESAMPLES, seed: int = SEED
 
 
 def source_policy(packs: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per query what is wrong with the sources of its items (query_id, scope, id, candidate_id, sources: array of id and content).
+    """Per query what is wrong with the sources of its items (query_id, scope, id, candidate_id, sources: array of tenant_id, user_id, id and content).
 
-    Counts sources that don't exist, are of another scope or differ in content,
-    and items with another number of sources than expected, or another order.
+    Counts sources that their own scope lacks, are of another scope or differ in
+    content, and items with another number of sources than expected, or another
+    order. Links and evidence of other scopes don't count, whatever their ids.
     """
-    wanted = links.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("source_order", "evidence_id")))["evidence_id"].alias("wanted"))
-    lists = packs.join(wanted, "candidate_id", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
+    wanted = links.groupBy(*SCOPE, "candidate_id").agg(F.array_sort(F.collect_list(F.struct("source_order", "evidence_id")))["evidence_id"].alias("wanted"))
+    lists = packs.join(wanted, [*SCOPE, "candidate_id"], "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
     short = F.size("sources") != F.size("wanted")
     by_item = lists.groupBy("query_id").agg(F.count_if(short).alias("missing_sources"), F.count_if(~short & (F.col("sources.id") != F.col("wanted"))).alias("reordered_sources"))
-    known = evidence.select(F.col("tenant_id").alias("t"), F.col("user_id").alias("u"), F.col("id").alias("source_id"), F.col("content").alias("expected"))
-    each = packs.select("query_id", "tenant_id", "user_id", F.explode("sources").alias("s")).select("query_id", "tenant_id", "user_id", F.col("s.id").alias("source_id"), F.col("s.content").alias("content"))
-    by_source = each.join(known, "source_id", "left").groupBy("query_id").agg(
-        F.count_if(F.col("t").isNull()).alias("unknown_source_ids"),
-        F.count_if((F.col("t") != F.col("tenant_id")) | (F.col("u") != F.col("user_id"))).alias("source_scope_violations"),
-        F.count_if(F.col("expected") != F.col("content")).alias("evidence_payload_violations"),
+    known = evidence.select(*SCOPE, F.col("id").alias("source_id"), F.col("content").alias("expected"), F.lit(True).alias("known"))
+    asked = F.struct(*SCOPE).alias("asked")
+    each = packs.select("query_id", asked, F.explode("sources").alias("s")).select("query_id", "asked", *[F.col(f"s.{c}").alias(c) for c in SCOPE], F.col("s.id").alias("source_id"), F.col("s.content").alias("content"))
+    by_source = each.join(known, [*SCOPE, "source_id"], "left").groupBy("query_id").agg(
+        F.count_if(F.col("known").isNull()).alias("unknown_source_ids"), F.count_if(F.struct(*SCOPE) != F.col("asked")).alias("source_scope_violations"),
+        F.count_if(F.col("known") & ~F.col("expected").eqNullSafe(F.col("content"))).alias("evidence_payload_violations"),
     )
-    names = ["missing_sources", "reordered_sources", "unknown_source_ids", "source_scope_violations", "evidence_payload_violations"]
-    return by_item.join(by_source, "query_id", "left").select("query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    return by_item.join(by_source, "query_id", "left").select("query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in SOURCE_COUNTERS])

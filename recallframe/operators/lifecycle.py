@@ -105,10 +105,49 @@ def identity_chains(versions: DataFrame) -> DataFrame:
     return versions.where(~F.col("erased")).groupBy(*SCOPE, "identity_key").agg(F.max("version").alias("latest_version"), F.max("card_created_us").alias("latest_us"))
 
 
+#: What moves a scope's revision on; new evidence, candidates and rejections don't.
+BUMPS = ["approve", "forget", "embedding", "finalize", "repair", "promotion"]
+
+
+def revision_bumps(
+    reviews: DataFrame, erasures: DataFrame, embeddings: DataFrame | None = None, finalized: DataFrame | None = None, repairs: DataFrame | None = None, promotions: DataFrame | None = None
+) -> DataFrame:
+    """(scope, commit_seq, kind): one row for each time that a scope's revision goes up.
+
+    Approvals, of each candidate's first review; erasures, of unknown scopes too;
+    ``embeddings`` and ``finalized`` (scope, commit_seq, bumps_revision), one for each
+    row whose vector changed what is served; ``repairs`` (scope, commit_seq,
+    bumps_scope) and ``promotions`` (scope, commit_seq), once a scope for each commit,
+    however many of its cards one touches.
+    """
+    row = lambda df, kind: df.select(*SCOPE, F.col("commit_seq").cast("long").alias("commit_seq"), F.lit(kind).alias("kind"))
+    bumps = row(first_reviews(reviews).where("decision = 'approve'"), "approve").unionByName(row(erasures, "forget"))
+    for rows, kind in ((embeddings, "embedding"), (finalized, "finalize")):
+        if rows is not None:
+            bumps = bumps.unionByName(row(rows.where("bumps_revision"), kind))
+    if repairs is not None:
+        bumps = bumps.unionByName(row(repairs.where("bumps_scope"), "repair").distinct())
+    if promotions is not None:
+        bumps = bumps.unionByName(row(promotions, "promotion").distinct())
+    return bumps
+
+
+def context_revisions(scopes: DataFrame, bumps: DataFrame, upto: int | None = None) -> DataFrame:
+    """(scope, context_revision) after all bumps, or those up to a commit; 0 without any. Counts are summed before they are shuffled."""
+    counted = (bumps if upto is None else bumps.where(F.col("commit_seq") <= upto)).groupBy(*SCOPE).agg(F.count("*").alias("n"))
+    return scopes.join(counted, SCOPE, "left").select(*SCOPE, F.coalesce("n", F.lit(0)).alias("context_revision"))
+
+
+def revision_log(bumps: DataFrame) -> DataFrame:
+    """(scope, commit_seq, n_bumps, context_revision): each commit's bumps of a scope and the revision after it. A scope's commits are summed first, so a scope is as many rows as it has commits."""
+    each = bumps.groupBy(*SCOPE, "commit_seq").agg(F.count("*").alias("n_bumps"))
+    upto = Window.partitionBy(*SCOPE).orderBy("commit_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.withColumn("context_revision", F.sum("n_bumps").over(upto))
+
+
 def context_revision(scopes: DataFrame, reviews: DataFrame, erasures: DataFrame) -> DataFrame:
-    """Revision of every scope: approvals and erasures each add one; others 0."""
-    bumps = first_reviews(reviews).where("decision = 'approve'").select(*SCOPE).unionByName(erasures.select(*SCOPE)).groupBy(*SCOPE).agg(F.count("*").alias("n"))
-    return scopes.join(bumps, SCOPE, "left").select(*SCOPE, F.coalesce("n", F.lit(0)).alias("context_revision"))
+    """Revision of every scope by approvals and erasures alone."""
+    return context_revisions(scopes, revision_bumps(reviews, erasures))
 
 
 def forget_receipt(erasures: DataFrame, evidence: DataFrame, candidates: DataFrame, cards: DataFrame) -> DataFrame:
@@ -180,3 +219,25 @@ def as_of(versions: DataFrame, at: Column) -> DataFrame:
     """The card versions that were active at a time, whatever came later; erasures aside."""
     active = (F.col("card_created_us") <= at) & (F.col("superseded_us").isNull() | (F.col("superseded_us") > at))
     return versions.where(active & (F.col("expires_us").isNull() | (F.col("expires_us") > at)))
+
+
+def lifetimes(versions: DataFrame, erasures: DataFrame) -> DataFrame:
+    """Card versions with the commits between which they live: from ``commit_seq`` on and before ``until_seq`` (null: still), which is that of the next version or of the scope's next erasure."""
+    chain = Window.partitionBy(*SCOPE, "erasure_epoch", "identity_key").orderBy("commit_seq")
+    marks = erasures.groupBy(*SCOPE).agg(F.collect_list("commit_seq").alias("__marks"))
+    joined = versions.withColumn("__next", F.lead("commit_seq").over(chain)).join(marks, SCOPE, "left")
+    erased_at = F.array_min(F.filter(F.coalesce("__marks", F.array().cast("array<long>")), lambda s: s > F.col("commit_seq")))
+    return joined.withColumn("until_seq", F.least("__next", erased_at)).drop("__marks", "__next")
+
+
+def replay_queries(queries: DataFrame, versions: DataFrame, erasures: DataFrame) -> DataFrame:
+    """The cards that each query (query_id, scope, seq, at_us) of a timeline could see, as (query_id, scope, id, version).
+
+    ``seq`` is the query's place among the commits of reviews and erasures, ``at_us``
+    its own time. A card is seen if it was approved before, neither replaced nor
+    erased since, and isn't expired at that time; what comes later doesn't matter.
+    """
+    lives = lifetimes(versions, erasures).select(*SCOPE, "id", "version", "commit_seq", "until_seq", "expires_us")
+    seen = queries.select("query_id", *SCOPE, "seq", "at_us").join(lives, SCOPE)
+    live = (F.col("commit_seq") < F.col("seq")) & (F.col("until_seq").isNull() | (F.col("until_seq") >= F.col("seq")))
+    return seen.where(live & (F.col("expires_us").isNull() | (F.col("expires_us") > F.col("at_us")))).select("query_id", *SCOPE, "id", "version")

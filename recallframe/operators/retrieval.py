@@ -26,11 +26,12 @@ FEW_QUERIES = 4096
 SMALL_TERMS = 32 << 20
 #: Stands for the card itself among its tokens; no token is empty.
 CARD = ""
-#: Decimals that scores are rounded to where sums have no fixed order.
+#: Decimals that ranked scores are shown with.
 DIGITS = 6
 
 
 def ranked(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` hits of each query. Ranks go by whole scores; what is shown of them may be rounded afterwards."""
     best = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
@@ -79,8 +80,8 @@ def bm25(queries: DataFrame, cards: DataFrame, limit: int, as_of_us: int) -> Dat
         # summed in the order of terms, so that scores don't depend on the shuffle
         parts = F.transform(F.array_sort(F.collect_list(F.struct("token", part.alias("part")))), lambda x: x["part"])
         hits = scored.groupBy("query_id", "id", "created_us").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
-        hits = hits.where("score > 0").withColumn("score", F.round("score", DIGITS))
-        return stored(ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id")), keep=True)
+        best = ranked(hits.where("score > 0"), limit, F.desc("score"), F.desc("created_us"), F.col("id"))
+        return stored(best.withColumn("score", F.round("score", DIGITS)), keep=True)
 
 
 #: Weights of labels A (key), B (value), C (category, person, relationship), D (backstory).
@@ -115,8 +116,9 @@ def vector_search(queries: DataFrame, cards: DataFrame, vectors: DataFrame, limi
         queries = F.broadcast(queries)
     live = cards.where(serviceable(F.lit(as_of_us))).select(*SCOPE, "id", "created_us")
     stored = live.join(vectors.select(*SCOPE, F.col("memory_id").alias("id"), F.col("embedding").alias("v")), [*SCOPE, "id"])
-    hits = queries.select("query_id", *SCOPE, "vector").join(stored, SCOPE).select("query_id", "id", "created_us", F.round(cosine(F.col("vector"), F.col("v")), DIGITS).alias("score"))
-    return ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id"))
+    hits = queries.select("query_id", *SCOPE, "vector").join(stored, SCOPE).select("query_id", "id", "created_us", cosine(F.col("vector"), F.col("v")).alias("score"))
+    best = ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id"))
+    return best.withColumn("score", F.round("score", DIGITS))
 
 
 def ready_cards(cards: DataFrame, vectors: DataFrame, jobs: DataFrame, targets: DataFrame, links: DataFrame, space: str) -> DataFrame:
@@ -141,16 +143,17 @@ def reciprocal_rank_fusion(lexical: DataFrame, dense: DataFrame, limit: int) ->
 
 
 def fusion_violations(branch: DataFrame, queries: DataFrame, cards: DataFrame, links: DataFrame, depth: int, as_of_us: int) -> DataFrame:
-    """What a hit of a branch may not be, as (query_id, id, rule): blank, out of scope, not serviceable, without a source, twice, too deep."""
-    hits = branch.select("query_id", F.col("id").alias("hit"), "rank")
-    n = hits.groupBy("query_id", "hit").agg(F.count("*").alias("times"))
-    owned = cards.select(F.col("id").alias("hit"), F.struct(*SCOPE).alias("own"), serviceable(F.lit(as_of_us)).alias("live"), "candidate_id")
+    """What a hit of a branch (query_id, the hit's own scope, id, rank) may not be, as (query_id, scope, id, rule): blank, out of scope, not serviceable, without a source, twice, too deep."""
+    key = ["query_id", *SCOPE, "id"]
+    hits = branch.select(*key, "rank")
+    n = hits.groupBy(*key).agg(F.count("*").alias("times"))
+    owned = cards.select(*SCOPE, "id", serviceable(F.lit(as_of_us)).alias("live"), "candidate_id")
     asked = queries.select("query_id", F.struct(*SCOPE).alias("asked"))
-    sourced = links.select("candidate_id").distinct().withColumn("sourced", F.lit(True))
-    seen = hits.join(asked, "query_id").join(owned, "hit", "left").join(sourced, "candidate_id", "left").join(n, ["query_id", "hit"])
+    sourced = links.select(*SCOPE, "candidate_id").distinct().withColumn("sourced", F.lit(True))
+    seen = hits.join(asked, "query_id").join(owned, [*SCOPE, "id"], "left").join(sourced, [*SCOPE, "candidate_id"], "left").join(n, key)
     rules = {
-        "blank_id": F.trim("hit") == "", "out_of_scope": F.col("own").isNull() | (F.col("own") != F.col("asked")), "not_serviceable": ~F.coalesce("live", F.lit(False)),
+        "blank_id": F.trim("id") == "", "out_of_scope": F.struct(*SCOPE) != F.col("asked"), "not_serviceable": ~F.coalesce("live", F.lit(False)),
         "no_source": F.col("sourced").isNull(), "duplicate": F.col("times") > 1, "over_depth": F.col("rank") > depth,
     }
     broken = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
-    return seen.select("query_id", F.col("hit").alias("id"), F.explode(broken).alias("rule")).distinct()
+    return seen.select(*key, F.explode(broken).alias("rule")).distinct()

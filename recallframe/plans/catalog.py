@@ -44,7 +44,7 @@ SHARED = {
     "bm25_df": "SELECT tenant_id, user_id, token, count(*) AS df FROM bm25_terms GROUP BY ALL",
     "bm25_asked": "SELECT query_id, tenant_id, user_id, token, count(*) AS qtf FROM (SELECT query_id, tenant_id, user_id, unnest(list_transform(f(text), lambda w: n(w))) AS token FROM queries) GROUP BY ALL",
     "bm25_hits": """
-      SELECT query_id, id, created_us, round(score, 6) AS score FROM (
+      SELECT query_id, id, created_us, score FROM (
         SELECT query_id, id, created_us, list_sum(list(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)) ORDER BY token)) AS score
         FROM bm25_asked JOIN bm25_df USING (tenant_id, user_id, token) JOIN bm25_terms USING (tenant_id, user_id, token) JOIN bm25_lengths USING (tenant_id, user_id, id) JOIN bm25_stats USING (tenant_id, user_id)
         GROUP BY query_id, id, created_us) WHERE score > 0""",
@@ -58,8 +58,8 @@ SHARED = {
       SELECT query_id, id, created_us, round(sum(weight) / 10, 6) AS score
       FROM (SELECT query_id, tenant_id, user_id, unnest(list_distinct(x(text))) AS lexeme FROM queries) JOIN fts_postings USING (tenant_id, user_id, lexeme) GROUP BY query_id, id, created_us""",
     "vector_hits": """
-      SELECT query_id, l.id, l.created_us, round(list_sum(list_transform(list_zip(vector, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
-          / sqrt(list_sum(list_transform(vector, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE))) * list_sum(list_transform(embedding, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE)))), 6) AS score
+      SELECT query_id, l.id, l.created_us, list_sum(list_transform(list_zip(vector, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+          / sqrt(list_sum(list_transform(vector, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE))) * list_sum(list_transform(embedding, lambda a: CAST(a AS DOUBLE) * CAST(a AS DOUBLE)))) AS score
       FROM vector_queries q JOIN live l USING (tenant_id, user_id) JOIN vectors v ON v.tenant_id = l.tenant_id AND v.user_id = l.user_id AND v.memory_id = l.id""",
     "covered": f"""
       SELECT l.tenant_id, l.user_id, l.id AS memory_id, v.content_sha256 IS NOT NULL AND v.content_sha256 <> h.expected_sha256 AS stale,
@@ -313,7 +313,7 @@ def supersede_cleanup(spark, d):
 # --- retrieval
 
 
-@query("SELECT * FROM (SELECT query_id, id, score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM bm25_hits) WHERE rank <= 5")
+@query("SELECT query_id, id, round(score, 6) AS score, created_us, rank FROM bm25_deep WHERE rank <= 5")
 def bm25_topk(spark, d):
     (queries,) = frames(spark, d, "queries")
     return retrieval.bm25(queries, cards(spark, d), LIMIT, AS_OF_US)
@@ -336,15 +336,15 @@ def fts_query_lexemes(spark, d):
     return queries.select("query_id", F.array_join(retrieval.fts_query(F.col("text")), " | ").alias("lexemes"))
 
 
-@query("SELECT * FROM (SELECT query_id, id, score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_us DESC, id) AS INT) AS rank FROM vector_hits) WHERE rank <= 5")
+@query("SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vector_hits.score DESC, created_us DESC, id) AS INT) AS rank FROM vector_hits) WHERE rank <= 5")
 def vector_topk(spark, d):
     queries, vectors = frames(spark, d, "vector_queries", "vectors")
     return retrieval.vector_search(queries, cards(spark, d), vectors, LIMIT, AS_OF_US)
 
 
-@query(f"""SELECT * FROM (SELECT query_id, h.id, score, h.created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.created_us DESC, h.id) AS INT) AS rank
-  FROM vector_hits h JOIN live l ON l.id = h.id JOIN jobs j ON j.memory_id = l.id AND j.tenant_id = l.tenant_id AND j.user_id = l.user_id AND j.state = 'succeeded' AND j.expected_memory_version = l.version AND j.embedding_space = '{SPACE}'
-  WHERE EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = l.candidate_id)) WHERE rank <= 5""")
+@query(f"""SELECT * FROM (SELECT query_id, h.id, round(h.score, 6) AS score, h.created_us, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h.score DESC, h.created_us DESC, h.id) AS INT) AS rank
+  FROM vector_hits h JOIN vector_queries q USING (query_id) JOIN live l ON l.id = h.id AND l.tenant_id = q.tenant_id AND l.user_id = q.user_id JOIN jobs j ON j.memory_id = l.id AND j.tenant_id = l.tenant_id AND j.user_id = l.user_id AND j.state = 'succeeded' AND j.expected_memory_version = l.version AND j.embedding_space = '{SPACE}'
+  WHERE EXISTS (SELECT 1 FROM links k WHERE k.tenant_id = l.tenant_id AND k.user_id = l.user_id AND k.candidate_id = l.candidate_id)) WHERE rank <= 5""")
 def serving_vector_topk(spark, d):
     queries, vectors, jobs, targets, links = frames(spark, d, "vector_queries", "vectors", "jobs", "targets", "links")
     ready = retrieval.ready_cards(cards(spark, d), vectors, jobs, targets, links, SPACE)
@@ -367,25 +367,61 @@ def hybrid_rrf(spark, d):
     return fused.withColumn("score", F.round("score", 9))
 
 
-@query(f"""SELECT DISTINCT query_id, id, rule FROM (
-  SELECT q.query_id, c.id, unnest(list_filter([CASE WHEN NOT (status = 'active' AND (expires_us IS NULL OR expires_us > {AS_OF_US})) THEN 'not_serviceable' END,
-    CASE WHEN NOT EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = c.candidate_id) THEN 'no_source' END,
-    CASE WHEN c.tenant_id <> q.tenant_id OR c.user_id <> q.user_id THEN 'out_of_scope' END], lambda r: r IS NOT NULL)) AS rule
-  FROM queries q JOIN cards c ON c.tenant_id = q.tenant_id)""")
+#: Hits of an untrusted branch: a query's own cards, those of the same user under other tenants, and one card of each scope by an id that it lacks.
+_UNTRUSTED = """SELECT query_id, q.tenant_id, q.user_id, id, rank FROM bm25_deep JOIN (SELECT query_id, tenant_id, user_id FROM queries) q USING (query_id)
+  UNION ALL SELECT h.query_id, 'twin', q.user_id, h.id, h.rank FROM bm25_deep h JOIN queries q USING (query_id)
+  UNION ALL SELECT h.query_id, q.tenant_id, q.user_id, h.id, h.rank + 20 FROM bm25_deep h JOIN queries q USING (query_id) WHERE h.rank = 2
+  UNION ALL SELECT query_id, tenant_id, user_id, 'none', 3 FROM queries UNION ALL SELECT query_id, tenant_id, user_id, ' ', 4 FROM queries"""
+
+
+def _untrusted(spark, d):
+    (queries,) = frames(spark, d, "queries")
+    own = retrieval.bm25(queries, cards(spark, d), 20, AS_OF_US).select("query_id", "id", "rank").join(queries.select("query_id", *SCOPE), "query_id")
+    names = ["query_id", *SCOPE, "id", "rank"]
+    other = own.withColumn("tenant_id", F.lit("twin"))
+    again = own.where("rank = 2").withColumn("rank", F.col("rank") + 20)
+    odd = [queries.select("query_id", *SCOPE, F.lit(i).alias("id"), F.lit(r).alias("rank")) for i, r in (("none", 3), (" ", 4))]
+    out = own.select(*names)
+    for part in (other, again, *odd):
+        out = out.unionByName(part.select(*names))
+    return queries, out
+
+
+@query(f"""SELECT * FROM (WITH u AS ({_UNTRUSTED}), n AS (SELECT query_id, tenant_id, user_id, id, count(*) AS times FROM u GROUP BY ALL)
+  SELECT DISTINCT query_id, tenant_id, user_id, id, rule FROM (
+  SELECT u.query_id, u.tenant_id, u.user_id, u.id, unnest(list_filter([CASE WHEN c.id IS NULL OR NOT (status = 'active' AND (expires_us IS NULL OR expires_us > {AS_OF_US})) THEN 'not_serviceable' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM links k WHERE k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.candidate_id) THEN 'no_source' END,
+    CASE WHEN trim(u.id) = '' THEN 'blank_id' END, CASE WHEN n.times > 1 THEN 'duplicate' END, CASE WHEN u.rank > 20 THEN 'over_depth' END,
+    CASE WHEN u.tenant_id <> q.tenant_id OR u.user_id <> q.user_id THEN 'out_of_scope' END], lambda r: r IS NOT NULL)) AS rule
+  FROM u JOIN queries q USING (query_id) JOIN n ON n.query_id = u.query_id AND n.tenant_id = u.tenant_id AND n.user_id = u.user_id AND n.id = u.id
+  LEFT JOIN cards c ON c.tenant_id = u.tenant_id AND c.user_id = u.user_id AND c.id = u.id))""")
 def hybrid_violations(spark, d):
-    queries, links = frames(spark, d, "queries", "links")
-    c = cards(spark, d)
-    untrusted = queries.select("query_id", "tenant_id").join(c.select("tenant_id", "id"), "tenant_id").select("query_id", "id", F.lit(1).alias("rank"))
-    return retrieval.fusion_violations(untrusted, queries, c, links, retrieval.branch_depth(LIMIT), AS_OF_US)
+    queries, untrusted = _untrusted(spark, d)
+    (links,) = frames(spark, d, "links")
+    return retrieval.fusion_violations(untrusted, queries, cards(spark, d), links, retrieval.branch_depth(LIMIT), AS_OF_US)
+
+
+@query(f"""SELECT * FROM (WITH u AS (SELECT DISTINCT query_id, tenant_id, user_id, id FROM ({_UNTRUSTED})), k AS (
+    SELECT l.tenant_id, l.user_id, l.candidate_id, count(*) AS n, count(e.id) AS n_there FROM bad_links l LEFT JOIN evidence e ON e.tenant_id = l.tenant_id AND e.user_id = l.user_id AND e.id = l.evidence_id GROUP BY ALL)
+  SELECT DISTINCT query_id, id, rule FROM (SELECT u.query_id, u.id, unnest(list_filter([CASE WHEN u.tenant_id <> q.tenant_id OR u.user_id <> q.user_id THEN 'out_of_scope' END,
+    CASE WHEN c.id IS NULL OR NOT (status = 'active' AND (expires_us IS NULL OR expires_us > {AS_OF_US})) THEN 'not_serviceable' END,
+    CASE WHEN k.n IS NULL THEN 'no_source' END, CASE WHEN k.n_there < k.n THEN 'missing_source' END], lambda r: r IS NOT NULL)) AS rule
+  FROM u JOIN queries q USING (query_id) LEFT JOIN cards c ON c.tenant_id = u.tenant_id AND c.user_id = u.user_id AND c.id = u.id
+  LEFT JOIN k ON k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.candidate_id))""")
+def context_untrusted(spark, d):
+    """Hits that make a pack fail: of other scopes, unknown, expired, without a source or with one that is missing."""
+    queries, untrusted = _untrusted(spark, d)
+    links, evidence = frames(spark, d, "bad_links", "evidence")
+    return context.untrusted_hits(untrusted, queries, cards(spark, d), links, evidence, AS_OF_US)
 
 
-@query("""SELECT h.query_id, h.rank, h.id, c.memory_key, s.sources FROM (SELECT * FROM bm25_deep WHERE rank <= 5) h JOIN cards c USING (id) JOIN (
-  SELECT k.candidate_id, string_agg(k.evidence_id || ':' || sha256(e.content), ',' ORDER BY source_order, k.evidence_id) AS sources FROM links k JOIN evidence e ON e.tenant_id = k.tenant_id AND e.user_id = k.user_id AND e.id = k.evidence_id GROUP BY ALL) s
-  ON s.candidate_id = c.candidate_id""")
+@query("""SELECT h.query_id, h.rank, h.id, c.memory_key, s.sources FROM (SELECT * FROM bm25_deep WHERE rank <= 5) h JOIN queries q USING (query_id) JOIN cards c ON c.tenant_id = q.tenant_id AND c.user_id = q.user_id AND c.id = h.id JOIN (
+  SELECT k.tenant_id, k.user_id, k.candidate_id, string_agg(k.evidence_id || ':' || sha256(e.content), ',' ORDER BY source_order, k.evidence_id) AS sources FROM links k JOIN evidence e ON e.tenant_id = k.tenant_id AND e.user_id = k.user_id AND e.id = k.evidence_id GROUP BY ALL) s
+  ON s.tenant_id = c.tenant_id AND s.user_id = c.user_id AND s.candidate_id = c.candidate_id""")
 def context_pack(spark, d):
     queries, links, evidence = frames(spark, d, "queries", "links", "evidence")
     c = cards(spark, d)
-    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), c, links, evidence)
+    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), queries, c, links, evidence)
     packs = context.context_packs(items, queries, AS_OF_US)
     flat = packs.select("query_id", F.explode("items").alias("i"))
     sources = F.array_join(F.transform("i.sources", lambda s: F.concat(s["evidence_id"], F.lit(":"), F.sha2(s["content"], 256))), ",")
@@ -551,21 +587,25 @@ def eval_arm_aggregate(spark, d):
 
 _POLICY = f"""SELECT q.query_id, count(h.id) AS hits, count(CASE WHEN h.id LIKE '%9' THEN 1 END) AS forbidden_hits, count(*) FILTER (WHERE h.id IS NOT NULL AND c.id IS NULL) AS unknown_hits,
   count(*) FILTER (WHERE c.tenant_id <> q.tenant_id OR c.user_id <> q.user_id) AS scope_violations, count(*) FILTER (WHERE c.status <> 'active') AS non_active_hits, count(*) FILTER (WHERE c.expires_us <= {AS_OF_US}) AS expired_hits,
-  count(h.id) - count(DISTINCT h.id) AS duplicate_hits, count(*) FILTER (WHERE h.rank > 5) AS over_limit_hits, count(*) FILTER (WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links k WHERE k.candidate_id = c.candidate_id)) AS missing_sources,
+  count(h.id) - count(DISTINCT (h.tenant_id, h.id)) FILTER (WHERE h.id IS NOT NULL) AS duplicate_hits, count(*) FILTER (WHERE h.rank > 5) AS over_limit_hits,
+  count(*) FILTER (WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links k WHERE k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.candidate_id)) AS missing_sources,
   q.query_id LIKE '%0' AND count(h.id) > 0 AS require_empty_failure
-  FROM queries q LEFT JOIN (SELECT query_id, 'm' || substr(candidate_id, 2) AS id, unnest(CASE WHEN rank = 3 THEN [3, 21] ELSE [rank] END) AS rank FROM judged_hits WHERE query_id NOT LIKE '%3' AND (query_id NOT LIKE '%1' OR rank <= 2)) h USING (query_id)
-  LEFT JOIN cards c ON c.id = h.id GROUP BY q.query_id"""
+  FROM queries q LEFT JOIN (SELECT query_id, CASE WHEN rank % 4 = 1 THEN 'twin' ELSE source END AS tenant_id, lang AS user_id, 'm' || substr(candidate_id, 2) AS id, unnest(CASE WHEN rank = 3 THEN [3, 21] ELSE [rank] END) AS rank
+    FROM judged_hits JOIN documents ON 'c' || CAST(doc_id AS VARCHAR) = candidate_id WHERE query_id NOT LIKE '%3' AND (query_id NOT LIKE '%1' OR rank <= 2)) h USING (query_id)
+  LEFT JOIN cards c ON c.tenant_id = h.tenant_id AND c.user_id = h.user_id AND c.id = h.id GROUP BY q.query_id"""
 _PASSED = " AND ".join(f"{c} = 0" for c in evaluation.COUNTERS) + " AND NOT require_empty_failure"
 
 
 @query(f"SELECT *, {_PASSED} AS passed FROM ({_POLICY})")
 def eval_policy(spark, d):
-    """Hits of which the third comes twice; some queries have few or none, and some must have none."""
+    """Hits of which the third comes twice and every fourth is of another tenant; some queries have few or none, and some must have none."""
     queries, links = frames(spark, d, "queries", "links")
-    hits = judged_hits(spark, d).where("query_id not like '%3' and (query_id not like '%1' or rank <= 2)")
-    hits = hits.select("query_id", F.concat(F.lit("m"), F.substring("candidate_id", 2, 40)).alias("id"), "rank")
+    own = table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.col("source").alias("tenant_id"), F.col("lang").alias("user_id"))
+    hits = judged_hits(spark, d).where("query_id not like '%3' and (query_id not like '%1' or rank <= 2)").join(own, "candidate_id")
+    tenant = F.when(F.col("rank") % 4 == 1, "twin").otherwise(F.col("tenant_id"))
+    hits = hits.select("query_id", tenant.alias("tenant_id"), "user_id", F.concat(F.lit("m"), F.substring("candidate_id", 2, 40)).alias("id"), "rank")
     hits = hits.unionByName(hits.where("rank = 3").withColumn("rank", F.lit(21)))
-    forbidden = hits.where("id like '%9'").select("query_id", "id").distinct()
+    forbidden = hits.where("id like '%9'").select("query_id", *SCOPE, "id").distinct()
     return evaluation.policy(hits, queries, cards(spark, d), links, forbidden, LIMIT, AS_OF_US, require_empty=queries.where("query_id like '%0'"))
 
 
@@ -759,22 +799,25 @@ def job_log_replay(spark, d):
     return replay_jobs(log)
 
 
-@query("""SELECT query_id, count(*) FILTER (WHERE fault = 0) AS missing_sources, count(*) FILTER (WHERE fault IN (1, 2)) AS reordered_sources, count(*) FILTER (WHERE fault = 2) AS unknown_source_ids, 0 AS source_scope_violations, count(*) FILTER (WHERE fault = 3) AS evidence_payload_violations
-  FROM (SELECT h.query_id, CAST(substr(h.id, 2) AS BIGINT) % 5 AS fault_of, n, CASE WHEN CAST(substr(h.id, 2) AS BIGINT) % 5 = 1 AND n < 2 THEN 4 ELSE CAST(substr(h.id, 2) AS BIGINT) % 5 END AS fault
-    FROM (SELECT * FROM bm25_deep WHERE rank <= 5) h JOIN cards c USING (id) JOIN (SELECT k.candidate_id, count(*) AS n FROM links k GROUP BY ALL) s ON s.candidate_id = c.candidate_id) GROUP BY query_id""")
+@query("""SELECT query_id, count(*) FILTER (WHERE fault = 0) AS missing_sources, count(*) FILTER (WHERE fault IN (1, 2)) AS reordered_sources, count(*) FILTER (WHERE fault = 2) + count(*) FILTER (WHERE fault = 5 AND NOT there) AS unknown_source_ids,
+    count(*) FILTER (WHERE fault = 5) AS source_scope_violations, count(*) FILTER (WHERE fault = 3) + count(*) FILTER (WHERE fault = 5 AND there) AS evidence_payload_violations
+  FROM (SELECT h.query_id, CASE WHEN number % 6 = 1 AND n < 2 THEN 4 ELSE number % 6 END AS fault, EXISTS (SELECT 1 FROM evidence e WHERE e.tenant_id = 'elsewhere' OR (e.tenant_id = CASE WHEN h.tenant_id = 'twin' THEN 'src1' ELSE 'twin' END AND e.user_id = h.user_id AND e.id = s.last)) AS there
+    FROM (SELECT b.*, q.tenant_id, q.user_id, CAST(substr(id, 2) AS BIGINT) AS number FROM bm25_deep b JOIN queries q USING (query_id) WHERE rank <= 5) h JOIN cards c ON c.tenant_id = h.tenant_id AND c.user_id = h.user_id AND c.id = h.id
+    JOIN (SELECT k.tenant_id, k.user_id, k.candidate_id, count(*) AS n, arg_max(k.evidence_id, k.source_order) AS last FROM links k GROUP BY ALL) s ON s.tenant_id = c.tenant_id AND s.user_id = c.user_id AND s.candidate_id = c.candidate_id) GROUP BY query_id""")
 def eval_source_policy(spark, d):
-    """Context items whose sources were tampered with, by the card's number: cut, turned round, replaced, rewritten, or left alone."""
+    """Context items whose sources were tampered with, by the card's number: cut, turned round, replaced, rewritten, moved to another tenant's scope, or left alone."""
     queries, links, evidence = frames(spark, d, "queries", "links", "evidence")
     c = cards(spark, d)
-    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), c, links, evidence)
-    rows = items.join(queries.select("query_id", *SCOPE), "query_id").join(c.select("id", "candidate_id"), "id")
-    plain = F.transform("sources", lambda s: F.struct(s["evidence_id"].alias("id"), s["content"].alias("content")))
-    number = F.substring("id", 2, 40).cast("long") % 5
+    items = context.context_items(retrieval.bm25(queries, c, LIMIT, AS_OF_US), queries, c, links, evidence)
+    make = lambda tenant, i, content: F.struct(tenant.alias("tenant_id"), F.col("user_id"), i.alias("id"), content.alias("content"))
+    own = F.col("tenant_id")
+    rows = items.withColumn("plain", F.transform("sources", lambda s: make(own, s["evidence_id"], s["content"])))
+    number = F.substring("id", 2, 40).cast("long") % 6
     last = F.element_at("plain", -1)
     but_last = F.slice("plain", 1, F.size("plain") - 1)
-    tampered = (
-        F.when(number == 0, but_last).when(number == 1, F.reverse("plain"))
-        .when(number == 2, F.concat(but_last, F.array(F.struct(F.lit("nowhere").alias("id"), last["content"].alias("content")))))
-        .when(number == 3, F.concat(but_last, F.array(F.struct(last["id"].alias("id"), F.concat(last["content"], F.lit("!")).alias("content"))))).otherwise(F.col("plain"))
-    )
-    return evaluation.source_policy(rows.withColumn("plain", plain).select("query_id", *SCOPE, "id", "candidate_id", tampered.alias("sources")), links, evidence)
+    other = F.when(own == "twin", "src1").otherwise("twin")
+    ends = {2: make(own, F.lit("nowhere"), last["content"]), 3: make(own, last["id"], F.concat(last["content"], F.lit("!"))), 5: make(other, last["id"], last["content"])}
+    tampered = F.when(number == 0, but_last).when(number == 1, F.reverse("plain"))
+    for fault, end in ends.items():
+        tampered = tampered.when(number == fault, F.concat(but_last, F.array(end)))
+    return evaluation.source_policy(rows.select("query_id", *SCOPE, "id", "candidate_id", tampered.otherwise(F.col("plain")).alias("sources")), links, evidence)

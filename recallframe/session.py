@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
@@ -40,6 +43,49 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file with all of its content at once; False, and no change, if a file is there already.
+
+    The content is written under another name, which no listing of the file's folder
+    shows, and then named: by a hard link on local disks, elsewhere by a rename that
+    doesn't overwrite. Of two writers one wins, and a run that breaks off at any
+    point leaves the whole file or none.
+    """
+    context = spark.sparkContext
+    hadoop, java = context._jvm.org.apache.hadoop.fs, context._jvm.java
+    goal = hadoop.Path(path)
+    store = goal.getFileSystem(context._jsc.hadoopConfiguration())
+    draft = hadoop.Path(f"{goal.getParent()}.drafts/{uuid.uuid4().hex}")
+    store.mkdirs(goal.getParent())
+    out = store.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if store.getUri().getScheme() == "file":
+            java.nio.file.Files.createLink(java.io.File(goal.toUri().getPath()).toPath(), java.io.File(draft.toUri().getPath()).toPath())
+        else:
+            keep = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+            keep[0] = getattr(hadoop, "Options$Rename").NONE
+            hadoop.FileContext.getFileContext(store.getUri(), context._jsc.hadoopConfiguration()).rename(draft, goal, keep)
+        return True
+    except Py4JJavaError:
+        if store.exists(goal):
+            return False
+        raise
+    finally:
+        store.delete(draft, False)
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The content of a file that ``publish`` made."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What ``cut`` and ``stored`` write within this block goes when the block ends.

@@ -24,46 +24,50 @@ _CODES = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(ERROR_CODES))
 
 #: Frames in order; later ones may use earlier ones. {sha:x} is the hex SHA-256 of x.
 FRAMES: dict[str, str] = {
-    "scopes": "SELECT DISTINCT source AS tenant_id, lang AS user_id FROM documents",
+    # every fourth document is also in a scope of another tenant, under the same ids and with another text
+    "rows": """
+        SELECT source AS tenant_id, lang AS user_id, doc_id, text FROM documents
+        UNION ALL SELECT 'twin', lang, doc_id, 'twin of ' || text FROM documents WHERE doc_id % 4 = 1""",
+    "scopes": "SELECT DISTINCT tenant_id, user_id FROM rows",
     "evidence": f"""
-        SELECT source AS tenant_id, lang AS user_id, 'e' || CAST(doc_id AS STRING) AS id, 's' || CAST(doc_id % 97 AS STRING) AS session_id,
+        SELECT tenant_id, user_id, 'e' || CAST(doc_id AS STRING) AS id, 's' || CAST(doc_id % 97 AS STRING) AS session_id,
           CASE doc_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'agent' ELSE 'tool' END AS actor, text AS content, {BASE_US} + doc_id * 1000000 AS occurred_us
-        FROM documents""",
+        FROM rows""",
     "evidence_log": """
         SELECT tenant_id, user_id, id, content, occurred_us AS seq FROM evidence
         UNION ALL SELECT tenant_id, user_id, id, 'again', occurred_us + 500 FROM evidence WHERE occurred_us % 3000000 = 0""",
     "stored_evidence": "SELECT * FROM evidence WHERE occurred_us % 5000000 = 0",
     "candidates": f"""
-        SELECT source AS tenant_id, lang AS user_id, 'c' || CAST(doc_id AS STRING) AS id, CASE doc_id % 2 WHEN 0 THEN 'preference' ELSE 'Fact ' END AS kind, lang AS category,
+        SELECT tenant_id, user_id, 'c' || CAST(doc_id AS STRING) AS id, CASE doc_id % 2 WHEN 0 THEN 'preference' ELSE 'Fact ' END AS kind, user_id AS category,
           'topic ' || CAST(doc_id % 4 AS STRING) AS memory_key, text AS value, CASE WHEN doc_id % 11 = 0 THEN 'Ann' ELSE '' END AS person,
-          CASE WHEN doc_id % 11 = 0 THEN 'friend' ELSE '' END AS relationship, CASE WHEN doc_id % 6 = 0 THEN 'told in ' || source ELSE '' END AS backstory,
+          CASE WHEN doc_id % 11 = 0 THEN 'friend' ELSE '' END AS relationship, CASE WHEN doc_id % 6 = 0 THEN 'told in ' || tenant_id ELSE '' END AS backstory,
           {BASE_US} + doc_id * 1000000 + 500000 AS created_us, CASE WHEN doc_id % 7 = 0 THEN {AS_OF_US} + (doc_id % 3) - 1 END AS expires_us
-        FROM documents""",
+        FROM rows""",
     "links": """
         SELECT tenant_id, user_id, 'c' || CAST(doc_id AS STRING) AS candidate_id, 'e' || CAST(doc_id AS STRING) AS evidence_id, 1 AS source_order
-        FROM (SELECT source AS tenant_id, lang AS user_id, doc_id FROM documents) a WHERE doc_id % 13 <> 0
+        FROM rows a WHERE doc_id % 13 <> 0 AND (tenant_id <> 'twin' OR doc_id % 3 <> 0)
         UNION ALL
         SELECT tenant_id, user_id, 'c' || CAST(doc_id AS STRING), 'e' || CAST(before AS STRING), 0
-        FROM (SELECT source AS tenant_id, lang AS user_id, doc_id, lag(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS before FROM documents) b
+        FROM (SELECT tenant_id, user_id, doc_id, lag(doc_id) OVER (PARTITION BY tenant_id, user_id ORDER BY doc_id) AS before FROM rows) b
         WHERE before IS NOT NULL AND doc_id % 2 = 0""",
     "bad_links": """
         SELECT * FROM links
         UNION ALL SELECT tenant_id, user_id, candidate_id, 'missing', 9 FROM links WHERE evidence_id LIKE '%7' AND source_order = 1
         UNION ALL SELECT tenant_id, user_id, candidate_id, evidence_id, 8 FROM links WHERE evidence_id LIKE '%4' AND source_order = 1""",
     "reviews": f"""
-        SELECT source AS tenant_id, lang AS user_id, 'c' || CAST(d.doc_id AS STRING) AS candidate_id, CASE quality WHEN 1 THEN 'approve' ELSE 'reject' END AS decision,
+        SELECT tenant_id, user_id, 'c' || CAST(d.doc_id AS STRING) AS candidate_id, CASE quality WHEN 1 THEN 'approve' ELSE 'reject' END AS decision,
           {BASE_US} + 40000000000000 + d.doc_id % 5 AS reviewed_us, d.doc_id * 7919 % 100003 AS commit_seq
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
-    "erasures": "SELECT tenant_id, user_id, CAST(50000 AS BIGINT) AS commit_seq FROM scopes WHERE tenant_id = 'src3' OR (tenant_id = 'src0' AND user_id = 'fr')",
+        FROM rows d JOIN labels l ON d.doc_id = l.doc_id""",
+    "erasures": "SELECT tenant_id, user_id, CAST(50000 AS BIGINT) AS commit_seq FROM scopes WHERE tenant_id = 'src3' OR (tenant_id = 'src0' AND user_id = 'fr') OR (tenant_id = 'twin' AND user_id = 'es')",
     "queries": """
-        SELECT 'q' || CAST(item_id AS STRING) AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS tenant_id,
+        SELECT 'q' || CAST(item_id AS STRING) AS query_id, CASE WHEN item_id % 7 = 3 THEN 'twin' ELSE 'src' || CAST(item_id % 20 AS STRING) END AS tenant_id,
           CASE WHEN item_id % 5 = 1 THEN 'fr' WHEN item_id % 5 = 2 THEN 'de' WHEN item_id % 5 = 3 THEN 'es' ELSE 'en' END AS user_id, text
         FROM benchmark""",
     "vector_queries": """
         SELECT 'v' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, embedding AS vector
         FROM embeddings JOIN documents ON vec_id = doc_id""",
     "hybrid_queries": """
-        SELECT 'h' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, substr(text, 1, 200) AS text, embedding AS vector
+        SELECT 'h' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, text, embedding AS vector
         FROM embeddings JOIN documents ON vec_id = doc_id""",
     "targets": f"""
         SELECT '{SPACE}' AS embedding_space, 'serving' AS state, true AS enqueue_new, {BASE_US} AS updated_us, 'model-a' AS model
@@ -83,7 +87,7 @@ FRAMES: dict[str, str] = {
           CASE WHEN vec_id % 11 = 0 THEN {{sha:'stale'}} ELSE {{sha:vec_id}} END AS content_sha256
         FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 17 <> 3""",
     "expected_hashes": """
-        SELECT source AS tenant_id, lang AS user_id, 'm' || CAST(doc_id AS STRING) AS memory_id, {sha:doc_id} AS expected_sha256 FROM documents""",
+        SELECT tenant_id, user_id, 'm' || CAST(doc_id AS STRING) AS memory_id, {sha:doc_id} AS expected_sha256 FROM rows""",
     "relevance": """
         SELECT 'q' || CAST(item_id AS STRING) AS query_id, 'c' || CAST(doc_id AS STRING) AS candidate_id, CAST(1 + doc_id % 3 AS INT) AS relevance
         FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)""",
