@@ -162,6 +162,31 @@ def promotion_plan(cards: DataFrame, covered: DataFrame, targets: DataFrame, to_
     return totals.crossJoin(F.broadcast(good)).crossJoin(F.broadcast(at)).withColumn("allowed", may).withColumn("to_space", F.lit(to_space))
 
 
+#: Columns of a promotion's receipt.
+RECEIPT = ["operation_id", "from_space", "to_space", "allow_empty", "live_scopes", "live_cards", "covered_cards", "previous_generation", "generation", "cutoff_us", "promoted_us"]
+
+
+def promotion(cards: DataFrame, covered: DataFrame, targets: DataFrame, deployment: DataFrame, operation_id: str, to_space: str, allow_empty: bool, as_of: int) -> dict[str, DataFrame]:
+    """The rows that a promotion commits together: all ``targets`` with the two swapped, the next ``deployment`` (generation), ``bumps`` of each live scope's revision, and the ``receipts`` row.
+
+    All of them are empty if the plan doesn't allow it: every live card is covered in
+    ``to_space`` by ``covered``, there is one unless ``allow_empty``, and ``to_space``
+    is a shadow that takes new jobs.
+    """
+    plan = promotion_plan(cards, covered, targets, to_space, allow_empty, as_of)
+    ready = targets.where((F.col("embedding_space") == to_space) & (F.col("state") == "shadow") & F.col("enqueue_new")).select(F.lit(True).alias("ready"))
+    current = targets.where("state = 'serving'").groupBy().agg(F.max("embedding_space").alias("from_space"))  # no row gives null
+    go = F.broadcast(plan.where("allowed").crossJoin(ready).crossJoin(current).crossJoin(deployment.select(F.col("generation").alias("previous_generation"))))  # one row at most
+    state = F.when(F.col("embedding_space") == to_space, "serving").when(F.col("state") == "serving", "shadow").otherwise(F.col("state"))
+    moved = targets.crossJoin(go.select("promoted_us")).withColumn("__new", state)
+    swapped = moved.select(*[F.col("__new").alias(c) if c == "state" else F.when(F.col("__new") != F.col("state"), F.col("promoted_us")).otherwise(F.col(c)).alias(c) if c == "updated_us" else c for c in targets.columns])
+    live = cards.where(serviceable(F.lit(as_of))).select(*SCOPE).distinct()
+    bumps = live.crossJoin(go.select(F.col("promoted_us").alias("commit_seq"))).withColumn("kind", F.lit("promotion"))
+    generation = (F.col("previous_generation") + 1).alias("generation")
+    receipt = go.select(F.lit(operation_id).alias("operation_id"), "from_space", "to_space", F.lit(allow_empty).alias("allow_empty"), "live_scopes", "live_cards", "covered_cards", "previous_generation", generation, F.lit(as_of).alias("cutoff_us"), "promoted_us")
+    return {"targets": swapped, "deployment": go.select(generation), "bumps": bumps, "receipts": receipt.select(*RECEIPT)}
+
+
 def keyset_page(cards: DataFrame, after: tuple[str, str, str] | None, n: int, as_of: int) -> DataFrame:
     """Up to n + 1 keys after a cursor in byte order; row n + 1 says that there are more. The OR form reaches the scan."""
     live = cards.where(serviceable(F.lit(as_of)))

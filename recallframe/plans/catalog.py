@@ -519,6 +519,30 @@ def promotion_plan(spark, d):
     return projection.promotion_plan(cards(spark, d), covered(spark, d), targets, "space_v1_next", False, AS_OF_US)
 
 
+_PROMOTED = f"(SELECT greatest(max(updated_us) + 1, {AS_OF_US}) FROM targets)"
+
+
+@query(f"""SELECT 'target' AS part, embedding_space AS key, CASE WHEN embedding_space = 'space_v1_next' THEN 'serving' WHEN state = 'serving' THEN 'shadow' ELSE state END AS value,
+    CASE WHEN embedding_space = 'space_v1_next' OR state = 'serving' THEN {_PROMOTED} ELSE updated_us END AS number FROM targets
+  UNION ALL SELECT 'deployment', '', '', count(*) + 1 FROM jobs
+  UNION ALL SELECT DISTINCT 'bump', tenant_id, user_id, {_PROMOTED} FROM live
+  UNION ALL SELECT 'receipt', 'op-1', '{SPACE}>space_v1_next/' || CAST((SELECT count(*) FROM (SELECT DISTINCT tenant_id, user_id FROM live)) AS VARCHAR) || '/' || CAST((SELECT count(*) FROM live) AS VARCHAR) || '/' || CAST((SELECT count(*) FROM live) AS VARCHAR)
+    || '/' || CAST(count(*) AS VARCHAR) || '/{AS_OF_US}/' || CAST({_PROMOTED} AS VARCHAR), count(*) + 1 FROM jobs""")
+def promotion_commit(spark, d):
+    """What a promotion commits once all live cards are covered: swapped targets, the next generation, a bump for each live scope, and the receipt."""
+    targets, jobs = frames(spark, d, "targets", "jobs")
+    repaired = covered(spark, d).withColumn("class", F.lit("converged"))
+    rows = projection.promotion(cards(spark, d), repaired, targets, jobs.agg(F.count("*").alias("generation")), "op-1", "space_v1_next", False, AS_OF_US)
+    line = lambda part, key, value, number: [F.lit(part).alias("part"), key.alias("key"), value.alias("value"), number.cast("long").alias("number")]
+    counts = F.concat_ws("/", *[F.col(c).cast("string") for c in ("live_scopes", "live_cards", "covered_cards", "previous_generation", "cutoff_us", "promoted_us")])
+    parts = [
+        rows["targets"].select(*line("target", F.col("embedding_space"), F.col("state"), F.col("updated_us"))), rows["deployment"].select(*line("deployment", F.lit(""), F.lit(""), F.col("generation"))),
+        rows["bumps"].select(*line("bump", F.col("tenant_id"), F.col("user_id"), F.col("commit_seq"))),
+        rows["receipts"].select(*line("receipt", F.col("operation_id"), F.concat("from_space", F.lit(">"), "to_space", F.lit("/"), counts), F.col("generation"))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("SELECT DISTINCT tenant_id, user_id FROM live")
 def live_scopes(spark, d):
     (scopes,) = frames(spark, d, "scopes")
@@ -761,6 +785,40 @@ def multi_key_lookup(spark, d):
     return lifecycle.multi_key_lookup(keys, evidence).select(*SCOPE, "id", "content")
 
 
+_BUMPS = f"""SELECT tenant_id, user_id, commit_seq FROM reviews WHERE decision = 'approve' UNION ALL SELECT tenant_id, user_id, commit_seq FROM erasures
+  UNION ALL SELECT tenant_id, user_id, 200000 + CAST(substr(memory_id, 2) AS BIGINT) FROM ({ORACLES["embedding_upsert_changes"]}) WHERE bumps_revision
+  UNION ALL SELECT j.tenant_id, j.user_id, 300000 + j.id FROM ({ORACLES["job_finalize_outcomes"]}) o JOIN jobs j ON j.id = o.id WHERE o.bumps_revision
+  UNION ALL SELECT DISTINCT tenant_id, user_id, 200001 FROM ({ORACLES["reconcile_repairs"]}) WHERE bumps_scope UNION ALL SELECT DISTINCT tenant_id, user_id, 400001 FROM live"""
+
+
+@query(f"SELECT tenant_id, user_id, commit_seq, n_bumps, CAST(sum(n_bumps) OVER (PARTITION BY tenant_id, user_id ORDER BY commit_seq) AS BIGINT) AS context_revision FROM (SELECT tenant_id, user_id, commit_seq, count(*) AS n_bumps FROM ({_BUMPS}) GROUP BY ALL)")
+def revision_log(spark, d):
+    """The revisions of all scopes by all six kinds of bumps: approvals, erasures, new vectors, finished jobs, a repair and a promotion."""
+    reviews, erasures, jobs = frames(spark, d, "reviews", "erasures", "jobs")
+    changes = embedding_upsert_changes(spark, d).withColumn("commit_seq", 200000 + F.substring("memory_id", 2, 40).cast("long"))
+    finalized = job_finalize_outcomes(spark, d).join(jobs.select("id", *SCOPE), "id").withColumn("commit_seq", 300000 + F.col("id"))
+    repairs = reconcile_repairs(spark, d).withColumn("commit_seq", F.lit(200001))
+    promotions = projection.promotion(cards(spark, d), covered(spark, d).withColumn("class", F.lit("converged")), *frames(spark, d, "targets"), jobs.agg(F.count("*").alias("generation")), "op-1", "space_v1_next", False, AS_OF_US)
+    bumps = lifecycle.revision_bumps(reviews, erasures, changes, finalized, repairs, promotions["bumps"].withColumn("commit_seq", F.lit(400001)))
+    return lifecycle.revision_log(bumps)
+
+
+#: Places in the log of commits that each query is put at.
+ASKED_SEQ = [20_000, 50_000, 70_000, 200_000]
+
+
+@query(f"""SELECT q.query_id || '/' || CAST(seq AS VARCHAR) AS query_id, v.tenant_id, v.user_id, v.id, CAST(v.version AS INT) AS version FROM queries q, (SELECT unnest({ASKED_SEQ}) AS seq) s, card_versions_all v
+  WHERE v.tenant_id = q.tenant_id AND v.user_id = q.user_id AND v.commit_seq < seq AND (v.expires_us IS NULL OR v.expires_us > {AS_OF_US})
+    AND NOT EXISTS (SELECT 1 FROM card_versions_all n WHERE n.tenant_id = v.tenant_id AND n.user_id = v.user_id AND n.erasure_epoch = v.erasure_epoch AND n.identity_key = v.identity_key AND n.version = v.version + 1 AND n.commit_seq < seq)
+    AND NOT EXISTS (SELECT 1 FROM erasures e WHERE e.tenant_id = v.tenant_id AND e.user_id = v.user_id AND e.commit_seq > v.commit_seq AND e.commit_seq < seq)""")
+def timeline_queries(spark, d):
+    """The cards that each query could see at four places of the log, before and after erasures."""
+    queries, erasures = frames(spark, d, "queries", "erasures")
+    asked = queries.withColumn("seq", F.explode(F.array(*[F.lit(s) for s in ASKED_SEQ])))
+    asked = asked.select(F.concat_ws("/", "query_id", F.col("seq").cast("string")).alias("query_id"), *SCOPE, "seq", F.lit(AS_OF_US).alias("at_us"))
+    return lifecycle.replay_queries(asked, versions(spark, d), erasures)
+
+
 #: Times that the replay is asked about.
 ASKED_US = [BASE_US + 40_000_000_000_000 + i for i in (-1, 0, 2, 4, 1_000_000)]
 

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallframe.operators import lifecycle
 
 
 class DatasetError(ValueError):
@@ -134,3 +138,91 @@ def load_timeline(raw: bytes) -> list[dict]:
             _need(all(r in (1, 2, 3) for r in relevance.values()), f"operation {i}: relevance")
             _need(not set(relevance) & set(forbidden) and not (relevance and profile.get("require_empty")), f"operation {i}: judgments contradict")
     return operations
+
+
+SCOPED = "tenant_id string, user_id string, "
+MEMORY_FIELDS = ["kind", "category", "key", "value", "person", "relationship", "backstory"]
+TIMELINE = {
+    "evidence": SCOPED + "id string, session_id string, actor string, content string, occurred_us long, seq long",
+    "candidates": SCOPED + "id string, kind string, category string, memory_key string, value string, person string, relationship string, backstory string, created_us long, expires_us long",
+    "links": SCOPED + "candidate_id string, evidence_id string, source_order int",
+    "reviews": SCOPED + "candidate_id string, decision string, reviewed_us long, commit_seq long",
+    "erasures": SCOPED + "commit_seq long",
+    "queries": "query_id string, tenant_id string, user_id string, text string, at_us long, seq long",
+    "judgments": "query_id string, candidate_id string, relevance int, forbidden boolean, require_empty boolean",
+}
+
+
+def micros(at: str) -> int:
+    """Microseconds since the epoch of an ISO time; one without a zone is UTC."""
+    time = datetime.fromisoformat(at)
+    whole = (time if time.tzinfo else time.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+    return (whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds
+
+
+def timeline_frames(spark: SparkSession, operations: list[dict], scopes: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """The operations of a checked timeline as typed frames, one for each kind of row (``TIMELINE``).
+
+    ``seq`` and ``commit_seq`` are an operation's place. Evidence goes by its alias, a
+    candidate by c and its alias, so that its card is m and the alias; a remembered
+    memory is its evidence, its candidate and, unless it is pending, its review at
+    once. Judgments name memories: by the alias that a review gave, or a candidate's own.
+    """
+    rows: dict[str, list[tuple]] = {name: [] for name in TIMELINE}
+    named: dict[str, str] = {}
+
+    def candidate(scope: tuple[str, str], alias: str, memory: dict, at: int, sources: list[str]) -> None:
+        expires = memory.get("expires_at")
+        rows["candidates"].append((*scope, f"c{alias}", *[memory.get(f, "") for f in MEMORY_FIELDS], at, micros(expires) if expires else None))
+        rows["links"] += [(*scope, f"c{alias}", e, i) for i, e in enumerate(sources)]
+        named[alias] = f"c{alias}"
+
+    for seq, o in enumerate(operations):
+        _need(o["scope"] in scopes, f"operation {seq}: unknown scope")
+        scope, at = scopes[o["scope"]], micros(o["at"])
+        match o["op"]:
+            case "evidence.append":
+                rows["evidence"].append((*scope, o["as"], o["session_id"], o["actor"], o["content"], at, seq))
+            case "candidate.propose":
+                candidate(scope, o["as"], o["memory"], at, o["source_event_ids"])
+            case "candidate.review":
+                rows["reviews"].append((*scope, f"c{o['candidate']}", o["decision"], at, seq))
+                if o.get("memory_as"):
+                    named[o["memory_as"]] = f"c{o['candidate']}"
+            case "memory.remember":
+                rows["evidence"] += [(*scope, e["alias"], e["session_id"], e["actor"], e["content"], micros(e["occurred_at"]), seq) for e in o["evidence"]]
+                candidate(scope, o["memory_ref"], o["memory"], at, [e["alias"] for e in o["evidence"]])
+                if o["review_state"] != "pending":
+                    rows["reviews"].append((*scope, f"c{o['memory_ref']}", {"approved": "approve", "rejected": "reject"}[o["review_state"]], at, seq))
+            case "forget_user":
+                rows["erasures"].append((*scope, seq))
+            case "query":
+                rows["queries"].append((o["id"], *scope, o["text"], at, seq))
+                profile = o["judgments"].get("memory_cards", {})
+                relevance = profile.get("relevance", {})
+                for alias in [*relevance, *profile.get("forbidden", [])]:
+                    _need(alias in named, f"operation {seq}: unknown memory {alias!r}")
+                    rows["judgments"].append((o["id"], named[alias], relevance.get(alias, 0), alias not in relevance, False))
+                if profile.get("require_empty"):
+                    rows["judgments"].append((o["id"], None, 0, False, True))
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in TIMELINE.items()}
+
+
+def visible(frames: dict[str, DataFrame]) -> DataFrame:
+    """The cards that each query of a timeline could see (``lifecycle.replay_queries``); ids are those of candidates."""
+    versions = lifecycle.card_versions(frames["candidates"], frames["reviews"], frames["erasures"])
+    return lifecycle.replay_queries(frames["queries"], versions, frames["erasures"])
+
+
+def unserviceable_judgments(frames: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, candidate_id) of memories that are judged relevant to a query which couldn't see them; a timeline that has any is refused."""
+    relevant = frames["judgments"].where("relevance > 0").select("query_id", "candidate_id")
+    return relevant.join(visible(frames).select("query_id", F.col("id").alias("candidate_id")), ["query_id", "candidate_id"], "left_anti")
+
+
+def checked_frames(spark: SparkSession, raw: bytes, scopes: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """The frames of a timeline whose judgments all hold."""
+    frames = timeline_frames(spark, load_timeline(raw), scopes)
+    wrong = unserviceable_judgments(frames).limit(1).collect()
+    _need(not wrong, f"a relevant memory isn't serviceable: {wrong}")
+    return frames

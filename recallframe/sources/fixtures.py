@@ -15,7 +15,7 @@ from recallframe.operators.projection import ERROR_CODES
 
 BASE_US = 1_700_000_000_000_000
 AS_OF_US = BASE_US + 50_000_000_000_000
-RAW = ["documents", "labels", "benchmark", "embeddings", "conversations", "events"]
+RAW = ["region", "documents", "labels", "benchmark", "embeddings", "conversations", "events"]
 SPACE = "space_v1_demo"
 
 _QUOTE = "'\"' || replace(replace(replace(replace(replace({0}, '{b}', '{b}{b}'), '\"', '{b}\"'), chr(10), '{b}n'), chr(13), '{b}r'), chr(9), '{b}t') || '\"'"
@@ -70,10 +70,9 @@ FRAMES: dict[str, str] = {
         SELECT 'h' || CAST(vec_id AS STRING) AS query_id, source AS tenant_id, lang AS user_id, text, embedding AS vector
         FROM embeddings JOIN documents ON vec_id = doc_id""",
     "targets": f"""
-        SELECT '{SPACE}' AS embedding_space, 'serving' AS state, true AS enqueue_new, {BASE_US} AS updated_us, 'model-a' AS model
-        UNION ALL SELECT 'space_v1_next', 'shadow', true, {BASE_US} + 5, 'model-b'
-        UNION ALL SELECT 'space_v1_held', 'blocked', false, {BASE_US} + 7, 'model-c'
-        UNION ALL SELECT 'space_v1_gone', 'retired', false, {BASE_US} + 9, 'model-d'""",
+        SELECT CASE r_regionkey WHEN 0 THEN '{SPACE}' WHEN 1 THEN 'space_v1_next' WHEN 2 THEN 'space_v1_held' ELSE 'space_v1_gone' || CAST(r_regionkey AS STRING) END AS embedding_space,
+          CASE r_regionkey WHEN 0 THEN 'serving' WHEN 1 THEN 'shadow' WHEN 2 THEN 'blocked' ELSE 'retired' END AS state, r_regionkey < 2 AS enqueue_new, {BASE_US} + r_regionkey * 5 AS updated_us, 'model-' || lower(r_name) AS model
+        FROM region""",
     "jobs": f"""
         SELECT source AS tenant_id, lang AS user_id, 'm' || CAST(vec_id AS STRING) AS memory_id, '{SPACE}' AS embedding_space,
           CASE WHEN label = 8 THEN 2 ELSE 1 END AS expected_memory_version,

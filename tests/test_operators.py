@@ -199,15 +199,17 @@ def test_timeline():
 
 def test_dense_pipeline(spark):
     embedder = ports.HashEmbedder(8)
-    space_of = lambda f: ports.space_id("p", "m", 8, "d", "q", f)
-    space = space_of(ports.vector_sha256(embedder.embed(["probe"])[0]))
+    kind = ports.Space("p", "m", 8, "d", "q")
+    space = kind.id(ports.vector_sha256(embedder.embed(["probe"])[0]))
     corpus = cards(spark, [{"id": "a", "value": "green tea"}, {"id": "b", "value": "black coffee"}])
     stored = ports.embed_frame(corpus.select("tenant_id", "user_id", F.col("id").alias("memory_id"), "value"), "value", embedder)
     search = lambda q: retrieval.vector_search(q, corpus, stored, 1, NOW)
-    got = ports.dense_search(asked(spark, "  green tea ", "  "), embedder, "probe", space, space_of, search).collect()
+    got = ports.dense_search(asked(spark, "  green tea ", "  "), embedder, "probe", space, kind, search).collect()
     assert [(r.id, r.score) for r in got] == [("a", 1.0)]
     with pytest.raises(ports.Unavailable):
-        ports.dense_search(asked(spark, "x"), embedder, "other", space, space_of, search)
+        ports.dense_search(asked(spark, "x"), embedder, "other", space, kind, search)
+    with pytest.raises(ports.Unavailable):
+        ports.dense_search(asked(spark, "x"), ports.HashEmbedder(9), "probe", space, kind, search)
 
 
 def test_snapshots(spark, tmp_path):
@@ -279,8 +281,8 @@ def test_policy_of_empty_and_forbidden(spark):
 
     queries = spark.createDataFrame([("a", "t", "u"), ("b", "t", "u"), ("c", "t", "u")], "query_id string, tenant_id string, user_id string")
     cards = spark.createDataFrame([("m1", "t", "u", "active", None, "c1")], "id string, tenant_id string, user_id string, status string, expires_us long, candidate_id string")
-    links = spark.createDataFrame([("c1",)], "candidate_id string")
-    hits = spark.createDataFrame([("a", "m1", 1), ("b", "m1", 1)], "query_id string, id string, rank int")
+    links = spark.createDataFrame([("t", "u", "c1")], "tenant_id string, user_id string, candidate_id string")
+    hits = spark.createDataFrame([("a", "t", "u", "m1", 1), ("b", "t", "u", "m1", 1)], "query_id string, tenant_id string, user_id string, id string, rank int")
     empty = queries.where("query_id in ('b', 'c')")
     rows = evaluation.policy(hits, queries, cards, links, hits.limit(0), 5, 10, require_empty=empty)
     got = {r.query_id: r for r in rows.collect()}
