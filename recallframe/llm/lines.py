@@ -1,17 +1,15 @@
 """Line dedup by a tree of log templates, in DataFrame functions only.
 
 A line's digits are masked and its words parsed down a tree of fixed depth: the
-number of words, then the leading words. Where these lead to a leaf of its own
-document only, they are variable: all four levels turn into wildcards, and the
-next four words lead instead. In a leaf, a word is fixed at its place if the
+number of words, then the leading words. Where these lead to a leaf of fewer than
+``min_docs`` documents, they are variable: all four levels turn into wildcards, and
+the next four words lead instead. In a leaf, a word is fixed at its place if the
 lines that have it there come from ``min_docs`` documents or more (summed over
 different lines), else it is a variable field. A line whose fixed words make up
 ``fixed_share`` of it belongs to the template of its fixed words and their
 places; a template that ``min_docs`` documents share recurs, and its lines are
 dropped everywhere but in the first document that has it. A line of
-``long_words`` words or more recurs as soon as two documents have it as it is;
-documents that as good as whole consist of such repeats are copies, and are left
-whole for the dedup of documents.
+``long_words`` words or more recurs as soon as two documents have it as it is.
 
 Hot lines cost nothing special: leaves, lines and templates are summed before
 they are shuffled, and what goes back to the rows goes by joins that split. The
@@ -26,10 +24,8 @@ from pyspark.sql import functions as F
 from recallframe.llm.text import WORD_GAP
 from recallframe.session import scratch, stored, without
 
-#: Words of a leaf's path, least documents of a template, least share of fixed words, words from which two documents suffice.
-DEPTH, MIN_DOCS, FIXED_SHARE, LONG_WORDS = 4, 3, 0.8, 50
-#: A document with this share of its characters in lines of earlier documents is a copy.
-COPIED_SHARE = 0.8
+#: Words of a leaf's path, groups of words that may lead, least documents of a template, least share of fixed words, words from which two documents suffice.
+DEPTH, LEVELS, MIN_DOCS, FIXED_SHARE, LONG_WORDS = 4, 3, 3, 0.8, 50
 #: A line without such a character (rules, brackets, blank lines) is never dropped.
 SPEAKING = r"[\p{L}\p{N}]"
 
@@ -39,13 +35,9 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(line, "[0-9]+", "0"), WORD_GAP), "")
 
 
-def _leaf(words: Column) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))
-
-
-def _wild(words: Column) -> Column:
-    """The leaf behind wildcards, for lines that have words there."""
-    return F.when(F.size(words) > DEPTH, F.xxhash64(F.size(words), F.lit("*"), F.slice(words, DEPTH + 1, DEPTH)))
+def _leaf(words: Column, level: int) -> Column:
+    """The leaf of a line's words behind ``level`` groups of wildcards, for lines that have words there."""
+    return F.when(F.size(words) > DEPTH * level, F.xxhash64(F.size(words), F.lit(level), F.slice(words, DEPTH * level + 1, DEPTH)))
 
 
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -69,32 +61,36 @@ def _split(rows: DataFrame, text: Column, out: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.split(text, "\n"))).alias(out))
 
 
-def _recurring(leaves: DataFrame, leaf: str) -> DataFrame:
-    """The leaves of two documents or more."""
-    again = leaves.groupBy(F.col(leaf).alias("__leaf")).agg(F.min("__k").alias("least"), F.max("__k").alias("most"))
+def _recurring(leaves: DataFrame, leaf: str, min_docs: int) -> DataFrame:
+    """The leaves of ``min_docs`` documents or more."""
+    again = leaves.select(leaf, "__k").distinct().groupBy(F.col(leaf).alias("__leaf")).agg(F.count("*").alias("docs"))
     # read back, it has no partitioning of its own, and Spark can split the join where a leaf holds many lines
-    return stored(again.where("least <> most").select("__leaf"))
+    return stored(again.where(F.col("docs") >= min_docs).select("__leaf"))
 
 
-def candidates(docs: DataFrame, doc: str, text: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """(__d, __k, pos, leaf, masked, line, exact, long, chars, whole) of the lines whose leaf occurs in two documents or more.
+def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(__d, __k, pos, leaf, masked, line, exact, long) of the lines whose leaf occurs in ``min_docs`` documents or more, or behind wildcards in two.
 
-    ``line`` is a hash of the leaf and the masked line, ``exact`` one of the line as it is; ``chars`` and ``whole`` are the lengths of the line and of its text.
+    ``line`` is a hash of the leaf and the masked line, ``exact`` one of the line as it is.
     """
     rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
     lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).where(F.col("line").rlike(SPEAKING)).withColumn("words", words_of(F.col("line")))
-    leaves = stored(lines.where(F.size("words") > 0).select("__d", "__k", "pos", _leaf(F.col("words")).alias("leaf"), _wild(F.col("words")).alias("wild")))
-    own = _recurring(leaves, "leaf")
-    others = stored(leaves.where("wild is not null").join(own, F.col("leaf") == F.col("__leaf"), "left_anti").select("__d", "__k", "pos", "wild"))
-    wild = _recurring(others, "wild")
-    kept = leaves.join(own, F.col("leaf") == F.col("__leaf")).select("__d", "__k", "pos", "leaf")
-    kept = kept.unionByName(others.join(wild, F.col("wild") == F.col("__leaf")).select("__d", "__k", "pos", F.col("wild").alias("leaf")))
+    levels = [f"leaf{i}" for i in range(LEVELS)]
+    left = stored(lines.where(F.size("words") > 0).select("__d", "__k", "pos", *[_leaf(F.col("words"), i).alias(c) for i, c in enumerate(levels)]))
+    kept = None
+    for i, c in enumerate(levels):
+        shared = _recurring(left.where(F.col(c).isNotNull()), c, min_docs if i + 1 < LEVELS else 2)
+        part = left.join(shared, F.col(c) == F.col("__leaf")).select("__d", "__k", "pos", F.col(c).alias("leaf"))
+        kept = part if kept is None else kept.unionByName(part)
+        if i + 1 < LEVELS:
+            others = left.where(F.col(levels[i + 1]).isNotNull()).join(shared, F.col(c) == F.col("__leaf"), "left_anti")
+            left = stored(others.select("__d", "__k", "pos", *levels[i + 1 :]))
     places = kept.groupBy("__d", "__k").agg(F.sort_array(F.collect_set(F.struct("pos", "leaf"))).alias("__places"))
-    found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.length("__text").alias("whole"), F.explode("__places").alias("place"))
-    each = found.select("__d", "__k", "whole", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
+    found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.explode("__places").alias("place"))
+    each = found.select("__d", "__k", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
     words = words_of(F.col("own"))
     masked = each.select(
-        "__d", "__k", "pos", "leaf", "whole", F.array_join(words, " ").alias("masked"), F.xxhash64("own").alias("exact"), (F.size(words) >= long_words).alias("long"), F.length("own").alias("chars")
+        "__d", "__k", "pos", "leaf", F.array_join(words, " ").alias("masked"), F.xxhash64("own").alias("exact"), (F.size(words) >= long_words).alias("long")
     )
     return masked.withColumn("line", F.xxhash64("leaf", "masked"))
 
@@ -120,15 +116,11 @@ def _later(parsed: DataFrame, kind: str, min_docs: int) -> DataFrame:
 
 def dropped(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE, long_words: int = LONG_WORDS) -> DataFrame:
     """(__d, __k, __places) of the lines to drop."""
-    found = stored(candidates(docs, doc, text, long_words))
+    found = stored(candidates(docs, doc, text, min_docs, long_words))
     lines = stored(templates(found, min_docs, fixed_share))
     alike = _later(found.join(lines, "line").select("template", "__d", "__k", "pos"), "template", min_docs)
-    equal = _later(found.select("exact", "__d", "__k", "pos", "long", "chars", "whole"), "exact", 2)
-    # a text's lines and the breaks between them
-    copied = (F.sum("chars") + F.count("*") - 1 >= COPIED_SHARE * F.first("whole")).alias("copied")
-    documents = equal.groupBy("__d", "__k").agg(copied, F.collect_set(F.when(F.col("long"), F.col("pos"))).alias("places"))
-    single = documents.where("not copied").select("__d", "__k", F.explode("places").alias("pos"))
-    return alike.select("__d", "__k", "pos").unionByName(single).groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
+    equal = _later(found.where("long").select("exact", "__d", "__k", "pos"), "exact", 2)
+    return alike.select("__d", "__k", "pos").unionByName(equal.select("__d", "__k", "pos")).groupBy("__d", "__k").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
 
 
 def dedup_lines(
@@ -166,16 +158,21 @@ lines AS (
 ), parsed AS (
   SELECT r, pos, line, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM lines WHERE regexp_matches(line, '{SPEAKING}')
 ), leaved AS (
-  SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead, words[{DEPTH + 1}:{2 * DEPTH}] AS later FROM parsed WHERE len(words) > 0
+  SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead, words[{DEPTH + 1}:{2 * DEPTH}] AS later, words[{2 * DEPTH + 1}:{3 * DEPTH}] AS latest FROM parsed WHERE len(words) > 0
 ), own AS (
-  SELECT n, lead FROM leaved GROUP BY n, lead HAVING count(DISTINCT r) > 1
+  SELECT n, lead FROM leaved GROUP BY n, lead HAVING count(DISTINCT r) >= {MIN_DOCS}
 ), others AS (
   SELECT l.* FROM leaved l ANTI JOIN own USING (n, lead) WHERE n > {DEPTH}
 ), wild AS (
-  SELECT n, later FROM others GROUP BY n, later HAVING count(DISTINCT r) > 1
+  SELECT n, later FROM others GROUP BY n, later HAVING count(DISTINCT r) >= {MIN_DOCS}
+), rest AS (
+  SELECT l.* FROM others l ANTI JOIN wild USING (n, later) WHERE n > {2 * DEPTH}
+), wilder AS (
+  SELECT n, latest FROM rest GROUP BY n, latest HAVING count(DISTINCT r) > 1
 ), found AS (
-  SELECT r, pos, line, words, n, lead AS leaf, false AS wild FROM leaved JOIN own USING (n, lead)
-  UNION ALL SELECT r, pos, line, words, n, later, true FROM others JOIN wild USING (n, later)
+  SELECT r, pos, line, words, n, lead AS leaf, 0 AS wild FROM leaved JOIN own USING (n, lead)
+  UNION ALL SELECT r, pos, line, words, n, later, 1 FROM others JOIN wild USING (n, later)
+  UNION ALL SELECT r, pos, line, words, n, latest, 2 FROM rest JOIN wilder USING (n, latest)
 ), different AS (
   SELECT words, n, leaf, wild, count(DISTINCT r) AS docs FROM found GROUP BY ALL
 ), fields AS (
@@ -191,12 +188,10 @@ lines AS (
   SELECT line, min(r) AS first FROM found GROUP BY line HAVING count(DISTINCT r) > 1
 ), equal AS (
   SELECT r, pos, n, line FROM found JOIN exact USING (line) WHERE r <> first
-), single AS (
-  SELECT r FROM equal JOIN numbered USING (r) GROUP BY r HAVING sum(length(line)) + count(*) - 1 < {COPIED_SHARE} * any_value(length(text))
 ), gone AS (
   SELECT r, list(DISTINCT pos) AS places FROM (
     SELECT r, pos FROM found JOIN templated USING (words, n, leaf, wild) JOIN recurring USING (n, leaf, wild, template) WHERE r <> first
-    UNION ALL SELECT r, pos FROM equal SEMI JOIN single USING (r) WHERE n >= {LONG_WORDS}
+    UNION ALL SELECT r, pos FROM equal WHERE n >= {LONG_WORDS}
   ) GROUP BY r
 ), cleaned AS (
   SELECT doc_id, text AS old, CASE WHEN places IS NULL THEN text ELSE array_to_string(
