@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallframe.session import publish, published
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -57,23 +58,11 @@ class Rollup:
         return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(part)))
 
     def _mark(self, text: str, *parts: str) -> bool:
-        """Creates a small file; False if it is there already."""
-        try:
-            out = self._fs.create(self._at(*parts), False)
-        except Py4JJavaError:
-            if self._fs.exists(self._at(*parts)):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+        """Creates a small file with its content; False if it is there already."""
+        return publish(self.spark, "/".join([self.folder, *parts]), text)
 
     def _marked(self, *parts: str) -> str:
-        file = self._fs.open(self._at(*parts))
-        try:
-            return bytes(file.readAllBytes()).decode()
-        finally:
-            file.close()
+        return published(self.spark, "/".join([self.folder, *parts]))
 
     def committed(self, batch_id: str) -> bool:
         """Whether a batch is committed; looks at its marks, not at a listing. A mark only ever moves from ``open`` to ``folded``."""
@@ -92,7 +81,12 @@ class Rollup:
         name = uuid.uuid4().hex
         sums = changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         sums.select(*KEYS, *SUMS).write.parquet(f"{self.folder}/rows/{name}")
-        if self._fs.exists(self._at("folded", batch_id)) or not self._mark(name, "open", batch_id):
+        if not self._mark(name, "open", batch_id):
+            self._fs.delete(self._at("rows", name), True)
+            return False
+        if self._fs.exists(self._at("folded", batch_id)):
+            # the first writer's batch was folded meanwhile: its mark moved away and made room for this one, which counts for nothing
+            self._fs.delete(self._at("open", batch_id), False)
             self._fs.delete(self._at("rows", name), True)
             return False
         return True
@@ -135,7 +129,7 @@ class Rollup:
         committed meanwhile aren't in the listing and stay open.
         """
         # the marks of the base before move first, so that a base only names batches of its own
-        _, before, folded = self._base()
+        _, _, folded = self._base()
         for i in folded:
             if self._fs.exists(self._at("open", i)):
                 self._fs.mkdirs(self._at("folded"))
@@ -147,6 +141,9 @@ class Rollup:
         if not self._mark("\n".join(lines), "bases", f"{number + 1:08d}"):
             self._fs.delete(self._at("rows", name), True)
             return False
+        # what the base before was the first to hold is in the new one, and so is the base before itself, but for readers that have just found it
         for old in folded.values():
             self._fs.delete(self._at("rows", old), True)
+        if number > 1 and (two_before := self._marked("bases", f"{number - 1:08d}").split("\n")[0]):
+            self._fs.delete(self._at("rows", two_before), True)
         return True

@@ -43,7 +43,7 @@ def test_commits_and_compaction(spark):
     totals.compact()
     assert all(r[0] is not None for r in read()) and all(map(totals.committed, ("one", "two", "three", "empty")))
     totals.compact()
-    assert totals._names("open") == [] and len(totals._names("rows")) == 3  # the bases
+    assert totals._names("open") == [] and len(totals._names("rows")) == 2  # the newest base and the one before
 
 
 ROWS = "source string, lang string, tokenizer string, n_tokens long, n_chars long"
@@ -78,3 +78,27 @@ def test_one_of_two_writers_wins_and_compaction_counts_no_batch_twice(spark, mon
     assert not second.compact() and tokens() == 10
     monkeypatch.undo()
     assert first.compact() and tokens() == 10 and not first.commit("two", rows) and tokens() == 10
+
+
+def test_a_writer_that_breaks_off_leaves_no_mark(spark, monkeypatch):
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    totals = rollup.Rollup(spark, folder)
+    rows = rollup.inserted(spark.createDataFrame([("a", "en", "v1", 5, 9)], ROWS))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup, "publish", broken)
+        try:
+            totals.commit("one", rows)
+        except RuntimeError:
+            pass
+    assert not totals.committed("one") and totals.totals().count() == 0
+    assert totals.commit("one", rows) and [r.n_tokens for r in totals.totals().collect()] == [5]
+    # a second writer whose first look comes before the mark and whose second comes after it is folded
+    late = rollup.Rollup(spark, folder)
+    monkeypatch.setattr(late, "committed", lambda _: False)
+    totals.compact()
+    totals.compact()
+    assert not late.commit("one", rows) and [r.n_tokens for r in totals.totals().collect()] == [5] and totals._names("open") == []
