@@ -16,8 +16,10 @@ none that shares an entry is left out:
 * The members of fuller entries go an exact way round: two sets of a similarity
   of 0.8 share one of the rarest fifth of each one's shingles, so they meet there.
 
-So the comparisons are linear in the rows, however hot an entry is. The segments
-widen with the number of rows, so that unlike texts seldom share an entry.
+So a group of copies costs little, however hot an entry is. What isn't linear are
+texts that share many shingles and yet less than asked for: of those that meet in
+full entries, all that share one of their rarest shingles are compared. The more rows
+there are, the more entries are full by chance, and the more go that exact way.
 
 Fingerprints only find candidates. Near copies are those of the candidates whose
 exact sets of shingles have a Jaccard similarity of 0.8 or more. The sets are made
@@ -60,8 +62,8 @@ class Layout:
         return int(0.1515 * self.bits + 5 * (0.1515 * 0.8485 * self.bits) ** 0.5)
 
 
-#: Up to so many rows, this layout: an unlike text meets few others by chance, and pairs of similarity 0.8 an entry with probability 0.95.
-LAYOUTS = [(1 << 26, Layout(512, 24, 3)), (1 << 62, Layout(640, 32, 6))]
+#: The layout of every table, whatever its size: pairs of similarity 0.8 share an entry with probability 0.95, and a row has 168 probes.
+LAYOUT = Layout(512, 24, 3)
 #: Comparisons per member of an entry, beyond which its members go the exact way.
 BUCKET = 64
 #: Least Jaccard similarity of near copies' sets of shingles, as a fraction.
@@ -69,10 +71,6 @@ SIMILAR = (4, 5)
 SLICE, BLOCK = 512, 255 * 64
 
 
-def layout_for(n_rows: int) -> Layout:
-    return next(layout for most, layout in LAYOUTS if n_rows <= most)
-
-
 def _hashes(h: np.ndarray, words: int) -> np.ndarray:
     """``words`` independent 64-bit hashes of each hash."""
     out = np.empty((len(h), words), np.uint64)
@@ -289,7 +287,7 @@ def _grouped(rows: DataFrame, doc: str, text: str, width: int, layout: Layout |
     That is the group's smallest doc, nulls last; of one doc the smallest hash of the text.
     """
     held = stored(without(rows, "__row").withColumn("__row", F.monotonically_increasing_id()), keep=True)
-    layout = layout or layout_for(held.count())
+    layout = layout or LAYOUT
     order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.xxhash64(text).alias("h"), F.col("__row").alias("row"))
     printed = stored(fingerprints(held.withColumn("__order", order), text, width, layout))
     different = cut(printed.groupBy("fid").agg(F.min("__order").alias("least"), F.min(F.struct("__row", "wide", "low")).alias("p")).select("fid", "least", "p.__row", "p.wide", "p.low"))
@@ -310,7 +308,7 @@ def groups(rows: DataFrame, doc: str, text: str, width: int, layout: Layout | No
 
     Equal sets of shingles are one group whatever their number; rows without words
     are one group too. Null docs count only where a group has no others. The
-    layout follows the number of rows unless it is given.
+    layout is the same for every number of rows unless it is given.
     """
     _, grouped = _grouped(without(rows, "group_id"), doc, text, width, layout)
     return grouped.withColumn("group_id", F.col("__first.doc")).drop("__first", "__row")
