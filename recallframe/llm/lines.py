@@ -74,7 +74,8 @@ def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS, l
     ``line`` is a hash of the leaf and the masked line, ``exact`` one of the line as it is.
     """
     rows = _keyed(docs, doc, text).select("__d", "__k", F.col(text).alias("__text"))
-    lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).where(F.col("line").rlike(SPEAKING)).withColumn("words", words_of(F.col("line")))
+    lines = rows.select("__d", "__k", F.posexplode(F.split("__text", "\n")).alias("pos", "line")).where(F.col("line").rlike(SPEAKING))
+    lines = lines.select("__d", "__k", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words"))  # taken apart once, as in _split
     levels = [f"leaf{i}" for i in range(LEVELS)]
     left = stored(lines.where(F.size("words") > 0).select("__d", "__k", "pos", *[_leaf(F.col("words"), i).alias(c) for i, c in enumerate(levels)]))
     kept = None
@@ -88,8 +89,8 @@ def candidates(docs: DataFrame, doc: str, text: str, min_docs: int = MIN_DOCS, l
     places = kept.groupBy("__d", "__k").agg(F.sort_array(F.collect_set(F.struct("pos", "leaf"))).alias("__places"))
     found = _split(_to_rows(rows, places, "inner"), F.col("__text"), "all").select("__d", "__k", "all", F.explode("__places").alias("place"))
     each = found.select("__d", "__k", "place.pos", "place.leaf", F.element_at("all", F.col("place.pos") + 1).alias("own"))
-    words = words_of(F.col("own"))
-    masked = each.select(
+    words = F.col("words")
+    masked = each.select("*", F.explode(F.array(words_of(F.col("own")))).alias("words")).select(
         "__d", "__k", "pos", "leaf", F.array_join(words, " ").alias("masked"), F.xxhash64("own").alias("exact"), (F.size(words) >= long_words).alias("long")
     )
     return masked.withColumn("line", F.xxhash64("leaf", "masked"))
