@@ -36,9 +36,55 @@ def tokens(value: Column) -> Column:
     return F.concat(F.transform(words, normalize_word), F.flatten(F.transform(runs, grams(1))), F.flatten(F.transform(runs, grams(2))))
 
 
+# Classes of full-text tokens, in the order in which they are tried; repeats are bounded, so that a
+# text without blanks costs linear time. None ends inside a word.
+_LETTER, _WORD = r"[\p{L}\p{M}]", r"[\p{L}\p{M}\p{Nd}]"
+_END = rf"(?!{_WORD})"
+_HOST = r"(?:[a-z0-9][a-z0-9_-]{0,62}\.){1,32}[a-z]{2,63}"
+_PART = rf"\p{{Nd}}{{0,20}}{_LETTER}{_WORD}*+"
+LEXEME_CLASSES = {
+    "tag": r"<[a-z/!?][^<>]{0,1000}>",
+    "entity": r"&(?:[a-z][a-z0-9]{1,31}|#[0-9]{1,7}|#x[0-9a-f]{1,6});",
+    "protocol": r"[a-z][a-z0-9]{0,30}://",
+    "email": rf"[a-z0-9][a-z0-9_.+-]{{0,63}}@{_HOST}{_END}",
+    "url": rf"{_HOST}(?::[0-9]{{1,5}})?/[!#-;=?-\[\]_a-z~]*+",
+    "host": rf"{_HOST}(?::[0-9]{{1,5}})?{_END}",
+    "exponent": rf"[-+]?[0-9]{{1,40}}(?:\.[0-9]{{1,40}})?e[-+]?[0-9]{{1,5}}{_END}",
+    "version": rf"[0-9]{{1,40}}(?:\.[0-9]{{1,40}}){{2,32}}{_END}",
+    "decimal": rf"[-+]?[0-9]{{1,40}}\.[0-9]{{1,40}}{_END}",
+    "signed": rf"[-+][0-9]{{1,40}}{_END}",
+    "file": rf"(?:[a-z][a-z0-9]{{0,254}}(?:[./][a-z0-9_][a-z0-9_-]{{0,254}}){{1,32}}|(?:~|\.{{1,2}})?(?:/[a-z0-9_][a-z0-9_.-]{{0,254}}){{1,32}}){_END}",
+    "compound": rf"{_PART}(?:-{_PART}){{1,32}}",
+    "word": rf"{_WORD}++",
+}
+#: Classes that are recognized and left out.
+UNINDEXED = ("tag", "entity", "protocol")
+
+
 def lexemes(value: Column) -> Column:
-    """Full-text lexemes: lower-cased runs of letters, marks and digits; a Han run is one lexeme."""
-    return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))
+    """Full-text lexemes in lower case, by class of token; null has none.
+
+    Words are runs of letters, marks and digits (a Han run is one). Hosts, emails, file
+    paths, versions and signed, decimal and exponential numbers are one lexeme each. A url
+    gives itself, its host and its path; a hyphenated compound gives itself and its parts.
+    Tags, entities and protocols give none. A token over the bounds of its class (33 parts
+    of a compound, names of 64 bytes) is taken apart into what its pieces are.
+    """
+    found = F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("|".join(LEXEME_CLASSES.values())), F.lit(0))
+    unindexed = "|".join(LEXEME_CLASSES[c] for c in UNINDEXED)
+    kept = F.filter(found, lambda t: ~t.rlike(f"^(?:{unindexed})$"))
+
+    def pieces(token: Column) -> Column:
+        host = F.substring_index(token, "/", 1)
+        path = F.substring(token, F.length(host) + 1, F.length(token))
+        return (
+            F.when(token.rlike(f"^{LEXEME_CLASSES['url']}$"), F.array(token, host, path))
+            .when(token.rlike(f"^{LEXEME_CLASSES['compound']}$"), F.concat(F.array(token), F.split(token, "-")))
+            .otherwise(F.array(token))
+        )
+
+    plain = rf"^{_WORD}+$"
+    return F.flatten(F.transform(kept, lambda t: F.when(t.rlike(plain), F.array(t)).otherwise(pieces(t))))
 
 
 def quoted(value: Column) -> Column:

@@ -13,24 +13,31 @@ SEED, RESAMPLES = 2026081901, 10_000
 
 
 def judged(hits: DataFrame, relevance: DataFrame) -> DataFrame:
-    """Hits with the relevance of their candidate, 0 if it has none."""
+    """Hits with the relevance of their candidate, 0 if it has none; judgments hold in every arm."""
     return hits.join(relevance, ["query_id", "candidate_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
-def quality(hits: DataFrame, relevance: DataFrame, k: int, ndcg_k: int) -> DataFrame:
-    """Per query with judgments: recall at k, reciprocal rank, nDCG, and whether all relevant are within k."""
+def quality(hits: DataFrame, relevance: DataFrame, k: int, ndcg_k: int, arms: list[str] | None = None) -> DataFrame:
+    """Per query with judgments: recall at k, reciprocal rank, nDCG, and whether all relevant are within k.
+
+    With ``arms``, hits have a column arm, and every judged query has a row in each of
+    these arms, of zeros where the arm found nothing.
+    """
+    key = ["query_id"] if arms is None else ["arm", "query_id"]
     asked = relevance.where("relevance > 0")
     ideal_rank = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "candidate_id")
     gain = F.pow(F.lit(2.0), F.col("relevance")) - 1
     ideal = asked.withColumn("i", F.row_number().over(ideal_rank)).groupBy("query_id").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("i") <= ndcg_k, gain / F.log2(F.col("i") + 1.0))).alias("ideal")
     )
-    found = judged(hits, relevance).where("relevance > 0").groupBy("query_id").agg(
+    found = judged(hits, relevance).where("relevance > 0").groupBy(*key).agg(
         F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= ndcg_k, gain / F.log2(F.col("rank") + 1.0))).alias("dcg")
     )
-    rows = ideal.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    if arms is not None:
+        ideal = ideal.withColumn("arm", F.explode(F.lit(arms)))
+    rows = ideal.join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return rows.select(
-        "query_id", F.round(F.col("found") / F.col("n"), 9).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 9).alias("mrr"),
+        *key, F.round(F.col("found") / F.col("n"), 9).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 9).alias("mrr"),
         F.round(F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)), 9).alias("ndcg"), (F.col("found") == F.col("n")).alias("passed"),
     )
 

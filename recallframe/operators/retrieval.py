@@ -110,6 +110,26 @@ def _weighted(lexemes: Column, weight: float) -> Column:
     return F.transform(lexemes, lambda t: F.struct(t.alias("lexeme"), F.lit(round(weight * 10)).alias("weight")))
 
 
+def rarest_overlap(queries: DataFrame, documents: DataFrame, terms: int, limit: int) -> DataFrame:
+    """Documents (candidate_id, text) by how many of a query's (query_id, text) ``terms`` rarest lexemes they hold; ties by candidate id.
+
+    Rare is what few documents hold, ties by lexeme; lexemes of no document don't count.
+    A query without lexemes has no hits. Frequent lexemes meet no document, unless a
+    query has fewer than ``terms`` others. Runs when it is called, as the postings of
+    asked lexemes are written once and read for frequencies and matches.
+    """
+    asked = queries.select("query_id", F.explode(fts_query(F.col("text"))).alias("lexeme"))
+    postings = documents.select("candidate_id", F.explode(F.array_distinct(X.lexemes(F.col("text")))).alias("lexeme"))
+    wanted = asked.select("lexeme").distinct()
+    size = wanted.agg(F.sum(F.octet_length("lexeme") + 64)).first()[0] or 0
+    with scratch(queries.sparkSession):
+        found = stored(postings.join(F.broadcast(wanted) if size <= SMALL_TERMS else wanted, "lexeme", "left_semi"))
+        held = asked.join(found.groupBy("lexeme").agg(F.count("*").alias("df")), "lexeme")
+        rarest = ranked(held, terms, F.col("df"), F.col("lexeme")).select("query_id", "lexeme")
+        hits = rarest.join(found, "lexeme").groupBy("query_id", "candidate_id").agg(F.count("*").alias("shared"))
+        return stored(ranked(hits, limit, F.desc("shared"), F.col("candidate_id")), keep=True)
+
+
 def vector_search(queries: DataFrame, cards: DataFrame, vectors: DataFrame, limit: int, as_of_us: int) -> DataFrame:
     """Exact cosine in each query's scope; queries carry ``vector``. Up to ``FEW_QUERIES`` of them go to the vectors, so those stay where they are."""
     if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:

@@ -72,26 +72,42 @@ SHARED = {
     "cancelled_jobs": f"""
       SELECT j.* FROM jobs j WHERE (state IN ('pending', 'retry') OR (state = 'leased' AND lease_until_us <= {AS_OF_US}))
         AND NOT EXISTS (SELECT 1 FROM live l JOIN targets t ON t.state <> 'retired' WHERE l.tenant_id = j.tenant_id AND l.user_id = j.user_id AND l.id = j.memory_id AND l.version = j.expected_memory_version AND t.embedding_space = j.embedding_space)""",
+    "document_lexemes": "SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, unnest(list_distinct(x(text))) AS w FROM documents",
     "quality": """
-      SELECT query_id, round(coalesce(found, 0) / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, round(coalesce(dcg / ideal, 0), 9) AS ndcg, coalesce(found, 0) = n AS passed FROM (
-        SELECT query_id, count(*) AS n, sum(CASE WHEN i <= 10 THEN (pow(2, relevance) - 1) / log2(i + 1) END) AS ideal
+      SELECT arm, query_id, round(coalesce(found, 0) / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, round(coalesce(dcg / ideal, 0), 9) AS ndcg, coalesce(found, 0) = n AS passed FROM (
+        SELECT query_id, unnest(['rarest', 'bm25']) AS arm, count(*) AS n, sum(CASE WHEN i <= 10 THEN (pow(2, relevance) - 1) / log2(i + 1) END) AS ideal
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, candidate_id) AS i FROM relevance) GROUP BY query_id)
       LEFT JOIN (
-        SELECT query_id, count(*) FILTER (WHERE rank <= 5) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN (pow(2, relevance) - 1) / log2(rank + 1) END) AS dcg
-        FROM judged_hits JOIN relevance USING (query_id, candidate_id) GROUP BY query_id) USING (query_id)""",
+        SELECT arm, query_id, count(*) FILTER (WHERE rank <= 5) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN (pow(2, relevance) - 1) / log2(rank + 1) END) AS dcg
+        FROM judged_hits JOIN relevance USING (query_id, candidate_id) GROUP BY arm, query_id) USING (arm, query_id)""",
+    "rarest_lexemes": """
+      SELECT query_id, w FROM (SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(x(text))) AS w FROM benchmark) JOIN (SELECT w, count(*) AS df FROM document_lexemes GROUP BY w) USING (w)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, w) <= 8""",
     "judged_hits": """
-      SELECT query_id, candidate_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, candidate_id) AS INT) AS rank FROM (
-        SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, count(*) AS shared
-        FROM (SELECT item_id, unnest(list_distinct(x(text))) AS w FROM benchmark) b JOIN (SELECT doc_id, unnest(list_distinct(x(text))) AS w FROM documents) d USING (w) GROUP BY 1, 2
-      ) QUALIFY rank <= 20""",
+      SELECT 'bm25' AS arm, query_id, 'c' || substr(id, 2) AS candidate_id, rank FROM bm25_deep UNION ALL
+      SELECT 'rarest', query_id, candidate_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, candidate_id) AS INT) AS rank
+      FROM (SELECT query_id, candidate_id, count(*) AS shared FROM rarest_lexemes JOIN document_lexemes USING (w) GROUP BY ALL) QUALIFY rank <= 20""",
 }
 SHARED = {k: SHARED[k] for k in [*[k for k in SHARED if k not in ("quality", "judged_hits")], "judged_hits", "quality"]}
 
 
+# classes of lexemes as DuckDB's expressions state them: no bounds, no look ahead
+_W, _H, _P = r"[\p{L}\p{M}\p{Nd}]", r"(?:[a-z0-9][a-z0-9_-]*\.)+[a-z]{2,}", r"\p{Nd}*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}]*"
+_TOKENS = "|".join([
+    r"<[a-z/!?][^<>]*>", r"&(?:[a-z][a-z0-9]+|#[0-9]+|#x[0-9a-f]+);", r"[a-z][a-z0-9]*://", rf"[a-z0-9][a-z0-9_.+-]*@{_H}", rf"{_H}(?::[0-9]+)?/[!#-;=?-\[\]_a-z~]*", rf"{_H}(?::[0-9]+)?",
+    r"[-+]?[0-9]+(?:\.[0-9]+)?e[-+]?[0-9]+", r"[0-9]+(?:\.[0-9]+){2,}", r"[-+]?[0-9]+\.[0-9]+", r"[-+][0-9]+",
+    r"[a-z][a-z0-9]*(?:[./][a-z0-9_][a-z0-9_-]*)+", r"(?:~|\.{1,2})?(?:/[a-z0-9_][a-z0-9_.-]*)+", rf"{_P}(?:-{_P})+", rf"{_W}+",
+])
+_LEXEMES = rf"""flatten(list_transform(regexp_extract_all(lower({{}}), '{_TOKENS}'), lambda t: CASE
+  WHEN t LIKE '<%' OR t LIKE '&%' OR t LIKE '%://' THEN []
+  WHEN regexp_full_match(t, '{_H}(?::[0-9]+)?/.*') THEN [t, split_part(t, '/', 1), substr(t, strpos(t, '/'))]
+  WHEN regexp_full_match(t, '{_P}(?:-{_P})+') THEN list_concat([t], string_split(t, '-')) ELSE [t] END))"""
+
+
 def _words(sql: str) -> str:
     """Expands the short names of tokenizers: f(..) words, n(..) normal form, x(..) lexemes."""
     sql = re.sub(r"\bf\((\w+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{Nd}]+')", sql)
-    sql = re.sub(r"\bx\(([^()]+)\)", r"regexp_extract_all(lower(\1), '[\\p{L}\\p{M}\\p{Nd}]+')", sql)
+    sql = re.sub(r"\bx\(([^()]+)\)", lambda m: _LEXEMES.replace("{}", m[1]), sql)
     plural = "CASE WHEN octet_length(encode(w)) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN substr(w, 1, length(w) - 1) ELSE w END"
     return re.sub(r"\bn\(w\)", plural, sql)
 
@@ -575,38 +591,44 @@ def target_transitions(spark, d):
 # --- evaluation and validation
 
 
-def judged_hits(spark, d):
-    """A plain untrusted arm for evaluation: documents by shared lexemes with the query."""
-    from recallframe.functions.text import lexemes
+ARMS = ["rarest", "bm25"]
+
 
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    asked = bench.select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("w"))
-    words = docs.select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("w"))
-    hits = asked.join(words, "w").groupBy("query_id", "candidate_id").agg(F.count("*").alias("shared"))
-    return retrieval.ranked(hits, 20, F.desc("shared"), F.col("candidate_id")).select("query_id", "candidate_id", "rank")
+def rarest_hits(spark, d):
+    """A plain untrusted arm for evaluation: documents of any scope by a query's rarest lexemes."""
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), "text")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), "text")
+    return retrieval.rarest_overlap(asked, docs, 8, 20).select("query_id", "candidate_id", "rank")
+
+
+def judged_hits(spark, d):
+    """Hits of two arms: the untrusted one, and BM25 in the query's scope."""
+    (queries,) = frames(spark, d, "queries")
+    best = retrieval.bm25(queries, cards(spark, d), 20, AS_OF_US).select("query_id", F.concat(F.lit("c"), F.substring("id", 2, 40)).alias("candidate_id"), "rank")
+    return rarest_hits(spark, d).withColumn("arm", F.lit("rarest")).unionByName(best.withColumn("arm", F.lit("bm25")))
 
 
 @query("SELECT * FROM quality")
 def eval_quality(spark, d):
     (relevance,) = frames(spark, d, "relevance")
-    return evaluation.quality(judged_hits(spark, d), relevance, 5, 10)
+    return evaluation.quality(judged_hits(spark, d), relevance, 5, 10, ARMS)
 
 
 def _quality_column(name: str, column: str):
     def run(spark, d):
-        return eval_quality(spark, d).select("query_id", column)
+        return eval_quality(spark, d).select("arm", "query_id", column)
 
     run.__name__ = name
-    return query(f"SELECT query_id, {column} FROM quality")(run)
+    return query(f"SELECT arm, query_id, {column} FROM quality")(run)
 
 
 for _name, _column in (("eval_recall", "recall"), ("eval_mrr", "mrr"), ("eval_ndcg", "ndcg"), ("eval_pass", "passed")):
     _quality_column(_name, _column)
 
 
-@query("SELECT count(*) AS quality_query_count, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(passed AS DOUBLE)), 6) AS pass_rate, bool_and(passed) AS all_passed FROM quality")
+@query("SELECT arm, count(*) AS quality_query_count, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(passed AS DOUBLE)), 6) AS pass_rate, bool_and(passed) AS all_passed FROM quality GROUP BY arm")
 def eval_arm_aggregate(spark, d):
-    return evaluation.arm_aggregate(eval_quality(spark, d))
+    return evaluation.arm_aggregate(eval_quality(spark, d), "arm")
 
 
 _POLICY = f"""SELECT q.query_id, count(h.id) AS hits, count(CASE WHEN h.id LIKE '%9' THEN 1 END) AS forbidden_hits, count(*) FILTER (WHERE h.id IS NOT NULL AND c.id IS NULL) AS unknown_hits,
@@ -615,7 +637,7 @@ _POLICY = f"""SELECT q.query_id, count(h.id) AS hits, count(CASE WHEN h.id LIKE
   count(*) FILTER (WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links k WHERE k.tenant_id = c.tenant_id AND k.user_id = c.user_id AND k.candidate_id = c.candidate_id)) AS missing_sources,
   q.query_id LIKE '%0' AND count(h.id) > 0 AS require_empty_failure
   FROM queries q LEFT JOIN (SELECT query_id, CASE WHEN rank % 4 = 1 THEN 'twin' ELSE source END AS tenant_id, lang AS user_id, 'm' || substr(candidate_id, 2) AS id, unnest(CASE WHEN rank = 3 THEN [3, 21] ELSE [rank] END) AS rank
-    FROM judged_hits JOIN documents ON 'c' || CAST(doc_id AS VARCHAR) = candidate_id WHERE query_id NOT LIKE '%3' AND (query_id NOT LIKE '%1' OR rank <= 2)) h USING (query_id)
+    FROM judged_hits JOIN documents ON 'c' || CAST(doc_id AS VARCHAR) = candidate_id WHERE arm = 'rarest' AND query_id NOT LIKE '%3' AND (query_id NOT LIKE '%1' OR rank <= 2)) h USING (query_id)
   LEFT JOIN cards c ON c.tenant_id = h.tenant_id AND c.user_id = h.user_id AND c.id = h.id GROUP BY q.query_id"""
 _PASSED = " AND ".join(f"{c} = 0" for c in evaluation.COUNTERS) + " AND NOT require_empty_failure"
 
@@ -625,7 +647,7 @@ def eval_policy(spark, d):
     """Hits of which the third comes twice and every fourth is of another tenant; some queries have few or none, and some must have none."""
     queries, links = frames(spark, d, "queries", "links")
     own = table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.col("source").alias("tenant_id"), F.col("lang").alias("user_id"))
-    hits = judged_hits(spark, d).where("query_id not like '%3' and (query_id not like '%1' or rank <= 2)").join(own, "candidate_id")
+    hits = rarest_hits(spark, d).where("query_id not like '%3' and (query_id not like '%1' or rank <= 2)").join(own, "candidate_id")
     tenant = F.when(F.col("rank") % 4 == 1, "twin").otherwise(F.col("tenant_id"))
     hits = hits.select("query_id", tenant.alias("tenant_id"), "user_id", F.concat(F.lit("m"), F.substring("candidate_id", 2, 40)).alias("id"), "rank")
     hits = hits.unionByName(hits.where("rank = 3").withColumn("rank", F.lit(21)))
@@ -646,7 +668,7 @@ def latency_percentiles(spark, d):
 
 @query()
 def eval_bootstrap_ci(spark, d):
-    return evaluation.bootstrap(eval_quality(spark, d).withColumn("arm", F.lit("lexical")))
+    return evaluation.bootstrap(eval_quality(spark, d))
 
 
 @query("SELECT query_id, count(*) FILTER (WHERE id LIKE '%7') = 0 AS stable FROM bm25_deep WHERE rank <= 5 GROUP BY query_id")

@@ -42,6 +42,45 @@ def test_tokens(spark):
     assert column(spark, "偏好 Abc", X.lexemes) == ["偏好", "abc"]
 
 
+LEXEMES = {
+    "see http://Example.com/stuff/index.html?a=1 now": ["see", "example.com/stuff/index.html?a=1", "example.com", "/stuff/index.html?a=1", "now"],
+    "www.example.org:8080 end.": ["www.example.org:8080", "end"],
+    "mail jo.do+x@mail.example.com, thanks": ["mail", "jo.do+x@mail.example.com", "thanks"],
+    "up-to-date état-Nation foo-2b jb-1": ["up-to-date", "up", "to", "date", "état-nation", "état", "nation", "foo-2b", "foo", "2b", "jb", "-1"],
+    "1.5 -12.25 +3 8.3.0 1.5e-7 2024-01-02 12abc": ["1.5", "-12.25", "+3", "8.3.0", "1.5e-7", "2024", "-01", "-02", "12abc"],
+    "and/or /usr/local/lib.txt ~/x": ["and/or", "/usr/local/lib.txt", "~/x"],
+    "<a href='x-y'>caf\u00e9 &amp; t\u00e9</a> a < b & c;": ["caf\u00e9", "t\u00e9", "a", "b", "c"],
+    "snake_case don't A.b": ["snake", "case", "don", "t", "a.b"],
+    "\u504f\u597d\u65e0\u7cd6 ab\u504f": ["\u504f\u597d\u65e0\u7cd6", "ab\u504f"],
+    "example.com\u00e9 1e5x": ["example", "com\u00e9", "1e5x"],
+    "": [], "-- ... //": [],
+}
+
+
+def test_lexemes(spark):
+    got = spark.createDataFrame(list(enumerate(LEXEMES)), "i int, x string").select("i", X.lexemes(F.col("x")).alias("y")).orderBy("i").collect()
+    assert {text: r.y for text, r in zip(LEXEMES, got)} == LEXEMES
+    assert column(spark, None, X.lexemes) == []
+
+
+def test_lexemes_of_long_texts(spark):
+    sizes = spark.createDataFrame([(t * (1_000_000 // len(t)),) for t in ("a", "a-", "a.", "/a", "<a", "1.", "a@", "é", "偏")], "x string")
+    got = [r.n for r in sizes.select(F.size(X.lexemes(F.col("x"))).alias("n")).collect()]
+    assert got[0] == got[7] == got[8] == 1 and min(got) > 0
+
+
+def test_rarest_overlap_and_arms(spark):
+    docs = spark.createDataFrame([("c1", "the red fox"), ("c2", "the blue fox"), ("c3", "the the cat"), ("c4", None)], "candidate_id string, text string")
+    queries = spark.createDataFrame([("q1", "the red fox"), ("q2", "dog"), ("q3", None), ("q4", "the")], "query_id string, text string")
+    hits = retrieval.rarest_overlap(queries, docs, 2, 10)
+    assert sorted((r.query_id, r.candidate_id, r.rank) for r in hits.collect()) == [("q1", "c1", 1), ("q1", "c2", 2), ("q4", "c1", 1), ("q4", "c2", 2), ("q4", "c3", 3)]
+    gold = spark.createDataFrame([("q1", "c2", 2), ("q2", "c3", 1)], "query_id string, candidate_id string, relevance int")
+    arms = hits.withColumn("arm", F.lit("x")).unionByName(hits.where("rank > 1").withColumn("arm", F.lit("y")))
+    rows = evaluation.quality(arms, gold, 1, 10, ["x", "y", "z"])
+    assert sorted((r.arm, r.query_id, r.recall, r.mrr) for r in rows.collect()) == [(a, q, 0.0, 0.5 if q == "q1" and a != "z" else 0.0) for a in "xyz" for q in ("q1", "q2")]
+    assert {r.arm: r.mrr for r in evaluation.arm_aggregate(rows, "arm").collect()} == {"x": 0.25, "y": 0.25, "z": 0.0}
+
+
 def test_trim_and_quote(spark):
     assert column(spark, " \t x　y \u0085", X.trim_space) == "x　y"
     assert column(spark, 'a"b\\c\n\t', X.quoted) == '"a\\"b\\\\c\\n\\t"'
