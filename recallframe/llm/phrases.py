@@ -15,8 +15,9 @@ index is built. A shard only ever gets the frequent words and pairs that it has
 by a join. Frequent words have numbers of their own, so a phrase is a few numbers until
 the best ones are spelled.
 
-Before a walk all n-grams are counted by a hash in a fixed number of buckets. One whose
-bucket stays below the least frequency can't be frequent and isn't handed on. The bit
+Before a walk all n-grams, and before anything all words, are counted by a hash in a
+fixed number of buckets. One whose bucket stays below the least frequency can't be
+frequent and isn't handed on. The bit
 for each bucket is all that is broadcast, and its size is fixed; the more n-grams there
 are, the less it spares, but no count depends on it.
 """
@@ -231,14 +232,14 @@ def _buckets_in(sequence: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def heavy_buckets(sequences: DataFrame, shortest: int, longest: int, least: int) -> np.ndarray:
-    """Whether each bucket holds ``least`` n-grams or more over all ``sequences`` (n, ids)."""
+def _heavy(rows: DataFrame, buckets_in: Callable[[pa.RecordBatch], Iterator[np.ndarray]], least: int) -> np.ndarray:
+    """Whether each bucket holds ``least`` or more over all ``rows``; ``buckets_in`` gives sums by bucket of parts of a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKETS, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                total += np.bincount(_buckets_in(_unpacked(data, n), shortest, longest), minlength=1 << BUCKETS)
+            for part in buckets_in(batch):
+                total += part
         if total.any():
             total = np.minimum(total, least)  # more makes no difference
             for chunk in range(1 << (BUCKETS - CHUNK)):
@@ -253,13 +254,52 @@ def heavy_buckets(sequences: DataFrame, shortest: int, longest: int, least: int)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], ["chunk", "heavy"])
 
     n_chunks = 1 << (BUCKETS - CHUNK)
-    parts = sequences.select("n", "ids").mapInArrow(count, "chunk int, counts binary").repartition(n_chunks, "chunk")
+    parts = rows.mapInArrow(count, "chunk int, counts binary").repartition(n_chunks, "chunk")
     out = np.zeros(1 << BUCKETS, bool)
     for chunk, bits in parts.mapInArrow(add, "chunk int, heavy binary").collect():  # a bit for each bucket
         out[chunk << CHUNK : (chunk + 1) << CHUNK] = np.unpackbits(np.frombuffer(bits, np.uint8))
     return out
 
 
+def heavy_buckets(sequences: DataFrame, shortest: int, longest: int, least: int) -> np.ndarray:
+    """Whether each bucket holds ``least`` n-grams or more over all ``sequences`` (n, ids)."""
+
+    def buckets_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            yield np.bincount(_buckets_in(_unpacked(data, n), shortest, longest), minlength=1 << BUCKETS)
+
+    return _heavy(sequences.select("n", "ids"), buckets_in, least)
+
+
+def heavy_words(held: DataFrame, least: int) -> DataFrame:
+    """(shard, lang, id, words, counts) of the shards' words that may occur ``least`` times over all; words that share no bucket with enough others go before anything is shuffled."""
+    hashed = held.withColumn("hash", F.transform("words", lambda w: F.xxhash64("lang", w)))
+
+    def bucket(values: pa.Array) -> np.ndarray:
+        return (values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+    def buckets_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        weights = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+        yield np.bincount(bucket(batch.column("hash").flatten()), weights=weights, minlength=1 << BUCKETS).astype(np.int64)
+
+    heavy = np.packbits(_heavy(hashed.select("hash", "counts"), buckets_in, least))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_heavy = np.unpackbits(heavy).astype(bool)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                kept = np.flatnonzero(is_heavy[bucket(row.column("hash").flatten())])
+                for at in range(0, len(kept), ROWS):
+                    ids = kept[at : at + ROWS]
+                    columns = [pa.array([row.column(c)[0].as_py()] * len(ids), row.column(c).type) for c in ("shard", "lang")]
+                    columns += [pa.array(ids + 1), *[row.column(c).flatten().take(pa.array(ids)) for c in ("words", "counts")]]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "id", "words", "counts"])
+
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in held.select("words", "counts").schema}
+    return hashed.select("shard", "lang", "words", "counts", "hash").mapInArrow(work, f"shard long, lang string, id long, words {kinds['words']}, counts {kinds['counts']}")
+
+
 def _summed(rows: list[np.ndarray]) -> np.ndarray:
     """Rows of keys and a count, equal keys put together."""
     whole = np.concatenate(rows)
@@ -321,10 +361,9 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     held = stored(shards(docs, text, lang), codec="zstd")
     totals = stored(held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")))
-    each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", (F.col("place") + 1).alias("id"), "w.words", "w.counts")
     # a word has a row a shard at most
     of_word = Window.partitionBy("lang", "words")
-    known = stored(each.withColumn("f", F.sum("counts").over(of_word)).where(F.col("f") >= least).select("shard", "id", "lang", F.col("words").alias("word"), "f"))
+    known = stored(heavy_words(held, least).withColumn("f", F.sum("counts").over(of_word)).where(F.col("f") >= least).select("shard", "id", "lang", F.col("words").alias("word"), "f"))
     numbered, total = number_rows(known.select("lang", "word", "f").distinct(), ["lang", "word"], "gid")
     if total >= 1 << 31:
         raise ValueError(f"{total} frequent words; two numbers don't fit a key")
