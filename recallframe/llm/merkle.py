@@ -3,7 +3,8 @@
 A text's paragraphs are its lines, and sections are parted by blank lines. Below
 a paragraph come leaves of a few words, or of a few characters where no space
 occurs. Where a leaf ends is decided by the characters around that place alone,
-so an edit changes the leaves that it touches and no others, in any script. A
+so an edit changes the leaves that it touches and no others, in any script; only
+stretches of ``LEAF_MOST`` characters without such a place are cut by their length. A
 node's digest covers its children's; the root covers the exact text.
 
 The fingerprint is the tree written down: the root digest, then sections parted
@@ -30,8 +31,10 @@ from recallframe.session import stored, without
 ROOT_BYTES, LEAF_CHARS = 16, 4
 #: A place between words ends a leaf once in WORD_RATE times, one between other characters once in CHAR_RATE times, both by hash of the WINDOW characters before it.
 WORD_RATE, CHAR_RATE, WINDOW = 2, 16, 4
-#: Key ranges for each partition of the input, and narrower ones that these are put together from.
-RANGES, FINE = 2, 16
+#: Characters of the longest leaf. Texts that repeat a few characters have no other ends of leaves.
+LEAF_MOST = 64
+#: Key ranges for each partition of the input, and rows of the sample for each range.
+RANGES, SAMPLED = 2, 20
 #: Odd multipliers: of characters in a window and of places in a leaf.
 MIX, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -62,7 +65,13 @@ def leaf_ends(points: np.ndarray) -> np.ndarray:
     ends = np.where(last_space, hashed % np.uint64(WORD_RATE) == 0, ~space & (hashed % np.uint64(CHAR_RATE) == 0))
     ends |= points == 10
     ends[-1] = True
-    return np.flatnonzero(ends).astype(np.int64)
+    found = np.flatnonzero(ends).astype(np.int64)
+    starts = np.concatenate((np.zeros(1, np.int64), found[:-1] + 1))
+    more = (found - starts) // LEAF_MOST  # places that are missing in each leaf
+    if not more.any():
+        return found
+    nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    return np.sort(np.concatenate((found, np.repeat(starts, more) + (nth + 1) * LEAF_MOST - 1)))
 
 
 def leaves(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -209,25 +218,27 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Columns range, tail, key and text; ``tail`` marks the copy of the next
     range's first row. Texts move once, each range to a task of its own. The
-    bounds come from a separate sort of narrow rows into fine ranges, which are
-    put together to ranges of like numbers of bytes; only a few numbers for each
-    fine range reach the driver, and their count follows the partitions of the
-    input. Null keys sort first. Rows that share a key are in order of a hash of
+    bounds are rows of a sample that takes a row the likelier the longer its text
+    is, so ranges hold like numbers of bytes. The sample is all that the driver
+    gathers: three numbers a row, about ``SAMPLED`` rows for each range, and the
+    ranges follow the partitions of the input. Keys are whole numbers; null keys
+    sort first. Rows that share a key are in order of a hash of
     their texts and may spread over ranges; only rows that are equal throughout
     stay together. They stream through, so their number costs time but no memory.
     """
     tie = F.xxhash64("text")
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     least = F.lit(-(1 << 63)).cast("long")
-    narrow = stored(rows.select(F.coalesce("key", least).alias("k"), tie.alias("h"), F.octet_length("text").cast("long").alias("z")))
+    narrow = stored(rows.select(F.coalesce("key", least).alias("k"), tie.alias("h"), (F.octet_length("text") + F.lit(1).cast("long")).alias("z")))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES * df.select(key).rdd.getNumPartitions())
-    # an explicit number, as small keys would be coalesced and texts aren't small
-    fine = narrow.repartitionByRange(FINE * n, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("first"), F.sum("z").alias("z"))
-    pieces = sorted((r.first.k, r.first.h, r.z) for r in fine.select(F.col("first"), "z").collect())
+    whole = narrow.agg(F.min(F.struct("k", "h")).alias("first"), F.sum("z").alias("z")).first()
+    rate = SAMPLED * n / (whole.z or 1)
+    taken = narrow.where(F.rand(1) < F.col("z") * rate).select("k", "h", F.greatest(F.col("z"), F.lit(1 / rate)).alias("z"))
+    pieces = sorted(tuple(r) for r in taken.collect())
     goal = sum(z for *_, z in pieces) / n
-    bounds, filled = [], 0
+    bounds, filled = [tuple(whole.first)] if whole.first else [], 0
     for k, h, z in pieces:
-        if not bounds or filled + z / 2 > goal:
+        if filled + z / 2 > goal and (k, h) > bounds[-1]:
             bounds.append((k, h))
             filled = 0
         filled += z

@@ -3,7 +3,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from recallframe.llm import merkle, queries
 
@@ -26,7 +28,7 @@ def slow_leaves(text):
         window = sum((ord(text[i - k]) + 1) * pow(merkle.MIX, k + 1, 1 << 64) for k in range(min(4, i + 1))) % (1 << 64)
         h = mixed(window) >> 40
         cuts = h % 16 == 0 if not gap(c) else (i + 1 == len(text) or not gap(text[i + 1])) and h % 2 == 0
-        if cuts or c == "\n" or i + 1 == len(text):
+        if cuts or c == "\n" or i + 1 == len(text) or len(leaf) == 64:
             out.append(leaf)
             leaf = ""
     return out
@@ -148,3 +150,24 @@ def test_hot_keys_spread_over_ranges(spark):
     dealt = merkle.with_next(df, "doc_id", "text").where("key = 5 and not tail").groupBy("range").count().collect()
     assert len(dealt) > 4
     held(merkle.compare_with_next(df).collect(), rows, slow=False)
+
+
+def test_periodic_texts():
+    """No leaf is longer than LEAF_MOST characters, so what repeats a few characters has leaves to compare."""
+    following = "Quite another text. " * 200
+    for text in ("a" * 5000, "ab" * 2500, "QUJD" * 1200, "\u00e9" * 999, "x" * 64, "x" * 65, "a" * 63 + " " + "b" * 200):
+        ends, digests = merkle.leaves(text)
+        sizes = np.diff(np.concatenate(([-1], ends)))
+        assert len(ends) == len(digests) and ends[-1] == len(text) - 1 and 0 < sizes.min() and sizes.max() <= merkle.LEAF_MOST
+        if len(text) > 500:
+            p = merkle.fingerprint(text)
+            edited, other = merkle.fingerprint(merkle.half_replaced(text, following)), merkle.fingerprint(following)
+            assert merkle.likeness(p, edited) > 0.1 > merkle.likeness(p, other)
+
+
+def test_few_rows_reach_the_driver(spark):
+    """Ranges hold like numbers of bytes, from a bounded sample, with a few long texts among many short ones."""
+    rows = [(i, "word " * (20_000 if i % 500 == 7 else 3)) for i in range(4000)]
+    dealt = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", "text").where("not tail")
+    sizes = [r.z for r in dealt.groupBy("range").agg(F.sum(F.length("text")).alias("z")).collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 300_000 and sum(sizes) == sum(len(t) for _, t in rows)
