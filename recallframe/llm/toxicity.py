@@ -12,7 +12,8 @@ text. The document's score is a logistic function of their aggregates, and
 tokens with a marginal of one half or more are the offending offsets.
 
 A chain is a line of text. Chains of many documents run side by side: for two
-tags, forward and backward messages are one ratio each per step.
+tags, forward and backward messages are one ratio each per step. Long lines run
+as pieces, tied by the product of each piece's 2 x 2 steps.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ CHANCE, LEAST = 1e-8, 3
 ROUNDS, AGAIN = 60, (30, 6)
 #: Words of a block that is tagged at once, and words a worker remembers.
 BLOCK, WORDS_KEPT = 1 << 20, 500_000
-#: Words of a block of chains in training.
-TRAIN_BLOCK = 1 << 19
+#: Words of a block of chains in training, and words that a chain goes through one after another.
+TRAIN_BLOCK, PIECE = 1 << 19, 1 << 10
 WORD = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 AGGREGATES = 4
@@ -79,31 +80,86 @@ class Model:
         return float(self.weights[slots(word)].sum() + self.bias)
 
 
+def _through(own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opens: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Per piece of a chain, the 2 x 2 map of its tokens' steps: from (clean, toxic) before the piece to those at its end, up to a factor.
+
+    ``opens`` are the pieces that begin a chain; their first token takes anything to (1, own potential).
+    """
+    (cc, ct), (tc, tt) = np.exp(moves)
+    order = np.argsort(-sizes, kind="stable")
+    running = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
+    begins, at = opens[order], starts[order]
+    first = own[at]
+    out = np.empty((len(order), 2, 2))
+    out[:, 0, 0], out[:, 0, 1] = np.where(begins, 1, cc), np.where(begins, 0, tc)
+    out[:, 1, 0], out[:, 1, 1] = np.where(begins, first, first * ct), np.where(begins, 0, first * tt)
+    for t in range(1, len(running)):
+        n = running[t]
+        clean, toxic = out[:n, 0].copy(), out[:n, 1]
+        out[:n, 0] = cc * clean + tc * toxic
+        out[:n, 1] = own[at[:n] + t, None] * (ct * clean + tt * toxic)
+        out[:n] /= out[:n].max(axis=(1, 2), keepdims=True)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
+def _between(own: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Chains cut into pieces of ``PIECE`` tokens at most.
+
+    Returns (starts, sizes, opens, ahead, behind): ``ahead`` is the forward ratio of the
+    token before a piece and ``behind`` the backward ratio at the piece's last token.
+    """
+    n_pieces = -(-lengths // PIECE)
+    chain = np.repeat(np.arange(len(lengths)), n_pieces)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+    sizes = np.minimum(lengths[chain] - nth * PIECE, PIECE)
+    places, opens = starts[chain] + nth * PIECE, nth == 0
+    ahead, behind = np.ones(len(chain)), np.ones(len(chain))
+    long = np.flatnonzero(n_pieces[chain] > 1)
+    if len(long):
+        maps = np.zeros((len(chain), 2, 2))
+        maps[long] = _through(own, places[long], sizes[long], opens[long], moves)
+        by_nth = np.argsort(nth[long], kind="stable")
+        ends = np.searchsorted(nth[long][by_nth], np.arange(int(nth.max()) + 2))
+        steps = [long[by_nth[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for here in steps[1:]:
+            m, x = maps[here - 1], ahead[here - 1]
+            ahead[here] = np.clip((m[:, 1, 0] + m[:, 1, 1] * x) / (m[:, 0, 0] + m[:, 0, 1] * x), 1e-12, 1e12)
+        for here in reversed(steps[1:]):
+            m, x = maps[here], behind[here]
+            behind[here - 1] = np.clip((m[:, 0, 1] + m[:, 1, 1] * x) / (m[:, 0, 0] + m[:, 1, 0] * x), 1e-12, 1e12)
+    return places, sizes, opens, ahead, behind
+
+
 def messages(potentials: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios (toxic to clean) of concatenated chains.
 
     ``potentials`` holds the chains' tokens one chain after another. Forward
-    includes the token's own potential, backward doesn't.
+    includes the token's own potential, backward doesn't. Chains of more than
+    ``PIECE`` tokens go by pieces side by side, once the messages between the
+    pieces are known, so the longest chain doesn't set the number of steps.
     """
     forward, backward = np.ones(len(potentials)), np.ones(len(potentials))
     if not len(potentials):
         return forward, backward
     own = np.exp(np.clip(potentials, -30, 30))
     (cc, ct), (tc, tt) = np.exp(moves)
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
+    starts, sizes, opens, ahead, behind = _between(own, np.cumsum(lengths) - lengths, lengths, moves)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, opens, r, q = starts[order], sizes[order], opens[order], ahead[order], behind[order]
     longest = int(sizes[0])
-    # chains that still run at a step come first
+    # pieces that still run at a step come first
     running = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    r = np.zeros(0)
     for t in range(longest):
         n = running[t]
         at = starts[:n] + t
-        r = own[at] if t == 0 else own[at] * (ct + r[:n] * tt) / (cc + r[:n] * tc)
+        r = own[at] * (ct + r[:n] * tt) / (cc + r[:n] * tc)
+        if t == 0:
+            r = np.where(opens, own[at], r)
         np.clip(r, 1e-12, 1e12, out=r)
         forward[at] = r
-    q = np.ones(len(sizes))
+    backward[starts + sizes - 1] = q
     for t in range(longest - 2, -1, -1):
         n = running[t + 1]
         at = starts[:n] + t

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 import zlib
 
 import numpy as np
@@ -24,6 +25,31 @@ def test_marginals_against_all_paths():
         at += n
 
 
+def test_long_chains_by_pieces():
+    """Chains around and above PIECE tokens, against one step a token."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([1, 5000, 3, toxicity.PIECE, toxicity.PIECE + 1, 2 * toxicity.PIECE, 2 * toxicity.PIECE + 1, 10])
+    u, moves = 3 * rng.normal(size=lengths.sum()), rng.normal(size=(2, 2))
+    m, own, at = np.exp(moves), np.exp(u), 0
+    got = toxicity.messages(u, lengths, moves)
+    for n in lengths:
+        ahead, behind = np.ones(n), np.ones(n)
+        for t in range(n):
+            r = ahead[t - 1]
+            ahead[t] = own[at + t] * (1 if t == 0 else (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0]))
+        for t in range(n - 2, -1, -1):
+            x = own[at + t + 1] * behind[t + 1]
+            behind[t] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+        assert np.allclose(got[0][at : at + n], ahead) and np.allclose(got[1][at : at + n], behind)
+        at += n
+
+
+def test_one_very_long_line():
+    began = time.perf_counter()
+    p = toxicity.marginals(np.random.default_rng(6).normal(size=1 << 21), np.array([1 << 21]), np.array([[0.5, -0.5], [-0.2, 0.4]]))
+    assert len(p) == 1 << 21 and ((p > 0) & (p < 1)).all() and time.perf_counter() - began < 30
+
+
 def test_held_out_accuracy_and_shape(spark):
     got = {r.doc_id: r for r in queries.op5_toxicity(spark, SF).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
