@@ -35,6 +35,26 @@ def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)))
 
 
+def cosines(a: list, b: list) -> np.ndarray:
+    """The cosine of each of ``a`` with each of ``b``, NaN where one is missing or their lengths differ.
+
+    Sums go dimension by dimension, as in ``cosine``, so equal vectors have equal scores wherever they stand.
+    """
+    out = np.full((len(a), len(b)), np.nan)
+    by_size = [{n: [i for i, v in enumerate(side) if v is not None and len(v) == n] for n in {len(v) for v in side if v is not None}} for side in (a, b)]
+    for n in by_size[0].keys() & by_size[1].keys():
+        rows, columns = by_size[0][n], by_size[1][n]
+        x, y = (np.array([side[i] for i in at], np.float64).reshape(len(at), n) for side, at in ((a, rows), (b, columns)))
+        dot, xx, yy = np.zeros((len(rows), len(columns))), np.zeros(len(rows)), np.zeros(len(columns))
+        for k in range(n):
+            dot += x[:, k, None] * y[None, :, k]
+            xx += x[:, k] ** 2
+            yy += y[:, k] ** 2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[np.ix_(rows, columns)] = dot / np.sqrt(xx[:, None] * yy[None, :])
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def fingerprint(vector: pd.Series) -> pd.Series:
     """SHA-256 of the big-endian float32 bits; -0.0 differs from 0.0."""

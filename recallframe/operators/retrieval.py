@@ -8,11 +8,13 @@ a final group limit, so a scope of any size sends k rows per task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallframe.functions import text as X
-from recallframe.functions.vectors import cosine
+from recallframe.functions.vectors import cosine, cosines
 from recallframe.operators.lifecycle import SCOPE, serviceable
 from recallframe.session import scratch, stored
 
@@ -20,9 +22,12 @@ K1, B = 1.2, 0.75
 #: Field weights of BM25 count into both term frequency and length.
 BM25_FIELDS = {"memory_key": 3, "value": 2, "category": 1, "person": 1, "relationship": 1, "backstory": 1}
 RRF_K = 60
-#: Queries with a vector each that are broadcast at most.
+#: Queries with a vector each that are broadcast at most; beyond, queries and cards of a block.
 FEW_QUERIES = 4096
-#: Bytes of different asked terms that are broadcast at most.
+QUERY_BLOCK, CARD_BLOCK = 1024, 4096
+#: Pairs of a query and a card that a task scores at once.
+PAIRS = 1 << 21
+#: Bytes of different asked terms, or of scopes with many rows, that are broadcast at most.
 SMALL_TERMS = 32 << 20
 #: Stands for the card itself among its tokens; no token is empty.
 CARD = ""
@@ -131,16 +136,78 @@ def rarest_overlap(queries: DataFrame, documents: DataFrame, terms: int, limit:
 
 
 def vector_search(queries: DataFrame, cards: DataFrame, vectors: DataFrame, limit: int, as_of_us: int) -> DataFrame:
-    """Exact cosine in each query's scope; queries carry ``vector``. Up to ``FEW_QUERIES`` of them go to the vectors, so those stay where they are."""
-    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
-        queries = F.broadcast(queries)
+    """Exact cosine in each query's scope; queries carry ``vector``.
+
+    Up to ``FEW_QUERIES`` of them go to the vectors, so those stay where they are.
+    More of them meet the cards in blocks, see ``block_hits``. Without a vector on
+    either side, or with vectors of different lengths, a pair's score is null and sorts last.
+    """
     live = cards.where(serviceable(F.lit(as_of_us))).select(*SCOPE, "id", "created_us")
-    stored = live.join(vectors.select(*SCOPE, F.col("memory_id").alias("id"), F.col("embedding").alias("v")), [*SCOPE, "id"])
-    hits = queries.select("query_id", *SCOPE, "vector").join(stored, SCOPE).select("query_id", "id", "created_us", cosine(F.col("vector"), F.col("v")).alias("score"))
+    embedded = live.join(vectors.select(*SCOPE, F.col("memory_id").alias("id"), F.col("embedding").alias("v")), [*SCOPE, "id"])
+    asked = queries.select("query_id", *SCOPE, "vector")
+    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        hits = F.broadcast(asked).join(embedded, SCOPE).select("query_id", "id", "created_us", cosine(F.col("vector"), F.col("v")).alias("score"))
+    else:
+        hits = block_hits(asked, embedded, limit)
     best = ranked(hits, limit, F.desc("score"), F.desc("created_us"), F.col("id"))
     return best.withColumn("score", F.round("score", DIGITS))
 
 
+def _dealt(rows: DataFrame, own: tuple[str, int, str], other: tuple[str, int, DataFrame]) -> DataFrame:
+    """``rows`` with the block that a hash of their id gives them among their scope's, once for each block of the other side."""
+    name, size, id_ = own
+    other_name, other_size, other_rows = other
+
+    def blocks(of: DataFrame, n: int, alias: str) -> DataFrame:
+        # only scopes of more than one block, so there are few
+        several = stored(of.groupBy(*SCOPE).agg(F.ceil(F.count("*") / n).cast("int").alias(alias)).where(F.col(alias) > 1))
+        size = several.agg(F.sum(sum(F.octet_length(c) for c in SCOPE) + 64)).first()[0] or 0
+        return F.broadcast(several) if size <= SMALL_TERMS else several
+
+    told = rows.join(blocks(rows, size, "__own"), SCOPE, "left").join(blocks(other_rows, other_size, "__other"), SCOPE, "left")
+    mine = F.pmod(F.xxhash64(id_), F.coalesce("__own", F.lit(1))).cast("int")
+    theirs = F.explode(F.sequence(F.lit(0), F.coalesce("__other", F.lit(1)) - 1))
+    return told.withColumn(name, mine).withColumn(other_name, theirs).drop("__own", "__other")
+
+
+def block_hits(queries: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, created_us, score): each query's best ``limit`` cards (v) of each block of its scope's cards.
+
+    A scope's queries and cards are cut into blocks of about ``QUERY_BLOCK`` and
+    ``CARD_BLOCK`` rows. Each pair of blocks is a task group of its own, of bounded size
+    however many rows a scope has, and hands on ``limit`` hits a query. Scores are
+    those of ``cosine`` to the last bit; equal ones go by newest, then id.
+    """
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, created_us long, score double"
+    key = [*SCOPE, "__q", "__c"]
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[np.ndarray]] = {"query_id": [], "id": [], "created_us": [], "score": []}
+        if len(asked) and len(held):
+            # the order of ties: newest, then id by code point
+            held = held.iloc[sorted(range(len(held)), key=lambda i: (-held["created_us"].iat[i], held["id"].iat[i].encode("utf-8", "surrogatepass")))]
+            ids, created = held["id"].to_numpy(object), held["created_us"].to_numpy()
+            step = max(1, PAIRS // len(held))
+            for at in range(0, len(asked), step):
+                part = asked.iloc[at : at + step]
+                scores = cosines(list(part["vector"]), list(held["v"]))
+                first = np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")[:, :limit]
+                n = first.shape[1]
+                own = np.take_along_axis(scores, first, axis=1).ravel()
+                found = np.repeat(part["query_id"].to_numpy(object), n), ids[first].ravel(), created[first].ravel(), own
+                for column, values in zip(out.values(), found, strict=True):
+                    column.append(values)
+        rows = pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
+        return rows.astype({"query_id": object, "id": object, "score": "Float64"})
+
+    with scratch(queries.sparkSession):
+        queries, cards = stored(queries), stored(cards)
+        asked = _dealt(queries, ("__q", QUERY_BLOCK, "query_id"), ("__c", CARD_BLOCK, cards))
+        held = _dealt(cards, ("__c", CARD_BLOCK, "id"), ("__q", QUERY_BLOCK, queries))
+        hits = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(score, schema)
+        return stored(hits, keep=True)
+
+
 def ready_cards(cards: DataFrame, vectors: DataFrame, jobs: DataFrame, targets: DataFrame, links: DataFrame, space: str) -> DataFrame:
     """Cards that the serving fence lets through: the space serves and enqueues, their job succeeded at their version, and they have a vector and a source."""
     serving = targets.where((F.col("embedding_space") == space) & (F.col("state") == "serving") & F.col("enqueue_new")).select("embedding_space")

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,39 @@ def test_dense_pipeline(spark):
         ports.dense_search(asked(spark, "x"), ports.HashEmbedder(9), "probe", space, kind, search)
 
 
+def test_vectors_by_blocks(spark, monkeypatch):
+    """One scope holds nearly all queries and cards: blocks give the hits, scores and ranks of the plain join, in groups of bounded size."""
+    rng = np.random.default_rng(3)
+    owner = lambda i: "u" if i % 50 else "v"
+    some = [[float(x) for x in rng.integers(-3, 4, 6)] for _ in range(60)]
+    kept = [v for v in some if any(v)]
+    held = [("t", owner(i), f"c{i}", 1000 + i % 7, kept[i % len(kept)] if i % 90 else None) for i in range(1500)]
+    wanted = [(f"q{i}", "t", owner(i), kept[i * 7 % len(kept)]) for i in range(700)]
+    pool = spark.createDataFrame(held, "tenant_id string, user_id string, id string, created_us long, v array<float>")
+    queries = spark.createDataFrame(wanted, "query_id string, tenant_id string, user_id string, vector array<float>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "CARD_BLOCK", 128)
+    order = [F.desc("score"), F.desc("created_us"), F.col("id")]
+    plain = queries.join(pool, ["tenant_id", "user_id"]).select("query_id", "id", "created_us", vectors.cosine(F.col("vector"), F.col("v")).alias("score"))
+    want = sorted(map(tuple, retrieval.ranked(plain, 5, *order).collect()))
+    got = retrieval.block_hits(queries, pool, 5)
+    assert sorted(map(tuple, retrieval.ranked(got, 5, *order).collect())) == want and len(want) == 3500
+    dealt = retrieval._dealt(queries, ("__q", 64, "query_id"), ("__c", 128, pool)).groupBy("tenant_id", "user_id", "__q", "__c").count()
+    assert dealt.count() > 100 and dealt.agg(F.max("count")).first()[0] <= 2 * 64
+    assert retrieval.block_hits(queries.limit(0), pool, 5).count() == 0 == retrieval.block_hits(queries, pool.limit(0), 5).count()
+
+
+def test_many_queries_of_one_scope(spark, monkeypatch):
+    """Whole searches of more queries than are broadcast and of fewer agree."""
+    corpus = cards(spark, [{"id": f"m{i}", "value": f"word{i % 9} word{i % 5}"} for i in range(60)])
+    held = ports.embed_frame(corpus.select("tenant_id", "user_id", F.col("id").alias("memory_id"), "value"), "value", ports.HashEmbedder(8))
+    scope = corpus.select("tenant_id", "user_id").first()
+    many = held.select(F.col("memory_id").alias("query_id"), F.lit(scope[0]).alias("tenant_id"), F.lit(scope[1]).alias("user_id"), F.col("embedding").alias("vector"))
+    few = sorted(map(tuple, retrieval.vector_search(many, corpus, held, 3, NOW).collect()))
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 10)
+    assert sorted(map(tuple, retrieval.vector_search(many, corpus, held, 3, NOW).collect())) == few and len(few) == 180
+
+
 def test_snapshots(spark, tmp_path):
     first, second = Snapshots(spark, f"file://{tmp_path}/s"), Snapshots(spark, f"file://{tmp_path}/s")
     assert first.version() == 0 and first.commit({"t": spark.range(3)}, 0) == 1
