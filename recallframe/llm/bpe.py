@@ -37,8 +37,8 @@ from recallframe.session import without
 
 #: Characters of a leaf of the text tree and bytes of a leaf of the match tree.
 TEXT_LEAF, MATCH_LEAF = 1 << 14, 64
-#: Entries that a Python worker keeps of matches and of pairs; bounds its memory.
-MATCHES_KEPT, PAIRS_KEPT = 600_000, 50_000
+#: Entries that a Python worker keeps of matches and of pairs; with the longest key kept, that bounds its memory.
+MATCHES_KEPT, PAIRS_KEPT = 150_000, 50_000
 
 
 class Codec:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes outside these six; ``bytes.split()`` cuts at the same six.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+#: Length of the longest key that a ``Memo`` keeps.
+LONG = 256
 
 
 def word_count(text: Column) -> Column:
@@ -15,7 +17,7 @@ def word_count(text: Column) -> Column:
 
 
 class Memo(dict):
-    """A dict that fills itself from ``make`` and starts anew at ``bound`` entries.
+    """A dict that fills itself from ``make`` and starts anew at ``bound`` entries; keys longer than ``LONG`` aren't kept.
 
     Looking up with ``map(memo.__getitem__, keys)`` stays in C for known keys.
     """
@@ -25,7 +27,9 @@ class Memo(dict):
         self.make, self.bound = make, bound
 
     def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= self.bound:
+                self.clear()
+            self[key] = value
         return value

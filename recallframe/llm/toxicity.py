@@ -43,8 +43,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 CHANCE, LEAST = 1e-8, 3
 #: Rounds of training; from the first of AGAIN on, each so many rounds, tags are estimated anew.
 ROUNDS, AGAIN = 60, (30, 6)
-#: Words of a block that is tagged at once, and words a worker remembers.
-BLOCK, WORDS_KEPT = 1 << 20, 500_000
+#: Words of a block that is tagged at once, rows of an Arrow batch that are decoded at once, and words a worker remembers.
+BLOCK, SLICE, WORDS_KEPT = 1 << 18, 2048, 150_000
 #: Words of a block of chains in training, and words that a chain goes through one after another.
 TRAIN_BLOCK, PIECE = 1 << 19, 1 << 10
 WORD = re.compile(r"\S+")
@@ -392,7 +392,7 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
     def work(batches):
         own = sent.value
         potential = Memo(own.potential, WORDS_KEPT)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(text).cast(pa.binary()).to_pylist()]
             at = 0
             for x, p, owner in _tagged(texts, own, potential):

@@ -67,3 +67,16 @@ def test_words_before_a_long_run(both):
         leaves = list(own.leaves(text))
         assert "".join(leaves) == text and len(leaves) < 40
         assert memoryview(own.encode(text)).cast("i").tolist() == known.encode_ordinary(text)
+
+
+def test_what_a_worker_keeps_is_bounded(both, monkeypatch):
+    own, known = both
+    fresh = bpe.Codec(own.ranks, P.PATTERN)
+    monkeypatch.setattr(fresh.match, "bound", 500)
+    rng = random.Random(11)
+    long = ["".join(rng.choice("aeiouxyz") for _ in range(20_000)) for _ in range(4)]
+    for text in [*long, *(f"w{i}x{'y' * (i % 7)} {i}" for i in range(3000))]:
+        assert memoryview(fresh.encode(text)).cast("i").tolist() == known.encode_ordinary(text)
+    # by size, not by entries alone: texts without a blank are one match each
+    assert len(fresh.match) <= 500 and max(map(len, fresh.match)) <= 256
+    assert bpe.MATCHES_KEPT * (220 + 256 * 3) < 160 << 20
