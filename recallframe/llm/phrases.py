@@ -12,7 +12,7 @@ Counts are summed across shards. A phrase that is frequent has only frequent par
 shards are walked for pairs of frequent words first, and then for longer phrases all of
 whose neighbouring pairs are frequent; what isn't frequent turns into breaks before an
 index is built. A shard only ever gets the frequent words and pairs that it has itself,
-by a join. Frequent words have numbers of their own, so a phrase is a few numbers until
+as lists of numbers. Frequent words have numbers of their own, so a phrase is a few numbers until
 the best ones are spelled.
 
 Before a walk all n-grams are counted by a hash in a fixed number of buckets. One whose
@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallframe.llm.shard import number_rows
-from recallframe.session import few, scratch, stored
+from recallframe.llm.shard import dense
+from recallframe.session import scratch, stored
 
 #: Least frequency, most words, phrases reported per language.
 LEAST, MOST_WORDS, REPORTED = 100, 5, 2000
@@ -42,6 +42,8 @@ SHARD, HELD = 6 << 20, 24 << 20
 BUCKETS, CHUNK = 22, 16
 #: Rows of an Arrow batch of counts.
 ROWS = 1 << 17
+#: Parts that pairs are dealt into at least.
+PARTS = 64
 #: Rows of counts that a task adds up before it hands them on.
 MERGED = 1 << 20
 #: A-Z become a-z, tabs blanks, and what ends a piece a byte that UTF-8 doesn't have.
@@ -184,9 +186,9 @@ def _sequences(make: Callable[[np.ndarray, pa.Array], np.ndarray]):
 
 
 def _only_words(ids: np.ndarray, kept: pa.Array) -> np.ndarray:
-    """The global numbers of kept words, structs (id, gid), and single breaks for what is between them."""
-    new = np.zeros(int(ids.max()) + 1, np.int64)
-    new[kept.field(0).to_numpy()] = kept.field(1).to_numpy()
+    """The global numbers of kept words, id and gid in one number, and single breaks for what is between them."""
+    new, both = np.zeros(int(ids.max()) + 1, np.int64), kept.to_numpy()
+    new[both >> 32] = both & 0xFFFFFFFF
     sequence = new[ids]
     again = np.concatenate(([False], (sequence[1:] == 0) & (sequence[:-1] == 0)))
     return sequence[~again]
@@ -196,7 +198,11 @@ def _only_pairs(words: np.ndarray, kept: pa.Array) -> np.ndarray:
     """The runs of words whose neighbouring pairs are all kept, with single breaks around them."""
     pairs = np.sort(kept.to_numpy())
     here = words[:-1] << 32 | words[1:]
-    joined = pairs[np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)] == here
+    return _runs(words, pairs[np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)] == here)
+
+
+def _runs(words: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """The runs of words that are joined to the next one, with single breaks around them."""
     # a word stays if it is joined to a neighbour, with a break after it if that isn't the next one
     with_next, with_last = np.concatenate((joined, [False])), np.concatenate(([False], joined))
     both = np.stack((words, np.where(with_next, -1, 0)), axis=1)[with_next | with_last].ravel()
@@ -268,24 +274,24 @@ def _summed(rows: list[np.ndarray]) -> np.ndarray:
     return np.concatenate((whole[starts, :-1], np.add.reduceat(whole[:, -1:], starts)), axis=1)
 
 
-def counted(sequences: DataFrame, shortest: int, longest: int, least: int, by_shard: bool) -> DataFrame:
-    """(shard, k0, k1, ..., n): n-grams of ``sequences`` (shard, n, ids) that may occur ``least`` times over all; two words to a key, 0 for none.
+def counted(sequences: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
+    """(k0, k1, ..., n): n-grams of ``sequences`` (n, ids) that may occur ``least`` times over all; two words to a key, 0 for none.
 
-    Each shard's own with ``by_shard``; else shards of one task are added up, as far as memory goes, and ``shard`` is that of one of them.
+    Shards of one task are added up, as far as memory goes.
     """
     heavy, n_keys = np.packbits(heavy_buckets(sequences, shortest, longest, least)), -(-longest // 2)
-    names = ["shard", *[f"k{i}" for i in range(n_keys)], "n"]
+    names = [*[f"k{i}" for i in range(n_keys)], "n"]
 
-    def out(shard: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), ROWS):
             part = rows[at : at + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), *[pa.array(np.ascontiguousarray(part[:, i])) for i in range(part.shape[1])]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(part.shape[1])], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_heavy = np.unpackbits(heavy).astype(bool)
-        held, shard = [], 0
+        held = []
         for batch in batches:
-            for shard, n, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "n", "ids")], strict=True):
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 known, sequence = np.unique(_unpacked(data, n), return_inverse=True)
 
                 def keep(words: np.ndarray, known: np.ndarray = known) -> np.ndarray:
@@ -296,16 +302,99 @@ def counted(sequences: DataFrame, shortest: int, longest: int, least: int, by_sh
                         full = np.zeros((len(words), 2 * n_keys), np.int64)
                         full[:, : words.shape[1]] = known[words]
                         held.append(np.concatenate((full[:, ::2] << 32 | full[:, 1::2], count[:, None]), axis=1))
-                if by_shard or sum(map(len, held)) > MERGED:
-                    held = held if by_shard or not held else [_summed(held)]
-                    if by_shard or len(held[0]) > MERGED // 2:
-                        for rows in held:
-                            yield from out(shard, rows)
-                        held = []
+                if sum(map(len, held)) > MERGED:
+                    held = [_summed(held)]
+                    if len(held[0]) > MERGED // 2:
+                        yield from out(held.pop())
         if held:
-            yield from out(shard, _summed(held))
+            yield from out(_summed(held))
+
+    return sequences.select("n", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+
+
+def _lists(by: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The different values of ``by``, and of each column a list for each of them."""
+    order = np.argsort(by, kind="stable")
+    values, starts = np.unique(by[order], return_index=True)
+    offsets = pa.array(np.append(starts, len(by)), pa.int32())
+    return values, [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: (gid, at) of words to (shard, kept), each place's id and gid in one number; a shard has a few rows a task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            shard, (kept,) = _lists(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), kept], ["shard", "kept"])
+        held.clear()
+
+    for batch in batches:
+        at = batch.column("at")
+        places = at.flatten()
+        gid = np.repeat(batch.column("gid").to_numpy(), at.value_lengths().to_numpy())
+        held.append((places.field("shard").to_numpy(), places.field("id").to_numpy().astype(np.int64) << 32 | gid))
+        if sum(len(x) for x, _ in held) > MERGED:
+            yield from out()
+    yield from out()
+
+
+def frequent_pairs(sequences: DataFrame, heavy: bytes, n_chunks: int, least: int) -> DataFrame:
+    """(shard, pairs, f): lists of the pairs that occur ``least`` times over all ``sequences`` (shard, n, ids).
+
+    With their frequencies once, shard being null, and each shard's own pairs, f being
+    null. Pairs are dealt by their hash into ``n_chunks`` parts; a shard has a row for
+    each part, so the rows that are shuffled are as many as the lists, not the pairs.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_heavy = np.unpackbits(np.frombuffer(heavy, np.uint8)).astype(bool)
+        for batch in batches:
+            for shard, n, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "n", "ids")], strict=True):
+                known, sequence = np.unique(_unpacked(data, n), return_inverse=True)
+                for words, counts in walk(sequence, 2, lambda words, known=known: is_heavy[_bucket_of(known[words])]):
+                    both = known[words]
+                    chunk, lists = _lists(_bucket_of(both) % n_chunks, both[:, 0] << 32 | both[:, 1], counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(np.full(len(chunk), shard)), *lists], ["chunk", "shard", "pairs", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                parts.setdefault(chunk, []).append(batch.slice(i, 1))
+        for rows in parts.values():
+            lists = [r.column("pairs") for r in rows]
+            pairs = np.concatenate([x.flatten().to_numpy() for x in lists])
+            shard = np.repeat([r.column("shard")[0].as_py() for r in rows], [len(x.flatten()) for x in lists])
+            different, which = np.unique(pairs, return_inverse=True)
+            f = np.zeros(len(different), np.int64)
+            np.add.at(f, which, np.concatenate([r.column("counts").flatten().to_numpy() for r in rows]))
+            enough = f >= least
+            if enough.any():
+                here = enough[which]
+                own, (kept,) = _lists(shard[here], pairs[here])
+                _, (found, often) = _lists(np.zeros(int(enough.sum()), np.int64), different[enough], f[enough])
+                for columns in ([pa.array(own), kept, pa.nulls(len(own), often.type)], [pa.nulls(1, pa.int64()), found, often]):
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "pairs", "f"])
+
+    dealt = sequences.select("shard", "n", "ids").mapInArrow(count, "chunk int, shard long, pairs array<long>, counts array<long>")
+    return dealt.repartition("chunk").mapInArrow(add, "shard long, pairs array<long>, f array<long>")
+
+
+def _maybe_pairs(heavy: bytes):
+    """Task: sequences to the runs of words whose neighbouring pairs may be frequent."""
 
-    return sequences.select("shard", "n", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_heavy = np.unpackbits(np.frombuffer(heavy, np.uint8)).astype(bool)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _unpacked(batch.column("ids")[i].as_py(), batch.column("n")[i].as_py())
+                pairs = np.stack((words[:-1], words[1:]), axis=1)
+                sequence = _runs(words, is_heavy[_bucket_of(pairs)] & (pairs > 0).all(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([len(sequence)], pa.int32()), pa.array([_packed(sequence)], pa.binary())], ["shard", "n", "ids"])
+
+    return work
 
 
 def _words_of(n_keys: int):
@@ -322,22 +411,25 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     held = stored(shards(docs, text, lang), codec="zstd")
     totals = stored(held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")))
     each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", (F.col("place") + 1).alias("id"), "w.words", "w.counts")
-    # a word has a row a shard at most
-    of_word = Window.partitionBy("lang", "words")
-    known = stored(each.withColumn("f", F.sum("counts").over(of_word)).where(F.col("f") >= least).select("shard", "id", "lang", F.col("words").alias("word"), "f"))
-    numbered, total = number_rows(known.select("lang", "word", "f").distinct(), ["lang", "word"], "gid")
+    # a word has a place a shard at most, and is counted and numbered where its places meet
+    by_word = each.repartition("lang", "words").groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"), F.collect_list(F.struct("shard", "id")).alias("at"))
+    numbered, total = dense(stored(by_word.where(F.col("f") >= least).withColumn("__place", F.monotonically_increasing_id())), "gid")
     if total >= 1 << 31:
         raise ValueError(f"{total} frequent words; two numbers don't fit a key")
-    numbered = stored(numbered.withColumn("gid", F.col("gid") + 1))
-    beside = known.drop("f").join(few(numbered.select("lang", "word", "gid")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "gid")).alias("kept"))
-    words = stored(held.select("shard", "n", "ids").join(beside, "shard").mapInArrow(_sequences(_only_words), "shard long, n int, ids binary"))
-    of_pair = Window.partitionBy("k0")
-    pairs = stored(counted(words, 2, 2, least, by_shard=True).withColumn("f", F.sum("n").over(of_pair)).where(F.col("f") >= least).select("shard", "k0", "f"))
-    found = numbered.select(F.array("gid").alias("p"), "f").unionByName(pairs.select(_words_of(1).alias("p"), "f").distinct())
+    numbered = numbered.withColumn("gid", F.col("gid") + 1)
+    shared = lambda lists: lists.groupBy("shard").agg(F.flatten(F.collect_list("kept")).alias("kept"))
+    own = "shard long, n int, ids binary"
+    beside = shared(numbered.select("gid", "at").mapInArrow(_by_shard, "shard long, kept array<long>"))
+    words = stored(held.select("shard", "n", "ids").join(beside, "shard").mapInArrow(_sequences(_only_words), own))
+    heavy = np.packbits(heavy_buckets(words, 2, 2, least)).tobytes()
+    pairs = stored(frequent_pairs(words, heavy, PARTS + held.count() // 16, least))
+    two = pairs.where("shard is null").select(F.explode(F.arrays_zip(F.col("pairs").alias("k0"), "f")).alias("x")).select("x.k0", "x.f")
+    found = numbered.select(F.array("gid").alias("p"), "f").unionByName(two.select(_words_of(1).alias("p"), "f"))
     if most_words > 2:
-        beside = pairs.groupBy("shard").agg(F.collect_list("k0").alias("kept"))
-        runs = stored(words.join(beside, "shard").mapInArrow(_sequences(_only_pairs), "shard long, n int, ids binary"))
-        longer = counted(runs, 3, most_words, least, by_shard=False).drop("shard")
+        beside = shared(pairs.where("shard is not null").select("shard", F.col("pairs").alias("kept")))
+        # most of a sequence goes before it is shuffled
+        runs = stored(words.mapInArrow(_maybe_pairs(heavy), own).join(beside, "shard").mapInArrow(_sequences(_only_pairs), own))
+        longer = counted(runs, 3, most_words, least)
         keys = [c for c in longer.columns if c != "n"]
         longer = longer.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         found = found.unionByName(longer.select(_words_of(len(keys)).alias("p"), "f"))

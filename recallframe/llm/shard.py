@@ -72,7 +72,11 @@ def number_rows(df: DataFrame, order: list[str], number: str = "row_number") ->
     kept = without(df, number)
     salted = kept.withColumn("__tie", F.monotonically_increasing_id())
     ordered = cut(salted.repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie"))
-    placed = ordered.withColumn("__place", F.monotonically_increasing_id())
+    return dense(ordered.withColumn("__place", F.monotonically_increasing_id()), number)
+
+
+def dense(placed: DataFrame, number: str) -> tuple[DataFrame, int]:
+    """``placed`` with numbers 0..N-1 for its stored ``__place``, made by ``monotonically_increasing_id``, and N."""
     counts = placed.groupBy(F.shiftrightunsigned("__place", 33).alias("part")).count().orderBy("part").collect()
     starts, total = {}, 0
     for part, n in counts:

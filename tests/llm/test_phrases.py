@@ -87,3 +87,21 @@ def test_odd_tables(spark):
     want = brute([r[:2] for r in odd], 2, 5, 10)
     assert rows(phrases.collocations(frame, least=2, reported=10)) == want
     assert phrases.collocations(frame.limit(0)).count() == 0 and phrases.collocations(frame, least=10**6).count() == 0
+
+
+def test_pairs_meet_as_lists(spark):
+    """A shard hands on a row for each part, however many of its pairs may be frequent, and no pair or count is lost."""
+    rng = np.random.default_rng(8)
+    sequences = [np.concatenate(([0], rng.integers(0, 60, 5000), [0])) for _ in range(6)]
+    rows = [(i, len(s), phrases._packed(s)) for i, s in enumerate(sequences)]
+    frame = spark.createDataFrame(rows, "shard long, n int, ids binary").repartition(3)
+    every = np.packbits(np.ones(1 << phrases.BUCKETS, bool)).tobytes()
+    each = [Counter((a << 32 | b) for a, b in zip(s.tolist(), s[1:].tolist(), strict=False) if a and b) for s in sequences]
+    total = sum(each, Counter())
+    want = {p: n for p, n in total.items() if n >= 8}
+    got = phrases.frequent_pairs(frame, every, 4, 8).collect()
+    assert 0 < len(want) < len(total) and len(got) <= 4 * (len(sequences) + 1)
+    assert {p: n for r in got if r.shard is None for p, n in zip(r.pairs, r.f, strict=True)} == want
+    for i, own in enumerate(each):
+        mine = [p for r in got if r.shard == i for p in r.pairs]
+        assert sorted(mine) == sorted(p for p in own if p in want)
