@@ -358,21 +358,35 @@ def _tagged(texts: list[str], model: Model, potential: Memo):
         yield aggregates(p, owner, at - first), p, owner
 
 
+def _fit(batches):
+    """Task: rows (doc_id, __y, __text) to the one row of their model."""
+    rows: list[tuple] = []
+    for b in batches:
+        texts = [t.decode("utf-8", "replace") for t in b.column("__text").cast(pa.binary()).to_pylist()]
+        rows += zip(b.column("doc_id").to_pylist(), b.column("__y").to_pylist(), texts, strict=True)
+    model = fit_documents([(text, y) for _, y, text in sorted(rows, key=lambda r: r[:2])])
+    columns = [pa.array([x], pa.binary()) for x in (model.weights.astype(np.float32).tobytes(), model.moves.tobytes(), model.document.tobytes())]
+    yield pa.RecordBatch.from_arrays([columns[0], pa.array([float(model.bias)]), *columns[1:]], ["weights", "bias", "moves", "document"])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) mark.
 
     Learns from at most ``sample_docs`` labels of each kind, those with the
     smallest hash of the doc_id, as far as their documents have a text of up to
     ``sample_chars`` characters. Null ids, other labels and null texts don't
-    count; where a doc_id has both labels, both do. The sample is all that the
-    driver gathers, and the product of the two bounds it.
+    count; where a doc_id has both labels, both do. The product of the two bounds
+    the sample. One task fits it, and the driver gets the model's numbers only.
     """
     usable = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__y"))
     picked = [usable.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample_docs rows at most
     short = docs.select("doc_id", F.col(text).alias("__text")).where(F.length("__text") <= sample_chars)
-    rows = short.join(sample, "doc_id").groupBy("doc_id", "__y").agg(F.min("__text").alias("__text")).collect()
-    return fit_documents([(r["__text"], r["__y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["__y"]))])
+    rows = short.join(sample, "doc_id").groupBy("doc_id", "__y").agg(F.min("__text").alias("__text"))
+    row = rows.coalesce(1).mapInArrow(_fit, "weights binary, bias double, moves binary, document binary").first()
+    if row is None:  # Spark may leave out the task where nothing is learned from
+        return fit_documents([])
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"], np.frombuffer(row["moves"]).reshape(2, 2), np.frombuffer(row["document"]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import time
 import zlib
 
@@ -113,6 +114,18 @@ def test_without_labels(spark):
         assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
 
 
+def test_a_task_fits_and_not_the_driver(spark, monkeypatch):
+    """Same model as of the sample's texts in the order of ids, made outside of the driver's process."""
+    texts = [f"calm words of text {i}" + (" scum" if i % 2 else "") for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    got, want = toxicity.train(docs, labels), toxicity.fit_documents([(t, i % 2) for i, t in enumerate(texts)])
+    assert got.bias == want.bias and all((getattr(got, f) == getattr(want, f)).all() for f in ("weights", "moves", "document"))
+    where = lambda rows: toxicity.Model(np.zeros(4), float(os.getpid()), np.zeros((2, 2)), np.zeros(toxicity.AGGREGATES))
+    monkeypatch.setattr(toxicity, "fit_documents", where)
+    assert toxicity.train(docs, labels).bias != os.getpid()
+
+
 def test_only_near_copies_of_one_label_count_once():
     """Unlike documents that share their long words, and a toxic near copy of a clean document, are all learned from."""
     long = [f"vocabulary{i}" for i in range(6)]
