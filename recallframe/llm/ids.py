@@ -21,6 +21,7 @@ All stretches between checkpoints go forward in step, a codeword at a time, as a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -137,6 +138,13 @@ def encoder(path: str, dtype: str) -> Encoder:
     return _encoders[path, dtype]
 
 
+def forget() -> None:
+    """Frees the worker's encoders and the pieces they know; for the steps after encoding, which the same workers run."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()  # an encoder and its pieces refer to each other
+
+
 def encoded(docs: DataFrame, doc: str, text: str, tokenizer: str, end: int, dtype: str) -> DataFrame:
     """(doc, tie, row, block, ids): the ids of each document's whole text and ``end`` behind them, in blocks of ``BLOCK`` at most."""
     keys = [T.StructField("doc", docs.schema[doc].dataType), T.StructField("tie", T.LongType()), T.StructField("row", T.LongType())]
@@ -164,6 +172,7 @@ def count_ids(blocks: DataFrame, dtype: str) -> DataFrame:
     """(id, n) over all blocks; each task sums its own first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -286,6 +295,7 @@ def _coded(code: Code, dtype: str):
     """Task: blocks of ids to (..., n, marks, bits)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         width = np.dtype(dtype).itemsize
         for batch in batches:
             for part in _slices(batch, pc.binary_length(batch.column("ids")).to_numpy() // width):
@@ -355,6 +365,7 @@ def _decoded(code: Code, fields: list[T.StructField], name: str, of: Callable[[n
     """Task: blocks to ``fields`` and ``name``, which ``of`` makes of all ids and the blocks' sizes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in _slices(batch, batch.column("n").to_numpy().astype(np.int64)):
                 sizes = part.column("n").to_numpy().astype(np.int64)
@@ -373,6 +384,11 @@ def _little_endian(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.array([flat[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
+def _crc32s(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    flat, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), 4 * np.cumsum(sizes)
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)], pa.int64())
+
+
 def _blocks(spark: SparkSession, folder: str, name: str, kind: T.DataType, of, where: str = "true") -> DataFrame:
     """(part, doc, first, block, n, ``name``) of the blocks ``where`` something holds."""
     blocks = spark.read.parquet(f"{folder}/blocks").where(where)
@@ -390,17 +406,12 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc, start long, n_tokens long, ids_crc32 long) of every document, from the files."""
     key, alone = ["part", "doc", "first"], f"block = 0 and n < {BLOCK}"
 
-    def blocks(where: str) -> DataFrame:
-        return _blocks(spark, folder, "ids", T.BinaryType(), _little_endian, where)
-
-    @F.pandas_udf("long")
-    def crc(data):
-        return data.map(lambda x: zlib.crc32(x)).astype("int64")
-
-    one = blocks(alone).select(*key, F.col("n").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    # a document of one block is digested where it is decoded, so its ids don't leave the task
+    one = _blocks(spark, folder, "ids_crc32", T.LongType(), _crc32s, alone).select(*key, F.col("n").cast("long").alias("n_tokens"), "ids_crc32")
     # of longer documents, each one's blocks meet
-    many = blocks(f"not ({alone})").groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("b"))
+    long = _blocks(spark, folder, "ids", T.BinaryType(), _little_endian, f"not ({alone})")
+    many = long.groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("b"))
     whole = F.aggregate("b.ids", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x))
-    rows = one.unionByName(many.select(*key, "n_tokens", crc(whole).alias("ids_crc32")))
+    rows = one.unionByName(many.select(*key, "n_tokens", F.crc32(whole).alias("ids_crc32")))
     parts = spark.read.parquet(f"{folder}/parts").select("part", "base")
     return rows.join(parts, "part").select("doc", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

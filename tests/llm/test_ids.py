@@ -1,5 +1,6 @@
 import random
 import uuid
+import weakref
 import zlib
 
 import numpy as np
@@ -43,6 +44,18 @@ def test_texts_cut_at_blanks_encode_as_whole():
     assert [np.frombuffer(x, "<u2").tolist() + [0] for x in own.encode(texts)] == tokens(texts)
 
 
+def test_workers_hold_little_after_encoding(spark):
+    """Later steps free the encoders, and digests need one Python worker a task."""
+    own = weakref.ref(ids.encoder(P.path("byte_bpe_50k.json"), "u2"))
+    own().encode(["some words, kept"])
+    ids.forget()
+    assert own() is None
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    ids.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), folder, P.path("byte_bpe_50k.json"))
+    plan = ids.digests(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
 def best_cost(counts, limit):
     """Least bits by trying all length sequences of a full code, for few counts."""
     from functools import cache
