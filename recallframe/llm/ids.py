@@ -40,17 +40,21 @@ from recallframe.session import scratch, stored
 
 #: Ids of a block, ids from one checkpoint to the next, bits of the longest codeword (more where a vocabulary needs them).
 BLOCK, EVERY, LIMIT = 1 << 15, 256, 16
-#: Documents encoded at once, and ids coded at once.
-SLICE, MANY = 256, 1 << 19
+#: Bytes of texts encoded at once, documents counted at once, and ids coded at once.
+TEXTS, SLICE, MANY = 8 << 20, 256, 1 << 19
 #: Bytes of known pieces that a worker keeps, and characters of the longest one.
 MEMO, LONG = 64 << 20, 256
 #: Before a blank and something that isn't white space, every text may be cut: no token reaches across.
 CUT = re.compile(r"(?= \S)")
 #: Blanks that no word follows.
 ODD = re.compile(r" (?:\s|\Z)")
-#: Letters of which every run is one pre-token, and such a run up to the end or a mark that begins another.
+#: Letters of which every run is one pre-token; such a run up to the end or an ASCII character that ends it, one that may
+#: begin a line, and one with all that follows it.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-WORD = re.compile(rf"[{LETTERS}]+(?=[.,;:!?\n]|\Z)")
+STOP = r"[\x00-@\[-`{-\x7f]"
+WORD = re.compile(rf"[{LETTERS}]+(?={STOP}|\Z)")
+LINE = re.compile(rf"((?:[!-/:-@\[-`{{-~]*\n)?)({WORD.pattern})")
+HEAD = rf"(?s)\A(?P<word>[{LETTERS}]+)(?P<tail>(?:{STOP}.*)?)\z"
 
 
 class Pieces(dict):
@@ -80,13 +84,18 @@ class Pieces(dict):
             self.clear()
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """``to_pylist``, several times as fast."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """The tokenizers library over texts; the strings of special tokens are ordinary text.
 
-    Texts are cut at blanks, and pieces that were seen before are looked up. A word of
-    plain letters behind a blank is one pre-token and goes to the library's model at
-    once; so does the word before a punctuation mark. All else goes through the
-    library as a whole.
+    Texts are cut at blanks, and each different piece of many texts is looked up once,
+    wherever it was seen before. A word of plain letters behind a blank is one pre-token
+    and goes to the library's model at once; so do the words before an ASCII mark, digit
+    or line end and at the start of a line. All else goes through the library as a whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -99,7 +108,7 @@ class Encoder:
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {ord(c): spell(c)[0][0] for c in " " + LETTERS}
         #: Pieces behind a blank that isn't part of the key, and pieces as they are.
-        self.after, self.plain = Pieces(self._after_blank), Pieces(self._whole)
+        self.after, self.plain = Pieces(self._after_blank), Pieces(self._as_is)
 
     def _whole(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -114,18 +123,57 @@ class Encoder:
             return self.after[m[0]] + self.plain[piece[m.end() :]]
         return self._word(self.spelling[32] + piece.translate(self.spelling))
 
+    def _as_is(self, piece: str) -> bytes:
+        m = LINE.match(piece)
+        if m is None:
+            return self._whole(piece)
+        if m.end() == len(piece):
+            return self.plain[m[1]] + self.plain[m[2]] if m[1] else self._word(piece.translate(self.spelling))
+        out, at = [], 0
+        while m:
+            out.append(self.plain[m[0]])
+            at = m.end()
+            m = LINE.match(piece, at)
+        return b"".join(out) + self.plain[piece[at:]]
+
     def _word(self, spelled: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _each(self, pieces: pa.Array, known: Pieces) -> pa.Array:
+        """What ``known`` has for each of ``pieces``, asked for once for equal ones."""
+        own = pieces.dictionary_encode()
+        return pa.array([*map(known.__getitem__, _strings(own.dictionary))], pa.large_binary()).take(own.indices)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text, as numbers of ``dtype`` one after another."""
-        out, after = [], self.after.__getitem__
-        for text in texts:
-            first, *rest = [p if i == 0 else p[1:] for i, p in enumerate(CUT.split(text))] if ODD.search(text) else text.split(" ")
-            out.append(self.plain[first] + b"".join(map(after, rest)))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        cuts = pc.split_pattern(texts, " ")
+        odd = np.flatnonzero([ODD.search(t) is not None for t in _strings(texts)])
+        if len(odd):
+            own = [[p if i == 0 else p[1:] for i, p in enumerate(CUT.split(t))] for t in _strings(texts.take(odd))]
+            place = np.arange(len(texts))
+            place[odd] = len(texts) + np.arange(len(odd))
+            cuts = pa.concat_arrays([cuts, pa.array(own, cuts.type)]).take(place)
+        pieces, counts = cuts.flatten(), cuts.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(counts)
+        firsts, behind = ends - counts, np.ones(len(pieces), bool)
+        behind[firsts] = False  # a text's first piece has no blank before it
+        rest = pieces.filter(pa.array(behind)).dictionary_encode()
+        # a word and what is behind it are looked up by themselves
+        words, tails = pc.extract_regex(rest.dictionary, HEAD).flatten()
+        words, tails = self._each(pc.coalesce(words, rest.dictionary), self.after), self._each(tails.fill_null(""), self.plain)
+        found = pc.binary_join_element_wise(words, tails, pa.scalar(b"", pa.large_binary()))
+        which = np.empty(len(pieces), np.int64)
+        which[behind] = rest.indices.to_numpy()
+        which[firsts] = len(found) + np.arange(len(firsts))
+        known = pa.concat_arrays([found, self._each(pieces.take(firsts), self.plain)])
+        coded = known.take(which)
+        _, offsets, flat = coded.buffers()
+        at = np.frombuffer(offsets, np.int64, len(coded) + 1)[np.concatenate(([0], ends))].tolist()
         self.after.settle()
         self.plain.settle()
-        return out
+        return [flat[a:b].to_pybytes() for a, b in zip(at, at[1:], strict=False)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -154,9 +202,8 @@ def encoded(docs: DataFrame, doc: str, text: str, tokenizer: str, end: int, dtyp
         own, width = encoder(tokenizer, dtype), np.dtype(dtype).itemsize
         last = np.array([end], dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                coded = [x + last for x in own.encode([t or "" for t in part.column("text").to_pylist()])]
+            for part in _slices(batch, pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), TEXTS):
+                coded = [x + last for x in own.encode(part.column("text").fill_null(""))]
                 places = [(i, b) for i, x in enumerate(coded) for b in range(-(-len(x) // (BLOCK * width)))]
                 rows = pa.array([i for i, _ in places], pa.int64())
                 blocks = [coded[i][b * BLOCK * width : (b + 1) * BLOCK * width] for i, b in places]
@@ -282,9 +329,9 @@ class Code:
         return out
 
 
-def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about ``MANY`` ids; ``sizes`` are those of its rows."""
-    nth = np.cumsum(sizes) // MANY
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = MANY) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` ids or bytes; ``sizes`` are those of its rows."""
+    nth = np.cumsum(sizes, dtype=np.int64) // most
     starts = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
     for a, b in zip(starts, starts[1:], strict=False):
         if b > a:

@@ -44,6 +44,29 @@ def test_texts_cut_at_blanks_encode_as_whole():
     assert [np.frombuffer(x, "<u2").tolist() + [0] for x in own.encode(texts)] == tokens(texts)
 
 
+def test_words_cut_from_what_ends_them_encode_as_whole():
+    rng = random.Random(4)
+    parts = [" ", " ", "\n", "\n", ".", ",", "'", "'s", "'re", "&&&", "(", "7", "word", "Éa", "ß", "é\u0301", "ж", "—", "\x00", "\t", "\r", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += ["\n".join(["one", "two."] * 20_000), ".\n".join(["a"] * 20_000), " " + "x," * 20_000, "", " ", "\n"]
+    own = ids.Encoder(P.path("byte_bpe_50k.json"), "u2")
+    assert [np.frombuffer(x, "<u2").tolist() + [0] for x in own.encode(texts)] == tokens(texts)
+    assert own.encode([]) == [] and own.encode(["", ""]) == [b"", b""]
+
+
+def test_repeats_in_many_texts_are_looked_up_once(monkeypatch):
+    """Even if nothing is remembered, each different word is made once, not each occurrence."""
+    monkeypatch.setattr(ids, "LONG", -1)
+    own, made = ids.Encoder(P.path("byte_bpe_50k.json"), "u2"), []
+    plain, after = own.plain.make, own.after.make
+    own.plain.make = lambda x: made.append(x) or plain(x)
+    own.after.make = lambda x: made.append(x) or after(x)
+    texts = ["start " + "some words, words. again&& " * 50 + "end"] * 40
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() + [0] for x in got] == tokens(texts)
+    assert len(made) <= 20
+
+
 def test_workers_hold_little_after_encoding(spark):
     """Later steps free the encoders, and digests need one Python worker a task."""
     own = weakref.ref(ids.encoder(P.path("byte_bpe_50k.json"), "u2"))
