@@ -40,14 +40,14 @@ from recallframe.session import scratch, stored
 
 #: Ids of a block, ids from one checkpoint to the next, bits of the longest codeword (more where a vocabulary needs them).
 BLOCK, EVERY, LIMIT = 1 << 15, 256, 16
-#: Bytes of texts encoded at once, documents counted at once, and ids coded at once.
-TEXTS, SLICE, MANY = 8 << 20, 256, 1 << 19
+#: Bytes of texts encoded at once, and ids coded at once.
+TEXTS, MANY = 8 << 20, 1 << 19
 #: Bytes of known pieces that a worker keeps, and characters of the longest one.
 MEMO, LONG = 64 << 20, 256
 #: Before a blank and something that isn't white space, every text may be cut: no token reaches across.
 CUT = re.compile(r"(?= \S)")
-#: Blanks that no word follows.
-ODD = re.compile(r" (?:\s|\Z)")
+#: Blanks that no word follows, with all white space of Python, for Arrow.
+ODD = r" (?:[\s\x0b\x1c-\x1f\x85\p{Z}]|\z)"
 #: Letters of which every run is one pre-token; such a run up to the end or an ASCII character that ends it, one that may
 #: begin a line, and one with all that follows it.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -149,7 +149,7 @@ class Encoder:
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         cuts = pc.split_pattern(texts, " ")
-        odd = np.flatnonzero([ODD.search(t) is not None for t in _strings(texts)])
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
         if len(odd):
             own = [[p if i == 0 else p[1:] for i, p in enumerate(CUT.split(t))] for t in _strings(texts.take(odd))]
             place = np.arange(len(texts))
@@ -194,43 +194,55 @@ def forget() -> None:
 
 
 def encoded(docs: DataFrame, doc: str, text: str, tokenizer: str, end: int, dtype: str) -> DataFrame:
-    """(doc, tie, row, block, ids): the ids of each document's whole text and ``end`` behind them, in blocks of ``BLOCK`` at most."""
+    """(doc, tie, row, block, ids, counts): the ids of each document's whole text and ``end`` behind them, in blocks of ``BLOCK`` at most.
+
+    Each task's last row has ``counts`` only: how often each id from 0 on occurs in the task, as little-endian 64-bit numbers.
+    """
     keys = [T.StructField("doc", docs.schema[doc].dataType), T.StructField("tie", T.LongType()), T.StructField("row", T.LongType())]
-    schema = T.StructType([*keys, T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*keys, T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, width = encoder(tokenizer, dtype), np.dtype(dtype).itemsize
-        last = np.array([end], dtype).tobytes()
+        last, names, none = np.array([end], dtype).tobytes(), [f.name for f in schema], None
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for part in _slices(batch, pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), TEXTS):
                 coded = [x + last for x in own.encode(part.column("text").fill_null(""))]
                 places = [(i, b) for i, x in enumerate(coded) for b in range(-(-len(x) // (BLOCK * width)))]
                 rows = pa.array([i for i, _ in places], pa.int64())
                 blocks = [coded[i][b * BLOCK * width : (b + 1) * BLOCK * width] for i, b in places]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(rows) for c in ("doc", "tie", "row")], pa.array([b for _, b in places], pa.int32()), pa.array(blocks, pa.binary())], [f.name for f in schema]
-                )
+                total = _summed(total, np.bincount(np.frombuffer(b"".join(coded), dtype)))
+                keys = [part.column(c).take(rows) for c in names[:3]]
+                none = [pa.nulls(1, c.type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([b for _, b in places], pa.int32()), pa.array(blocks, pa.binary()), pa.nulls(len(rows), pa.binary())], names)
+        if none:
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     told = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     return told.mapInArrow(work, schema)
 
 
-def count_ids(blocks: DataFrame, dtype: str) -> DataFrame:
-    """(id, n) over all blocks; each task sums its own first."""
+def _summed(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sum of two counts by id; the shorter one has 0 for the rest."""
+    short, out = sorted((total, own), key=len)
+    out = out.astype(np.int64)
+    out[: len(short)] += short
+    return out
+
+
+def count_ids(counts: DataFrame) -> DataFrame:
+    """(id, n) over the ``counts`` of all tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, SLICE).to_pylist()), dtype))
-                if len(own) > len(total):
-                    total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
-                total[: len(own)] += own
+            for own in batch.column(0).to_pylist():
+                total = _summed(total, np.frombuffer(own, "<i8"))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts.select("counts").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -388,11 +400,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc: str = "doc_id", tex
         with scratch(spark):
             blocks = stored(encoded(docs, doc, text, tokenizer, end, dtype), codec="zstd")
             # at most one row for each entry of the vocabulary
-            counts = np.array([tuple(r) for r in count_ids(blocks, dtype).orderBy("id").collect()], np.int64).reshape(-1, 2)
+            counts = np.array([tuple(r) for r in count_ids(blocks.where("counts is not null")).orderBy("id").collect()], np.int64).reshape(-1, 2)
             lengths = code_lengths(counts[:, 1], limit)
-            fields = [f for f in blocks.schema.fields if f.name != "ids"]
+            fields = [f for f in blocks.schema.fields if f.name not in ("ids", "counts")]
             schema = T.StructType([*fields, T.StructField("n", T.IntegerType()), T.StructField("marks", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-            coded = stored(blocks.mapInArrow(_coded(Code(counts[:, 0], lengths), dtype), schema), keep=True, codec="none")
+            coded = stored(blocks.where("ids is not null").drop("counts").mapInArrow(_coded(Code(counts[:, 0], lengths), dtype), schema), keep=True, codec="none")
         keys = ["doc", "tie", "row"]
         out = T.StructType([T.StructField("part", T.IntegerType()), fields[0], T.StructField("first", T.LongType()), T.StructField("block", T.IntegerType()), *schema.fields[-3:]])
         coded.repartitionByRange(*keys).sortWithinPartitions(*keys, "block").mapInArrow(_placed, out).write.option("compression", "none").parquet(f"{folder}/blocks")

@@ -79,6 +79,22 @@ def test_workers_hold_little_after_encoding(spark):
     assert "MapInArrow" in plan and "EvalPython" not in plan
 
 
+def test_ids_are_counted_where_they_are_made(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "b, b", ""] * 5)], "doc_id long, text string").repartition(3)
+    made = ids.encoded(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), 0, "u2")
+    want = np.bincount(np.concatenate(tokens(["a b", None, "b, b", ""] * 5)))
+    got = ids.count_ids(made.where("counts is not null"))
+    assert sorted(map(tuple, got.collect())) == [(i, want[i]) for i in np.flatnonzero(want)]
+    assert made.where("ids is not null").count() == 20 and not made.where("ids is not null and counts is not null").count()
+
+
+def test_white_space_of_python_is_known_to_the_cut():
+    space = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    own = ids.Encoder(P.path("byte_bpe_50k.json"), "u2")
+    texts = [f"a {c}b {c}" for c in space] + [f"a  {c} c" for c in space]
+    assert [np.frombuffer(x, "<u2").tolist() + [0] for x in own.encode(texts)] == tokens(texts)
+
+
 def best_cost(counts, limit):
     """Least bits by trying all length sequences of a full code, for few counts."""
     from functools import cache
