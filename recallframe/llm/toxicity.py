@@ -389,8 +389,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"], np.frombuffer(row["moves"]).reshape(2, 2), np.frombuffer(row["document"]))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
-    """``df`` with score (double) and, if asked for, spans instead of its ``text``.
+def score(df: DataFrame, model: Model, text: str = "text", spans: bool = False, keep: bool = False) -> DataFrame:
+    """``df`` with score (double) and, if asked for, spans instead of its ``text``; with ``keep`` beside it.
 
     Texts that are null, empty or white space get the score of a text without
     toxic tokens. ``spans`` are structs of start and end offsets in characters
@@ -398,7 +398,7 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
     replaced.
     """
     kept = without(df, "score", "spans")
-    fields = [f for f in kept.schema.fields if f.name != text]
+    fields = [f for f in kept.schema.fields if keep or f.name != text]
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), *([T.StructField("spans", span_type)] if spans else [])])
     sent = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats

@@ -77,3 +77,15 @@ def test_mixing_with_null_and_repeated_ids(spark):
     total = words(rows, "s0") + words(rows, "s1")
     first = min(2 * words(rows, "s0"), 1.5 * total * 3 / 4)
     assert abs(words(got, "s0") - first) <= 100 and abs(words(got, "s1") - (1.5 * total - first)) <= 100
+
+
+def test_toxicity_sends_texts_once(spark):
+    """The Python workers get the columns of the documents, each once, and rows come back as they were."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9), (None, None, None, None, None), (1, "", "en", "s", 0)], schema)
+    got = P.drop_toxic(spark, docs, SF)
+    node = got._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().apply(0)
+    assert node.children().apply(0).output().size() == len(docs.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
