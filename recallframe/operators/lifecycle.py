@@ -5,7 +5,7 @@ Times are microseconds since the epoch (long). A scope is (tenant_id, user_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from recallframe.functions.text import identity_key
@@ -64,10 +64,15 @@ def first_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy(*SCOPE, "candidate_id").agg(first).select(*SCOPE, "candidate_id", "r.*")
 
 
+def _chain() -> WindowSpec:
+    """An identity's approvals between two erasures, in commit order. Those of one commit go by id, so that the order is the same in every run and window."""
+    return Window.partitionBy(*SCOPE, "erasure_epoch", "identity_key").orderBy("commit_seq", "id")
+
+
 def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame) -> DataFrame:
     """All card versions that approvals made, with what became of them.
 
-    Per scope, erasure epoch and identity, versions count up in commit order.
+    Per scope, erasure epoch and identity, versions count up in commit order, then by id.
     Times are strictly increasing: created_n = max(base_n, created_(n-1) + 1),
     in closed form n + max over i <= n of (base_i - i). A version is superseded
     at the next one's time. ``erased`` marks epochs that a later erasure ended.
@@ -77,7 +82,7 @@ def card_versions(candidates: DataFrame, reviews: DataFrame, erasures: DataFrame
         "identity_key", identity_key(*[F.col(c) for c in ("kind", "category", "memory_key", "person", "relationship")])
     )
     placed = _epochs(cards, erasures)
-    chain = Window.partitionBy(*SCOPE, "erasure_epoch", "identity_key").orderBy("commit_seq")
+    chain = _chain()
     base = F.greatest("reviewed_us", "created_us")
     versioned = placed.withColumn("version", F.row_number().over(chain))
     upto = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from recallframe.operators import lifecycle
 
 SF = "/root/testdata/sf0.001"
 #: A multiple of 4 * 100,003, so that copies of a document share scope, topic and commit, and end in different digits.
@@ -36,6 +37,26 @@ def both(spark, far, name, sql):
     return sorted(map(str, map(tuple, got))), sorted(map(str, want.fetchall()))
 
 
+def by_id(name):
+    """The query's SQL, with approvals of one commit by id: its ORDER BY leaves them open, and DuckDB orders them anew in each run."""
+    return entry.oracle_sql()[name].replace("ORDER BY commit_seq", "ORDER BY commit_seq, id")
+
+
 def test_candidate_violations(spark, far):
     got, want = both(spark, far, "candidate_violations", entry.oracle_sql()["candidate_violations"])
     assert want and got == want
+
+
+def test_card_versions(spark, far):
+    got, want = both(spark, far, "card_versions", by_id("card_versions"))
+    assert want and got == want
+
+
+def test_versions_of_one_commit(spark):
+    """Approvals of one commit are in the order of ids, whichever way the rows come in."""
+    ids = [f"c{i:02}" for i in range(40)]
+    for order in (ids, ids[::-1]):
+        c = spark.createDataFrame([("t", "u", i, "k", "", "", "", "", 5) for i in order], "tenant_id string, user_id string, id string, kind string, category string, memory_key string, person string, relationship string, created_us long")
+        r = spark.createDataFrame([("t", "u", i, "approve", 5, 1) for i in order], "tenant_id string, user_id string, candidate_id string, decision string, reviewed_us long, commit_seq long")
+        got = lifecycle.card_versions(c, r, spark.createDataFrame([], "tenant_id string, user_id string, commit_seq long")).orderBy("version").collect()
+        assert [x.id for x in got] == ids
