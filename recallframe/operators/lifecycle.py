@@ -228,9 +228,8 @@ def as_of(versions: DataFrame, at: Column) -> DataFrame:
 
 def lifetimes(versions: DataFrame, erasures: DataFrame) -> DataFrame:
     """Card versions with the commits between which they live: from ``commit_seq`` on and before ``until_seq`` (null: still), which is that of the next version or of the scope's next erasure."""
-    chain = Window.partitionBy(*SCOPE, "erasure_epoch", "identity_key").orderBy("commit_seq")
     marks = erasures.groupBy(*SCOPE).agg(F.collect_list("commit_seq").alias("__marks"))
-    joined = versions.withColumn("__next", F.lead("commit_seq").over(chain)).join(marks, SCOPE, "left")
+    joined = versions.withColumn("__next", F.lead("commit_seq").over(_chain())).join(marks, SCOPE, "left")
     erased_at = F.array_min(F.filter(F.coalesce("__marks", F.array().cast("array<long>")), lambda s: s > F.col("commit_seq")))
     return joined.withColumn("until_seq", F.least("__next", erased_at)).drop("__marks", "__next")
 

@@ -60,3 +60,18 @@ def test_versions_of_one_commit(spark):
         r = spark.createDataFrame([("t", "u", i, "approve", 5, 1) for i in order], "tenant_id string, user_id string, candidate_id string, decision string, reviewed_us long, commit_seq long")
         got = lifecycle.card_versions(c, r, spark.createDataFrame([], "tenant_id string, user_id string, commit_seq long")).orderBy("version").collect()
         assert [x.id for x in got] == ids
+
+
+def test_timeline_queries(spark, far):
+    got, want = both(spark, far, "timeline_queries", by_id("timeline_queries"))
+    assert want and got == want
+
+
+def test_what_is_seen_after_one_commit(spark):
+    """Of versions of one commit a query sees the last, whichever way they are read."""
+    versions = [("t", "u", f"c{i:02}", "key", i + 1, 0, 1, None) for i in range(40)]
+    q = spark.createDataFrame([("q", "t", "u", 2, 0)], "query_id string, tenant_id string, user_id string, seq long, at_us long")
+    e = spark.createDataFrame([], "tenant_id string, user_id string, commit_seq long")
+    for order in (versions, versions[::-1]):
+        v = spark.createDataFrame(order, "tenant_id string, user_id string, id string, identity_key string, version int, erasure_epoch long, commit_seq long, expires_us long")
+        assert [(r.id, r.version) for r in lifecycle.replay_queries(q, v, e).collect()] == [("c39", 40)]
